@@ -28,7 +28,7 @@ LENGTH = 1024
 SENTENCE_PENALTY = 2
 INSIDE_PENALTY = 24
 #: One sentence end in so many tokens is a candidate, the last one.
-GRAIN = 32
+GRAIN = 8
 #: Cuts inside a sentence are offered so far apart where no other candidate is near.
 STRIDE = 256
 BLOCK = 1 << 17
