@@ -46,15 +46,15 @@ def _labelled(entries: DataFrame, labels: DataFrame) -> DataFrame:
 def settle(entries: DataFrame, labels: DataFrame, verified: Callable[[DataFrame], DataFrame], percent: int, scratch: Scratch) -> DataFrame:
     """Components of all links that candidate lists hold, without all pairs of a list.
 
-    entries (key, doc_id, n, pos): a list a key, of candidates with their set's size and, in the global
-    order, the place of the list's element in it. labels (id, component): links known so far. verified: of
+    entries (key, doc_id, n, pos, rank): a list a key, of candidates with their set's size and, in the global
+    order, the place of the list's element in it; rank is least where most links are to be expected. labels (id, component): links known so far. verified: of
     pairs (u, v) those that link. First every candidate meets one anchor a round; then, of lists that still
     hold several components, candidates of different components meet, unless their sizes or places rule a
     link out. So no link between components is missed, and a list of one component costs nothing more.
     """
     for i in range(ANCHOR_ROUNDS):
         held = _labelled(entries, labels)
-        anchors = held.groupBy("key").agg(F.min_by(F.struct("doc_id", "n", "component"), F.xxhash64("doc_id", F.lit(i))).alias("a"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key", "a.*").toDF("key", "v", "m", "other")
+        anchors = held.groupBy("key").agg(F.min_by(F.struct("doc_id", "n", "component"), F.struct("rank", F.xxhash64("doc_id", F.lit(i)))).alias("a"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key", "a.*").toDF("key", "v", "m", "other")
         pairs = held.join(anchors, "key").where(f"component != other and 100 * least(n, m) >= {percent} * greatest(n, m)").groupBy(F.col("doc_id").alias("u"), "v").agg(F.count("*").alias("shared"))
         links = scratch.save(verified(pairs.groupBy("u").agg(F.max_by("v", F.struct("shared", "v")).alias("v"))), f"links-{i}")
         found = links.count()

@@ -29,3 +29,19 @@ def id_filter(ids: DataFrame, column: str = "doc_id"):
 
 def hits(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
     return bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
+
+
+def xxhash_bits(ids: np.ndarray) -> np.ndarray:
+    """id_bit of 64-bit integers outside Spark: xxHash64 of their eight bytes with seed 42."""
+    u = np.uint64
+    # Fixed values of xxHash64.
+    p1, p2, p3, p4, p5 = (u(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+    def left(x, n):
+        return (x << u(n)) | (x >> u(64 - n))
+
+    h = (left(ids.view(u) * p2, 31) * p1) ^ (u(42) + p5 + u(8))
+    h = left(h, 27) * p1 + p4
+    h = (h ^ (h >> u(33))) * p2
+    h = (h ^ (h >> u(29))) * p3
+    return ((h ^ (h >> u(32))) & u((1 << BITS) - 1)).astype(np.int64)

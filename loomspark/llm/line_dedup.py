@@ -5,12 +5,14 @@ every window's hash into one of BANDS * ROWS bins and keeps the least of each bi
 next one. Each band of ROWS values is a key; lines that share a key are candidates, verified by the exact
 Jaccard similarity of their windows and merged by distributed union-find. One line of each component stays.
 
-With ROWS = 5 and BANDS = 12 a pair of similarity 0.8 shares a key with probability 0.991, one of 0.9 with
-more than 0.9999, one of 0.1 with 0.0001.
+With ROWS = 5 and BANDS = 10 a pair of similarity 0.8 shares a key with probability 0.981, one of 0.9 with
+0.9999, one of 0.1 with 0.0001.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,12 +20,13 @@ from pyspark.sql import functions as F
 
 from loomspark.llm import batch
 from loomspark.llm.components import components, settle
-from loomspark.llm.idfilter import hits, id_bit, id_filter
-from loomspark.llm.ngram_join import verify
+from loomspark.llm.idfilter import hits, id_filter, xxhash_bits
+from loomspark.llm.ngram_join import jaccard_at_least
+from loomspark.llm.repeats import may_repeat, repeated
 from loomspark.llm.store import Scratch
 
 WINDOW = 5
-ROWS, BANDS = 5, 12
+ROWS, BANDS = 5, 10
 PERCENT = 80
 _BLANK = np.zeros(128, bool)
 _BLANK[[0x20, 9, 10, 11, 12, 13]] = True
@@ -102,11 +105,34 @@ def _sketch(batches):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(doc)), pa.array(number), pa.array(_line_hash(points, start, end)), batch.binaries(keys.ravel(), np.full(len(start), BANDS))], ["doc_id", "line_no", "line", "bands"])
 
 
-def _spread(batches):
+def _band_keys(b: pa.RecordBatch) -> np.ndarray:
+    return np.frombuffer(b"".join(b.column("bands").to_pylist()), "<i8")
+
+
+def _spread(shared):
+    """Task side: (key, line) of the bands that more than one line may have."""
+
+    def run(batches):
+        for b in batches:
+            keys = _band_keys(b)
+            some = np.flatnonzero(may_repeat(shared.value, keys))
+            yield pa.RecordBatch.from_arrays([pa.array(keys[some]), pa.array(b.column("line").to_numpy(zero_copy_only=False)[some // BANDS])], ["key", "doc_id"])
+
+    return run
+
+
+@lru_cache(maxsize=4096)
+def _set(text: str) -> np.ndarray:
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    return np.unique(_windows(points, np.array([0]), np.array([len(points)]))[0])
+
+
+def _verify(batches):
+    """Task side: of pairs of lines those of a similarity of PERCENT or more."""
     for b in batches:
-        if b.num_rows:
-            keys = np.frombuffer(b"".join(b.column("bands").to_pylist()), "<i8")
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(b.column("line").to_numpy(zero_copy_only=False), BANDS))], ["key", "doc_id"])
+        texts = zip(b.column("text_u").to_pylist(), b.column("text_v").to_pylist(), strict=True)
+        mask = pa.array([jaccard_at_least(_set(x), _set(y), PERCENT) for x, y in texts], pa.bool_())
+        yield pa.RecordBatch.from_arrays([b.column("u").filter(mask), b.column("v").filter(mask)], ["u", "v"])
 
 
 def line_components(documents: DataFrame) -> DataFrame:
@@ -120,17 +146,13 @@ def line_components(documents: DataFrame) -> DataFrame:
     kind = documents.schema["doc_id"].dataType.simpleString()
     docs = documents.select("doc_id", F.col("text").cast("string").alias("text"))
     lines = scratch.save(docs.mapInArrow(_sketch, f"doc_id {kind}, line_no long, line long, bands binary"), "lines")
-    keys = lines.select("line", "bands").mapInArrow(_spread, "key long, doc_id long")
-    shared = scratch.save(keys.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key"), "shared")
-    bits, _ = id_filter(shared, "key")
-
-    def wanted_keys(batches):
-        for b in batches:
-            yield b.filter(pa.array(hits(bits.value, b.column("bit").to_numpy(zero_copy_only=False)))).select(["key", "doc_id"])
-
-    some = keys.select("key", "doc_id", id_bit("key")).mapInArrow(wanted_keys, "key long, doc_id long").distinct()
-    entries = scratch.save(some.join(shared, "key", "left_semi").select("key", "doc_id", F.lit(1).alias("n"), F.lit(0).alias("pos")), "entries")
-    wanted = entries.select("doc_id").distinct()
+    bands = lines.select("line", "bands")
+    shared = repeated(bands, lambda b: [_band_keys(b)])
+    some = bands.mapInArrow(_spread(shared), "key long, doc_id long").distinct()
+    some = scratch.save(some, "some")
+    lists = some.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key")
+    listed = scratch.save(some.join(lists, "key", "left_semi"), "listed")
+    wanted = listed.select("doc_id").distinct()
     line_bits, _ = id_filter(wanted)
 
     def fetch(batches):
@@ -138,16 +160,20 @@ def line_components(documents: DataFrame) -> DataFrame:
             for _, (points, start, end, _doc, _no) in _parts(b):
                 if len(start):
                     line = _line_hash(points, start, end)
-                    keep = hits(line_bits.value, _xxhash_bits(line))
-                    if keep.any():
-                        values, n = batch.row_sets(*_windows(points, start[keep], end[keep]))
-                        yield pa.RecordBatch.from_arrays([pa.array(line[keep]), batch.binaries(values, n)], ["doc_id", "set"])
+                    keep = np.flatnonzero(hits(line_bits.value, xxhash_bits(line)))
+                    if len(keep):
+                        text = [points[s:e].tobytes().decode("utf-32-le", "surrogatepass") for s, e in zip(start[keep].tolist(), end[keep].tolist(), strict=True)]
+                        _, n = batch.row_sets(*_windows(points, start[keep], end[keep]))
+                        yield pa.RecordBatch.from_arrays([pa.array(line[keep]), pa.array(text), pa.array(n.astype(np.int32))], ["doc_id", "text", "n"])
 
-    whole = scratch.save(docs.select("text").mapInArrow(fetch, "doc_id long, set binary").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "whole")
+    fetched = docs.select("text").mapInArrow(fetch, "doc_id long, text string, n int").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("n").alias("n"), (-F.count("*")).alias("rank"))
+    whole = scratch.save(fetched.join(wanted, "doc_id", "left_semi"), "whole")
+    # The line that most texts have, as a passage's own wording, is likely to be the one that its variants link to.
+    entries = scratch.save(listed.join(whole.select("doc_id", "n", "rank"), "doc_id").select("key", "doc_id", "n", F.lit(0).alias("pos"), "rank"), "entries")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        u, v = (whole.select(F.col("doc_id").alias(x), F.col("set").alias(f"set_{x}")) for x in "uv")
-        return pairs.join(u, "u").join(v, "v").select("u", "v", "set_u", "set_v").mapInArrow(verify(PERCENT), "u long, v long")
+        u, v = (whole.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}")) for x in "uv")
+        return pairs.join(u, "u").join(v, "v").select("u", "v", "text_u", "text_v").mapInArrow(_verify, "u long, v long")
 
     none = components(entries.select(F.col("doc_id").alias("u"), F.col("doc_id").alias("v")).limit(0), scratch, "none")
     labels = settle(entries, none, verified, PERCENT, scratch)
@@ -157,26 +183,6 @@ def line_components(documents: DataFrame) -> DataFrame:
     return held.join(first, "component").select("doc_id", "line_no", "line", "component", place.eqNullSafe(F.col("first")).alias("kept"))
 
 
-def _xxhash_bits(ids: np.ndarray) -> np.ndarray:
-    """Spark's xxhash64 of long values (seed 42), modulo the filter's size."""
-    p1, p2, p3, p4, p5 = (_U(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-
-    def left(x, n):
-        return (x << _U(n)) | (x >> _U(64 - n))
-
-    h = np.full(len(ids), 42, _U) + p5 + _U(8)
-    h ^= left(ids.view(_U) * p2, 31) * p1
-    h = left(h, 27) * p1 + p4
-    h ^= h >> _U(33)
-    h *= p2
-    h ^= h >> _U(29)
-    h *= p3
-    h ^= h >> _U(32)
-    from loomspark.llm.idfilter import BITS
-
-    return (h & _U((1 << BITS) - 1)).astype(np.int64)
-
-
 def summarise(documents: DataFrame) -> DataFrame:
     """documents -> (doc_id, n_lines, n_kept, dropped): the numbers of the dropped lines, comma-joined.
 

@@ -9,7 +9,8 @@ Two documents link when ``100 * |A ∩ B| >= percent * |A ∪ B|`` over their se
    a key. A partner must share at least c(s) = ceil(percent * s / 100) elements, so two partners share at
    least two elements of their first s - c(s) + 2 in the global order, hence a key.
 3. *Heavy.* Larger sets, and light ones close enough to the boundary to have a heavy partner, enter the
-   inverted lists of the first s - c(s) + 1 elements.
+   inverted lists of the first s - c(s) + 1 elements, and of all elements in a fixed part of the hash range. A
+   set with more than s - c(s) elements there that no other set has is proved to have no partner.
 4. The boundary is where the modelled cost is least: subsets made against list entries scanned.
 5. *Lists.* Within a list of one key, candidates are first paired with one anchor each, verified exactly,
    and merged into components; only candidates of different components are then paired with one
@@ -32,6 +33,7 @@ from pyspark.sql import functions as F
 from loomspark.llm import batch
 from loomspark.llm.components import components, settle
 from loomspark.llm.idfilter import hits, id_filter
+from loomspark.llm.repeats import may_repeat, repeated
 from loomspark.llm.store import Scratch
 
 #: N-grams that are put last in the order: at most so many (a broadcast of 16 bytes each).
@@ -40,7 +42,11 @@ COMMON = 1 << 16
 LOCAL_COMMON = 4
 _NOTE = 1 << 22
 
-_SETS = "doc_id long, n int, fp1 long, fp2 long, prefix binary"
+#: Elements whose hashes are in the lowest part of all are listed for every set, if they are not common ones:
+#: those that no other set has prove how much of a set is its own.
+WINDOW = 0.25
+
+_SETS = "doc_id long, n int, fp1 long, fp2 long, window int, prefix binary"
 _KEYS = "key long, doc_id long, n int, pos int"
 
 
@@ -103,36 +109,45 @@ def _make_sets(k: int, percent: int, shared):
                     bounds = np.concatenate(([0], np.cumsum(n)))
                     for r in np.flatnonzero(touched).tolist():
                         part = slice(bounds[r], bounds[r + 1])
-                        values[part] = values[part][np.argsort(last[part], kind="stable")]
+                        turn = np.argsort(last[part], kind="stable")
+                        values[part], last[part] = values[part][turn], last[part][turn]
                 sums = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(batch.mix(values ^ np.uint64(salt))))) for salt in (0x51ED27, 0xC2B2AE3D27)]
                 bounds = np.concatenate(([0], np.cumsum(n)))
                 fp1, fp2 = ((s[bounds[1:]] - s[bounds[:-1]]).view(np.int64) for s in sums)
-                length = np.minimum(n, n - least_overlap(n, percent) + 2)
+                low = (last == 0) & (values < np.uint64(int(WINDOW * 2**64)))
+                window = np.bincount(row[low], minlength=chunk.rows)
+                length = np.minimum(n, np.maximum(n - least_overlap(n, percent) + 2, window))
                 inside = np.arange(len(values)) - np.repeat(bounds[:-1], n) < np.repeat(length, n)
-                yield pa.RecordBatch.from_arrays([ids.slice(chunk.first, chunk.rows), pa.array(n.astype(np.int32)), pa.array(fp1), pa.array(fp2), batch.binaries(values[inside], length)], ["doc_id", "n", "fp1", "fp2", "prefix"])
+                yield pa.RecordBatch.from_arrays([ids.slice(chunk.first, chunk.rows), pa.array(n.astype(np.int32)), pa.array(fp1), pa.array(fp2), pa.array(window.astype(np.int32)), batch.binaries(values[inside], length)], ["doc_id", "n", "fp1", "fp2", "window", "prefix"])
 
     return run
 
 
-def _make_keys(percent: int, boundary: int):
-    """Task side: the keys of each set, by its size: subsets of two elements, list entries, or both."""
+def _keys_of(b: pa.RecordBatch, percent: int, boundary: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(row, size, keys, places of their first element) of each set, by its size: subsets of two elements of
+    the prefix, list entries of the prefix and the window, or both."""
+    for row, (n, window, prefix) in enumerate(zip(b.column("n").to_pylist(), b.column("window").to_pylist(), b.column("prefix"), strict=True)):
+        tokens = np.frombuffer(prefix.as_buffer(), "<u8")
+        first = n - least_overlap(n, percent) + 1
+        if n <= boundary and n > 1:
+            i, j = np.triu_indices(first + 1, 1)
+            yield row, n, batch.mix(tokens[i] * np.uint64(0x9FB21C651E98DF25) ^ batch.mix(tokens[j])), i
+        if n * 100 > boundary * percent:
+            length = max(first, window)
+            yield row, n, batch.mix(tokens[:length]), np.arange(length)
+
+
+def _make_keys(percent: int, boundary: int, shared):
+    """Task side: the keys that more than one set may have."""
 
     def run(batches):
         for b in batches:
-            out = [[], [], [], []]
-
-            def put(keys, doc, n, pos, out=out):
-                for into, x in zip(out, (keys.view(np.int64), np.full(len(keys), doc, np.int64), np.full(len(keys), n, np.int32), pos.astype(np.int32)), strict=True):
+            out: list[list[np.ndarray]] = [[], [], [], []]
+            rows = b.column("doc_id").to_numpy(zero_copy_only=False)
+            for row, n, keys, pos in _keys_of(b, percent, boundary):
+                some = np.flatnonzero(may_repeat(shared.value, keys))
+                for into, x in zip(out, (keys[some].view(np.int64), np.full(len(some), rows[row]), np.full(len(some), n, np.int32), pos[some].astype(np.int32)), strict=True):
                     into.append(x)
-
-            for doc, n, prefix in zip(b.column("doc_id").to_pylist(), b.column("n").to_pylist(), b.column("prefix"), strict=True):
-                tokens = np.frombuffer(prefix.as_buffer(), "<u8")
-                if n <= boundary and len(tokens) > 1:
-                    i, j = np.triu_indices(len(tokens), 1)
-                    put(batch.mix(tokens[i] * np.uint64(0x9FB21C651E98DF25) ^ batch.mix(tokens[j])), doc, n, i)
-                if n * 100 > boundary * percent:
-                    single = tokens[: n - least_overlap(n, percent) + 1]
-                    put(single, doc, n, np.arange(len(single)))
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["key", "doc_id", "n", "pos"])
 
@@ -149,6 +164,7 @@ def _boundary(reps: DataFrame, percent: int) -> int:
     def sample(batches):
         for b in batches:
             n, per = b.column("n").to_numpy(zero_copy_only=False), [np.frombuffer(x.as_buffer(), "<u8") for x in b.column("prefix")]
+            per = [x[: s - least_overlap(s, percent) + 1] for x, s in zip(per, n.tolist(), strict=True)]
             lens = np.array([len(x) for x in per], np.int64)
             tokens, n = np.concatenate([*per, np.zeros(0, np.uint64)]), np.repeat(n, lens)
             one = tokens % np.uint64(64) == 0
@@ -168,6 +184,42 @@ def _boundary(reps: DataFrame, percent: int) -> int:
     return best
 
 
+def _bound(percent: int):
+    """Task side: of pairs with both prefixes, those that may link.
+
+    Up to the lesser of the two prefixes' last elements both sets are known, so what only one of them has up to
+    there is in no overlap: an exact upper bound. The order is that of prefixes, given by their elements'
+    places in the longer reach; elements beyond the lesser reach are not counted."""
+
+    def run(batches, common_of):
+        common, ranks = common_of.value
+        for b in batches:
+            keep = np.zeros(b.num_rows, bool)
+            for i, (x, y, s, t) in enumerate(zip(b.column("prefix_u"), b.column("prefix_v"), b.column("n_u").to_pylist(), b.column("n_v").to_pylist(), strict=True)):
+                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
+                # Elements in the global order: common ones last, by rank, then by hash.
+                last = [(int(_rank(z[-1:], common, ranks)[0]), int(z[-1])) for z in (x, y)]
+                if last[0] != last[1]:
+                    cut = min(last)
+                    if last[0] > cut:
+                        x = x[: _reach(x, cut, common, ranks)]
+                    else:
+                        y = y[: _reach(y, cut, common, ranks)]
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                most = both + min(s - len(x), t - len(y))
+                keep[i] = most * (100 + percent) >= percent * (s + t)
+            mask = pa.array(keep)
+            yield pa.RecordBatch.from_arrays([b.column("u").filter(mask), b.column("v").filter(mask)], ["u", "v"])
+
+    return run
+
+
+def _reach(z: np.ndarray, cut: tuple[int, int], common: np.ndarray, ranks: np.ndarray) -> int:
+    """How many of z, in the global order, do not come after cut."""
+    rank = _rank(z, common, ranks)
+    return int(((rank < cut[0]) | ((rank == cut[0]) & (z <= np.uint64(cut[1])))).sum())
+
+
 def verify(percent: int):
     """Task side: of pairs with both sets, those that link."""
 
@@ -175,17 +227,33 @@ def verify(percent: int):
         for b in batches:
             keep = np.zeros(b.num_rows, bool)
             for i, (x, y) in enumerate(zip(b.column("set_u"), b.column("set_v"), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-                if len(x) > len(y):
-                    x, y = y, x
-                common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                keep[i] = 100 * common >= percent * (len(x) + len(y) - common)
+                keep[i] = jaccard_at_least(np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8"), percent)
             mask = pa.array(keep)
             yield pa.RecordBatch.from_arrays([b.column("u").filter(mask), b.column("v").filter(mask)], ["u", "v"])
 
     return run
 
 
+def jaccard_at_least(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two ascending sets, not both empty, reach a similarity."""
+    if len(x) > len(y):
+        x, y = y, x
+    common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
+def _pick(reps: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of wanted ids, and chance hits, so that a join with those ids shuffles little else."""
+    shared, bit = id_filter(ids)
+
+    def run(batches):
+        for b in batches:
+            keep = pa.array(hits(shared.value, b.column("bit").to_numpy(zero_copy_only=False)))
+            yield b.filter(keep).select(["doc_id", "n", "prefix"])
+
+    return reps.select("doc_id", "n", "prefix", bit).mapInArrow(run, "doc_id long, n int, prefix binary")
+
+
 def _whole_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     """(doc_id, set) of the wanted ids. Others are dropped where they are read, but for chance hits."""
     shared, bit = id_filter(ids)
@@ -224,18 +292,33 @@ def jaccard_components(documents: DataFrame, k: int = 5, percent: int = 80) -> D
     least = full.groupBy("n", "fp1", "fp2").agg(F.min("doc_id").alias("rep"))
     members = full.select("doc_id", "n", "fp1", "fp2").join(least, ["n", "fp1", "fp2"]).select("doc_id", "n", "rep")
     members = scratch.save(members, "members")
-    reps = scratch.save(full.join(least.select("n", "fp1", "fp2", F.col("rep").alias("doc_id")), ["n", "fp1", "fp2", "doc_id"], "left_semi").dropDuplicates(["doc_id", "n", "fp1", "fp2"]).select("doc_id", "n", "prefix"), "reps")
+    reps = scratch.save(full.join(least.select("n", "fp1", "fp2", F.col("rep").alias("doc_id")), ["n", "fp1", "fp2", "doc_id"], "left_semi").dropDuplicates(["doc_id", "n", "fp1", "fp2"]).select("doc_id", "n", "window", "prefix"), "reps")
 
     boundary = _boundary(reps, percent)
-    keys = reps.mapInArrow(_make_keys(percent, boundary), _KEYS)
+    shared = repeated(reps.select("n", "window", "prefix"), lambda b: (keys for _, _, keys, _ in _keys_of(b, percent, boundary)))
+    keys = scratch.save(reps.mapInArrow(_make_keys(percent, boundary, shared), _KEYS), "keys")
     lists = keys.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("key")
-    entries = scratch.save(keys.join(lists, "key"), "entries")
-    wanted = scratch.save(entries.select("doc_id").distinct(), "wanted")
-    whole = scratch.save(_whole_sets(docs, wanted, k), "whole")
+    listed = scratch.save(keys.join(lists, "key"), "listed")
+    scratch.drop("keys")
+    # Of the window's elements those in no list are a set's own. Whoever has more of them than a partner may
+    # lack links with nothing. (Light sets have no such lists, and stay.)
+    most = F.col("n") - F.floor((F.col("n") * percent + 99) / 100)
+    others = listed.where(F.col("n") > boundary).groupBy("doc_id", "n").agg(F.count("*").alias("seen"))
+    own = reps.where(F.col("n") > boundary).join(others, ["doc_id", "n"]).where(F.col("window") - F.col("seen") > most).select("doc_id", "n")
+    entries = listed.join(own, ["doc_id", "n"], "left_anti").where((F.col("n") <= boundary) | (F.col("pos") <= most))
+    entries = scratch.save(entries.select("key", "doc_id", "n", "pos", F.col("pos").alias("rank")), "entries")
+    bound = _bound(percent)
 
     def verified(pairs: DataFrame) -> DataFrame:
+        pairs = scratch.save(pairs, "pairs")
+        some = scratch.save(_pick(reps, pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()), "some")
+        u, v = (some.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("prefix").alias(f"prefix_{x}")) for x in "uv")
+        near = pairs.join(u, "u").join(v, "v").select("u", "v", "n_u", "n_v", "prefix_u", "prefix_v").mapInArrow(lambda batches: bound(batches, common), "u long, v long")
+        near = scratch.save(near.distinct(), "near")
+        ids = near.select(F.col("u").alias("doc_id")).union(near.select("v")).distinct()
+        whole = scratch.save(_whole_sets(docs, ids, k), "whole")
         u, v = (whole.select(F.col("doc_id").alias(x), F.col("set").alias(f"set_{x}")) for x in "uv")
-        return pairs.join(u, "u").join(v, "v").select("u", "v", "set_u", "set_v").mapInArrow(verify(percent), "u long, v long")
+        return near.join(u, "u").join(v, "v").select("u", "v", "set_u", "set_v").mapInArrow(verify(percent), "u long, v long").distinct()
 
     classes = components(members.select(F.col("doc_id").alias("u"), F.col("rep").alias("v")), scratch, "classes")
     labels = settle(entries, classes, verified, percent, scratch)
