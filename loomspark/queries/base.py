@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import importlib
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-FAMILIES = ("evaluation",)
+from loomspark.sources.tables import table
+
+FAMILIES = ("evaluation", "contracts", "joins", "retrieval", "references", "graphs", "trees", "matching", "envelope")
 
 
 @dataclass(frozen=True)
@@ -17,6 +20,16 @@ class Query:
     oracle: str | None = None
 
 
+def shared_sql(sql: str) -> Query:
+    """A query whose text both engines understand; tables stand in braces."""
+    names = sorted(set(re.findall(r"\{(\w+)\}", sql)))
+
+    def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return spark.sql(sql, **{name: table(spark, sf_dir, name) for name in names})
+
+    return Query(build, re.sub(r"\{(\w+)\}", r"\1", sql))
+
+
 def collect() -> dict[str, Query]:
     found: dict[str, Query] = {}
     for name in FAMILIES:

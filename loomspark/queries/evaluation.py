@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.functions.ratios import safe_ratio
-from loomspark.queries.base import Query
+from loomspark.queries.base import Query, shared_sql
 from loomspark.sources.tables import table
 
 
@@ -47,3 +47,90 @@ FROM c
 """
 
 QUERIES = {"eval_summary": Query(eval_summary, EVAL_SUMMARY)}
+
+CALL_STATUS = """
+WITH s AS (
+  SELECT o_orderkey, CASE WHEN o_orderpriority LIKE '1%' THEN 'ERROR' WHEN o_orderstatus = 'F' THEN 'PASSED' ELSE 'FAILED' END AS source_status,
+         CASE WHEN c_custkey IS NULL OR n_nationkey IS NULL THEN 'NOT_FOUND' WHEN c_acctbal < 0 THEN 'ERROR' WHEN c_acctbal < 5000 THEN 'FAILED' ELSE 'PASSED' END AS target_status
+  FROM {orders} LEFT JOIN {customer} ON o_custkey = c_custkey LEFT JOIN {nation} ON c_nationkey = n_nationkey)
+SELECT CASE WHEN source_status = 'ERROR' OR target_status = 'ERROR' THEN 'EVALUATOR_ERROR'
+            WHEN source_status = 'PASSED' AND target_status = 'PASSED' THEN 'TESTABLE' ELSE 'UNAVAILABLE' END AS call_status,
+       source_status, target_status, count(*) AS n
+FROM s GROUP BY 1, 2, 3
+"""
+
+#: Handled is clamped to the total per component, micro rates are per parser, the macro rate is their mean.
+RATES = """
+WITH c AS (
+  SELECT lang, source, count(quality) AS handled, count(*) - 1 AS total FROM {documents} LEFT JOIN {labels} USING (doc_id) GROUP BY lang, source),
+p AS (
+  SELECT lang, sum(least(total, greatest(0, handled))) AS handled, sum(total) AS total FROM c GROUP BY lang),
+r AS (
+  SELECT lang, CAST(handled AS BIGINT) AS handled, CAST(total AS BIGINT) AS total, CASE WHEN total = 0 THEN 1.0E0 ELSE CAST(handled AS DOUBLE) / CAST(total AS DOUBLE) END AS rate FROM p)
+SELECT lang, handled, total, round(rate, 6) AS rate, rate + 1E-12 >= 0.4E0 AS passed,
+       round(avg(rate) OVER (), 6) AS macro_rate,
+       avg(rate) OVER () + 1E-12 >= 0.4E0 AND min(rate) OVER () + 1E-12 >= 0.4E0 AS all_passed
+FROM r
+"""
+
+SCORES = """
+WITH s AS (
+  SELECT l_returnflag, l_linestatus, CASE WHEN l_linenumber % 5 = 0 THEN 'INVALID' ELSE 'EVALUATED' END AS status,
+         l_quantity * 2 AS component, 100 - l_discount * 100 AS layout, 100 - l_tax * 100 AS style, CASE WHEN l_linenumber % 7 = 0 THEN NULL ELSE l_quantity END AS content
+  FROM {lineitem}),
+v AS (
+  SELECT *, CASE WHEN status = 'EVALUATED' THEN 0.35E0 * component + 0.30E0 * layout + 0.20E0 * style + 0.15E0 * content END AS overall FROM s)
+SELECT l_returnflag, l_linestatus, count(*) AS pairs, sum(CASE WHEN status = 'EVALUATED' THEN 1 ELSE 0 END) / CAST(count(*) AS DOUBLE) AS coverage,
+       round(avg(CASE WHEN status = 'EVALUATED' THEN component END), 4) AS mean_component, round(avg(CASE WHEN status = 'EVALUATED' THEN layout END), 4) AS mean_layout,
+       round(avg(CASE WHEN status = 'EVALUATED' THEN style END), 4) AS mean_style, round(avg(overall), 4) AS mean_overall
+FROM v GROUP BY l_returnflag, l_linestatus
+"""
+
+STATS = """
+SELECT r_name, count(DISTINCT n_nationkey) AS nations, count(c_custkey) AS customers, round(coalesce(sum(c_acctbal), 0), 2) AS total,
+       round(coalesce(min(c_acctbal), 0), 2) AS least, round(coalesce(median(c_acctbal), 0), 4) AS middle, round(coalesce(max(c_acctbal), 0), 2) AS most,
+       count(CASE WHEN c_mktsegment = 'BUILDING' THEN 1 END) AS building,
+       round(CAST(count(CASE WHEN c_acctbal < 0 THEN 1 END) AS DOUBLE) / CASE WHEN count(c_custkey) = 0 THEN 1 ELSE count(c_custkey) END, 6) AS negative_share
+FROM {region} LEFT JOIN {nation} ON r_regionkey = n_regionkey LEFT JOIN {customer} ON n_nationkey = c_nationkey
+GROUP BY r_name
+"""
+
+
+def counter_merge_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of two sources merged by key; the gap counts what the second lacks of the first."""
+    props = table(spark, sf_dir, "events").select("event_type", F.get_json_object("props", "$.k").cast("long").alias("k"))
+    raw = props.groupBy(F.pmod(F.col("k"), F.lit(50)).alias("key")).agg(F.count("*").alias("raw"), F.sum("k").alias("raw_sum"))
+    ir = table(spark, sf_dir, "orders").groupBy(F.pmod(F.col("o_custkey"), F.lit(60)).alias("key")).agg(F.count("*").alias("ir"))
+    zero = F.lit(0).cast("long")
+    return raw.join(ir, "key", "full").select("key", F.coalesce("raw", zero).alias("raw"), F.coalesce("ir", zero).alias("ir"), F.coalesce("raw_sum", zero).alias("raw_sum"), F.greatest(zero, F.coalesce("raw", zero) - F.coalesce("ir", zero)).alias("gap"))
+
+
+GAP = """
+WITH raw AS (SELECT CAST(json_extract(props, '$.k') AS BIGINT) % 50 AS key, count(*) AS raw, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS raw_sum FROM events GROUP BY 1),
+ir AS (SELECT o_custkey % 60 AS key, count(*) AS ir FROM orders GROUP BY 1)
+SELECT key, coalesce(raw, 0) AS raw, coalesce(ir, 0) AS ir, coalesce(raw_sum, 0) AS raw_sum, greatest(0, coalesce(raw, 0) - coalesce(ir, 0)) AS gap
+FROM raw FULL JOIN ir USING (key)
+"""
+
+USAGE = """
+SELECT role, count(*) AS calls, CAST(sum(length(text)) AS BIGINT) AS chars, count(DISTINCT conv_id) AS conversations,
+       count(*) > 0 AND min(CASE WHEN length(text) > 0 THEN 1 ELSE 0 END) = 1 AS all_ok
+FROM {conversations} GROUP BY role
+"""
+
+INVENTORY = """
+WITH f AS (
+  SELECT page_id, split_part(split_part(url, '/', 3), '.', -1) AS tld, length(html) AS size, CASE WHEN url LIKE '%?%' THEN 'query' WHEN url LIKE '%/' THEN 'directory' ELSE 'plain' END AS kind FROM {pages})
+SELECT tld, kind, count(*) AS files, CAST(sum(size) AS BIGINT) AS size, count(doc_id) AS present, count(*) - count(doc_id) AS missing, count(*) = count(doc_id) AS complete
+FROM f LEFT JOIN {documents} ON page_id = doc_id GROUP BY tld, kind
+"""
+
+QUERIES |= {
+    "call_status_precedence": shared_sql(CALL_STATUS),
+    "rate_micro_macro": shared_sql(RATES),
+    "weighted_score_summary": shared_sql(SCORES),
+    "dataset_stats": shared_sql(STATS),
+    "counter_merge_gap": Query(counter_merge_gap, GAP),
+    "usage_totals": shared_sql(USAGE),
+    "inventory_summary": shared_sql(INVENTORY),
+}
