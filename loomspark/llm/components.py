@@ -52,10 +52,14 @@ def settle(entries: DataFrame, labels: DataFrame, verified: Callable[[DataFrame]
     hold several components, candidates of different components meet, unless their sizes or places rule a
     link out. So no link between components is missed, and a list of one component costs nothing more.
     """
+    plain = ["key", "doc_id", "n", "pos", "rank"]
     for i in range(ANCHOR_ROUNDS):
         held = _labelled(entries, labels)
         anchors = held.groupBy("key").agg(F.min_by(F.struct("doc_id", "n", "component"), F.struct("rank", F.xxhash64("doc_id", F.lit(i)))).alias("a"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key", "a.*").toDF("key", "v", "m", "other")
-        pairs = held.join(anchors, "key").where(f"component != other and 100 * least(n, m) >= {percent} * greatest(n, m)").groupBy(F.col("doc_id").alias("u"), "v").agg(F.count("*").alias("shared"))
+        # Lists whose candidates are all of one component have nothing left to find, now or later.
+        held = scratch.save(held.join(anchors, "key"), f"held-{i}")
+        entries = held.select(*plain)
+        pairs = held.where(f"component != other and 100 * least(n, m) >= {percent} * greatest(n, m)").groupBy(F.col("doc_id").alias("u"), "v").agg(F.count("*").alias("shared"))
         links = scratch.save(verified(pairs.groupBy("u").agg(F.max_by("v", F.struct("shared", "v")).alias("v"))), f"links-{i}")
         found = links.count()
         if found:

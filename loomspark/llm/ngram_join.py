@@ -185,27 +185,21 @@ def _boundary(reps: DataFrame, percent: int) -> int:
 
 
 def _bound(percent: int):
-    """Task side: of pairs with both prefixes, those that may link.
+    """Task side: of pairs with both prefixes as order codes, those that may link.
 
-    Up to the lesser of the two prefixes' last elements both sets are known, so what only one of them has up to
-    there is in no overlap: an exact upper bound. The order is that of prefixes, given by their elements'
-    places in the longer reach; elements beyond the lesser reach are not counted."""
+    Below the lesser of the two last codes both sets are known, so what only one of them has there is in no
+    overlap: an upper bound. Codes of different elements may be equal, which can only raise it."""
 
-    def run(batches, common_of):
-        common, ranks = common_of.value
+    def run(batches):
         for b in batches:
             keep = np.zeros(b.num_rows, bool)
-            for i, (x, y, s, t) in enumerate(zip(b.column("prefix_u"), b.column("prefix_v"), b.column("n_u").to_pylist(), b.column("n_v").to_pylist(), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-                # Elements in the global order: common ones last, by rank, then by hash.
-                last = [(int(_rank(z[-1:], common, ranks)[0]), int(z[-1])) for z in (x, y)]
-                if last[0] != last[1]:
-                    cut = min(last)
-                    if last[0] > cut:
-                        x = x[: _reach(x, cut, common, ranks)]
-                    else:
-                        y = y[: _reach(y, cut, common, ranks)]
-                both = len(np.intersect1d(x, y, assume_unique=True))
+            for i, (x, y, s, t) in enumerate(zip(b.column("codes_u"), b.column("codes_v"), b.column("n_u").to_pylist(), b.column("n_v").to_pylist(), strict=True)):
+                x, y = np.frombuffer(x.as_buffer(), "<u4"), np.frombuffer(y.as_buffer(), "<u4")
+                cut = min(x[-1], y[-1])
+                x, y = x[: np.searchsorted(x, cut)], y[: np.searchsorted(y, cut)]
+                both = 0
+                if len(x) and len(y):
+                    both = max(int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()), int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum()))
                 most = both + min(s - len(x), t - len(y))
                 keep[i] = most * (100 + percent) >= percent * (s + t)
             mask = pa.array(keep)
@@ -214,12 +208,6 @@ def _bound(percent: int):
     return run
 
 
-def _reach(z: np.ndarray, cut: tuple[int, int], common: np.ndarray, ranks: np.ndarray) -> int:
-    """How many of z, in the global order, do not come after cut."""
-    rank = _rank(z, common, ranks)
-    return int(((rank < cut[0]) | ((rank == cut[0]) & (z <= np.uint64(cut[1])))).sum())
-
-
 def verify(percent: int):
     """Task side: of pairs with both sets, those that link."""
 
@@ -242,16 +230,25 @@ def jaccard_at_least(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(x) + len(y) - common)
 
 
-def _pick(reps: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of wanted ids, and chance hits, so that a join with those ids shuffles little else."""
-    shared, bit = id_filter(ids)
+def _pick(reps: DataFrame, ids: DataFrame, percent: int, shared) -> DataFrame:
+    """(doc_id, n, codes) of wanted ids, and chance hits, so that a join with those ids shuffles little else.
+
+    Codes are the prefix's elements as 32-bit numbers in the global order, a third of its size: the first bits
+    of the hash, or, above all those, a common element's rank."""
+    wanted, bit = id_filter(ids)
 
     def run(batches):
+        common, ranks = shared.value
         for b in batches:
-            keep = pa.array(hits(shared.value, b.column("bit").to_numpy(zero_copy_only=False)))
-            yield b.filter(keep).select(["doc_id", "n", "prefix"])
+            b = b.filter(pa.array(hits(wanted.value, b.column("bit").to_numpy(zero_copy_only=False))))
+            codes = []
+            for n, prefix in zip(b.column("n").to_pylist(), b.column("prefix"), strict=True):
+                tokens = np.frombuffer(prefix.as_buffer(), "<u8")[: n - least_overlap(n, percent) + 2]
+                rank = _rank(tokens, common, ranks)
+                codes.append(np.where(rank > 0, rank + (1 << 31), (tokens >> np.uint64(33)).astype(np.int64)).astype("<u4").tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n"), pa.array(codes, pa.binary())], ["doc_id", "n", "codes"])
 
-    return reps.select("doc_id", "n", "prefix", bit).mapInArrow(run, "doc_id long, n int, prefix binary")
+    return reps.select("doc_id", "n", "prefix", bit).mapInArrow(run, "doc_id long, n int, codes binary")
 
 
 def _whole_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
@@ -307,13 +304,12 @@ def jaccard_components(documents: DataFrame, k: int = 5, percent: int = 80) -> D
     own = reps.where(F.col("n") > boundary).join(others, ["doc_id", "n"]).where(F.col("window") - F.col("seen") > most).select("doc_id", "n")
     entries = listed.join(own, ["doc_id", "n"], "left_anti").where((F.col("n") <= boundary) | (F.col("pos") <= most))
     entries = scratch.save(entries.select("key", "doc_id", "n", "pos", F.col("pos").alias("rank")), "entries")
-    bound = _bound(percent)
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = scratch.save(pairs, "pairs")
-        some = scratch.save(_pick(reps, pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()), "some")
-        u, v = (some.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("prefix").alias(f"prefix_{x}")) for x in "uv")
-        near = pairs.join(u, "u").join(v, "v").select("u", "v", "n_u", "n_v", "prefix_u", "prefix_v").mapInArrow(lambda batches: bound(batches, common), "u long, v long")
+        some = scratch.save(_pick(reps, pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct(), percent, common), "some")
+        u, v = (some.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("codes").alias(f"codes_{x}")) for x in "uv")
+        near = pairs.join(u, "u").join(v, "v").select("u", "v", "n_u", "n_v", "codes_u", "codes_v").mapInArrow(_bound(percent), "u long, v long")
         near = scratch.save(near.distinct(), "near")
         ids = near.select(F.col("u").alias("doc_id")).union(near.select("v")).distinct()
         whole = scratch.save(_whole_sets(docs, ids, k), "whole")
