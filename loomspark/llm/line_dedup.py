@@ -150,6 +150,7 @@ def line_components(documents: DataFrame) -> DataFrame:
     shared = repeated(bands, lambda b: [_band_keys(b)])
     some = bands.mapInArrow(_spread(shared), "key long, doc_id long").distinct()
     some = scratch.save(some, "some")
+    shared.destroy()
     lists = some.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key")
     listed = scratch.save(some.join(lists, "key", "left_semi"), "listed")
     wanted = listed.select("doc_id").distinct()
@@ -168,6 +169,7 @@ def line_components(documents: DataFrame) -> DataFrame:
 
     fetched = docs.select("text").mapInArrow(fetch, "doc_id long, text string, n int").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("n").alias("n"), (-F.count("*")).alias("rank"))
     whole = scratch.save(fetched.join(wanted, "doc_id", "left_semi"), "whole")
+    line_bits.destroy()
     # The line that most texts have, as a passage's own wording, is likely to be the one that its variants link to.
     entries = scratch.save(listed.join(whole.select("doc_id", "n", "rank"), "doc_id").select("key", "doc_id", "n", F.lit(0).alias("pos"), "rank"), "entries")
 
@@ -180,7 +182,10 @@ def line_components(documents: DataFrame) -> DataFrame:
     held = lines.select("doc_id", "line_no", "line").join(labels.select(F.col("id").alias("line"), "component"), "line", "left").withColumn("component", F.coalesce("component", "line"))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no")
     first = held.groupBy("component").agg(F.min(place).alias("first"))
-    return held.join(first, "component").select("doc_id", "line_no", "line", "component", place.eqNullSafe(F.col("first")).alias("kept"))
+    out = held.join(first, "component").select("doc_id", "line_no", "line", "component", place.eqNullSafe(F.col("first")).alias("kept"))
+    out = scratch.save(out, "result")
+    scratch.only("result")
+    return out
 
 
 def summarise(documents: DataFrame) -> DataFrame:

@@ -39,8 +39,8 @@ from loomspark.llm.store import Scratch
 #: N-grams that are put last in the order: at most so many (a broadcast of 16 bytes each).
 COMMON = 1 << 16
 #: An n-gram is noted as common by a task if so many of some thousand consecutive documents have it.
-LOCAL_COMMON = 4
-_NOTE = 1 << 22
+LOCAL_COMMON = 3
+_NOTE = 1 << 21
 
 #: Elements whose hashes are in the lowest part of all are listed for every set, if they are not common ones:
 #: those that no other set has prove how much of a set is its own.
@@ -230,7 +230,7 @@ def jaccard_at_least(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(x) + len(y) - common)
 
 
-def _pick(reps: DataFrame, ids: DataFrame, percent: int, shared) -> DataFrame:
+def _pick(reps: DataFrame, ids: DataFrame, percent: int, shared, scratch: Scratch) -> DataFrame:
     """(doc_id, n, codes) of wanted ids, and chance hits, so that a join with those ids shuffles little else.
 
     Codes are the prefix's elements as 32-bit numbers in the global order, a third of its size: the first bits
@@ -248,10 +248,12 @@ def _pick(reps: DataFrame, ids: DataFrame, percent: int, shared) -> DataFrame:
                 codes.append(np.where(rank > 0, rank + (1 << 31), (tokens >> np.uint64(33)).astype(np.int64)).astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n"), pa.array(codes, pa.binary())], ["doc_id", "n", "codes"])
 
-    return reps.select("doc_id", "n", "prefix", bit).mapInArrow(run, "doc_id long, n int, codes binary")
+    some = scratch.save(reps.select("doc_id", "n", "prefix", bit).mapInArrow(run, "doc_id long, n int, codes binary"), "some")
+    wanted.destroy()
+    return some
 
 
-def _whole_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+def _whole_sets(docs: DataFrame, ids: DataFrame, k: int, scratch: Scratch) -> DataFrame:
     """(doc_id, set) of the wanted ids. Others are dropped where they are read, but for chance hits."""
     shared, bit = id_filter(ids)
 
@@ -263,7 +265,9 @@ def _whole_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(chunk.first, chunk.rows), batch.binaries(values, n)], ["doc_id", "set"])
 
     sets = docs.select("doc_id", "text", bit).mapInArrow(run, "doc_id long, set binary")
-    return sets.join(ids, "doc_id", "left_semi")
+    whole = scratch.save(sets.join(ids, "doc_id", "left_semi"), "whole")
+    shared.destroy()
+    return whole
 
 
 def jaccard_components(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -289,7 +293,9 @@ def jaccard_components(documents: DataFrame, k: int = 5, percent: int = 80) -> D
     least = full.groupBy("n", "fp1", "fp2").agg(F.min("doc_id").alias("rep"))
     members = full.select("doc_id", "n", "fp1", "fp2").join(least, ["n", "fp1", "fp2"]).select("doc_id", "n", "rep")
     members = scratch.save(members, "members")
+    sizes = scratch.save(sets.select("doc_id", F.col("n").cast("long").alias("n_shingles")), "sizes")
     reps = scratch.save(full.join(least.select("n", "fp1", "fp2", F.col("rep").alias("doc_id")), ["n", "fp1", "fp2", "doc_id"], "left_semi").dropDuplicates(["doc_id", "n", "fp1", "fp2"]).select("doc_id", "n", "window", "prefix"), "reps")
+    scratch.drop("sets")
 
     boundary = _boundary(reps, percent)
     shared = repeated(reps.select("n", "window", "prefix"), lambda b: (keys for _, _, keys, _ in _keys_of(b, percent, boundary)))
@@ -297,6 +303,7 @@ def jaccard_components(documents: DataFrame, k: int = 5, percent: int = 80) -> D
     lists = keys.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("key")
     listed = scratch.save(keys.join(lists, "key"), "listed")
     scratch.drop("keys")
+    shared.destroy()
     # Of the window's elements those in no list are a set's own. Whoever has more of them than a partner may
     # lack links with nothing. (Light sets have no such lists, and stay.)
     most = F.col("n") - F.floor((F.col("n") * percent + 99) / 100)
@@ -304,19 +311,23 @@ def jaccard_components(documents: DataFrame, k: int = 5, percent: int = 80) -> D
     own = reps.where(F.col("n") > boundary).join(others, ["doc_id", "n"]).where(F.col("window") - F.col("seen") > most).select("doc_id", "n")
     entries = listed.join(own, ["doc_id", "n"], "left_anti").where((F.col("n") <= boundary) | (F.col("pos") <= most))
     entries = scratch.save(entries.select("key", "doc_id", "n", "pos", F.col("pos").alias("rank")), "entries")
+    scratch.drop("listed")
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = scratch.save(pairs, "pairs")
-        some = scratch.save(_pick(reps, pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct(), percent, common), "some")
+        some = _pick(reps, pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct(), percent, common, scratch)
         u, v = (some.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("codes").alias(f"codes_{x}")) for x in "uv")
         near = pairs.join(u, "u").join(v, "v").select("u", "v", "n_u", "n_v", "codes_u", "codes_v").mapInArrow(_bound(percent), "u long, v long")
         near = scratch.save(near.distinct(), "near")
         ids = near.select(F.col("u").alias("doc_id")).union(near.select("v")).distinct()
-        whole = scratch.save(_whole_sets(docs, ids, k), "whole")
+        whole = _whole_sets(docs, ids, k, scratch)
         u, v = (whole.select(F.col("doc_id").alias(x), F.col("set").alias(f"set_{x}")) for x in "uv")
         return near.join(u, "u").join(v, "v").select("u", "v", "set_u", "set_v").mapInArrow(verify(percent), "u long, v long").distinct()
 
     classes = components(members.select(F.col("doc_id").alias("u"), F.col("rep").alias("v")), scratch, "classes")
     labels = settle(entries, classes, verified, percent, scratch)
-    sizes = sets.select("doc_id", F.col("n").cast("long").alias("n_shingles"))
-    return sizes.join(labels.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    out = sizes.join(labels.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    out = scratch.save(out, "result")
+    scratch.only("result")
+    common.destroy()
+    return out

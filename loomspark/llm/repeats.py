@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 BITS = 28
 _RANGES = 256
 _SPAN = 1 << (BITS - 8)
-_TOLD = 1 << 21
+_TOLD = 1 << 20
 
 
 def places(keys: np.ndarray) -> np.ndarray:

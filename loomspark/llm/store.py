@@ -49,3 +49,9 @@ class Scratch:
         """Delete a table that no later step reads."""
         jvm = self.spark.sparkContext._jvm
         self._fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}"), True)
+
+    def only(self, name: str) -> None:
+        """Delete all tables but one."""
+        for status in self._fs.listStatus(self._hadoop_path):
+            if status.getPath().getName() != name:
+                self._fs.delete(status.getPath(), True)
