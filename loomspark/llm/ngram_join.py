@@ -294,7 +294,19 @@ def jaccard_components(documents: DataFrame, k: int = 5, percent: int = 80) -> D
     members = full.select("doc_id", "n", "fp1", "fp2").join(least, ["n", "fp1", "fp2"]).select("doc_id", "n", "rep")
     members = scratch.save(members, "members")
     sizes = scratch.save(sets.select("doc_id", F.col("n").cast("long").alias("n_shingles")), "sizes")
-    reps = scratch.save(full.join(least.select("n", "fp1", "fp2", F.col("rep").alias("doc_id")), ["n", "fp1", "fp2", "doc_id"], "left_semi").dropDuplicates(["doc_id", "n", "fp1", "fp2"]).select("doc_id", "n", "window", "prefix"), "reps")
+    # A document that is not its class's smallest id may pass by chance: its component is known, so it adds no pair.
+    stand, bit = id_filter(least.select(F.col("rep").alias("doc_id")))
+
+    def standing(batches):
+        for b in batches:
+            b = b.filter(pa.array(hits(stand.value, b.column("bit").to_numpy(zero_copy_only=False))))
+            yield b.select(["doc_id", "n", "fp1", "fp2", "window", "prefix"])
+
+    reps = full.select("*", bit).mapInArrow(standing, _SETS)
+    if not full.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").isEmpty():
+        reps = reps.dropDuplicates(["doc_id", "n", "fp1", "fp2"])
+    reps = scratch.save(reps.select("doc_id", "n", "window", "prefix"), "reps")
+    stand.destroy()
     scratch.drop("sets")
 
     boundary = _boundary(reps, percent)
