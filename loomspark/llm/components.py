@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.llm.store import Scratch
@@ -43,24 +43,34 @@ def _labelled(entries: DataFrame, labels: DataFrame) -> DataFrame:
     return entries.join(labels.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
 
 
+def _ends() -> list[Column]:
+    return [F.least("u", "v").alias("lo"), F.greatest("u", "v").alias("hi")]
+
+
 def settle(entries: DataFrame, labels: DataFrame, verified: Callable[[DataFrame], DataFrame], percent: int, scratch: Scratch) -> DataFrame:
     """Components of all links that candidate lists hold, without all pairs of a list.
 
     entries (key, doc_id, n, pos, rank): a list a key, of candidates with their set's size and, in the global
     order, the place of the list's element in it; rank is least where most links are to be expected. labels (id, component): links known so far. verified: of
-    pairs (u, v) those that link. First every candidate meets one anchor a round; then, of lists that still
+    pairs (u, v) those that link. First every candidate meets one anchor a round, which it has not met before; then, of lists that still
     hold several components, candidates of different components meet, unless their sizes or places rule a
     link out. So no link between components is missed, and a list of one component costs nothing more.
     """
     plain = ["key", "doc_id", "n", "pos", "rank"]
+    met = None
     for i in range(ANCHOR_ROUNDS):
         held = _labelled(entries, labels)
-        anchors = held.groupBy("key").agg(F.min_by(F.struct("doc_id", "n", "component"), F.struct("rank", F.xxhash64("doc_id", F.lit(i)))).alias("a"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key", "a.*").toDF("key", "v", "m", "other")
+        anchors = held.groupBy("key").agg(F.min_by(F.struct("doc_id", "n", "component"), F.struct(*(["rank"] if i == 0 else []), F.xxhash64("doc_id", F.lit(i)))).alias("a"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key", "a.*").toDF("key", "v", "m", "other")
         # Lists whose candidates are all of one component have nothing left to find, now or later.
         held = scratch.save(held.join(anchors, "key"), f"held-{i}")
         entries = held.select(*plain)
         pairs = held.where(f"component != other and 100 * least(n, m) >= {percent} * greatest(n, m)").groupBy(F.col("doc_id").alias("u"), "v").agg(F.count("*").alias("shared"))
-        links = scratch.save(verified(pairs.groupBy("u").agg(F.max_by("v", F.struct("shared", "v")).alias("v"))), f"links-{i}")
+        if met is not None:
+            pairs = pairs.select("*", *_ends()).join(met, ["lo", "hi"], "left_anti")
+        chosen = scratch.save(pairs.groupBy("u").agg(F.max_by("v", F.struct("shared", "v")).alias("v")), f"chosen-{i}")
+        links = scratch.save(verified(chosen), f"links-{i}")
+        now = chosen.select(*_ends())
+        met = now if met is None else met.union(now)
         found = links.count()
         if found:
             labels = components(links.select("u", "v").union(labels.select("id", "component")), scratch, f"round-{i}")
@@ -74,6 +84,7 @@ def settle(entries: DataFrame, labels: DataFrame, verified: Callable[[DataFrame]
     room = F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y")) * (100 + percent) >= percent * (F.col("n_x") + F.col("n_y"))
     fits = (F.col("component_x") < F.col("component_y")) & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")) & room
     rest = x.join(y, "key").where(fits).select(F.col("doc_id_x").alias("u"), F.col("doc_id_y").alias("v")).distinct()
+    rest = rest.select("*", *_ends()).join(met, ["lo", "hi"], "left_anti").select("u", "v")
     links = scratch.save(verified(rest), "links-rest")
     if links.isEmpty():
         return labels
