@@ -303,7 +303,8 @@ def jaccard_components(documents: DataFrame, k: int = 5, percent: int = 80) -> D
             yield b.select(["doc_id", "n", "fp1", "fp2", "window", "prefix"])
 
     reps = full.select("*", bit).mapInArrow(standing, _SETS)
-    if not full.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").isEmpty():
+    unique = full.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").isEmpty()
+    if not unique:
         reps = reps.dropDuplicates(["doc_id", "n", "fp1", "fp2"])
     reps = scratch.save(reps.select("doc_id", "n", "window", "prefix"), "reps")
     stand.destroy()
@@ -336,7 +337,8 @@ def jaccard_components(documents: DataFrame, k: int = 5, percent: int = 80) -> D
         u, v = (whole.select(F.col("doc_id").alias(x), F.col("set").alias(f"set_{x}")) for x in "uv")
         return near.join(u, "u").join(v, "v").select("u", "v", "set_u", "set_v").mapInArrow(verify(percent), "u long, v long").distinct()
 
-    classes = components(members.select(F.col("doc_id").alias("u"), F.col("rep").alias("v")), scratch, "classes")
+    # With one row an id its class is all that it is tied to so far.
+    classes = members.select(F.col("doc_id").alias("id"), F.col("rep").alias("component")) if unique else components(members.select(F.col("doc_id").alias("u"), F.col("rep").alias("v")), scratch, "classes")
     labels = settle(entries, classes, verified, percent, scratch)
     out = sizes.join(labels.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     out = scratch.save(out, "result")
