@@ -48,7 +48,7 @@ def _ends() -> list[Column]:
 
 
 def settle(entries: DataFrame, labels: DataFrame, verified: Callable[[DataFrame], DataFrame], percent: int, scratch: Scratch) -> DataFrame:
-    """Components of all links that candidate lists hold, without all pairs of a list.
+    """Components of all links that candidate lists hold, without all pairs of a list. Deletes the table "entries".
 
     entries (key, doc_id, n, pos, rank): a list a key, of candidates with their set's size and, in the global
     order, the place of the list's element in it; rank is least where most links are to be expected. labels (id, component): links known so far. verified: of
@@ -60,9 +60,10 @@ def settle(entries: DataFrame, labels: DataFrame, verified: Callable[[DataFrame]
     met = None
     for i in range(ANCHOR_ROUNDS):
         held = _labelled(entries, labels)
-        anchors = held.groupBy("key").agg(F.min_by(F.struct("doc_id", "n", "component"), F.struct(*(["rank"] if i == 0 else []), F.xxhash64("doc_id", F.lit(i)))).alias("a"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key", "a.*").toDF("key", "v", "m", "other")
+        anchors = held.groupBy("key").agg(F.min_by(F.struct("doc_id", "n", "component"), F.struct(*(["rank"] if i == 0 else []), F.hash("doc_id", F.lit(i)), "doc_id")).alias("a"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key", "a.*").toDF("key", "v", "m", "other")
         # Lists whose candidates are all of one component have nothing left to find, now or later.
         held = scratch.save(held.join(anchors, "key"), f"held-{i}")
+        scratch.drop(f"held-{i - 1}" if i else "entries")
         entries = held.select(*plain)
         pairs = held.where(f"component != other and 100 * least(n, m) >= {percent} * greatest(n, m)").groupBy(F.col("doc_id").alias("u"), "v").agg(F.count("*").alias("shared"))
         if met is not None:
@@ -79,6 +80,7 @@ def settle(entries: DataFrame, labels: DataFrame, verified: Callable[[DataFrame]
     held = _labelled(entries, labels)
     still = held.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
     held = scratch.save(held.join(still, "key", "left_semi"), "open")
+    scratch.drop(f"held-{i}")
     x, y = (held.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "n", "pos", "component"))) for s in "xy")
     # The first element that a linked pair shares leaves room for the overlap that their sizes call for.
     room = F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y")) * (100 + percent) >= percent * (F.col("n_x") + F.col("n_y"))

@@ -9,8 +9,9 @@ Two documents link when ``100 * |A ∩ B| >= percent * |A ∪ B|`` over their se
    a key. A partner must share at least c(s) = ceil(percent * s / 100) elements, so two partners share at
    least two elements of their first s - c(s) + 2 in the global order, hence a key.
 3. *Heavy.* Larger sets, and light ones close enough to the boundary to have a heavy partner, enter the
-   inverted lists of the first s - c(s) + 1 elements, and of all elements in a fixed part of the hash range. A
-   set with more than s - c(s) elements there that no other set has is proved to have no partner.
+   inverted lists of the first s - c(s) + 1 elements. Before that a bitmap of all elements in a fixed part of
+   the hash range shows which of them no other set has; a set with more than s - c(s) such elements has no
+   partner and enters no list.
 4. The boundary is where the modelled cost is least: subsets made against list entries scanned.
 5. *Lists.* Within a list of one key, candidates are first paired with one anchor each, verified exactly,
    and merged into components; only candidates of different components are then paired with one
@@ -42,7 +43,7 @@ COMMON = 1 << 16
 LOCAL_COMMON = 3
 _NOTE = 1 << 21
 
-#: Elements whose hashes are in the lowest part of all are listed for every set, if they are not common ones:
+#: Elements whose hashes are in the lowest part of all are marked for every set, if they are not common ones:
 #: those that no other set has prove how much of a set is its own.
 WINDOW = 0.25
 
@@ -138,14 +139,20 @@ def _keys_of(b: pa.RecordBatch, percent: int, boundary: int) -> Iterator[tuple[i
 
 
 def _make_keys(percent: int, boundary: int, shared):
-    """Task side: the keys that more than one set may have."""
+    """Task side: the keys that more than one set may have. Sets over the boundary whose window proves that they
+    have no partner have none; of others the window has done its part, and only the prefix is listed."""
 
     def run(batches):
         for b in batches:
             out: list[list[np.ndarray]] = [[], [], [], []]
-            rows = b.column("doc_id").to_numpy(zero_copy_only=False)
+            rows, windows = b.column("doc_id").to_numpy(zero_copy_only=False), b.column("window").to_pylist()
             for row, n, keys, pos in _keys_of(b, percent, boundary):
                 some = np.flatnonzero(may_repeat(shared.value, keys))
+                if n > boundary:
+                    most = n - least_overlap(n, percent)
+                    if windows[row] - int((some < windows[row]).sum()) > most:
+                        continue
+                    some = some[some <= most]
                 for into, x in zip(out, (keys[some].view(np.int64), np.full(len(some), rows[row]), np.full(len(some), n, np.int32), pos[some].astype(np.int32)), strict=True):
                     into.append(x)
             if out[0]:
@@ -254,7 +261,8 @@ def _pick(reps: DataFrame, ids: DataFrame, percent: int, shared, scratch: Scratc
 
 
 def _whole_sets(docs: DataFrame, ids: DataFrame, k: int, scratch: Scratch) -> DataFrame:
-    """(doc_id, set) of the wanted ids. Others are dropped where they are read, but for chance hits."""
+    """(doc_id, set) of the wanted ids. Others are dropped where they are read, but for chance hits, which find
+    no pair to join."""
     shared, bit = id_filter(ids)
 
     def run(batches):
@@ -265,7 +273,7 @@ def _whole_sets(docs: DataFrame, ids: DataFrame, k: int, scratch: Scratch) -> Da
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(chunk.first, chunk.rows), batch.binaries(values, n)], ["doc_id", "set"])
 
     sets = docs.select("doc_id", "text", bit).mapInArrow(run, "doc_id long, set binary")
-    whole = scratch.save(sets.join(ids, "doc_id", "left_semi"), "whole")
+    whole = scratch.save(sets, "whole")
     shared.destroy()
     return whole
 
@@ -314,17 +322,9 @@ def jaccard_components(documents: DataFrame, k: int = 5, percent: int = 80) -> D
     shared = repeated(reps.select("n", "window", "prefix"), lambda b: (keys for _, _, keys, _ in _keys_of(b, percent, boundary)))
     keys = scratch.save(reps.mapInArrow(_make_keys(percent, boundary, shared), _KEYS), "keys")
     lists = keys.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("key")
-    listed = scratch.save(keys.join(lists, "key"), "listed")
+    entries = scratch.save(keys.join(lists, "key").select("key", "doc_id", "n", "pos", F.col("pos").alias("rank")), "entries")
     scratch.drop("keys")
     shared.destroy()
-    # Of the window's elements those in no list are a set's own. Whoever has more of them than a partner may
-    # lack links with nothing. (Light sets have no such lists, and stay.)
-    most = F.col("n") - F.floor((F.col("n") * percent + 99) / 100)
-    others = listed.where(F.col("n") > boundary).groupBy("doc_id", "n").agg(F.count("*").alias("seen"))
-    own = reps.where(F.col("n") > boundary).join(others, ["doc_id", "n"]).where(F.col("window") - F.col("seen") > most).select("doc_id", "n")
-    entries = listed.join(own, ["doc_id", "n"], "left_anti").where((F.col("n") <= boundary) | (F.col("pos") <= most))
-    entries = scratch.save(entries.select("key", "doc_id", "n", "pos", F.col("pos").alias("rank")), "entries")
-    scratch.drop("listed")
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = scratch.save(pairs, "pairs")
@@ -335,7 +335,11 @@ def jaccard_components(documents: DataFrame, k: int = 5, percent: int = 80) -> D
         ids = near.select(F.col("u").alias("doc_id")).union(near.select("v")).distinct()
         whole = _whole_sets(docs, ids, k, scratch)
         u, v = (whole.select(F.col("doc_id").alias(x), F.col("set").alias(f"set_{x}")) for x in "uv")
-        return near.join(u, "u").join(v, "v").select("u", "v", "set_u", "set_v").mapInArrow(verify(percent), "u long, v long").distinct()
+        linked = near.join(u, "u").join(v, "v").select("u", "v", "set_u", "set_v").mapInArrow(verify(percent), "u long, v long").distinct()
+        linked = scratch.save(linked, "linked")
+        for done in ("pairs", "some", "near", "whole"):
+            scratch.drop(done)
+        return linked
 
     # With one row an id its class is all that it is tied to so far.
     classes = members.select(F.col("doc_id").alias("id"), F.col("rep").alias("component")) if unique else components(members.select(F.col("doc_id").alias("u"), F.col("rep").alias("v")), scratch, "classes")
