@@ -31,7 +31,7 @@ SELECT doc_id, CASE WHEN candidates = 1 THEN t0 WHEN n1 = 1 THEN t1 WHEN n2 = 1
        CASE WHEN candidates = 0 THEN 'missing' WHEN candidates = 1 THEN 'unique' WHEN n1 = 1 THEN 'main_host' WHEN n2 = 1 THEN 'no_query' ELSE 'ambiguous' END AS step, candidates FROM c
 """
 
-KINDS = (("anchor", r'href="([^"]*)"'), ("class", r'class="([^"]*)"'), ("entity", r"&([a-z]+);"), ("call", r"\b([a-z]+)\(\d+\)"), ("assignment", r'var ([a-z]+)='), ("heading", r"<h[1-6]>([^<]{0,40})"))
+KINDS = (("anchor", r'href="([^"]*)"'), ("class", r'class="([^"]*)"'), ("entity", r"&([a-z]+);"), ("call", r"\b([a-z]+)\(\d+\)"), ("assignment", r'var ([a-z]+)='), ("heading", r"<h[1-6]>([^<]*)"))
 
 
 def reference_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -78,6 +78,14 @@ def test_query_equals_sql(spark, name):
     assert clean(tuple(r) for r in mine.select(*cols).collect()) == clean(theirs)
 
 
+def test_reference_headings_are_whole(spark, tmp_path):
+    head = "forty characters that both headings share"
+    html = f"<h1>{head} one</h1><h2>{head} two</h2><p>x</p><h2>{head} two</h2><h3></h3>"
+    spark.createDataFrame([(1, html)], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    rows = entry.queries()["reference_extraction"](spark, str(tmp_path)).collect()
+    assert {(r["kind"], r["target"], r["n"]) for r in rows} == {("heading", f"{head} one", 1), ("heading", f"{head} two", 2), ("heading", "", 1)}
+
+
 def test_rows_only_queries_run_twice_alike(spark):
     for name in set(entry.queries()) - set(entry.oracle_sql()):
         if not name.startswith("op") and name != "pipeline" and name != "scan_inventory":
