@@ -129,6 +129,33 @@ def test_packing(docs):
     assert sum(r["length"] for r in rows) == sum(map(len, ids.values())) + len(ids[1])
 
 
+def padded(rows, length=packing.LENGTH):
+    used = {}
+    for r in rows:
+        used[r["sequence_id"]] = used.get(r["sequence_id"], 0) + r["length"]
+    return sum(0 if n & (n - 1) == 0 else length - n for n in used.values()) / sum(used.values())
+
+
+def test_packing_cuts_documents_without_sentence_ends(spark):
+    rng = np.random.default_rng(7)
+    for sizes in ([345] * 300, rng.integers(299, 511, 300).tolist()):
+        docs = spark.createDataFrame([(i, "".join(rng.choice([" the", " of", " and"], n))) for i, n in enumerate(sizes)], "doc_id long, text string").coalesce(1)
+        rows = packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken"), pattern(), with_ids=False).collect()
+        assert sum(r["length"] for r in rows) == sum(sizes) + len(sizes) and padded(rows) < 0.05
+
+
+def test_packing_offers_every_sentence_end():
+    encode, sentences = packing._tokenizer(vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken"), pattern())
+    text = 'A b. C. D! "E?" f\ng 一。二！三？ क। ع؟ 𑀓𑁇 … end, of: it;' + " the" * 60
+    ids = np.array(encode(text), np.uint32)
+    ends = [encode(text[:i + 1]) for i, c in enumerate(text) if c in ".!?\n。！？।؟𑁇…" and text[i + 1] != '"'] + [encode(text[: text.index('?"') + 2])]
+    assert all(ids[: len(x)].tolist() == x for x in ends)
+    assert sentences.ends(ids).tolist() == sorted(map(len, ends))
+    places, penalties = packing.candidates(ids, np.array([len(ids)]), sentences, packing.LENGTH)
+    assert places[penalties == packing.SENTENCE_PENALTY].tolist() == sorted(map(len, ends))
+    assert np.diff(places).max() <= 16 and places[-1] == len(ids) and (penalties[1:-1] > 0).all()
+
+
 def test_cuts_are_the_cheapest():
     rng = np.random.default_rng(5)
 
