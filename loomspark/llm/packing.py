@@ -87,11 +87,11 @@ def _tokenizer(path: str, ranks: str | None, pattern: str):
     """text -> ids as the tokenizers library has them; and where ids end sentences.
 
     The rank file holds the same vocabulary for tiktoken, which is some times faster; the two libraries'
-    character classes may differ on rare characters, so it takes texts of Latin letters only."""
+    character classes may differ on rare characters, so it takes texts of Latin letters only, and none that hold
+    a token which the vocabulary adds to its merges: that is one id."""
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(path)
-    slow.encode_special_tokens = True
     vocabulary = slow.get_vocab()
     sentences = Sentences(_token_bytes(vocabulary, max(vocabulary.values()) + 1))
 
@@ -106,7 +106,14 @@ def _tokenizer(path: str, ranks: str | None, pattern: str):
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={}).encode_ordinary
     rare = re.compile("[^\t\n\r\x20-\x7e\xa1-\u024f]").search
-    return (lambda text: fast(text) if text.isascii() or not rare(text) else by_tokenizer(text)), sentences
+    added = [x.content for x in slow.get_added_tokens_decoder().values()]
+
+    def encode(text: str) -> list[int]:
+        if (text.isascii() or not rare(text)) and not any(x in text for x in added):
+            return fast(text)
+        return by_tokenizer(text)
+
+    return encode, sentences
 
 
 def cuts(positions: np.ndarray, penalties: np.ndarray, length: int = LENGTH) -> list[int]:

@@ -129,6 +129,19 @@ def test_packing(docs):
     assert sum(r["length"] for r in rows) == sum(map(len, ids.values())) + len(ids[1])
 
 
+def test_packing_takes_added_tokens_as_the_library(spark):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
+    texts = ["end<|endoftext|>start", "<|endoftext|>", "é <|endoftext|><|endoftext|> 中。", "<|endoftext|", "plain text"]
+    rows = packing.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken"), pattern()).collect()
+    got = {}
+    for r in sorted(rows, key=lambda r: (r["doc_id"], r["start"])):
+        got[r["doc_id"]] = got.get(r["doc_id"], b"") + bytes(r["ids"])
+    assert [np.frombuffer(got[i], np.uint32).tolist() for i in range(len(texts))] == [[*tok.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+    assert np.frombuffer(got[0], np.uint32).tolist() == [437, 50256, 9688, 0]
+
+
 def padded(rows, length=packing.LENGTH):
     used = {}
     for r in rows:
