@@ -60,8 +60,10 @@ SELECT id, CASE WHEN pri = 1 THEN 'page' ELSE 'label' END AS origin, lang, sourc
 FROM once LEFT JOIN doc ON id = doc.doc_id LEFT JOIN {labels} l ON id = l.doc_id
 """
 
+#: Pages belong to the document whose language and number their URL has.
 GATE = """
-WITH n AS (SELECT d.doc_id, count(p.page_id) AS candidates FROM {documents} d LEFT JOIN {pages} p ON d.doc_id = p.page_id % 100 GROUP BY d.doc_id)
+WITH p AS (SELECT page_id, regexp_extract(url, '^https?://[^/]+/([a-z]+)/([0-9]+)', 1) AS lang, TRY_CAST(regexp_extract(url, '^https?://[^/]+/([a-z]+)/([0-9]+)', 2) AS BIGINT) AS doc_id FROM {pages}),
+n AS (SELECT d.doc_id, count(p.page_id) AS candidates FROM {documents} d LEFT JOIN p ON d.doc_id = p.doc_id AND d.lang = p.lang GROUP BY d.doc_id)
 SELECT doc_id, candidates, CASE WHEN candidates = 0 THEN 'NOT_FOUND' WHEN candidates = 1 THEN 'MATCHED' ELSE 'AMBIGUOUS' END AS status FROM n
 """
 REPORT = """

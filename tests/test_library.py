@@ -86,6 +86,14 @@ def test_reference_headings_are_whole(spark, tmp_path):
     assert {(r["kind"], r["target"], r["n"]) for r in rows} == {("heading", f"{head} one", 1), ("heading", f"{head} two", 2), ("heading", "", 1)}
 
 
+def test_page_status_gate_reaches_every_document(spark, tmp_path):
+    spark.createDataFrame([(7, "en"), (4033, "en"), (4034, "de"), (4035, "en")], "doc_id long, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    urls = ["http://m.a.example/en/4033.html", "https://b.example/de/4034?page=2", "http://c.example/de/4034#top", "http://a.example/de/4035", "http://a.example/about", None]
+    spark.createDataFrame([(i + 7, u) for i, u in enumerate(urls)], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    rows = entry.queries()["page_status_gate"](spark, str(tmp_path)).collect()
+    assert {tuple(r) for r in rows} == {(7, 0, "NOT_FOUND"), (4033, 1, "MATCHED"), (4034, 2, "AMBIGUOUS"), (4035, 0, "NOT_FOUND")}
+
+
 def test_rows_only_queries_run_twice_alike(spark):
     for name in set(entry.queries()) - set(entry.oracle_sql()):
         if not name.startswith("op") and name != "pipeline" and name != "scan_inventory":
