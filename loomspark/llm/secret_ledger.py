@@ -108,7 +108,10 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, findings: DataFra
     """versions (path, version, content) -> a Scan. ledger and findings are those of earlier runs.
 
     Null content counts as empty. Repeated rows, and paths that share content, share one scan and each get
-    its findings. An empty table gives empty tables. Further columns of versions are ignored."""
+    its findings. An empty table gives empty tables. Further columns of versions are ignored. A ledger without
+    its findings is refused: the spans of blobs that it knows would be missing."""
+    if ledger is not None and findings is None:
+        raise ValueError("a ledger needs the findings of the runs that filled it")
     scratch = Scratch(versions.sparkSession, "secrets")
     content = F.coalesce(F.col("content").cast("string"), F.lit(""))
     held = versions.select("path", "version", content.alias("content")).withColumn("blob", F.sha2(F.col("content").cast("binary"), 256))

@@ -108,6 +108,15 @@ def test_secrets_and_ledger(spark, docs):
     assert clean[11] == "[SECRET] and [SECRET] or [SECRET]" and clean[5] is None and clean[12] == TEXTS[11][1]
 
 
+def test_ledger_without_findings_is_refused(spark):
+    versions = spark.createDataFrame([(1, 0, "token=abcdefgh1")], "path long, version int, content string")
+    got = secret_ledger.scan(versions)
+    with pytest.raises(ValueError, match="findings"):
+        secret_ledger.scan(versions, got.ledger)
+    again = secret_ledger.scan(versions, got.ledger, got.findings).by_path.select(secret_ledger.span_string(F.col("spans"))).collect()
+    assert [r[0] for r in again] == ["assign:0:15"]
+
+
 def test_packing(docs):
     from tokenizers import Tokenizer
 
