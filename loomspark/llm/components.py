@@ -1,4 +1,4 @@
-"""Connected components of a link table by alternating large-star and small-star rounds."""
+"""Connected components of a link table, and of the links that candidate lists hold."""
 
 from __future__ import annotations
 
@@ -13,81 +13,94 @@ from loomspark.llm.store import Scratch
 def components(links: DataFrame, scratch: Scratch, name: str, rounds: int = 60) -> DataFrame:
     """links (u, v) -> (id, component): every linked id with the smallest id that it can reach.
 
-    Each round links every node to the smallest of its neighbours, first with its larger, then with its
-    smaller neighbours. Minima are combined before the shuffle and joined back, so a hub of any degree is
-    a skewed join that adaptive execution splits, not one task's group. Ids without a link, links to
-    oneself and nulls have no row here. Raises if it has not settled after `rounds`.
+    Alternating large-star and small-star rounds: each links every node to the smallest of its neighbours,
+    first with its larger, then with its smaller neighbours. Minima are combined before the shuffle and joined
+    back, so a hub of any degree is a skewed join that adaptive execution splits, not one task's group. Ids
+    without a link, links to oneself and nulls have no row here. Raises if it has not settled after `rounds`.
     """
     edges = links.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    edges, seen = scratch.save(edges, f"{name}-0"), None
+    state = [F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")]
+    edges, seen = scratch.save_with(edges, f"{name}-0", state)
     for i in range(1, rounds + 1):
+        if not seen["n"]:
+            return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = scratch.save(small.union(least.select("u", F.col("m").alias("v"))).distinct(), f"{name}-{i}")
+        edges, now = scratch.save_with(small.union(least.select("u", F.col("m").alias("v"))).distinct(), f"{name}-{i}", state)
         scratch.drop(f"{name}-{i - 1}")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == seen or now[0] == 0:
+        if now == seen:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
         seen = now
     raise RuntimeError(f"components have not settled after {rounds} rounds")
 
 
 #: Rounds in which each candidate is paired with one anchor, before the exact pairing of what is left.
-ANCHOR_ROUNDS = 3
+ANCHOR_ROUNDS = 2
 
 
-def _labelled(entries: DataFrame, labels: DataFrame) -> DataFrame:
-    return entries.join(labels.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+def merged(table: DataFrame, moved: DataFrame | None, column: str = "component") -> DataFrame:
+    """table with the components of `column` replaced by those that they are now part of."""
+    if moved is None:
+        return table
+    now = moved.select(F.col("id").alias(column), F.col("component").alias("_now"))
+    return table.join(now, column, "left").withColumn(column, F.coalesce("_now", column)).select(*table.columns)
 
 
 def _ends() -> list[Column]:
     return [F.least("u", "v").alias("lo"), F.greatest("u", "v").alias("hi")]
 
 
-def settle(entries: DataFrame, labels: DataFrame, verified: Callable[[DataFrame], DataFrame], percent: int, scratch: Scratch) -> DataFrame:
-    """Components of all links that candidate lists hold, without all pairs of a list. Deletes the table "entries".
+def fitting(n_u: str, pos_u: str, n_v: str, pos_v: str, percent: int) -> Column:
+    """Whether two sets' sizes, and how many of their elements cannot be shared, leave room for a link."""
+    return F.expr(f"100 * least({n_u}, {n_v}) >= {percent} * greatest({n_u}, {n_v}) and least({n_u} - {pos_u}, {n_v} - {pos_v}) * {100 + percent} >= {percent} * ({n_u} + {n_v})")
 
-    entries (key, doc_id, n, pos, rank): a list a key, of candidates with their set's size and, in the global
-    order, the place of the list's element in it; rank is least where most links are to be expected. labels (id, component): links known so far. verified: of
-    pairs (u, v) those that link. First every candidate meets one anchor a round, which it has not met before; then, of lists that still
-    hold several components, candidates of different components meet, unless their sizes or places rule a
-    link out. So no link between components is missed, and a list of one component costs nothing more.
+
+def settle(entries: DataFrame, verified: Callable[[DataFrame, int], DataFrame], percent: int, scratch: Scratch, detail: DataFrame | None = None, fits: Column | None = None) -> DataFrame | None:
+    """(id, component) of the components that links in the lists join; None if there is no link. A component
+    that is not named stays as it is.
+
+    entries (key, doc_id, n, pos, rank, component): a list a key, of candidates with their set's size, how many
+    of their elements cannot be in an overlap that this list finds, and the component that each has so far;
+    rank is least where most links are to be expected. verified: of pairs (u, v, cu, cv) those that link, as a
+    saved table. First every candidate meets one anchor a round. Then, of lists that still hold several
+    components, candidates of different components that have not met are paired, unless sizes, places
+    or `fits` rule a link out: a condition on what `detail` has of each doc_id, as columns with _x and _y. So no link between components is missed, a list of one component costs nothing more, and
+    a group of copies costs a pair a copy.
     """
-    plain = ["key", "doc_id", "n", "pos", "rank"]
-    met = None
-    for i in range(ANCHOR_ROUNDS):
-        held = _labelled(entries, labels)
-        anchors = held.groupBy("key").agg(F.min_by(F.struct("doc_id", "n", "component"), F.struct(*(["rank"] if i == 0 else []), F.hash("doc_id", F.lit(i)), "doc_id")).alias("a"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key", "a.*").toDF("key", "v", "m", "other")
-        # Lists whose candidates are all of one component have nothing left to find, now or later.
-        held = scratch.save(held.join(anchors, "key"), f"held-{i}")
-        scratch.drop(f"held-{i - 1}" if i else "entries")
-        entries = held.select(*plain)
-        pairs = held.where(f"component != other and 100 * least(n, m) >= {percent} * greatest(n, m)").groupBy(F.col("doc_id").alias("u"), "v").agg(F.count("*").alias("shared"))
-        if met is not None:
-            pairs = pairs.select("*", *_ends()).join(met, ["lo", "hi"], "left_anti")
-        chosen = scratch.save(pairs.groupBy("u").agg(F.max_by("v", F.struct("shared", "v")).alias("v")), f"chosen-{i}")
-        links = scratch.save(verified(chosen), f"links-{i}")
-        now = chosen.select(*_ends())
-        met = now if met is None else met.union(now)
-        found = links.count()
-        if found:
-            labels = components(links.select("u", "v").union(labels.select("id", "component")), scratch, f"round-{i}")
-        if found < 100:
-            break
-    held = _labelled(entries, labels)
-    still = held.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    held = scratch.save(held.join(still, "key", "left_semi"), "open")
-    scratch.drop(f"held-{i}")
-    x, y = (held.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "n", "pos", "component"))) for s in "xy")
-    # The first element that a linked pair shares leaves room for the overlap that their sizes call for.
-    room = F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y")) * (100 + percent) >= percent * (F.col("n_x") + F.col("n_y"))
-    fits = (F.col("component_x") < F.col("component_y")) & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")) & room
-    rest = x.join(y, "key").where(fits).select(F.col("doc_id_x").alias("u"), F.col("doc_id_y").alias("v")).distinct()
-    rest = rest.select("*", *_ends()).join(met, ["lo", "hi"], "left_anti").select("u", "v")
-    links = scratch.save(verified(rest), "links-rest")
-    if links.isEmpty():
-        return labels
-    return components(links.select("u", "v").union(labels.select("id", "component")), scratch, "last")
+    met = links = moved = None
+    plain = entries.columns
+    held = entries
+    for i in range(ANCHOR_ROUNDS + 1):
+        bounds = held.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by(F.struct("doc_id", "n", "pos", "component"), F.struct(*(["rank"] if i == 0 else []), F.hash("doc_id", F.lit(i)), "doc_id")).alias("a")).where("lo < hi")
+        if i < ANCHOR_ROUNDS:
+            anchors = bounds.select("key", "a.*").toDF("key", "v", "n_v", "pos_v", "cv")
+            pairs = held.join(anchors, "key").where((F.col("component") != F.col("cv")) & fitting("n", "pos", "n_v", "pos_v", percent))
+            pairs = pairs.groupBy(F.col("doc_id").alias("u"), "v").agg(F.count("*").alias("shared"), F.min("component").alias("cu"), F.min("cv").alias("cv"))
+            if met is not None:
+                pairs = pairs.select("*", *_ends()).join(met, ["lo", "hi"], "left_anti")
+            pairs = pairs.groupBy("u").agg(F.max_by(F.struct("v", "cu", "cv"), F.struct("shared", "v")).alias("p")).select("u", "p.*")
+        else:
+            held = held.join(bounds.select("key"), "key", "left_semi").select("key", "doc_id", "n", "pos", "component")
+            held = scratch.save(held if detail is None else held.join(detail, "doc_id"), "open")
+            x, y = (held.select("key", *(F.col(c).alias(f"{c}_{s}") for c in held.columns if c != "key")) for s in "xy")
+            room = (F.col("component_x") < F.col("component_y")) & fitting("n_x", "pos_x", "n_y", "pos_y", percent)
+            pairs = x.join(y, "key").where(room if fits is None else room & fits)
+            pairs = pairs.select(F.col("doc_id_x").alias("u"), F.col("doc_id_y").alias("v"), F.col("component_x").alias("cu"), F.col("component_y").alias("cv")).distinct()
+            pairs = pairs.select("*", *_ends()).join(met, ["lo", "hi"], "left_anti").drop("lo", "hi")
+        pairs, counted = scratch.save_with(pairs, f"chosen-{i}", [F.count(F.lit(1)).alias("n")])
+        if counted["n"]:
+            found = verified(pairs, i).select(F.col("cu").alias("u"), F.col("cv").alias("v"))
+            links = found if links is None else links.union(found)
+            moved = components(links, scratch, f"round-{i}")
+        if i < ANCHOR_ROUNDS:
+            now = pairs.select(*_ends())
+            met = now if met is None else met.union(now)
+            # Lists whose candidates are all of one component have nothing left to find, now or later.
+            held = scratch.save(merged(held.join(bounds.select("key"), "key", "left_semi"), moved).select(*plain), f"held-{i}")
+            if i:
+                scratch.drop(f"held-{i - 1}")
+    scratch.drop("open")
+    return moved

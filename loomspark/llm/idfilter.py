@@ -22,7 +22,7 @@ def id_filter(ids: DataFrame, column: str = "doc_id"):
     bit = id_bit(column) + 1
     blocks = ids.select(bit.alias("b")).groupBy(F.bitmap_bucket_number("b").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("bits"))
     bits = np.zeros(1 << (BITS - 3), np.uint8)
-    for block, got in blocks.toLocalIterator():
+    for block, got in blocks.collect():  # 4096 blocks of 4 KB at most
         bits[(block - 1) * 4096 : block * 4096] = np.frombuffer(got, np.uint8)
     return ids.sparkSession.sparkContext.broadcast(bits), id_bit(column)
 

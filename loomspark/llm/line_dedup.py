@@ -1,12 +1,19 @@
 """Fuzzy line deduplication by MinHash.
 
 Lines are lower-cased and hashed by their distinct windows of five characters. One-permutation MinHash puts
-every window's hash into one of BANDS * ROWS bins and keeps the least of each bin; empty bins borrow from the
-next one. Each band of ROWS values is a key; lines that share a key are candidates, verified by the exact
-Jaccard similarity of their windows and merged by distributed union-find. One line of each component stays.
+hashes into one of BANDS * ROWS bins and keeps the least of each bin; an empty bin borrows from the next, which
+is in another band. Each band of ROWS values is a key; lines that share a key are candidates, verified by the
+exact Jaccard similarity of their windows and merged by distributed union-find. One line of each component stays.
 
-With ROWS = 5 and BANDS = 10 a pair of similarity 0.8 shares a key with probability 0.981, one of 0.9 with
-0.9999, one of 0.1 with 0.0001.
+So that a line of few windows has few empty bins, each of its windows gives several hashes. How many is fixed by
+a class of sizes, each up to twice the next one's; a line that may have a partner in the next class, as it has
+more than 0.8 times that one's least size, has keys there too.
+
+With ROWS = 7 and BANDS = 18 a pair of similarity 0.8 shares a key with probability 0.986, one of 0.9 with
+0.99999, one of 0.1 with 2e-6, so that lists hold near copies and not chance ones however many lines there are.
+
+Before the candidates of a list are paired, bitmaps of their windows bound how much two of them share: an exact
+test, which lines with a long passage in common, but too much of their own beside it, do not pass.
 """
 
 from __future__ import annotations
@@ -19,18 +26,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.llm import batch
-from loomspark.llm.components import components, settle
+from loomspark.llm.components import merged, settle
 from loomspark.llm.idfilter import hits, id_filter, xxhash_bits
-from loomspark.llm.ngram_join import jaccard_at_least
+from loomspark.llm.ngram_join import PAIRS, jaccard_at_least
 from loomspark.llm.repeats import may_repeat, repeated
 from loomspark.llm.store import Scratch
 
 WINDOW = 5
-ROWS, BANDS = 5, 10
+ROWS, BANDS = 7, 18
 PERCENT = 80
+#: (hashes a window, most windows of a line) of each class; a class begins above 0.4 times its most.
+CLASSES = ((64, 5), (32, 10), (16, 20), (8, 40), (4, 80), (2, 160), (1, 1 << 40))
+#: 64-bit words of a line's bitmap of windows.
+WORDS = 16
 _BLANK = np.zeros(128, bool)
 _BLANK[[0x20, 9, 10, 11, 12, 13]] = True
 _PLACES = batch.random_values(WINDOW, 7) | np.uint64(1)
+_SEEDS = batch.random_values(64, 11)
 _U = np.uint64
 
 
@@ -72,23 +84,34 @@ def _line_hash(points: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
     return batch.span_hash(batch.running_hash(batch.mix(points.astype(_U) + _U(1))), start, end).view(np.int64)
 
 
-def _bands(values: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """The keys of each line's bands, a row a line."""
-    bins = ROWS * BANDS
-    which = ((values >> _U(32)) * _U(bins) >> _U(32)).astype(np.int64)
-    low = np.full(len(count) * bins, ~_U(0))
-    np.minimum.at(low, np.repeat(np.arange(len(count)) * bins, count) + which, values)
-    low = low.reshape(len(count), bins)
-    empty = low == ~_U(0)
-    for _ in range(bins):
-        if not empty.any():
-            break
-        low = np.where(empty, batch.mix(np.roll(low, -1, 1)), low)
-        empty &= np.roll(empty, -1, 1)
-    keys = np.zeros((len(count), BANDS), _U)
-    for j in range(ROWS):
-        keys = batch.mix(keys * _U(0xA0761D6478BD642F) + low[:, j::ROWS])
-    return batch.mix(keys + np.arange(BANDS, dtype=_U))
+def _bands(values: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of lines' bands, BANDS for each (line, class), and the line that each such row is of."""
+    bins, keys, rows = ROWS * BANDS, [], []
+    for seeds, most in CLASSES:
+        least = most * 2 // 5 if seeds > 1 else CLASSES[-2][1] * 4 // 5
+        inside = (count > least) & (count <= most)
+        n = count[inside]
+        if not len(n):
+            continue
+        mine = values[np.repeat(inside, count)]
+        low = np.full(len(n) * bins, ~_U(0))
+        at = np.repeat(np.arange(len(n)) * bins, n)
+        for j in range(seeds):
+            hashed = batch.mix(mine ^ _SEEDS[j])
+            np.minimum.at(low, at + ((hashed >> _U(32)) * _U(bins) >> _U(32)).astype(np.int64), hashed)
+        low = low.reshape(-1, bins)
+        empty = low == ~_U(0)
+        for _ in range(bins):
+            if not empty.any():
+                break
+            low = np.where(empty, batch.mix(np.roll(low, -1, 1)), low)
+            empty &= np.roll(empty, -1, 1)
+        key = np.full((len(n), BANDS), _U(seeds))
+        for j in range(ROWS):
+            key = batch.mix(key * _U(0xA0761D6478BD642F) + low[:, j * BANDS : (j + 1) * BANDS])
+        keys.append(batch.mix(key + np.arange(BANDS, dtype=_U)))
+        rows.append(np.flatnonzero(inside))
+    return np.concatenate([*keys, np.zeros((0, BANDS), _U)]), np.concatenate([*rows, np.zeros(0, np.int64)])
 
 
 def _parts(b: pa.RecordBatch, step: int = 128):
@@ -97,16 +120,20 @@ def _parts(b: pa.RecordBatch, step: int = 128):
         yield part, _lines(part.column("text").to_pylist())
 
 
-def _sketch(batches):
+def _number(batches):
+    """Task side: the lines of texts, by hash."""
     for b in batches:
         for part, (points, start, end, doc, number) in _parts(b):
             if len(start):
-                keys = _bands(*_windows(points, start, end))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(doc)), pa.array(number), pa.array(_line_hash(points, start, end)), batch.binaries(keys.ravel(), np.full(len(start), BANDS))], ["doc_id", "line_no", "line", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(doc)), pa.array(number), pa.array(_line_hash(points, start, end))], ["doc_id", "line_no", "line"])
 
 
-def _band_keys(b: pa.RecordBatch) -> np.ndarray:
-    return np.frombuffer(b"".join(b.column("bands").to_pylist()), "<i8")
+def _band_keys(b: pa.RecordBatch):
+    """(keys, lines) of a batch's texts."""
+    for _, (points, start, end, _doc, _no) in _parts(b):
+        if len(start):
+            keys, row = _bands(*_windows(points, start, end))
+            yield keys.ravel(), np.repeat(_line_hash(points, start, end)[row], BANDS)
 
 
 def _spread(shared):
@@ -114,9 +141,9 @@ def _spread(shared):
 
     def run(batches):
         for b in batches:
-            keys = _band_keys(b)
-            some = np.flatnonzero(may_repeat(shared.value, keys))
-            yield pa.RecordBatch.from_arrays([pa.array(keys[some]), pa.array(b.column("line").to_numpy(zero_copy_only=False)[some // BANDS])], ["key", "doc_id"])
+            for keys, lines in _band_keys(b):
+                some = np.flatnonzero(may_repeat(shared.value, keys))
+                yield pa.RecordBatch.from_arrays([pa.array(keys[some].view(np.int64)), pa.array(lines[some])], ["key", "doc_id"])
 
     return run
 
@@ -131,8 +158,34 @@ def _verify(batches):
     """Task side: of pairs of lines those of a similarity of PERCENT or more."""
     for b in batches:
         texts = zip(b.column("text_u").to_pylist(), b.column("text_v").to_pylist(), strict=True)
-        mask = pa.array([jaccard_at_least(_set(x), _set(y), PERCENT) for x, y in texts], pa.bool_())
-        yield pa.RecordBatch.from_arrays([b.column("u").filter(mask), b.column("v").filter(mask)], ["u", "v"])
+        yield b.filter(pa.array([jaccard_at_least(_set(x), _set(y), PERCENT) for x, y in texts], pa.bool_())).select(["u", "v", "cu", "cv"])
+
+
+def _window_sets(b: pa.RecordBatch, step: int = 512):
+    """Of lines their distinct windows, some lines at a time: (first row, windows, how many each has)."""
+    for i in range(0, b.num_rows, step):
+        texts = b.column("text").slice(i, step).to_pylist()
+        points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+        end = np.cumsum([len(t) for t in texts])
+        yield i, *batch.row_sets(*_windows(points, np.concatenate(([0], end[:-1])), end))
+
+
+def _measure(batches):
+    """Task side: each line's number of distinct windows and their bitmap."""
+    for b in batches:
+        for i, values, n in _window_sets(b):
+            bits = np.zeros((len(n), WORDS * 64), bool)
+            bits[np.repeat(np.arange(len(n)), n), (values % _U(WORDS * 64)).astype(np.int64)] = True
+            words = np.packbits(bits, axis=1, bitorder="little").view("<i8")
+            part = b.slice(i, len(n))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), part.column("rank"), pa.array(n.astype(np.int32)), *(pa.array(words[:, j].copy()) for j in range(WORDS))], ["doc_id", "text", "rank", "n", *(f"w{j}" for j in range(WORDS))])
+
+
+def _bitmaps_fit():
+    """Of two lines, whether their bitmaps leave room for a link: every bit that only one of them has stands for a
+    window at least that the other lacks."""
+    only = lambda a, b: " + ".join(f"bit_count(w{j}_{a} & ~w{j}_{b})" for j in range(WORDS))
+    return F.expr(f"least(n_x - ({only('x', 'y')}), n_y - ({only('y', 'x')})) * {100 + PERCENT} >= {PERCENT} * (n_x + n_y)")
 
 
 def line_components(documents: DataFrame) -> DataFrame:
@@ -145,10 +198,9 @@ def line_components(documents: DataFrame) -> DataFrame:
     scratch = Scratch(documents.sparkSession, "lines")
     kind = documents.schema["doc_id"].dataType.simpleString()
     docs = documents.select("doc_id", F.col("text").cast("string").alias("text"))
-    lines = scratch.save(docs.mapInArrow(_sketch, f"doc_id {kind}, line_no long, line long, bands binary"), "lines")
-    bands = lines.select("line", "bands")
-    shared = repeated(bands, lambda b: [_band_keys(b)])
-    some = bands.mapInArrow(_spread(shared), "key long, doc_id long").distinct()
+    lines = scratch.save(docs.mapInArrow(_number, f"doc_id {kind}, line_no long, line long"), "lines")
+    shared = repeated(docs.select("text"), lambda b: (keys for keys, _ in _band_keys(b)))
+    some = docs.select("text").mapInArrow(_spread(shared), "key long, doc_id long").distinct()
     some = scratch.save(some, "some")
     shared.destroy()
     lists = some.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key")
@@ -164,22 +216,25 @@ def line_components(documents: DataFrame) -> DataFrame:
                     keep = np.flatnonzero(hits(line_bits.value, xxhash_bits(line)))
                     if len(keep):
                         text = [points[s:e].tobytes().decode("utf-32-le", "surrogatepass") for s, e in zip(start[keep].tolist(), end[keep].tolist(), strict=True)]
-                        _, n = batch.row_sets(*_windows(points, start[keep], end[keep]))
-                        yield pa.RecordBatch.from_arrays([pa.array(line[keep]), pa.array(text), pa.array(n.astype(np.int32))], ["doc_id", "text", "n"])
+                        yield pa.RecordBatch.from_arrays([pa.array(line[keep]), pa.array(text)], ["doc_id", "text"])
 
-    fetched = docs.select("text").mapInArrow(fetch, "doc_id long, text string, n int").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("n").alias("n"), (-F.count("*")).alias("rank"))
-    whole = scratch.save(fetched.join(wanted, "doc_id", "left_semi"), "whole")
+    fetched = docs.select("text").mapInArrow(fetch, "doc_id long, text string").groupBy("doc_id").agg(F.min("text").alias("text"), (-F.count("*")).alias("rank"))
+    words = [f"w{j}" for j in range(WORDS)]
+    measured = fetched.join(wanted, "doc_id", "left_semi").mapInArrow(_measure, f"doc_id long, text string, rank long, n int, {', '.join(f'{w} long' for w in words)}")
+    whole = scratch.save(measured, "whole")
     line_bits.destroy()
     # The line that most texts have, as a passage's own wording, is likely to be the one that its variants link to.
-    entries = scratch.save(listed.join(whole.select("doc_id", "n", "rank"), "doc_id").select("key", "doc_id", "n", F.lit(0).alias("pos"), "rank"), "entries")
+    entries = listed.join(whole.select("doc_id", "n", "rank"), "doc_id").select("key", "doc_id", "n", F.lit(0).alias("pos"), "rank", F.col("doc_id").alias("component"))
+    entries = scratch.save(entries, "entries")
+    scratch.drop("some", "listed")
+    scratch.release()
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def verified(pairs: DataFrame, turn: int) -> DataFrame:
         u, v = (whole.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}")) for x in "uv")
-        return pairs.join(u, "u").join(v, "v").select("u", "v", "text_u", "text_v").mapInArrow(_verify, "u long, v long")
+        return scratch.save(pairs.join(u, "u").join(v, "v").select("u", "v", "cu", "cv", "text_u", "text_v").mapInArrow(_verify, PAIRS), f"linked-{turn}")
 
-    none = components(entries.select(F.col("doc_id").alias("u"), F.col("doc_id").alias("v")).limit(0), scratch, "none")
-    labels = settle(entries, none, verified, PERCENT, scratch)
-    held = lines.select("doc_id", "line_no", "line").join(labels.select(F.col("id").alias("line"), "component"), "line", "left").withColumn("component", F.coalesce("component", "line"))
+    moved = settle(entries, verified, PERCENT, scratch, whole.select("doc_id", *words), _bitmaps_fit())
+    held = merged(lines.select("doc_id", "line_no", "line", F.col("line").alias("component")), moved)
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no")
     first = held.groupBy("component").agg(F.min(place).alias("first"))
     out = held.join(first, "component").select("doc_id", "line_no", "line", "component", place.eqNullSafe(F.col("first")).alias("kept"))

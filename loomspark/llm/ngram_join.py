@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.llm import batch
-from loomspark.llm.components import components, settle
+from loomspark.llm.components import ANCHOR_ROUNDS, components, merged, settle
 from loomspark.llm.idfilter import hits, id_filter
 from loomspark.llm.repeats import may_repeat, repeated
 from loomspark.llm.store import Scratch
@@ -49,6 +49,8 @@ WINDOW = 0.25
 
 _SETS = "doc_id long, n int, fp1 long, fp2 long, window int, prefix binary"
 _KEYS = "key long, doc_id long, n int, pos int"
+_PAIR = ["u", "v", "cu", "cv"]
+PAIRS = "u long, v long, cu long, cv long"
 
 
 def least_overlap(n, percent: int):
@@ -161,12 +163,16 @@ def _make_keys(percent: int, boundary: int, shared):
     return run
 
 
+#: Sizes of which every list element is counted for the cost, and the share counted of larger ones.
+SMALL, ONE_IN = 32, 16
+
+
 def _boundary(reps: DataFrame, percent: int) -> int:
     """The size up to which sets are light, by the cost of either way over the whole table.
 
-    List lengths are those of one in 64 list elements of every set, which decides the cost and never the
-    result. The summary has at most as many rows as there are sizes up to 256; beyond, subsets of two
-    always cost more than they save."""
+    List lengths are counted, of every element of sets of SMALL elements or fewer and of one in ONE_IN elements
+    of larger ones; they decide the cost and never the result. The summary has at most as many rows as there are
+    sizes up to 256; beyond, subsets of two always cost more than they save."""
 
     def sample(batches):
         for b in batches:
@@ -174,14 +180,21 @@ def _boundary(reps: DataFrame, percent: int) -> int:
             per = [x[: s - least_overlap(s, percent) + 1] for x, s in zip(per, n.tolist(), strict=True)]
             lens = np.array([len(x) for x in per], np.int64)
             tokens, n = np.concatenate([*per, np.zeros(0, np.uint64)]), np.repeat(n, lens)
-            one = tokens % np.uint64(64) == 0
-            yield pa.RecordBatch.from_arrays([pa.array(tokens[one].view(np.int64)), pa.array(n[one].astype(np.int32))], ["key", "n"])
+            some = (n <= SMALL) | (tokens % np.uint64(ONE_IN) == 0)
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[some].view(np.int64)), pa.array(n[some].astype(np.int32))], ["key", "n"])
 
     tokens = reps.select("n", "prefix").mapInArrow(sample, "key long, n int")
     lists = tokens.groupBy("key", F.least("n", F.lit(257)).alias("size")).agg(F.count("*").alias("c"))
     lists = lists.join(lists.groupBy("key").agg(F.sum("c").alias("length")), "key").groupBy("size").agg((F.sum(F.col("c") * (F.col("length") - 1)) / F.sum("c")).alias("scanned"))
     scanned = {r[0]: r[1] for r in lists.collect()}
     sizes = {r[0]: r[1] for r in reps.where("n <= 256").groupBy("n").agg(F.count("*")).collect()}
+    return cheapest_boundary(sizes, scanned, percent)
+
+
+def cheapest_boundary(sizes: dict[int, int], scanned: dict[int, float], percent: int) -> int:
+    """The boundary of least cost, 0 if every set is heavy. sizes: sets by size; scanned: other entries in the
+    list of an element, in the mean, by its set's size. A light set of prefix p costs its p (p + 1) / 2 subsets, a
+    heavy one an entry and a scan of the list for each of p elements."""
     best, least, total = 0, 0.0, 0.0
     for s in range(1, 257):
         p = s - least_overlap(s, percent) + 1
@@ -209,8 +222,7 @@ def _bound(percent: int):
                     both = max(int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()), int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum()))
                 most = both + min(s - len(x), t - len(y))
                 keep[i] = most * (100 + percent) >= percent * (s + t)
-            mask = pa.array(keep)
-            yield pa.RecordBatch.from_arrays([b.column("u").filter(mask), b.column("v").filter(mask)], ["u", "v"])
+            yield b.filter(pa.array(keep)).select(_PAIR)
 
     return run
 
@@ -223,8 +235,7 @@ def verify(percent: int):
             keep = np.zeros(b.num_rows, bool)
             for i, (x, y) in enumerate(zip(b.column("set_u"), b.column("set_v"), strict=True)):
                 keep[i] = jaccard_at_least(np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8"), percent)
-            mask = pa.array(keep)
-            yield pa.RecordBatch.from_arrays([b.column("u").filter(mask), b.column("v").filter(mask)], ["u", "v"])
+            yield b.filter(pa.array(keep)).select(_PAIR)
 
     return run
 
@@ -278,14 +289,15 @@ def _whole_sets(docs: DataFrame, ids: DataFrame, k: int, scratch: Scratch) -> Da
     return whole
 
 
-def jaccard_components(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+def jaccard_components(documents: DataFrame, k: int = 5, percent: int = 80, boundary: int | None = None) -> DataFrame:
     """documents (doc_id long, text) -> (doc_id, n_shingles long, component_id long), a row for each row.
 
     component_id is the smallest doc_id that a document reaches by links, itself included. A null text is
     an empty one; a text without words has an empty set and links with nothing. A text of fewer than k
     words has one n-gram, all its words. A-Z are lower-cased. Rows with a null doc_id get a null
     component and link with nothing. If a doc_id comes more than once, the links of all its texts
-    count as its links. Other columns are ignored.
+    count as its links. Other columns are ignored. boundary: the size up to which sets are light, chosen by
+    cost if not given; the result is the same for any.
     """
     scratch = Scratch(documents.sparkSession, "ngram-join")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -299,11 +311,9 @@ def jaccard_components(documents: DataFrame, k: int = 5, percent: int = 80) -> D
     full = sets.where("n > 0 and doc_id is not null")
     # A set is a class; ids that come more than once tie their classes together.
     least = full.groupBy("n", "fp1", "fp2").agg(F.min("doc_id").alias("rep"))
-    members = full.select("doc_id", "n", "fp1", "fp2").join(least, ["n", "fp1", "fp2"]).select("doc_id", "n", "rep")
-    members = scratch.save(members, "members")
-    sizes = scratch.save(sets.select("doc_id", F.col("n").cast("long").alias("n_shingles")), "sizes")
+    members = scratch.save(sets.select("doc_id", "n", "fp1", "fp2").join(least, ["n", "fp1", "fp2"], "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("component")), "members")
     # A document that is not its class's smallest id may pass by chance: its component is known, so it adds no pair.
-    stand, bit = id_filter(least.select(F.col("rep").alias("doc_id")))
+    stand, bit = id_filter(members.where("n > 0 and doc_id = component").select("doc_id"))
 
     def standing(batches):
         for b in batches:
@@ -318,33 +328,41 @@ def jaccard_components(documents: DataFrame, k: int = 5, percent: int = 80) -> D
     stand.destroy()
     scratch.drop("sets")
 
-    boundary = _boundary(reps, percent)
+    if boundary is None:
+        boundary = _boundary(reps, percent)
     shared = repeated(reps.select("n", "window", "prefix"), lambda b: (keys for _, _, keys, _ in _keys_of(b, percent, boundary)))
     keys = scratch.save(reps.mapInArrow(_make_keys(percent, boundary, shared), _KEYS), "keys")
     lists = keys.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("key")
-    entries = scratch.save(keys.join(lists, "key").select("key", "doc_id", "n", "pos", F.col("pos").alias("rank")), "entries")
+    known = components(members.where("n > 0").select(F.col("doc_id").alias("u"), F.col("component").alias("v")), scratch, "classes") if not unique else None
+    entries = keys.join(lists, "key").select("key", "doc_id", "n", "pos", F.col("pos").alias("rank"), F.col("doc_id").alias("component"))
+    entries = scratch.save(merged(entries, known), "entries")
     scratch.drop("keys")
     shared.destroy()
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = scratch.save(pairs, "pairs")
-        some = _pick(reps, pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct(), percent, common, scratch)
-        u, v = (some.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("codes").alias(f"codes_{x}")) for x in "uv")
-        near = pairs.join(u, "u").join(v, "v").select("u", "v", "n_u", "n_v", "codes_u", "codes_v").mapInArrow(_bound(percent), "u long, v long")
-        near = scratch.save(near.distinct(), "near")
-        ids = near.select(F.col("u").alias("doc_id")).union(near.select("v")).distinct()
+    scratch.release()
+
+    def verified(pairs: DataFrame, turn: int) -> DataFrame:
+        if turn == ANCHOR_ROUNDS:  # of all pairs of a list, most are told apart by what their prefixes show
+            ids = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
+            some = _pick(reps, ids, percent, common, scratch)
+            u, v = (some.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("codes").alias(f"codes_{x}")) for x in "uv")
+            near = pairs.join(u, "u").join(v, "v").select(*_PAIR, "n_u", "n_v", "codes_u", "codes_v").mapInArrow(_bound(percent), PAIRS)
+            pairs = scratch.save(near if unique else near.distinct(), "near")
+        ids = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
         whole = _whole_sets(docs, ids, k, scratch)
         u, v = (whole.select(F.col("doc_id").alias(x), F.col("set").alias(f"set_{x}")) for x in "uv")
-        linked = near.join(u, "u").join(v, "v").select("u", "v", "set_u", "set_v").mapInArrow(verify(percent), "u long, v long").distinct()
-        linked = scratch.save(linked, "linked")
-        for done in ("pairs", "some", "near", "whole"):
-            scratch.drop(done)
+        linked = pairs.join(u, "u").join(v, "v").select(*_PAIR, "set_u", "set_v").mapInArrow(verify(percent), PAIRS)
+        linked = scratch.save(linked, f"linked-{turn}")
+        scratch.drop("some", "near", "whole")
+        scratch.release()
         return linked
 
-    # With one row an id its class is all that it is tied to so far.
-    classes = members.select(F.col("doc_id").alias("id"), F.col("rep").alias("component")) if unique else components(members.select(F.col("doc_id").alias("u"), F.col("rep").alias("v")), scratch, "classes")
-    labels = settle(entries, classes, verified, percent, scratch)
-    out = sizes.join(labels.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    moved = settle(entries, verified, percent, scratch)
+    size = F.col("n").cast("long").alias("n_shingles")
+    if unique:
+        out = merged(members, moved).select("doc_id", size, F.col("component").alias("component_id"))
+    else:
+        labels = merged(known, moved).select(F.col("id").alias("doc_id"), F.col("component").alias("known"))
+        out = merged(members.join(labels, "doc_id", "left").select("doc_id", "n", F.coalesce("known", "component").alias("component")), moved).select("doc_id", size, F.col("component").alias("component_id"))
     out = scratch.save(out, "result")
     scratch.only("result")
     common.destroy()

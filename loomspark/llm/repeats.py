@@ -9,6 +9,7 @@ are met again, and more unique keys pass; whoever uses the filter must check wha
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -44,7 +45,8 @@ def _merge(batches) -> Iterator[pa.RecordBatch]:
             again[r][at[1:][at[1:] == at[:-1]]] = True
             once[r][at] = True
     for r, bits in again.items():
-        yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["range", "bits"])
+        packed = zlib.compress(np.packbits(bits, bitorder="little").tobytes(), 1)
+        yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([packed], pa.binary())], ["range", "bits"])
 
 
 def repeated(rows: DataFrame, keys: Callable[[pa.RecordBatch], Iterator[np.ndarray]]):
@@ -64,8 +66,8 @@ def repeated(rows: DataFrame, keys: Callable[[pa.RecordBatch], Iterator[np.ndarr
 
     told = rows.mapInArrow(run, "range int, steps binary").repartition("range").mapInArrow(_merge, "range int, bits binary")
     out = np.zeros((_RANGES, _SPAN // 8), np.uint8)
-    for r, bits in told.toLocalIterator():
-        out[r] = np.frombuffer(bits, np.uint8)
+    for r, bits in told.collect():  # 256 ranges of 128 KB at most
+        out[r] = np.frombuffer(zlib.decompress(bits), np.uint8)
     return rows.sparkSession.sparkContext.broadcast(out.ravel())
 
 

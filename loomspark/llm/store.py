@@ -10,14 +10,16 @@ import gc
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """The shared folder of this session; a temporary one only where no cluster names one (tests)."""
+    """The shared folder of this session; a temporary one only on one machine (tests), where none is set."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         named = tempfile.mkdtemp(prefix="loomspark-")
         sc.setCheckpointDir(named)
     return named.rstrip("/")
@@ -39,16 +41,24 @@ class Scratch:
         """Write df and read it back: its lineage ends here, and its shuffle files can go."""
         at = f"{self.path}/{name}"
         df.write.mode("overwrite").parquet(at)
-        out = self.spark.read.schema(df.schema).parquet(at)
-        del df
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-        return out
+        return self.spark.read.schema(df.schema).parquet(at)
+
+    def save_with(self, df: DataFrame, name: str, measures: list[Column]) -> tuple[DataFrame, dict]:
+        """save, and aggregates of df that are measured while it is written."""
+        seen = Observation()
+        return self.save(df.observe(seen, *measures), name).select(*df.columns), seen.get
 
-    def drop(self, name: str) -> None:
-        """Delete a table that no later step reads."""
+    def drop(self, *names: str) -> None:
+        """Delete tables that no later step reads."""
         jvm = self.spark.sparkContext._jvm
-        self._fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}"), True)
+        for name in names:
+            self._fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}"), True)
+
+    def release(self) -> None:
+        """Let Spark delete the shuffle files of plans that nobody holds any more. It does so when the driver
+        collects its garbage, which on a driver with a large heap may be long after a disk is full."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
 
     def only(self, name: str) -> None:
         """Delete all tables but one."""
