@@ -49,6 +49,15 @@ def merged(table: DataFrame, moved: DataFrame | None, column: str = "component")
     return table.join(now, column, "left").withColumn(column, F.coalesce("_now", column)).select(*table.columns)
 
 
+def distinct_lists(entries: DataFrame) -> DataFrame:
+    """entries (key, doc_id, pos) of lists of several candidates, and of lists of the same candidates only one: that
+    of the least place, which all their pairs meet first. Lists are told apart by their size and 128 bits of
+    hashes."""
+    lists = entries.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("size"), F.min("pos").alias("pos"), F.bit_xor(F.xxhash64("doc_id")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(1), "doc_id")).alias("h2")).where("lo < hi")
+    keys = lists.groupBy("size", "lo", "hi", "h1", "h2").agg(F.min(F.struct("pos", "key"))["key"].alias("key")).select("key")
+    return entries.join(keys, "key", "left_semi")
+
+
 def _ends() -> list[Column]:
     return [F.least("u", "v").alias("lo"), F.greatest("u", "v").alias("hi")]
 
@@ -58,7 +67,7 @@ def fitting(n_u: str, pos_u: str, n_v: str, pos_v: str, percent: int) -> Column:
     return F.expr(f"100 * least({n_u}, {n_v}) >= {percent} * greatest({n_u}, {n_v}) and least({n_u} - {pos_u}, {n_v} - {pos_v}) * {100 + percent} >= {percent} * ({n_u} + {n_v})")
 
 
-def settle(entries: DataFrame, verified: Callable[[DataFrame, int], DataFrame], percent: int, scratch: Scratch, detail: DataFrame | None = None, fits: Column | None = None) -> DataFrame | None:
+def settle(entries: DataFrame, verified: Callable[[DataFrame, int], DataFrame], percent: int, scratch: Scratch, detail: Callable[[DataFrame], DataFrame] | None = None, fits: Column | None = None) -> DataFrame | None:
     """(id, component) of the components that links in the lists join; None if there is no link. A component
     that is not named stays as it is.
 
@@ -67,7 +76,7 @@ def settle(entries: DataFrame, verified: Callable[[DataFrame, int], DataFrame],
     rank is least where most links are to be expected. verified: of pairs (u, v, cu, cv) those that link, as a
     saved table. First every candidate meets one anchor a round. Then, of lists that still hold several
     components, candidates of different components that have not met are paired, unless sizes, places
-    or `fits` rule a link out: a condition on what `detail` has of each doc_id, as columns with _x and _y. So no link between components is missed, a list of one component costs nothing more, and
+    or `fits` rule a link out: a condition on what `detail` gives of each doc_id, as columns with _x and _y. So no link between components is missed, a list of one component costs nothing more, and
     a group of copies costs a pair a copy.
     """
     met = links = moved = None
@@ -84,7 +93,9 @@ def settle(entries: DataFrame, verified: Callable[[DataFrame, int], DataFrame],
             pairs = pairs.groupBy("u").agg(F.max_by(F.struct("v", "cu", "cv"), F.struct("shared", "v")).alias("p")).select("u", "p.*")
         else:
             held = held.join(bounds.select("key"), "key", "left_semi").select("key", "doc_id", "n", "pos", "component")
-            held = scratch.save(held if detail is None else held.join(detail, "doc_id"), "open")
+            held = scratch.save(held, "open")
+            if detail is not None:
+                held = held.join(detail(held.select("doc_id").distinct()), "doc_id")
             x, y = (held.select("key", *(F.col(c).alias(f"{c}_{s}") for c in held.columns if c != "key")) for s in "xy")
             room = (F.col("component_x") < F.col("component_y")) & fitting("n_x", "pos_x", "n_y", "pos_y", percent)
             pairs = x.join(y, "key").where(room if fits is None else room & fits)

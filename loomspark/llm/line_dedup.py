@@ -9,8 +9,8 @@ So that a line of few windows has few empty bins, each of its windows gives seve
 a class of sizes, each up to twice the next one's; a line that may have a partner in the next class, as it has
 more than 0.8 times that one's least size, has keys there too.
 
-With ROWS = 7 and BANDS = 18 a pair of similarity 0.8 shares a key with probability 0.986, one of 0.9 with
-0.99999, one of 0.1 with 2e-6, so that lists hold near copies and not chance ones however many lines there are.
+With ROWS = 6 and BANDS = 14 a pair of similarity 0.8 shares a key with probability 0.986, one of 0.9 with
+0.9999, one of 0.1 with 0.00001.
 
 Before the candidates of a list are paired, bitmaps of their windows bound how much two of them share: an exact
 test, which lines with a long passage in common, but too much of their own beside it, do not pass.
@@ -18,31 +18,29 @@ test, which lines with a long passage in common, but too much of their own besid
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.llm import batch
-from loomspark.llm.components import merged, settle
+from loomspark.llm.components import distinct_lists, merged, settle
 from loomspark.llm.idfilter import hits, id_filter, xxhash_bits
 from loomspark.llm.ngram_join import PAIRS, jaccard_at_least
 from loomspark.llm.repeats import may_repeat, repeated
 from loomspark.llm.store import Scratch
 
 WINDOW = 5
-ROWS, BANDS = 7, 18
+ROWS, BANDS = 6, 14
 PERCENT = 80
 #: (hashes a window, most windows of a line) of each class; a class begins above 0.4 times its most.
-CLASSES = ((64, 5), (32, 10), (16, 20), (8, 40), (4, 80), (2, 160), (1, 1 << 40))
+CLASSES = ((64, 4), (32, 8), (16, 16), (8, 32), (4, 64), (2, 128), (1, 1 << 40))
 #: 64-bit words of a line's bitmap of windows.
-WORDS = 16
+WORDS = 64
 _BLANK = np.zeros(128, bool)
 _BLANK[[0x20, 9, 10, 11, 12, 13]] = True
 _PLACES = batch.random_values(WINDOW, 7) | np.uint64(1)
-_SEEDS = batch.random_values(64, 11)
+_SEEDS = batch.random_values(64, 11) | np.uint64(1)
 _U = np.uint64
 
 
@@ -84,6 +82,17 @@ def _line_hash(points: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
     return batch.span_hash(batch.running_hash(batch.mix(points.astype(_U) + _U(1))), start, end).view(np.int64)
 
 
+def _borrowed(low: np.ndarray) -> np.ndarray:
+    """low with each empty bin's value made of the next bin that has one, after the last one the first."""
+    bins = low.shape[1]
+    empty = low == ~_U(0)
+    at = np.where(empty, bins, np.arange(bins))
+    at = np.where(empty, at.min(1, keepdims=True) + bins, at)  # as if the first one stood again after the last
+    at = np.minimum.accumulate(at[:, ::-1], axis=1)[:, ::-1]
+    steps = (at - np.arange(bins)).astype(_U)
+    return np.take_along_axis(low, at % bins, 1) + steps * _U(0x9E3779B97F4A7C15)
+
+
 def _bands(values: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Keys of lines' bands, BANDS for each (line, class), and the line that each such row is of."""
     bins, keys, rows = ROWS * BANDS, [], []
@@ -97,19 +106,13 @@ def _bands(values: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarra
         low = np.full(len(n) * bins, ~_U(0))
         at = np.repeat(np.arange(len(n)) * bins, n)
         for j in range(seeds):
-            hashed = batch.mix(mine ^ _SEEDS[j])
-            np.minimum.at(low, at + ((hashed >> _U(32)) * _U(bins) >> _U(32)).astype(np.int64), hashed)
-        low = low.reshape(-1, bins)
-        empty = low == ~_U(0)
-        for _ in range(bins):
-            if not empty.any():
-                break
-            low = np.where(empty, batch.mix(np.roll(low, -1, 1)), low)
-            empty &= np.roll(empty, -1, 1)
+            hashed = mine * _SEEDS[j]
+            np.minimum.at(low, at + ((hashed >> _U(40)) * _U(bins) >> _U(24)).view(np.int64), hashed)
+        low = _borrowed(low.reshape(-1, bins))
         key = np.full((len(n), BANDS), _U(seeds))
         for j in range(ROWS):
-            key = batch.mix(key * _U(0xA0761D6478BD642F) + low[:, j * BANDS : (j + 1) * BANDS])
-        keys.append(batch.mix(key + np.arange(BANDS, dtype=_U)))
+            key = key * _U(0xA0761D6478BD642F) + low[:, j * BANDS : (j + 1) * BANDS]
+        keys.append(batch.mix(key ^ _SEEDS[:BANDS]))
         rows.append(np.flatnonzero(inside))
     return np.concatenate([*keys, np.zeros((0, BANDS), _U)]), np.concatenate([*rows, np.zeros(0, np.int64)])
 
@@ -120,72 +123,90 @@ def _parts(b: pa.RecordBatch, step: int = 128):
         yield part, _lines(part.column("text").to_pylist())
 
 
-def _number(batches):
-    """Task side: the lines of texts, by hash."""
-    for b in batches:
-        for part, (points, start, end, doc, number) in _parts(b):
-            if len(start):
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(doc)), pa.array(number), pa.array(_line_hash(points, start, end))], ["doc_id", "line_no", "line"])
-
-
 def _band_keys(b: pa.RecordBatch):
-    """(keys, lines) of a batch's texts."""
+    """The keys of a batch's texts."""
     for _, (points, start, end, _doc, _no) in _parts(b):
         if len(start):
-            keys, row = _bands(*_windows(points, start, end))
-            yield keys.ravel(), np.repeat(_line_hash(points, start, end)[row], BANDS)
+            yield _bands(*_windows(points, start, end))[0].ravel()
+
+
+#: Lines that a task remembers to have sent the keys of; beyond, it may send some again.
+_SEEN = 1 << 18
 
 
 def _spread(shared):
-    """Task side: (key, line) of the bands that more than one line may have."""
+    """Task side: the lines of texts, with those keys that more than one line may have. A line that a task meets
+    again has none, so that a line of very many texts is sent once a task."""
 
     def run(batches):
+        seen: set[int] = set()
         for b in batches:
-            for keys, lines in _band_keys(b):
-                some = np.flatnonzero(may_repeat(shared.value, keys))
-                yield pa.RecordBatch.from_arrays([pa.array(keys[some].view(np.int64)), pa.array(lines[some])], ["key", "doc_id"])
+            for part, (points, start, end, doc, number) in _parts(b):
+                if not len(start):
+                    continue
+                line = _line_hash(points, start, end)
+                first = np.unique(line, return_index=True)[1]
+                first = first[[x not in seen for x in line[first].tolist()]]
+                seen = seen if len(seen) < _SEEN else set()
+                seen.update(line[first].tolist())
+                mask = np.zeros(len(line), bool)
+                mask[first] = True
+                values, count = _windows(points, start, end)
+                keys, row = _bands(values[np.repeat(mask, count)], count[mask])
+                some = may_repeat(shared.value, keys.ravel())
+                turn = np.argsort(row, kind="stable")
+                sent = np.bincount(row, some.reshape(-1, BANDS).sum(1), int(mask.sum())).astype(np.int64)
+                per = np.zeros(len(line) + 1, np.int32)
+                per[1:][mask] = sent
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum(per, dtype=np.int32)), pa.array(keys[turn].ravel()[some.reshape(-1, BANDS)[turn].ravel()].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(doc)), pa.array(number), pa.array(line), lists], ["doc_id", "line_no", "line", "keys"])
 
     return run
 
 
-@lru_cache(maxsize=4096)
-def _set(text: str) -> np.ndarray:
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-    return np.unique(_windows(points, np.array([0]), np.array([len(points)]))[0])
+def _window_sets(texts: list[str], step: int = 512):
+    """Of lines their distinct windows, some lines at a time: (first line, windows in order, how many each has)."""
+    for i in range(0, len(texts), step):
+        some = texts[i : i + step]
+        points = np.frombuffer("".join(some).encode("utf-32-le", "surrogatepass"), "<u4")
+        end = np.cumsum([len(t) for t in some])
+        yield i, *batch.row_sets(*_windows(points, np.concatenate(([0], end[:-1])), end))
 
 
 def _verify(batches):
     """Task side: of pairs of lines those of a similarity of PERCENT or more."""
     for b in batches:
-        texts = zip(b.column("text_u").to_pylist(), b.column("text_v").to_pylist(), strict=True)
-        yield b.filter(pa.array([jaccard_at_least(_set(x), _set(y), PERCENT) for x, y in texts], pa.bool_())).select(["u", "v", "cu", "cv"])
+        keep = np.zeros(b.num_rows, bool)
+        for (i, x, n), (_, y, m) in zip(_window_sets(b.column("text_u").to_pylist()), _window_sets(b.column("text_v").to_pylist()), strict=True):
+            x_end, y_end = np.cumsum(n).tolist(), np.cumsum(m).tolist()
+            for j, (p, q, s, t) in enumerate(zip(n.tolist(), m.tolist(), x_end, y_end, strict=True)):
+                keep[i + j] = jaccard_at_least(x[s - p : s], y[t - q : t], PERCENT)
+        yield b.filter(pa.array(keep)).select(["u", "v", "cu", "cv"])
 
 
-def _window_sets(b: pa.RecordBatch, step: int = 512):
-    """Of lines their distinct windows, some lines at a time: (first row, windows, how many each has)."""
-    for i in range(0, b.num_rows, step):
-        texts = b.column("text").slice(i, step).to_pylist()
-        points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
-        end = np.cumsum([len(t) for t in texts])
-        yield i, *batch.row_sets(*_windows(points, np.concatenate(([0], end[:-1])), end))
+def _measure(batches):
+    """Task side: each line's number of distinct windows."""
+    for b in batches:
+        n = np.concatenate([n for _, _, n in _window_sets(b.column("text").to_pylist())] or [np.zeros(0, np.int64)])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), b.column("rank"), pa.array(n.astype(np.int32))], ["doc_id", "text", "rank", "n"])
 
 
-def _measure(batches):
-    """Task side: each line's number of distinct windows and their bitmap."""
+def _bitmaps(batches):
+    """Task side: the bitmap of each line's windows, and how many bits it has."""
     for b in batches:
-        for i, values, n in _window_sets(b):
+        for i, values, n in _window_sets(b.column("text").to_pylist()):
             bits = np.zeros((len(n), WORDS * 64), bool)
             bits[np.repeat(np.arange(len(n)), n), (values % _U(WORDS * 64)).astype(np.int64)] = True
             words = np.packbits(bits, axis=1, bitorder="little").view("<i8")
-            part = b.slice(i, len(n))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), part.column("rank"), pa.array(n.astype(np.int32)), *(pa.array(words[:, j].copy()) for j in range(WORDS))], ["doc_id", "text", "rank", "n", *(f"w{j}" for j in range(WORDS))])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * WORDS), pa.array(words.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, len(n)), lists, pa.array(bits.sum(1).astype(np.int32))], ["doc_id", "words", "set"])
 
 
-def _bitmaps_fit():
-    """Of two lines, whether their bitmaps leave room for a link: every bit that only one of them has stands for a
-    window at least that the other lacks."""
-    only = lambda a, b: " + ".join(f"bit_count(w{j}_{a} & ~w{j}_{b})" for j in range(WORDS))
-    return F.expr(f"least(n_x - ({only('x', 'y')}), n_y - ({only('y', 'x')})) * {100 + PERCENT} >= {PERCENT} * (n_x + n_y)")
+#: Of two lines, whether their bitmaps leave room for a link: each bit that only one of them has stands for a window
+#: at least that the other lacks. What only y has follows from what only x has.
+_FIT = f"""
+exists(array(int(aggregate(zip_with(words_x, words_y, (a, b) -> bit_count(a & ~b)), 0, (s, c) -> s + c))),
+       o -> least(n_x - o, n_y - o + set_x - set_y) * {100 + PERCENT} >= {PERCENT} * (n_x + n_y))"""
 
 
 def line_components(documents: DataFrame) -> DataFrame:
@@ -198,13 +219,12 @@ def line_components(documents: DataFrame) -> DataFrame:
     scratch = Scratch(documents.sparkSession, "lines")
     kind = documents.schema["doc_id"].dataType.simpleString()
     docs = documents.select("doc_id", F.col("text").cast("string").alias("text"))
-    lines = scratch.save(docs.mapInArrow(_number, f"doc_id {kind}, line_no long, line long"), "lines")
-    shared = repeated(docs.select("text"), lambda b: (keys for keys, _ in _band_keys(b)))
-    some = docs.select("text").mapInArrow(_spread(shared), "key long, doc_id long").distinct()
-    some = scratch.save(some, "some")
+    shared = repeated(docs.select("text"), _band_keys)
+    lines = scratch.save(docs.mapInArrow(_spread(shared), f"doc_id {kind}, line_no long, line long, keys array<long>"), "lines")
     shared.destroy()
-    lists = some.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key")
-    listed = scratch.save(some.join(lists, "key", "left_semi"), "listed")
+    # Dealt by key once, for what follows up to the listed candidates.
+    some = lines.where("size(keys) > 0").select(F.explode("keys").alias("key"), F.col("line").alias("doc_id"), F.lit(0).alias("pos")).repartition("key").distinct()
+    listed = scratch.save(distinct_lists(some), "listed")
     wanted = listed.select("doc_id").distinct()
     line_bits, _ = id_filter(wanted)
 
@@ -219,21 +239,19 @@ def line_components(documents: DataFrame) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array(line[keep]), pa.array(text)], ["doc_id", "text"])
 
     fetched = docs.select("text").mapInArrow(fetch, "doc_id long, text string").groupBy("doc_id").agg(F.min("text").alias("text"), (-F.count("*")).alias("rank"))
-    words = [f"w{j}" for j in range(WORDS)]
-    measured = fetched.join(wanted, "doc_id", "left_semi").mapInArrow(_measure, f"doc_id long, text string, rank long, n int, {', '.join(f'{w} long' for w in words)}")
-    whole = scratch.save(measured, "whole")
+    whole = scratch.save(fetched.join(wanted, "doc_id", "left_semi").mapInArrow(_measure, "doc_id long, text string, rank long, n int"), "whole")
     line_bits.destroy()
     # The line that most texts have, as a passage's own wording, is likely to be the one that its variants link to.
     entries = listed.join(whole.select("doc_id", "n", "rank"), "doc_id").select("key", "doc_id", "n", F.lit(0).alias("pos"), "rank", F.col("doc_id").alias("component"))
     entries = scratch.save(entries, "entries")
-    scratch.drop("some", "listed")
+    scratch.drop("listed")
     scratch.release()
 
     def verified(pairs: DataFrame, turn: int) -> DataFrame:
         u, v = (whole.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}")) for x in "uv")
         return scratch.save(pairs.join(u, "u").join(v, "v").select("u", "v", "cu", "cv", "text_u", "text_v").mapInArrow(_verify, PAIRS), f"linked-{turn}")
 
-    moved = settle(entries, verified, PERCENT, scratch, whole.select("doc_id", *words), _bitmaps_fit())
+    moved = settle(entries, verified, PERCENT, scratch, lambda ids: whole.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(_bitmaps, "doc_id long, words array<long>, set int"), F.expr(_FIT))
     held = merged(lines.select("doc_id", "line_no", "line", F.col("line").alias("component")), moved)
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no")
     first = held.groupBy("component").agg(F.min(place).alias("first"))

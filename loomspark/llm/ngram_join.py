@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.llm import batch
-from loomspark.llm.components import ANCHOR_ROUNDS, components, merged, settle
+from loomspark.llm.components import ANCHOR_ROUNDS, components, distinct_lists, merged, settle
 from loomspark.llm.idfilter import hits, id_filter
 from loomspark.llm.repeats import may_repeat, repeated
 from loomspark.llm.store import Scratch
@@ -332,9 +332,8 @@ def jaccard_components(documents: DataFrame, k: int = 5, percent: int = 80, boun
         boundary = _boundary(reps, percent)
     shared = repeated(reps.select("n", "window", "prefix"), lambda b: (keys for _, _, keys, _ in _keys_of(b, percent, boundary)))
     keys = scratch.save(reps.mapInArrow(_make_keys(percent, boundary, shared), _KEYS), "keys")
-    lists = keys.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("key")
     known = components(members.where("n > 0").select(F.col("doc_id").alias("u"), F.col("component").alias("v")), scratch, "classes") if not unique else None
-    entries = keys.join(lists, "key").select("key", "doc_id", "n", "pos", F.col("pos").alias("rank"), F.col("doc_id").alias("component"))
+    entries = distinct_lists(keys.repartition("key").distinct()).select("key", "doc_id", "n", "pos", F.col("pos").alias("rank"), F.col("doc_id").alias("component"))
     entries = scratch.save(merged(entries, known), "entries")
     scratch.drop("keys")
     shared.destroy()
