@@ -8,39 +8,56 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 MATCH = "item long, occurrence long, score long, status string, confidence double"
-#: Confidence by outcome.
-SEVERAL, SINGLE, AMBIGUOUS = 0.95, 0.75, 0.4
+#: Confidence by outcome: several pieces of evidence, one, a hit of the fallback only, a tie.
+SEVERAL, SINGLE, FALLBACK, AMBIGUOUS = 0.95, 0.75, 0.7, 0.4
 
 
 def with_ties(scored: DataFrame) -> DataFrame:
-    """scored (item, file, score, preferred) with `tied`: an item's best score is that of several files and
-    none of them is preferred."""
+    """scored (item, file, score, preferred) with `tied`: before any claim, an item's best score is that of several
+    files, and the item has no preferred file."""
     best = W.partitionBy("item")
     top = scored.withColumn("top", F.max("score").over(best) == F.col("score"))
     files = F.size(F.collect_set(F.when(F.col("top"), F.col("file"))).over(best))
-    preferred = F.max(F.when(F.col("top") & F.col("preferred"), 1).otherwise(0)).over(best)
+    preferred = F.max(F.when(F.col("preferred"), 1).otherwise(0)).over(best)
     return top.withColumn("tied", (files > 1) & (preferred == 0)).drop("top")
 
 
-def greedy(scored: DataFrame, project: str) -> DataFrame:
-    """scored (project, item, occurrence, score, tied) -> MATCH. Items claim in order; each takes the best
-    occurrence (then the smallest) that nobody has claimed. A tied item claims nothing.
-
-    A project is one task's group: later claims depend on earlier ones."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        claimed, out = set(), []
-        for item, rows in pdf.sort_values(["item", "score", "occurrence"], ascending=[True, False, True]).groupby("item", sort=True):
-            if bool(rows["tied"].iloc[0]):
-                out.append((item, None, int(rows["score"].iloc[0]), "AMBIGUOUS", AMBIGUOUS))
-                continue
-            free = [(o, s) for o, s in zip(rows["occurrence"], rows["score"], strict=True) if o not in claimed]
-            if not free:
-                out.append((item, None, None, "NOT_FOUND", 0.0))
-                continue
-            claimed.add(free[0][0])
-            out.append((item, int(free[0][0]), int(free[0][1]), "MATCHED", SEVERAL if len(rows) > 1 else SINGLE))
-        frame = pd.DataFrame(out, columns=["item", "occurrence", "score", "status", "confidence"])
+def claim(items: list[tuple], candidates: dict) -> list[tuple]:
+    """Of items in order, with candidates[item] = [(score, file, place, occurrence, evidence, preferred, fallback)], one
+    row each as in MATCH.
+
+    An item takes, of the occurrences that nobody has claimed, the best one, then the first by file and place. It is
+    ambiguous, and claims nothing, if that score is held by occurrences of several files and the item has no preferred
+    file at all. Fallback candidates count only where no other is free. An item without candidates is not found."""
+    claimed, out = set(), []
+    for item in items:
+        every = candidates.get(item, [])
+        preferred = any(c[5] for c in every)
+        for fallback in (False, True):
+            free = sorted((c for c in every if c[6] == fallback and c[3] not in claimed), key=lambda c: (-c[0], c[1], c[2]))
+            if free:
+                break
+        if not free:
+            out.append((item, None, None, "NOT_FOUND", 0.0))
+            continue
+        score, _, _, occurrence, evidence = free[0][:5]
+        if not fallback and not preferred and len({c[1] for c in free if c[0] == score}) > 1:
+            out.append((item, None, score, "AMBIGUOUS", AMBIGUOUS))
+            continue
+        claimed.add(occurrence)
+        out.append((item, occurrence, score, "MATCHED", FALLBACK if fallback else SEVERAL if evidence > 1 else SINGLE))
+    return out
+
+
+def greedy(items: DataFrame, scored: DataFrame, project: str) -> DataFrame:
+    """items (project, item), scored (project, item, occurrence, file, score, evidence, preferred, fallback) -> MATCH, a row
+    for each item. Later claims depend on earlier ones, so a project is one task's group."""
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        held: dict = {}
+        for r in right.itertuples():
+            held.setdefault(r.item, []).append((int(r.score), r.file, int(r.occurrence), int(r.occurrence), int(r.evidence), bool(r.preferred), bool(r.fallback)))
+        frame = pd.DataFrame(claim(sorted(set(left["item"].tolist())), held), columns=["item", "occurrence", "score", "status", "confidence"])
         return frame.astype({"occurrence": "Int64", "score": "Int64"})
 
-    return scored.groupBy(project).applyInPandas(run, MATCH)
+    return items.groupBy(project).cogroup(scored.groupBy(project)).applyInPandas(run, MATCH)

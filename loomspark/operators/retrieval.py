@@ -10,9 +10,25 @@ from pyspark.sql import functions as F
 K1, B, QUERY_TF = 1.2, 0.75, 2
 
 
+#: Words that say nothing in a search, and words that say nothing in a name.
+STOP_WORDS = ("component", "control", "custom", "mui", "widget", "wpf", "控件", "组件")
+GENERIC = ("component", "control", "custom", "extended", "ex", "view", "widget")
+_CJK = r"[\x{4e00}-\x{9fff}]"
+#: Terms that are asked for by all queries, at most, for them to be broadcast; more are joined by a shuffle.
+BROADCAST_TERMS = 200_000
+
+
+def _split_camel(text: Column) -> Column:
+    return F.regexp_replace(text, "([a-z0-9])([A-Z])", "$1 $2")
+
+
 def tokens(text: Column) -> Column:
-    """Camel case split, lower-cased runs of ASCII letters and digits."""
-    return F.regexp_extract_all(F.lower(F.regexp_replace(text, "([a-z0-9])([A-Z])", "$1 $2")), F.lit("[a-z0-9]+"), F.lit(0))
+    """Camel case split, lower-cased runs of ASCII letters and digits or of CJK ideographs, without stop words; a
+    CJK run of more than two characters is followed by its pairs of neighbours. Null gives null."""
+    parts = F.filter(F.regexp_extract_all(F.lower(_split_camel(text)), F.lit(f"[a-z0-9]+|{_CJK}+"), F.lit(0)), lambda x: ~x.isin(*STOP_WORDS))
+    pairs = lambda x: F.transform(F.sequence(F.lit(1), F.length(x) - 1), lambda i: F.substring(x, i, F.lit(2)))
+    more = F.flatten(F.transform(parts, lambda x: F.when(x.rlike(f"^{_CJK}{{3,}}$"), F.concat(F.array(x), pairs(x))).otherwise(F.array(x))))
+    return F.when(text.rlike(f"{_CJK}{{3}}"), more).otherwise(parts)
 
 
 def postings(docs: DataFrame) -> DataFrame:
@@ -21,20 +37,52 @@ def postings(docs: DataFrame) -> DataFrame:
 
 
 def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """docs and queries (id, text) -> (query, id, bm25), scores divided by each query's best.
-
-    Only postings of terms that some query has are joined; those of frequent terms are long lists, a skewed
-    join for adaptive execution to split."""
-    post = postings(docs)
-    lengths = post.groupBy("id").agg(F.sum("tf").alias("length"))
-    stats = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    df = post.groupBy("term").agg(F.count("*").alias("df"))
+    """docs and queries (id, text) -> (query, id, bm25) of documents that share a term, scores divided by each
+    query's best.
+
+    N and the mean length are over all documents, those without a token included. Only terms that some query has
+    leave their document's row: they are broadcast up to BROADCAST_TERMS of them, else joined by a shuffle."""
+    counted = docs.select("id", F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")).alias("tokens"))
+    stats = counted.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("mean")).first()
     asked = postings(queries).select(F.col("id").alias("query"), "term", F.least("tf", F.lit(QUERY_TF)).alias("qtf"))
-    weighted = asked.join(df, "term").crossJoin(F.broadcast(stats)).withColumn("idf", F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    hits = post.join(weighted, "term").join(lengths, "id")
-    gain = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    raw = hits.groupBy("query", "id").agg(F.sum(gain).alias("raw"))
-    return raw.select("query", "id", (F.col("raw") / F.max("raw").over(W.partitionBy("query"))).alias("bm25"))
+    terms = asked.select("term").distinct()
+    few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    words = counted.select("id", F.size("tokens").alias("length"), F.explode("tokens").alias("term")).join(F.broadcast(terms) if few else terms, "term", "left_semi")
+    hits = words.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+    df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    n, mean = F.lit(stats["n"]), F.lit(stats["mean"] or 1.0)
+    weighted = asked.join(df, "term").withColumn("idf", F.ln(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    gain = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean))
+    raw = hits.join(weighted, "term").groupBy("query", "id").agg(F.sum(gain).alias("raw"))
+    best = F.max("raw").over(W.partitionBy("query"))
+    return raw.select("query", "id", F.when(best == 0, 0.0).otherwise(F.col("raw") / best).alias("bm25"))
+
+
+def name_words(name: Column) -> Column:
+    """The distinct words of a name, without generic ones."""
+    return F.array_distinct(F.filter(F.transform(F.regexp_extract_all(_split_camel(name), F.lit("[A-Za-z0-9]+"), F.lit(0)), F.lower), lambda x: ~x.isin(*GENERIC)))
+
+
+def name_similarity(left: Column, right: Column) -> Column:
+    """1 if both are equal in letters and digits, else the Jaccard similarity of their words, 0 if either has none."""
+    plain = lambda x: F.regexp_replace(F.lower(x), "[^a-z0-9]", "")
+    return F.when(plain(left) == plain(right), F.lit(1.0)).otherwise(jaccard(name_words(left), name_words(right)))
+
+
+def alias_similarity(name: Column, aliases: Column) -> Column:
+    """The greatest similarity of a name to one of an array of aliases, 0 for an empty one."""
+    return F.coalesce(F.array_max(F.transform(aliases, lambda a: name_similarity(name, a))), F.lit(0.0))
+
+
+def search_text(*fields: Column) -> Column:
+    """Fields, arrays among them joined by spaces, as one text; nulls and empty ones are skipped."""
+    return F.array_join(F.filter(F.array(*(F.concat_ws(" ", f) for f in fields)), lambda x: x != ""), " ")
+
+
+def render(**sections: Column) -> Column:
+    """Named sections as a text of paragraphs, `name: value`; nulls and empty ones are skipped."""
+    filled = [F.when(F.concat_ws(", ", c) != "", F.concat(F.lit(f"{name}: "), F.concat_ws(", ", c))) for name, c in sections.items()]
+    return F.concat_ws("\n\n", *filled)
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomspark.operators import matching as M
 from loomspark.operators.retrieval import postings
 from loomspark.queries.base import Query
+from loomspark.queries.retrieval import _tokens_sql
 from loomspark.sources.tables import table
 
 
@@ -23,18 +24,29 @@ def scored_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TIES = r"""
-WITH d AS (SELECT DISTINCT doc_id, source, unnest(regexp_extract_all(lower(regexp_replace(text, '([a-z0-9])([A-Z])', '\1 \2', 'g')), '[a-z0-9]+')) AS term FROM documents),
-b AS (SELECT DISTINCT item_id AS item, unnest(regexp_extract_all(lower(regexp_replace(text, '([a-z0-9])([A-Z])', '\1 \2', 'g')), '[a-z0-9]+')) AS term FROM benchmark),
+WITH d AS (SELECT DISTINCT doc_id, source, unnest(""" + _tokens_sql("text") + r""") AS term FROM documents),
+b AS (SELECT DISTINCT item_id AS item, unnest(""" + _tokens_sql("text") + r""") AS term FROM benchmark),
 s AS (SELECT item, doc_id AS occurrence, source AS file, source = 'src' || CAST(item % 20 AS VARCHAR) AS preferred, 10 + 3 * count(*) AS base FROM b JOIN d USING (term) WHERE length(term) >= 6 GROUP BY ALL),
 t AS (SELECT item, occurrence, file, preferred, base + CASE WHEN preferred THEN 5 ELSE 0 END AS score FROM s),
 m AS (SELECT *, score = max(score) OVER (PARTITION BY item) AS top FROM t),
-g AS (SELECT item, count(DISTINCT file) FILTER (top) > 1 AND count(*) FILTER (top AND preferred) = 0 AS tied FROM m GROUP BY item)
+g AS (SELECT item, count(DISTINCT file) FILTER (top) > 1 AND count(*) FILTER (preferred) = 0 AS tied FROM m GROUP BY item)
 SELECT item, occurrence, file, preferred, score, tied FROM m JOIN g USING (item)
 """
 
 
+#: Independent projects that items are dealt to; each is matched in a task of its own.
+PROJECTS = 64
+
+
 def greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.greedy(scored_occurrences(spark, sf_dir).withColumn("project", F.lit("all")), "project")
+    """Every item's one occurrence, claimed in order within its project. Evidence: the shared words and the preferred
+    source; documents that share fewer than two words are the fallback."""
+    project = F.pmod("item", F.lit(PROJECTS)).alias("project")
+    scored = scored_occurrences(spark, sf_dir).withColumn("words", ((F.col("score") - 10 - F.when(F.col("preferred"), 5).otherwise(0)) / 3).cast("int"))
+    evidence = F.col("words") + F.when(F.col("preferred"), 1).otherwise(0)
+    rows = scored.select(project, "item", "occurrence", "file", "score", evidence.alias("evidence"), "preferred", (F.col("words") < 2).alias("fallback"))
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("item")).distinct()
+    return M.greedy(items.select(project, "item"), rows, "project")
 
 
 QUERIES = {"scored_occurrences": Query(scored_occurrences, TIES), "greedy_match": Query(greedy_match)}

@@ -44,7 +44,7 @@ def test_rates(spark):
 
 def test_tokens_and_estimates(spark):
     row = spark.createDataFrame([("DataGridRow 中文字 x",)], "t string").select(retrieval.tokens(F.col("t")).alias("w"), ledger.estimate_light(F.col("t")).alias("l"), ledger.estimate_safe(F.col("t")).alias("s")).first()
-    assert row["w"] == ["data", "grid", "row", "x"]
+    assert row["w"] == ["data", "grid", "row", "中文字", "中文", "文字", "x"]
     assert (row["l"], row["s"]) == (5, 7)
 
 
