@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import tempfile
 from collections import defaultdict
 from collections.abc import Iterable
 
@@ -20,19 +21,26 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return held.select("node", F.coalesce("out_degree", zero).alias("out_degree"), F.coalesce("in_degree", zero).alias("in_degree"), (F.col("out_degree").isNull() & F.col("in_degree").isNull()).alias("isolated"))
 
 
+def cut(rows: DataFrame) -> DataFrame:
+    """rows written to the cluster's checkpoint folder, without their lineage. Only on one machine, where no folder is
+    set, a temporary one will do."""
+    sc = rows.sparkSession.sparkContext
+    named = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if not sc.getCheckpointDir():
+        if not named and sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="loomspark-"))
+    return rows.checkpoint()
+
+
 def closure(edges: DataFrame, limit: int = 64) -> DataFrame:
     """All (src, dst) with a path of one or more edges. Paths double in length a round, so rounds are
     logarithmic in the longest path; each round's pairs are distinct and its lineage is cut."""
-    spark = edges.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loomspark-"))
-    reached = edges.select("src", "dst").distinct().checkpoint()
+    reached = cut(edges.select("src", "dst").distinct())
     size = reached.count()
     for _ in range(limit):
         more = reached.alias("a").join(reached.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst")
-        reached = reached.union(more).distinct().checkpoint()
+        reached = cut(reached.union(more).distinct())
         if (now := reached.count()) == size:
             return reached
         size = now

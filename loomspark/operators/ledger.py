@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 CJK = r"[\x{4e00}-\x{9fff}]"
@@ -21,10 +20,6 @@ def estimate_safe(text: Column) -> Column:
     return F.greatest(F.lit(1), cjk + F.ceil((F.length(text) - cjk) / 4.0), F.ceil(F.octet_length(text) / 4.0)).cast("long")
 
 
-def running_total(rows: DataFrame, group: str, order: str, size: str) -> DataFrame:
-    return rows.withColumn("running", F.sum(size).over(W.partitionBy(group).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)))
-
-
 def budget_fold(rows: DataFrame, group: str, order: str, asked: str, budget: int, most: int) -> DataFrame:
     """Each group's requests in order: a grant is what was asked, at most `most` and at most what is left. A request
     with nothing left fails and takes nothing. -> (group, granted, refused, left)."""

@@ -41,7 +41,7 @@ def claim(items: list[tuple], candidates: dict) -> list[tuple]:
             out.append((item, None, None, "NOT_FOUND", 0.0))
             continue
         score, _, _, occurrence, evidence = free[0][:5]
-        if not fallback and not preferred and len({c[1] for c in free if c[0] == score}) > 1:
+        if not preferred and len({c[1] for c in free if c[0] == score}) > 1:
             out.append((item, None, score, "AMBIGUOUS", AMBIGUOUS))
             continue
         claimed.add(occurrence)

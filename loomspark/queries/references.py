@@ -48,6 +48,10 @@ SELECT page_id, kind, target, count(*) AS n, starts_with(target, '/') OR regexp_
 """
 
 
+#: Items whose rarest words fit into a plan as a literal; more are joined by shuffles.
+FEW_ITEMS = 2000
+
+
 def containment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that contain a benchmark text whole. Candidates share the item's rarest word."""
     words = lambda c: F.array_distinct(F.split(c, r"\s+"))
@@ -57,13 +61,27 @@ def containment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     inner = items.withColumn("inner", F.split("needle", r"\s+")).withColumn("inner", F.when(F.size("inner") > 2, F.slice("inner", F.lit(2), F.size("inner") - 2)))
     asked = inner.select("item_id", F.explode(F.array_distinct("inner")).alias("word"))
     post = docs.select("doc_id", F.explode(words(F.col("text"))).alias("word"))
-    df = post.join(asked.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count("*").alias("df"))
+    few = items.limit(FEW_ITEMS + 1).count() <= FEW_ITEMS
+    near = F.broadcast if few else lambda x: x
+    df = post.join(near(asked.select("word").distinct()), "word", "left_semi").groupBy("word").agg(F.count("*").alias("df"))
     rarest = asked.join(df, "word").groupBy("item_id").agg(F.min_by("word", F.struct("df", "word")).alias("word"))
+    if few:  # the words asked for are a literal, so a text is tested in its own row and nothing shuffles
+        listed = rarest.join(items, "item_id").collect()
+        literal = F.array(*(F.lit(w) for w in sorted({r["word"] for r in listed}))).cast("array<string>")
+        by_word = near(docs.sparkSession.createDataFrame([(r["word"], r["item_id"], r["needle"]) for r in listed], "word string, item_id long, needle string"))
+        some = docs.select("doc_id", "text", F.explode(F.array_intersect(words(F.col("text")), literal)).alias("word"))
+        found = some.join(by_word, "word").where(F.col("text").contains(F.col("needle"))).select("doc_id", "item_id", "text", "needle")
+        return _with_short(found, docs, items)
     pairs = post.join(rarest, "word").select("doc_id", "item_id")
     whole = pairs.join(docs, "doc_id").join(items, "item_id").where(F.col("text").contains(F.col("needle")))
+    return _with_short(whole.select("doc_id", "item_id", "text", "needle"), docs, items)
+
+
+def _with_short(whole: DataFrame, docs: DataFrame, items: DataFrame) -> DataFrame:
+    """Matches with those of items of one or two words, which have no inner word to look for."""
     short = items.where(F.size(F.split("needle", r"\s+")) <= 2)
     more = docs.join(short, F.col("text").contains(F.col("needle")))
-    both = whole.select("doc_id", "item_id", "text", "needle").unionByName(more.select("doc_id", "item_id", "text", "needle"))
+    both = whole.unionByName(more.select("doc_id", "item_id", "text", "needle"))
     return both.select("doc_id", "item_id", F.instr("text", F.col("needle")).cast("long").alias("position"))
 
 
