@@ -52,8 +52,8 @@ def chosen_paths(messages: DataFrame, scratch: Scratch, branches: int = 1) -> Da
 
     branch numbers a conversation's kept leaves from 1 by the mean score of their path, highest first, then
     by length, longest first, then msg_id. position counts from the root. A parent that is null or missing
-    makes a root. (conv_id, msg_id) must be unique; a cycle of parents raises ValueError. A null score counts
-    as 0."""
+    makes a root. (conv_id, msg_id) must be unique (`once` makes it so); a cycle of parents raises ValueError. A
+    null score counts as 0."""
     key = lambda df: df.withColumn("tree", F.coalesce(F.col("conv_id").cast("string"), F.lit("\0")))
     nodes = scratch.save(key(messages.select("conv_id", "msg_id", "parent_id", F.coalesce("score", F.lit(0.0)).cast("double").alias("score"))), "nodes")
     links = nodes.where("parent_id is not null").select("tree", "msg_id", F.col("parent_id").alias("up"))
@@ -86,13 +86,21 @@ def chosen_paths(messages: DataFrame, scratch: Scratch, branches: int = 1) -> Da
     return paths.join(nodes.select("tree", "msg_id", "conv_id"), ["tree", "msg_id"]).select("conv_id", "tree", "branch", "position", "msg_id")
 
 
-def format_messages(messages: DataFrame, branches: int = 1) -> DataFrame:
+def once(messages: DataFrame) -> DataFrame:
+    """One row for each (conv_id, msg_id): of several the least by parent, role, text and score, nulls first."""
+    row = F.struct("parent_id", F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"), F.col("score").cast("double").alias("score"))
+    return messages.groupBy("conv_id", "msg_id").agg(F.min(row).alias("m")).select("conv_id", "msg_id", "m.*")
+
+
+def format_messages(messages: DataFrame, branches: int = 1, unique: bool = False) -> DataFrame:
     """messages (conv_id, msg_id, parent_id, role, text, score) -> (conv_id, branch, formatted, loss_mask).
 
     loss_mask is array<struct<start, length>> over formatted, in code points: the escaped texts of the
     assistant's turns. Null roles and texts count as empty. An empty table gives an empty one; further
-    columns are ignored."""
+    columns are ignored. Rows that repeat a (conv_id, msg_id) count once; unique says that there are none. Messages
+    are written once, as both the tree and the texts come from them."""
     scratch = Scratch(messages.sparkSession, "chat")
+    messages = scratch.save(messages if unique else once(messages), "messages")
     paths = chosen_paths(messages, scratch, branches)
     role = F.replace(escape(F.coalesce(F.col("role").cast("string"), F.lit(""))), F.lit("\n"), F.lit("&nl;"))
     text = escape(F.coalesce(F.col("text").cast("string"), F.lit("")))

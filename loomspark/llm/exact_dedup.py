@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomspark.llm.store import Scratch
+
 BITS = 27
 _BLOCK = 32768
 
@@ -74,7 +76,9 @@ def duplicate_groups(documents: DataFrame, bits: int = BITS) -> DataFrame:
     nulls in a group keep_id is null and each of them is kept. Rows that repeat an id and a text are all
     marked kept or all not (keep_rows leaves one of them). Other columns are ignored.
     """
-    hashes = documents.select("doc_id", digest(F.col("text")).alias("sha"))
+    # Written once: both passes and the comparison read hashes, and each text is read and hashed once.
+    scratch = Scratch(documents.sparkSession, "exact")
+    hashes = scratch.save(documents.select("doc_id", digest(F.col("text")).alias("sha")), "hashes")
     return groups_of(hashes, bits).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
 
 

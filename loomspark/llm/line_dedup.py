@@ -276,7 +276,11 @@ def summarise(documents: DataFrame) -> DataFrame:
 
 def drop_lines(documents: DataFrame) -> DataFrame:
     """documents with the dropped lines taken out of `text`; all rows and columns stay. Null stays null."""
-    gone = summarise(documents).where("dropped != ''").select(F.col("doc_id").alias("_id"), F.transform(F.split("dropped", ","), lambda x: x.cast("int")).alias("_gone"))
-    held = documents.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    left = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    return held.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left)).select(*(F.col(f"`{c}`") for c in documents.columns))
+    numbers = F.transform(F.split("dropped", ","), lambda x: x.cast("int"))
+    # A sign a line up to the last dropped one, so that each line finds its own at once.
+    signs = F.transform(F.col("n"), lambda x, i: F.concat(F.repeat(F.lit("0"), x - F.coalesce(F.get("n", i - 1), F.lit(-1)) - 1), F.lit("1")))
+    gone = summarise(documents).where("dropped != ''").select(F.col("doc_id").alias("id"), numbers.alias("n")).select("id", F.split(F.array_join(signs, ""), "").alias("signs"))
+    held = documents.alias("d").join(gone.alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g.id")), "left")
+    left = F.array_join(F.filter(F.split("d.text", "\n", -1), lambda x, i: F.coalesce(F.get("g.signs", i) != "1", F.lit(True))), "\n")
+    text = F.when(F.col("g.signs").isNull(), F.col("d.text")).otherwise(left)
+    return held.select(*(text.alias(c) if c.lower() == "text" else F.col(f"d.`{c}`").alias(c) for c in documents.columns))

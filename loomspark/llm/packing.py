@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 LENGTH = 1024
 SENTENCE_PENALTY = 2
 INSIDE_PENALTY = 24
+#: What each sequence costs beside its padding, so that a short one of a length that needs no padding is not free.
+SEQUENCE_PRICE = 24
 #: Cuts inside a sentence are offered so far apart.
 STRIDE = 16
 #: What ends a sentence beside Unicode's sentence terminals: line and paragraph ends, ellipsis, Tibetan shads.
@@ -116,12 +118,12 @@ def _tokenizer(path: str, ranks: str | None, pattern: str):
     return encode, sentences
 
 
-def cuts(positions: np.ndarray, penalties: np.ndarray, length: int = LENGTH) -> list[int]:
+def cuts(positions: np.ndarray, penalties: np.ndarray, length: int = LENGTH, price: int = 0) -> list[int]:
     """Indices into positions (ascending, 0 first, gaps at most length) where the cheapest cutting cuts.
 
-    Cost: for every sequence length - tokens, or nothing where that number is a power of two, plus the
-    penalty of the cut that ends it. The last position always is a cut."""
-    pos, pen = positions.tolist(), penalties.tolist()
+    Cost: for every sequence its price and length - tokens, or nothing where that number is a power of two, plus
+    the penalty of the cut that ends it. The last position always is a cut."""
+    pos, pen = positions.tolist(), (penalties + price).tolist()
     n = len(pos)
     special: dict[int, list[int]] = {}
     power = 1
@@ -197,7 +199,7 @@ class Packer:
         ids = np.concatenate(self.parts)
         ends = np.cumsum([total - before for _, before, total in self.docs])
         places, penalties = candidates(ids, ends, self.sentences, self.length)
-        at = places[cuts(places, penalties, self.length)]
+        at = places[cuts(places, penalties, self.length, SEQUENCE_PRICE)]
         if not everything:
             at = at[:-1]
         if not len(at):

@@ -106,12 +106,13 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def training_sample(documents: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFrame:
-    """(text, quality, at): labelled rows outside the hold-out, at most `size` labelled ids.
+    """(text, quality, at): labelled rows outside the hold-out, at most `size` labelled ids and a row of each.
 
-    An id's conflicting labels count as the higher one; null ids and labels are left out."""
+    An id's conflicting labels count as the higher one; null ids and labels are left out. Of rows that repeat an id the
+    one whose text hashes least counts."""
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     known = known.select("doc_id", "quality", F.xxhash64("doc_id").alias("at")).orderBy("at", "doc_id").limit(size)
-    return documents.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id").select("text", "quality", "at")
+    return documents.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id").groupBy("doc_id", "quality", "at").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", "quality", "at")
 
 
 def fit(documents: DataFrame, labels: DataFrame, size: int = SAMPLE) -> np.ndarray:

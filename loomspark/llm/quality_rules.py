@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.llm import batch
+from loomspark.llm.store import Scratch
 
 SYMBOLS = "#*$%&|<>"
 #: A host goes if its shrunk failure rate, less so many posterior deviations, is over this.
@@ -97,16 +98,17 @@ def host_verdicts(rules: DataFrame) -> DataFrame:
     rate = a / (a + b)
     deviation = F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
     # One row, by construction of the aggregate: a broadcast of two numbers.
-    joined = hosts.join(F.broadcast(prior), F.lit(True), "left")
+    joined = hosts.withColumn("one", F.lit(1)).join(F.broadcast(prior.withColumn("one", F.lit(1))), "one", "left")
     return joined.select("host", "n", "failed", rate.alias("rate"), (rate - DEVIATIONS * deviation > HOST_RATE).alias("rejected"))
 
 
 def apply_rules(documents: DataFrame, host: str = "source") -> DataFrame:
     """document_rules with host_rate and kept: false if the document fails or its host is rejected.
 
-    A host with a third of all documents is a skewed join of rows without texts, which adaptive execution
-    splits."""
-    rules = document_rules(documents, host)
+    Counts are written once, so that every text is read and measured once; the verdicts then join rows without texts.
+    A host with a third of all documents is a skewed join, which adaptive execution splits."""
+    scratch = Scratch(documents.sparkSession, "rules")
+    rules = scratch.save(document_rules(documents, host), "counts")
     verdicts = host_verdicts(rules).select(F.col("host").alias("_host"), F.col("rate").alias("host_rate"), F.col("rejected").alias("host_rejected"))
     joined = rules.join(verdicts, F.col("host").eqNullSafe(F.col("_host")), "left").drop("_host")
     return joined.withColumn("kept", ~F.col("base_failed") & ~F.coalesce("host_rejected", F.lit(False)))

@@ -61,10 +61,17 @@ def lookup(spark: SparkSession, shards: Sequence[str], size: int = TABLE_SIZE) -
 def place(rows: DataFrame, key: str, shards: Sequence[str], size: int = TABLE_SIZE) -> DataFrame:
     """rows with slot, shard_id and shard. No row moves: the table (size rows) is broadcast.
 
-    Equal keys, nulls among them, get equal shards; an empty table gives an empty one. Columns of rows that
-    are named slot, shard_id or shard give way to the new ones."""
-    rows = rows.drop("slot", "shard_id", "shard")
-    held = rows.withColumn("slot", slot_of(F.col(f"`{key}`"), size))
+    Equal keys, nulls among them, get equal shards; an empty table gives an empty one. A column of rows that is
+    named slot, shard_id or shard, the key among them, stays, with underscores added to its name."""
+    taken, names = {c.lower() for c in rows.columns} | {"slot", "shard_id", "shard"}, []
+    for c in rows.columns:
+        name = c
+        while name.lower() in ("slot", "shard_id", "shard") or (name != c and name.lower() in taken):
+            name += "_"
+        taken.add(name.lower())
+        names.append(name)
+    slot = slot_of(F.col(f"`{key}`"), size)
+    held = rows.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(rows.columns, names, strict=True)), slot.alias("slot"))
     return held.join(F.broadcast(lookup(rows.sparkSession, shards, size)), "slot")
 
 
