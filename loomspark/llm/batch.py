@@ -165,6 +165,14 @@ def row_sets(values: np.ndarray, per_row: np.ndarray) -> tuple[np.ndarray, np.nd
     return values[new], total[bounds[1:]] - total[bounds[:-1]]
 
 
+def bitmaps(values: np.ndarray, per_row: np.ndarray, words: int) -> tuple[pa.Array, pa.Array]:
+    """Of each row's values a bitmap as a list of 64-bit words, and how many bits it has."""
+    bits = np.zeros((len(per_row), words * 64), bool)
+    bits[np.repeat(np.arange(len(per_row)), per_row), (values % _U(words * 64)).astype(np.int64)] = True
+    packed = np.packbits(bits, axis=1, bitorder="little").view("<i8")
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(per_row) + 1, dtype=np.int32) * words), pa.array(packed.ravel())), pa.array(bits.sum(1).astype(np.int32))
+
+
 def binaries(values: np.ndarray, per_row: np.ndarray) -> pa.Array:
     """A binary column of each row's values, eight little-endian bytes each."""
     offsets = np.concatenate(([0], np.cumsum(per_row) * 8)).astype(np.int32)

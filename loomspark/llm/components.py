@@ -67,6 +67,15 @@ def fitting(n_u: str, pos_u: str, n_v: str, pos_v: str, percent: int) -> Column:
     return F.expr(f"100 * least({n_u}, {n_v}) >= {percent} * greatest({n_u}, {n_v}) and least({n_u} - {pos_u}, {n_v} - {pos_v}) * {100 + percent} >= {percent} * ({n_u} + {n_v})")
 
 
+def bitmaps_fit(percent: int) -> Column:
+    """Of two sets with bitmaps (words, and `set`, the number of their bits), whether these leave room for a link: each
+    bit that only one of them has stands for an element at least that the other lacks. What only y has follows from
+    what only x has. Exact, whatever the bitmaps' size."""
+    return F.expr(f"""
+exists(array(int(aggregate(zip_with(words_x, words_y, (a, b) -> bit_count(a & ~b)), 0, (s, c) -> s + c))),
+       o -> least(n_x - o, n_y - o + set_x - set_y) * {100 + percent} >= {percent} * (n_x + n_y))""")
+
+
 def settle(entries: DataFrame, verified: Callable[[DataFrame, int], DataFrame], percent: int, scratch: Scratch, detail: Callable[[DataFrame], DataFrame] | None = None, fits: Column | None = None) -> DataFrame | None:
     """(id, component) of the components that links in the lists join; None if there is no link. A component
     that is not named stays as it is.

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.llm import batch
-from loomspark.llm.components import distinct_lists, merged, settle
+from loomspark.llm.components import bitmaps_fit, distinct_lists, merged, settle
 from loomspark.llm.idfilter import hits, id_filter, xxhash_bits
 from loomspark.llm.ngram_join import PAIRS, jaccard_at_least
 from loomspark.llm.repeats import may_repeat, repeated
@@ -195,18 +195,7 @@ def _bitmaps(batches):
     """Task side: the bitmap of each line's windows, and how many bits it has."""
     for b in batches:
         for i, values, n in _window_sets(b.column("text").to_pylist()):
-            bits = np.zeros((len(n), WORDS * 64), bool)
-            bits[np.repeat(np.arange(len(n)), n), (values % _U(WORDS * 64)).astype(np.int64)] = True
-            words = np.packbits(bits, axis=1, bitorder="little").view("<i8")
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * WORDS), pa.array(words.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, len(n)), lists, pa.array(bits.sum(1).astype(np.int32))], ["doc_id", "words", "set"])
-
-
-#: Of two lines, whether their bitmaps leave room for a link: each bit that only one of them has stands for a window
-#: at least that the other lacks. What only y has follows from what only x has.
-_FIT = f"""
-exists(array(int(aggregate(zip_with(words_x, words_y, (a, b) -> bit_count(a & ~b)), 0, (s, c) -> s + c))),
-       o -> least(n_x - o, n_y - o + set_x - set_y) * {100 + PERCENT} >= {PERCENT} * (n_x + n_y))"""
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, len(n)), *batch.bitmaps(values, n, WORDS)], ["doc_id", "words", "set"])
 
 
 def line_components(documents: DataFrame) -> DataFrame:
@@ -251,7 +240,7 @@ def line_components(documents: DataFrame) -> DataFrame:
         u, v = (whole.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}")) for x in "uv")
         return scratch.save(pairs.join(u, "u").join(v, "v").select("u", "v", "cu", "cv", "text_u", "text_v").mapInArrow(_verify, PAIRS), f"linked-{turn}")
 
-    moved = settle(entries, verified, PERCENT, scratch, lambda ids: whole.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(_bitmaps, "doc_id long, words array<long>, set int"), F.expr(_FIT))
+    moved = settle(entries, verified, PERCENT, scratch, lambda ids: whole.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(_bitmaps, "doc_id long, words array<long>, set int"), bitmaps_fit(PERCENT))
     held = merged(lines.select("doc_id", "line_no", "line", F.col("line").alias("component")), moved)
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no")
     first = held.groupBy("component").agg(F.min(place).alias("first"))

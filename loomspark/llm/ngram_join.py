@@ -15,7 +15,7 @@ Two documents link when ``100 * |A ∩ B| >= percent * |A ∪ B|`` over their se
 4. The boundary is where the modelled cost is least: subsets made against list entries scanned.
 5. *Lists.* Within a list of one key, candidates are first paired with one anchor each, verified exactly,
    and merged into components; only candidates of different components are then paired with one
-   another, under exact size and position bounds, and verified. A group of thousands of near copies thus
+   another, under exact bounds by their sizes, by positions and by bitmaps of the sets, and verified. A group of thousands of near copies thus
    costs one verified pair a copy and not one for each pair of copies.
 
 Verification intersects whole 64-bit n-gram sets. Hash collisions aside (about 2**-64 a pair of n-grams)
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.llm import batch
-from loomspark.llm.components import ANCHOR_ROUNDS, components, distinct_lists, merged, settle
+from loomspark.llm.components import ANCHOR_ROUNDS, bitmaps_fit, components, distinct_lists, merged, settle
 from loomspark.llm.idfilter import hits, id_filter
 from loomspark.llm.repeats import may_repeat, repeated
 from loomspark.llm.store import Scratch
@@ -271,9 +271,13 @@ def _pick(reps: DataFrame, ids: DataFrame, percent: int, shared, scratch: Scratc
     return some
 
 
-def _whole_sets(docs: DataFrame, ids: DataFrame, k: int, scratch: Scratch) -> DataFrame:
-    """(doc_id, set) of the wanted ids. Others are dropped where they are read, but for chance hits, which find
-    no pair to join."""
+#: 64-bit words of a set's bitmap.
+WORDS = 32
+
+
+def _whole_sets(docs: DataFrame, ids: DataFrame, k: int, scratch: Scratch, as_bitmaps: bool = False) -> DataFrame:
+    """(doc_id, set) of the wanted ids, or (doc_id, words, set) with the sets' bitmaps. Others are dropped where they are
+    read, but for chance hits, which find no pair to join."""
     shared, bit = id_filter(ids)
 
     def run(batches):
@@ -281,10 +285,11 @@ def _whole_sets(docs: DataFrame, ids: DataFrame, k: int, scratch: Scratch) -> Da
         for b in batches:
             b = b.filter(pa.array(hits(wanted, b.column("bit").to_numpy(zero_copy_only=False))))
             for chunk, values, n in _sets_of(b.column("text"), k):
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(chunk.first, chunk.rows), batch.binaries(values, n)], ["doc_id", "set"])
+                columns = batch.bitmaps(values, n, WORDS) if as_bitmaps else [batch.binaries(values, n)]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(chunk.first, chunk.rows), *columns], ["doc_id", "words", "set"] if as_bitmaps else ["doc_id", "set"])
 
-    sets = docs.select("doc_id", "text", bit).mapInArrow(run, "doc_id long, set binary")
-    whole = scratch.save(sets, "whole")
+    sets = docs.select("doc_id", "text", bit).mapInArrow(run, "doc_id long, words array<long>, set int" if as_bitmaps else "doc_id long, set binary")
+    whole = scratch.save(sets, "bitmaps" if as_bitmaps else "whole")
     shared.destroy()
     return whole
 
@@ -355,7 +360,9 @@ def jaccard_components(documents: DataFrame, k: int = 5, percent: int = 80, boun
         scratch.release()
         return linked
 
-    moved = settle(entries, verified, percent, scratch)
+    # With several texts an id its size and its bitmap might be those of two of them.
+    detail = (lambda ids: _whole_sets(docs, ids, k, scratch, as_bitmaps=True)) if unique else None
+    moved = settle(entries, verified, percent, scratch, detail, bitmaps_fit(percent) if unique else None)
     size = F.col("n").cast("long").alias("n_shingles")
     if unique:
         out = merged(members, moved).select("doc_id", size, F.col("component").alias("component_id"))
