@@ -9,8 +9,8 @@ So that a line of few windows has few empty bins, each of its windows gives seve
 a class of sizes, each up to twice the next one's; a line that may have a partner in the next class, as it has
 more than 0.8 times that one's least size, has keys there too.
 
-With ROWS = 6 and BANDS = 14 a pair of similarity 0.8 shares a key with probability 0.986, one of 0.9 with
-0.9999, one of 0.1 with 0.00001.
+With ROWS = 6 and BANDS = 18 a pair of similarity 0.8 shares a key with probability 0.996, one of 0.9 with
+0.99999, one of 0.1 with 0.00002.
 
 Before the candidates of a list are paired, bitmaps of their windows bound how much two of them share: an exact
 test, which lines with a long passage in common, but too much of their own beside it, do not pass.
@@ -31,7 +31,7 @@ from loomspark.llm.repeats import may_repeat, repeated
 from loomspark.llm.store import Scratch
 
 WINDOW = 5
-ROWS, BANDS = 6, 14
+ROWS, BANDS = 6, 18
 PERCENT = 80
 #: (hashes a window, most windows of a line) of each class; a class begins above 0.4 times its most.
 CLASSES = ((64, 4), (32, 8), (16, 16), (8, 32), (4, 64), (2, 128), (1, 1 << 40))
