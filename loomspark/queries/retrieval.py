@@ -114,8 +114,12 @@ def fused_retrieval_abstain(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang", "source")
     scored = _bm25(spark, sf_dir).join(docs, "id").join(vectors.select(F.col("vec_id").alias("id"), F.col("embedding").alias("e")), "id", "left").join(vectors.select(F.col("vec_id").alias("query"), F.col("embedding").alias("q")), "query", "left")
-    number = F.pmod("query", F.lit(20)).cast("string")
-    name = R.alias_similarity(F.coalesce("source", F.lit("")), F.array(F.concat(F.lit("Source"), number), F.concat(F.lit("Src"), number, F.lit("View"))))
+    # A name's score depends on the source and the query's number alone: computed once for each of both.
+    number = F.col("number").cast("string")
+    alike = R.alias_similarity(F.coalesce("source", F.lit("")), F.array(F.concat(F.lit("Source"), number), F.concat(F.lit("Src"), number, F.lit("View"))))
+    names = docs.select("source").distinct().select("source", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("number")).select("number", F.col("source").alias("of"), alike.alias("name"))
+    scored = scored.join(names, (F.pmod("query", F.lit(20)) == F.col("number")) & F.col("source").eqNullSafe(F.col("of")))
+    name = F.col("name")
     fused = F.round(F.when(F.col("e").isNull() | F.col("q").isNull(), 0.55 * name + 0.45 * F.col("bm25")).otherwise(0.45 * name + 0.35 * F.col("bm25") + 0.20 * R.cosine(F.col("q"), F.col("e"))), 6)
     best = R.top_k(scored.withColumn("score", fused), "query", "score", "id", 3)
     known = F.col("query") % 10 == 0
