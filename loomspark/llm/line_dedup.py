@@ -123,15 +123,35 @@ def _parts(b: pa.RecordBatch, step: int = 128):
         yield part, _lines(part.column("text").to_pylist())
 
 
-def _band_keys(b: pa.RecordBatch):
-    """The keys of a batch's texts."""
-    for _, (points, start, end, _doc, _no) in _parts(b):
-        if len(start):
-            yield _bands(*_windows(points, start, end))[0].ravel()
+#: Lines that a task remembers to have met; beyond, it may take some for new again.
+_SEEN = 1 << 18
 
 
-#: Lines that a task remembers to have sent the keys of; beyond, it may send some again.
-_SEEN = 1 << 18
+def _fresh(line: np.ndarray, seen: set[int]) -> np.ndarray:
+    """Which of some lines (hashes) their task meets for the first time; they are put into seen."""
+    first = np.unique(line, return_index=True)[1]
+    first = first[[x not in seen for x in line[first].tolist()]]
+    if len(seen) >= _SEEN:
+        seen.clear()
+    seen.update(line[first].tolist())
+    out = np.zeros(len(line), bool)
+    out[first] = True
+    return out
+
+
+def _band_keys(batches):
+    """The keys of a task's lines, and whose they are. One line's keys, however often it occurs, have one owner."""
+    seen: set[int] = set()
+    for b in batches:
+        for _, (points, start, end, _doc, _no) in _parts(b):
+            if not len(start):
+                continue
+            line = _line_hash(points, start, end)
+            new = _fresh(line, seen)
+            keys, row = _bands(*_windows(points, start[new], end[new]))
+            owner = (keys ^ line[new][row].view(_U)[:, None]) * _U(0xD6E8FEB86659FD93) >> _U(48)
+            if keys.size:
+                yield keys.ravel(), owner.ravel().astype(np.uint16)
 
 
 def _spread(shared):
@@ -145,14 +165,8 @@ def _spread(shared):
                 if not len(start):
                     continue
                 line = _line_hash(points, start, end)
-                first = np.unique(line, return_index=True)[1]
-                first = first[[x not in seen for x in line[first].tolist()]]
-                seen = seen if len(seen) < _SEEN else set()
-                seen.update(line[first].tolist())
-                mask = np.zeros(len(line), bool)
-                mask[first] = True
-                values, count = _windows(points, start, end)
-                keys, row = _bands(values[np.repeat(mask, count)], count[mask])
+                mask = _fresh(line, seen)
+                keys, row = _bands(*_windows(points, start[mask], end[mask]))
                 some = may_repeat(shared.value, keys.ravel())
                 turn = np.argsort(row, kind="stable")
                 sent = np.bincount(row, some.reshape(-1, BANDS).sum(1), int(mask.sum())).astype(np.int64)

@@ -335,7 +335,7 @@ def jaccard_components(documents: DataFrame, k: int = 5, percent: int = 80, boun
 
     if boundary is None:
         boundary = _boundary(reps, percent)
-    shared = repeated(reps.select("n", "window", "prefix"), lambda b: (keys for _, _, keys, _ in _keys_of(b, percent, boundary)))
+    shared = repeated(reps.select("n", "window", "prefix"), lambda batches: ((keys, None) for b in batches for _, _, keys, _ in _keys_of(b, percent, boundary)))
     keys = scratch.save(reps.mapInArrow(_make_keys(percent, boundary, shared), _KEYS), "keys")
     known = components(members.where("n > 0").select(F.col("doc_id").alias("u"), F.col("component").alias("v")), scratch, "classes") if not unique else None
     entries = distinct_lists(keys.repartition("key").distinct()).select("key", "doc_id", "n", "pos", F.col("pos").alias("rank"), F.col("doc_id").alias("component"))

@@ -26,45 +26,61 @@ def places(keys: np.ndarray) -> np.ndarray:
     return (keys.view(np.uint64) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def _tell(kept: list[np.ndarray]) -> pa.RecordBatch:
-    at = np.sort(np.concatenate(kept).astype(np.uint32))
+def _tell(kept: list[np.ndarray], owners: list[np.ndarray]) -> pa.RecordBatch:
+    at, own = np.concatenate(kept).astype(np.uint64), np.concatenate([*owners, np.zeros(0, np.uint16)])
+    if len(own):
+        both = np.unique(at << np.uint64(16) | own)
+        at, own = both >> np.uint64(16), both.astype("<u2")
+    else:
+        at = np.sort(at)
+    at = at.astype(np.uint32)
     bounds = np.searchsorted(at, np.arange(_RANGES + 1, dtype=np.uint64) * _SPAN)
-    rows = [(r, np.diff(at[a:b], prepend=np.uint32(r * _SPAN)).astype("<u4").tobytes()) for r, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)) if b > a]
-    return pa.RecordBatch.from_arrays([pa.array([r for r, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["range", "steps"])
+    rows = [(r, np.diff(at[a:b], prepend=np.uint32(r * _SPAN)).astype("<u4").tobytes(), own[a:b].tobytes()) for r, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)) if b > a]
+    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int32()), *(pa.array([x[i] for x in rows], pa.binary()) for i in (1, 2))], ["range", "steps", "owners"])
 
 
 def _merge(batches) -> Iterator[pa.RecordBatch]:
-    once: dict[int, np.ndarray] = {}
+    first: dict[int, np.ndarray] = {}  # 1 + the owner that a place was last met with; 1 for any without owners
     again: dict[int, np.ndarray] = {}
     for b in batches:
-        for r, steps in zip(b.column("range").to_pylist(), b.column("steps"), strict=True):
-            if r not in once:
-                once[r], again[r] = np.zeros(_SPAN, bool), np.zeros(_SPAN, bool)
+        for r, steps, owners in zip(b.column("range").to_pylist(), b.column("steps"), b.column("owners"), strict=True):
             at = np.cumsum(np.frombuffer(steps.as_buffer(), "<u4"), dtype=np.int64)
-            again[r][at[once[r][at]]] = True
-            again[r][at[1:][at[1:] == at[:-1]]] = True
-            once[r][at] = True
+            own = np.frombuffer(owners.as_buffer(), "<u2").astype(np.uint32) + np.uint32(1)
+            if r not in first:
+                first[r], again[r] = np.zeros(_SPAN, np.uint32 if len(own) else bool), np.zeros(_SPAN, bool)
+            old, next_to = first[r][at], at[1:] == at[:-1]
+            if len(own):
+                again[r][at[(old > 0) & (old != own)]] = True
+                next_to &= own[1:] != own[:-1]
+            else:
+                again[r][at[old]] = True
+            again[r][at[1:][next_to]] = True
+            first[r][at] = own if len(own) else True
     for r, bits in again.items():
         packed = zlib.compress(np.packbits(bits, bitorder="little").tobytes(), 1)
         yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([packed], pa.binary())], ["range", "bits"])
 
 
-def repeated(rows: DataFrame, keys: Callable[[pa.RecordBatch], Iterator[np.ndarray]]):
-    """A broadcast of the places that more than one key of rows has. keys: of a batch the arrays of its keys."""
+def repeated(rows: DataFrame, keys: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[np.ndarray, np.ndarray | None]]]):
+    """A broadcast of the places that more than one key of rows has, or more than one owner.
+
+    keys: of a task's batches the arrays of its keys, each with the keys' owners (16 bits of a hash of key and
+    owner) or None."""
 
     def run(batches):
-        kept, size = [], 0
-        for b in batches:
-            for x in keys(b):
-                kept.append(places(x))
-                size += len(x)
-                if size >= _TOLD:
-                    yield _tell(kept)
-                    kept, size = [], 0
+        kept, owners, size = [], [], 0
+        for x, own in keys(batches):
+            kept.append(places(x))
+            if own is not None:
+                owners.append(own)
+            size += len(x)
+            if size >= _TOLD:
+                yield _tell(kept, owners)
+                kept, owners, size = [], [], 0
         if size:
-            yield _tell(kept)
+            yield _tell(kept, owners)
 
-    told = rows.mapInArrow(run, "range int, steps binary").repartition("range").mapInArrow(_merge, "range int, bits binary")
+    told = rows.mapInArrow(run, "range int, steps binary, owners binary").repartition("range").mapInArrow(_merge, "range int, bits binary")
     out = np.zeros((_RANGES, _SPAN // 8), np.uint8)
     for r, bits in told.collect():  # 256 ranges of 128 KB at most
         out[r] = np.frombuffer(zlib.decompress(bits), np.uint8)
