@@ -37,8 +37,8 @@ def components(links: DataFrame, scratch: Scratch, name: str, rounds: int = 60)
     raise RuntimeError(f"components have not settled after {rounds} rounds")
 
 
-#: Rounds in which each candidate is paired with one anchor, before the exact pairing of what is left.
-ANCHOR_ROUNDS = 2
+#: Candidates of a list that meet in one block, on average, before lists that are still open are paired in full.
+BLOCK = 32
 
 
 def merged(table: DataFrame, moved: DataFrame | None, column: str = "component") -> DataFrame:
@@ -83,31 +83,37 @@ def settle(entries: DataFrame, verified: Callable[[DataFrame, int], DataFrame],
     entries (key, doc_id, n, pos, rank, component): a list a key, of candidates with their set's size, how many
     of their elements cannot be in an overlap that this list finds, and the component that each has so far;
     rank is least where most links are to be expected. verified: of pairs (u, v, cu, cv) those that link, as a
-    saved table. First every candidate meets one anchor a round. Then, of lists that still hold several
-    components, candidates of different components that have not met are paired, unless sizes, places
-    or `fits` rule a link out: a condition on what `detail` gives of each doc_id, as columns with _x and _y. So no link between components is missed, a list of one component costs nothing more, and
-    a group of copies costs a pair a copy.
+    saved table. First every candidate meets its list's anchor. Then lists are dealt by hash into blocks of BLOCK
+    candidates and those of one block meet: so many times the list's length of pairs, in as many groups as it has
+    blocks, and all pairs of a list that is one block. Groups whose members link with few others each, of which
+    no anchor finds many, are thus of few components before the last round pairs candidates of different
+    components and blocks. A pair is made unless sizes, places or `fits` rule a link out: a condition on what
+    `detail` gives of each doc_id, as columns with _x and _y. So no link between components is missed, a list of
+    one component costs nothing more, and a group of copies costs a pair a copy.
     """
     met = links = moved = None
-    plain = entries.columns
     held = entries
-    for i in range(ANCHOR_ROUNDS + 1):
-        bounds = held.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by(F.struct("doc_id", "n", "pos", "component"), F.struct(*(["rank"] if i == 0 else []), F.hash("doc_id", F.lit(i)), "doc_id")).alias("a")).where("lo < hi")
-        if i < ANCHOR_ROUNDS:
+    span = [F.min("component").alias("lo"), F.max("component").alias("hi")]
+    anchor = F.min_by(F.struct("doc_id", "n", "pos", "component"), F.struct("rank", F.hash("doc_id"), "doc_id")).alias("a")
+    for i in range(3):
+        bounds = held.groupBy("key").agg(*span, *([] if i else [F.count(F.lit(1)).alias("size"), anchor])).where("lo < hi")
+        if not i:
             anchors = bounds.select("key", "a.*").toDF("key", "v", "n_v", "pos_v", "cv")
             pairs = held.join(anchors, "key").where((F.col("component") != F.col("cv")) & fitting("n", "pos", "n_v", "pos_v", percent))
             pairs = pairs.groupBy(F.col("doc_id").alias("u"), "v").agg(F.count("*").alias("shared"), F.min("component").alias("cu"), F.min("cv").alias("cv"))
-            if met is not None:
-                pairs = pairs.select("*", *_ends()).join(met, ["lo", "hi"], "left_anti")
             pairs = pairs.groupBy("u").agg(F.max_by(F.struct("v", "cu", "cv"), F.struct("shared", "v")).alias("p")).select("u", "p.*")
         else:
-            held = held.join(bounds.select("key"), "key", "left_semi").select("key", "doc_id", "n", "pos", "component")
-            held = scratch.save(held, "open")
-            if detail is not None:
-                held = held.join(detail(held.select("doc_id").distinct()), "doc_id")
-            x, y = (held.select("key", *(F.col(c).alias(f"{c}_{s}") for c in held.columns if c != "key")) for s in "xy")
+            # Lists of one component have nothing left to find; those of one block have all met by the second round.
+            held = held.join(bounds.select("key"), "key", "left_semi")
+            held = scratch.save(held if i == 1 else held.where("blocks > 1"), f"open-{i}")
+            if held.isEmpty():
+                break
+            both = held if detail is None else held.join(detail(held.select("doc_id").distinct()), "doc_id")
+            on = ["key", "block"][: 3 - i]
+            x, y = (both.select(*on, *(F.col(c).alias(f"{c}_{s}") for c in both.columns if c not in on)) for s in "xy")
             room = (F.col("component_x") < F.col("component_y")) & fitting("n_x", "pos_x", "n_y", "pos_y", percent)
-            pairs = x.join(y, "key").where(room if fits is None else room & fits)
+            room = room if i == 1 else room & (F.col("block_x") != F.col("block_y"))
+            pairs = x.join(y, on).where(room if fits is None else room & fits)
             pairs = pairs.select(F.col("doc_id_x").alias("u"), F.col("doc_id_y").alias("v"), F.col("component_x").alias("cu"), F.col("component_y").alias("cv")).distinct()
             pairs = pairs.select("*", *_ends()).join(met, ["lo", "hi"], "left_anti").drop("lo", "hi")
         pairs, counted = scratch.save_with(pairs, f"chosen-{i}", [F.count(F.lit(1)).alias("n")])
@@ -115,12 +121,12 @@ def settle(entries: DataFrame, verified: Callable[[DataFrame, int], DataFrame],
             found = verified(pairs, i).select(F.col("cu").alias("u"), F.col("cv").alias("v"))
             links = found if links is None else links.union(found)
             moved = components(links, scratch, f"round-{i}")
-        if i < ANCHOR_ROUNDS:
+        if i < 2:
             now = pairs.select(*_ends())
             met = now if met is None else met.union(now)
-            # Lists whose candidates are all of one component have nothing left to find, now or later.
-            held = scratch.save(merged(held.join(bounds.select("key"), "key", "left_semi"), moved).select(*plain), f"held-{i}")
-            if i:
-                scratch.drop(f"held-{i - 1}")
-    scratch.drop("open")
+            if not i:
+                dealt = bounds.select("key", F.ceil(F.col("size") / BLOCK).alias("blocks"))
+                held = held.join(dealt, "key").select("key", "doc_id", "n", "pos", "component", "blocks", F.pmod(F.xxhash64("doc_id", "key"), "blocks").alias("block"))
+            held = scratch.save(merged(held, moved), f"held-{i}")
+    scratch.drop("open-1", "open-2", "held-0", "held-1")
     return moved

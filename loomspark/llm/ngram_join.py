@@ -13,10 +13,10 @@ Two documents link when ``100 * |A ∩ B| >= percent * |A ∪ B|`` over their se
    the hash range shows which of them no other set has; a set with more than s - c(s) such elements has no
    partner and enters no list.
 4. The boundary is where the modelled cost is least: subsets made against list entries scanned.
-5. *Lists.* Within a list of one key, candidates are first paired with one anchor each, verified exactly,
-   and merged into components; only candidates of different components are then paired with one
-   another, under exact bounds by their sizes, by positions and by bitmaps of the sets, and verified. A group of thousands of near copies thus
-   costs one verified pair a copy and not one for each pair of copies.
+5. *Lists.* Within a list of one key, candidates are first paired with one anchor each, verified exactly, and
+   merged into components; then those of one block of the list with one another, and last those of different
+   components, under exact bounds by their sizes, by positions and by bitmaps of the sets, and verified. A group
+   of thousands of near copies thus costs one verified pair a copy and not one for each pair of copies.
 
 Verification intersects whole 64-bit n-gram sets. Hash collisions aside (about 2**-64 a pair of n-grams)
 the result is exact: no list, set or group is capped or sampled.
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.llm import batch
-from loomspark.llm.components import ANCHOR_ROUNDS, bitmaps_fit, components, distinct_lists, merged, settle
+from loomspark.llm.components import bitmaps_fit, components, distinct_lists, merged, settle
 from loomspark.llm.idfilter import hits, id_filter
 from loomspark.llm.repeats import may_repeat, repeated
 from loomspark.llm.store import Scratch
@@ -345,7 +345,7 @@ def jaccard_components(documents: DataFrame, k: int = 5, percent: int = 80, boun
     scratch.release()
 
     def verified(pairs: DataFrame, turn: int) -> DataFrame:
-        if turn == ANCHOR_ROUNDS:  # of all pairs of a list, most are told apart by what their prefixes show
+        if turn:  # of the pairs of a block or a list, most are told apart by what their prefixes show
             ids = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
             some = _pick(reps, ids, percent, common, scratch)
             u, v = (some.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("codes").alias(f"codes_{x}")) for x in "uv")
