@@ -9,8 +9,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomspark.llm import bpe, chat_format, exact_dedup, line_dedup, ngram_join, packing, quality_classifier, quality_rules, secret_ledger, sharding
+from loomspark.llm import bpe, chat_format, components, exact_dedup, line_dedup, ngram_join, packing, quality_classifier, quality_rules, secret_ledger, sharding
 from loomspark.llm.queries import QUERIES, pattern, vocabulary
+from loomspark.llm.store import Scratch
 
 SF = "/root/testdata/sf0.001"
 WORDS = "alpha beta gamma delta eta theta iota kappa lam mu nu xi omi pi rho sig tau ups phi chi psi ome one two three four five six seven eight nine ten".split()
@@ -72,7 +73,7 @@ def test_ngram_join(docs, k, percent):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == want
 
 
-def test_ngram_join_many_edits(spark):
+def edited_texts():
     rng = np.random.default_rng(3)
     texts = []
     for i in range(120):
@@ -80,7 +81,23 @@ def test_ngram_join_many_edits(spark):
         for at in rng.integers(0, 60, rng.integers(0, 5)):
             w[at] = f"e{i}x{at}"
         texts.append((i, " ".join(w)))
+    return texts
+
+
+def test_ngram_join_many_edits(spark):
+    texts = edited_texts()
+    got = ngram_join.jaccard_components(spark.createDataFrame(texts, "doc_id long, text string"), 4, 85).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(texts, 4, 85)
+
+
+def test_small_blocks_give_the_same(spark, monkeypatch):
+    """Lists of many blocks, so that the last round pairs across them."""
+    rounds, save = [], Scratch.save_with
+    monkeypatch.setattr(components, "BLOCK", 2)
+    monkeypatch.setattr(Scratch, "save_with", lambda self, df, name, measures: rounds.append(name) or save(self, df, name, measures))
+    texts = edited_texts()
     got = ngram_join.jaccard_components(spark.createDataFrame(texts, "doc_id long, text string"), 4, 85).collect()
+    assert "chosen-2" in rounds
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(texts, 4, 85)
 
 
