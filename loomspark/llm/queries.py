@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm import bpe, chat_format, exact_dedup, line_dedup, ngram_join, packing, quality_classifier, quality_rules, secret_ledger, sharding
+from loomspark.llm import bpe, chat_format, exact_dedup, fill_middle, line_dedup, merkle, ngram_join, packing, quality_classifier, quality_rules, secret_ledger, sentence_pieces, sharding
 
 SHARDS = [f"shard-{i:02d}" for i in range(48)]
 
@@ -83,7 +83,21 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_line_dedup, op3_packing, op4_bpe_round_trip, op5_sharding, op6_quality_rules, op7_chat_format, op8_ngram_join, op9_exact_dedup, op10_quality_classifier)}
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.transform(_table(spark, sf_dir, "documents"))
+    digests = [F.sha2(c.cast("binary"), 256).alias(f"{name}_sha256") for name, c in (("output", F.col("output")), ("restored", fill_middle.restored(F.col("output"), F.col("form"))))]
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_table(spark, sf_dir, "documents"))
+
+
+def op13_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.round_trip(_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_line_dedup, op3_packing, op4_bpe_round_trip, op5_sharding, op6_quality_rules, op7_chat_format, op8_ngram_join, op9_exact_dedup, op10_quality_classifier, op11_fill_in_middle, op12_merkle_manifest, op13_sentence_pieces)}
 
 ORACLES: dict[str, str] = {
     "op7_chat_format": r"""
