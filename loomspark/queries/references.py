@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspark.operators.cascade import resolve
+from loomspark.operators.phrases import first_matches, longest_matches
 from loomspark.queries.base import Query, shared_sql
 from loomspark.sources.tables import table
 
@@ -48,44 +49,46 @@ SELECT page_id, kind, target, count(*) AS n, starts_with(target, '/') OR regexp_
 """
 
 
-#: Items whose rarest words fit into a plan as a literal; more are joined by shuffles.
-FEW_ITEMS = 2000
-
-
 def containment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that contain a benchmark text whole. Candidates share the item's rarest word."""
-    words = lambda c: F.array_distinct(F.split(c, r"\s+"))
+    """Documents that contain a benchmark text whole, and where first; an empty text is contained nowhere."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("needle"))
-    # The first and the last word of an item may be parts of longer words in a document; inner ones are whole.
-    inner = items.withColumn("inner", F.split("needle", r"\s+")).withColumn("inner", F.when(F.size("inner") > 2, F.slice("inner", F.lit(2), F.size("inner") - 2)))
-    asked = inner.select("item_id", F.explode(F.array_distinct("inner")).alias("word"))
-    post = docs.select("doc_id", F.explode(words(F.col("text"))).alias("word"))
-    few = items.limit(FEW_ITEMS + 1).count() <= FEW_ITEMS
-    near = F.broadcast if few else lambda x: x
-    df = post.join(near(asked.select("word").distinct()), "word", "left_semi").groupBy("word").agg(F.count("*").alias("df"))
-    rarest = asked.join(df, "word").groupBy("item_id").agg(F.min_by("word", F.struct("df", "word")).alias("word"))
-    if few:  # the words asked for are a literal, so a text is tested in its own row and nothing shuffles
-        listed = rarest.join(items, "item_id").collect()
-        literal = F.array(*(F.lit(w) for w in sorted({r["word"] for r in listed}))).cast("array<string>")
-        by_word = near(docs.sparkSession.createDataFrame([(r["word"], r["item_id"], r["needle"]) for r in listed], "word string, item_id long, needle string"))
-        some = docs.select("doc_id", "text", F.explode(F.array_intersect(words(F.col("text")), literal)).alias("word"))
-        found = some.join(by_word, "word").where(F.col("text").contains(F.col("needle"))).select("doc_id", "item_id", "text", "needle")
-        return _with_short(found, docs, items)
-    pairs = post.join(rarest, "word").select("doc_id", "item_id")
-    whole = pairs.join(docs, "doc_id").join(items, "item_id").where(F.col("text").contains(F.col("needle")))
-    return _with_short(whole.select("doc_id", "item_id", "text", "needle"), docs, items)
-
-
-def _with_short(whole: DataFrame, docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Matches with those of items of one or two words, which have no inner word to look for."""
-    short = items.where(F.size(F.split("needle", r"\s+")) <= 2)
-    more = docs.join(short, F.col("text").contains(F.col("needle")))
-    both = whole.unionByName(more.select("doc_id", "item_id", "text", "needle"))
-    return both.select("doc_id", "item_id", F.instr("text", F.col("needle")).cast("long").alias("position"))
-
-
-CONTAINMENT = "SELECT doc_id, item_id, instr(d.text, b.text) AS position FROM documents d JOIN benchmark b ON contains(d.text, b.text)"
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("phrase"))
+    return first_matches(docs, items, ["doc_id"]).join(items, "phrase").select("doc_id", "item_id", "position")
+
+
+CONTAINMENT = "SELECT doc_id, item_id, instr(d.text, b.text) AS position FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE b.text <> ''"
+
+
+def _phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark texts whole, their first sentences, their first five and two words, and the names of parts."""
+    text = table(spark, sf_dir, "benchmark").select("text")
+    words = F.split("text", " ")
+    kinds = F.array(F.col("text"), F.regexp_extract("text", r"^[^.]+\.", 0), *(F.array_join(F.slice(words, 1, n), " ") for n in (5, 2)))
+    return text.select(F.explode(kinds).alias("phrase")).unionByName(table(spark, sf_dir, "part").select(F.col("p_name").alias("phrase")))
+
+
+def phrase_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each document, what one alternation of all phrases, the longest first, finds: how often each phrase, and which
+    of the document's matches its first is. A phrase within a longer one that starts no later is not found there."""
+    found = longest_matches(table(spark, sf_dir, "documents").select("doc_id", "text"), _phrases(spark, sf_dir), ["doc_id"])
+    counts = found.groupBy("doc_id", "phrase").agg(F.count("*").alias("n"), F.min("position").alias("position"))
+    order = Window.partitionBy("doc_id").orderBy("position")
+    before = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    return counts.select("doc_id", "phrase", "n", "position", F.row_number().over(order).cast("long").alias("place"), F.coalesce(before, F.lit(0)).alias("others"))
+
+
+PHRASES = r"""
+WITH w AS (SELECT text, string_split(text, ' ') AS words FROM benchmark),
+p AS (
+  SELECT text AS phrase FROM w UNION SELECT regexp_extract(text, '^[^.]+\.', 0) FROM w UNION SELECT array_to_string(words[1:5], ' ') FROM w UNION SELECT array_to_string(words[1:2], ' ') FROM w UNION SELECT p_name FROM part),
+a AS (SELECT string_agg(regexp_escape(phrase), '|' ORDER BY length(phrase) DESC, phrase) AS pattern FROM p WHERE phrase <> ''),
+f AS (SELECT doc_id, text, regexp_extract_all(text, (SELECT pattern FROM a)) AS found, regexp_split_to_array(text, (SELECT pattern FROM a)) AS gaps FROM documents),
+m AS (SELECT doc_id, unnest(found) AS phrase, generate_subscripts(found, 1) AS i, found, gaps FROM f),
+q AS (SELECT doc_id, phrase, CAST(1 + list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS position FROM m),
+g AS (SELECT doc_id, phrase, count(*) AS n, min(position) AS position FROM q GROUP BY doc_id, phrase)
+SELECT doc_id, phrase, n, position, row_number() OVER (PARTITION BY doc_id ORDER BY position) AS place,
+       CAST(coalesce(sum(n) OVER (PARTITION BY doc_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS others FROM g
+"""
 
 
 def evidence_first_line(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,6 +129,7 @@ QUERIES = {
     "link_resolution_cascade": Query(link_resolution_cascade, CASCADE),
     "reference_extraction": Query(reference_extraction, EXTRACTION),
     "containment_join": Query(containment_join, CONTAINMENT),
+    "phrase_matches": Query(phrase_matches, PHRASES),
     "evidence_first_line": Query(evidence_first_line, EVIDENCE),
     "url_normalise": Query(url_normalise, NORMALISE),
     "evidence_drift": shared_sql(DRIFT),

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.functions.names import generated_path, source_id
+from loomspark.sinks import tree
 
 
 class Refused(ValueError):
@@ -52,20 +53,26 @@ def _violations(files: DataFrame, place: Column) -> DataFrame:
     held = files.select("path", "content", place.alias("place"))
     empty = held.where(F.trim(F.coalesce(F.regexp_replace("content", r"\s", ""), F.lit(""))) == "").select("path", F.lit("empty file").alias("violation"))
     bad = held.where("place is null").select("path", F.lit("path not allowed").alias("violation"))
-    twice = held.where("place is not null").groupBy("place").agg(F.count("*").alias("n")).where("n > 1").select(F.col("place").alias("path"), F.lit("path given twice").alias("violation"))
-    return empty.unionByName(bad).unionByName(twice)
+    placed = held.where("place is not null").select("place")
+    twice = placed.groupBy("place").agg(F.count("*").alias("n")).where("n > 1").select(F.col("place").alias("path"), F.lit("path given twice").alias("violation"))
+    parts = F.split("place", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+    folders = placed.where(F.size(parts) > 1).select(F.explode(above).alias("place")).distinct()
+    under = placed.distinct().join(folders, "place", "left_semi").select(F.col("place").alias("path"), F.lit("path is a folder of another").alias("violation"))
+    return empty.unionByName(bad).unionByName(twice).unionByName(under)
 
 
 def violations(files: DataFrame) -> DataFrame:
-    """(path, violation) of generated files (path, content): empty ones, paths that are not allowed, paths given twice."""
+    """(path, violation) of generated files (path, content): empty ones, paths that are not allowed, that are given twice,
+    or that are a folder of another file's."""
     return _violations(files, generated_path(F.col("path")))
 
 
 def _write_each(files: DataFrame, root: str) -> DataFrame:
-    """Write each (place, content) row as a file of its own below root, by the executors through Hadoop's file systems of
-    their own: as text of one row a folder, named by its place."""
-    rows = files.select("place", F.col("content").alias("value"))
-    rows.write.mode("errorifexists").partitionBy("place").text(root)
+    """Write each (place, content) row as a file of its own below root, byte for byte: staged by the executors, moved to
+    their places by one commit."""
+    tree.register(files.sparkSession)
+    files.select("place", F.col("content").cast("binary").alias("content")).write.format("filetree").mode("append").save(root)
     return files.select("place", F.octet_length("content").alias("bytes"))
 
 

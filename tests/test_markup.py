@@ -145,7 +145,7 @@ def test_sinks(spark, tmp_path):
     good = spark.createDataFrame([("src/a.ts", "x = 1\ny"), ("b.css", "z")], "path string, content string")
     out = f"{tmp_path}/gen"
     assert {r["place"] for r in files.write_generated(good, out).collect()} == {"src/a.ts", "b.css"}
-    assert {(r["place"], r["value"]) for r in spark.read.text(out, wholetext=True).collect()} == {("src/a.ts", "x = 1\ny\n"), ("b.css", "z\n")}
+    assert (tmp_path / "gen/src/a.ts").read_bytes() == b"x = 1\ny" and (tmp_path / "gen/b.css").read_bytes() == b"z"
     with pytest.raises(FileExistsError):
         files.write_generated(good, out)
     bad = good.unionByName(spark.createDataFrame([("b.css", "again"), ("../c.ts", "q"), ("d.ts", " ")], "path string, content string"))
@@ -160,6 +160,6 @@ def test_sinks(spark, tmp_path):
     text = spark.createDataFrame([(json.dumps(value),), (None,)], "t string").select(files.pretty(F.col("t"), True), files.pretty(F.col("t"))).collect()
     assert tuple(text[0]) == (json.dumps(value, ensure_ascii=False, indent=2, sort_keys=True) + "\n", json.dumps(value, ensure_ascii=False, indent=2)) and tuple(text[1]) == (None, None)
     files.write_mirrored(spark.createDataFrame([("a/x.cs", "{}"), ("a/y.cs", "[1]")], "source_id string, json string"), f"{tmp_path}/mirror")
-    assert {r["place"] for r in spark.read.text(f"{tmp_path}/mirror").collect()} == {"a/x.cs.json", "a/y.cs.json"}
+    assert {str(p.relative_to(tmp_path / "mirror")): p.read_text() for p in (tmp_path / "mirror").rglob("*.*")} == {"a/x.cs.json": "{}", "a/y.cs.json": "[\n  1\n]"}
     both = files.tagged(spark.createDataFrame([("run1",)], "run string"), page=rows, call=rows.select("a"))
     assert both.columns == ["run", "unit_type", "result"] and both.where("unit_type = 'call'").count() == 2
