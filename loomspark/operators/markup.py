@@ -321,24 +321,6 @@ def name_variants(file_name: Column, file_path: Column) -> Column:
     return F.array_distinct(F.concat(plain, by_path, by_part))
 
 
-def tag_occurrences(files: DataFrame, before: int = 300, after: int = 500) -> DataFrame:
-    """files (file, content) -> (file, tag, start, line, snippet): each opening tag that begins with a capital, with its
-    place from 0, its line from 1, and what stands around it.
-
-    A file is one row until its tags leave it; an occurrence's place is the length of all that stands before it."""
-    pieces = F.transform(F.split("content", "<", -1), lambda p: F.struct(F.length(p).alias("size"), F.regexp_extract(p, r"^([A-Z][A-Za-z0-9_.]*)", 1).alias("tag"), F.regexp_count(p, F.lit("\n")).alias("lines")))
-    begin = F.expr("struct(-1 as start, 1 as line, cast(array() as array<struct<tag:string,start:int,line:int>>) as found)")
-
-    def step(acc: Column, p: Column) -> Column:
-        here = F.array(F.struct(p["tag"].alias("tag"), acc["start"].alias("start"), acc["line"].alias("line")))
-        found = F.when((acc["start"] >= 0) & (p["tag"] != ""), F.concat(acc["found"], here)).otherwise(acc["found"])
-        return F.struct((acc["start"] + p["size"] + 1).alias("start"), (acc["line"] + p["lines"]).alias("line"), found.alias("found"))
-
-    spots = files.select("file", "content", F.explode(F.aggregate(pieces, begin, step)["found"]).alias("s"))
-    left = F.greatest(F.lit(0), F.col("s.start") - before)
-    return spots.select("file", "s.tag", F.col("s.start").cast("long").alias("start"), F.col("s.line").cast("long").alias("line"), F.substr(F.col("content"), left + 1, F.col("s.start") + after - left).alias("snippet"))
-
-
 def translate(nodes: DataFrame, renames: dict[str, str]) -> DataFrame:
     """(source_id, text): a document's tree as nested tags under their new names, indented by depth; a tag without a
     rule is a Box that names it. A document's nodes, in order, are one group: it is one text in the end."""

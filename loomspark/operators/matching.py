@@ -1,17 +1,153 @@
-"""Greedy one-to-one matching of items to scored occurrences."""
+"""Components found in code: candidate files, scored occurrences, a fallback by declarations and texts, and greedy
+one-to-one matching of items to what was found.
+
+Tables: components (project, component, source_name, symbols, tags, texts, hints), the last four arrays of strings;
+files (project, file, content). Nothing crosses projects, and every join is on an equal key.
+"""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterable
+
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomspark.operators.phrases import first_matches
+
 MATCH = "item long, occurrence long, score long, status string, confidence double"
 #: Confidence by outcome: several pieces of evidence, one, a hit of the fallback only, a tie.
 SEVERAL, SINGLE, FALLBACK, AMBIGUOUS = 0.95, 0.75, 0.7, 0.4
 
 
+#: Scores: a tag of the component, its declaration, one of its texts; more for a preferred file, for the source name
+#: near the tag, and for each text near it.
+TAG, DECLARATION, TEXT = 10, 12, 5
+PREFERRED, NAMED, HINTED = 5, 8, 3
+#: What counts as near a tag: so many characters from it to the left and to the right.
+BEFORE, AFTER = 300, 500
+_TAG = re.compile(r"<([A-Z][A-Za-z0-9_.]*)\b")
+#: The look-ahead leaves the name for the next match: in `const let x` both words follow a keyword.
+_DECLARATION = re.compile(r"\b(?:function|class|const|let|var)\s+(?=(\w+))")
+HITS = ["project", "component", "kind", "file", "symbol", "position", "line", "score", "evidence", "preferred", "has_preferred"]
+
+
+def _scan(files: DataFrame, keys: list[str], find: Callable[[str], Iterable[tuple]], found: dict[str, pa.DataType]) -> DataFrame:
+    """Rows of keys and what find yields of each content, which is none for a null one."""
+    sql = {pa.string(): "string", pa.int64(): "long"}
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 64):
+                part = b.slice(at, 64)
+                row, hits = [], []
+                for i, content in enumerate(part.column("content").to_pylist()):
+                    for hit in find(content or ""):
+                        row.append(i)
+                        hits.append(hit)
+                columns = zip(*hits, strict=True) if hits else [[] for _ in found]
+                held = [part.column(k).take(pa.array(row, pa.int32())) for k in keys]
+                yield pa.RecordBatch.from_arrays([*held, *(pa.array(c, t) for c, t in zip(columns, found.values(), strict=True))], [*keys, *found])
+
+    schema = ", ".join([f"`{k}` {files.schema[k].dataType.simpleString()}" for k in keys] + [f"{k} {sql[t]}" for k, t in found.items()])
+    return files.select(*keys, F.col("content").cast("string").alias("content")).mapInArrow(run, schema)
+
+
+def tag_occurrences(files: DataFrame, keys: list[str], before: int = BEFORE, after: int = AFTER) -> DataFrame:
+    """(keys, tag, position, line, snippet): each opening tag that begins with a capital, its place from 0, its line from
+    1, and what stands around it."""
+
+    def find(content: str):
+        line, last = 1, 0
+        for m in _TAG.finditer(content):
+            line += content.count("\n", last, m.start())
+            last = m.start()
+            yield m[1], last, line, content[max(0, last - before) : last + after]
+
+    return _scan(files, keys, find, {"tag": pa.string(), "position": pa.int64(), "line": pa.int64(), "snippet": pa.string()})
+
+
+def declarations(files: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, symbol, position, line): where a file first declares each symbol, as an inverted index of it. A symbol is one
+    word, as in code; names with points or spaces are declared nowhere."""
+
+    def find(content: str):
+        line, last, seen = 1, 0, set()
+        for m in _DECLARATION.finditer(content):
+            line += content.count("\n", last, m.start())
+            last = m.start()
+            if m[1] not in seen:
+                seen.add(m[1])
+                yield m[1], last, line
+
+    return _scan(files, keys, find, {"symbol": pa.string(), "position": pa.int64(), "line": pa.int64()})
+
+
+def _names() -> Column:
+    """A component's names, in order: the source's, then the symbols; null and empty ones are none."""
+    every = F.concat(F.array("source_name"), F.coalesce("symbols", F.array().cast("array<string>")))
+    return F.array_distinct(F.filter(every, lambda x: x != ""))
+
+
+def candidate_files(components: DataFrame, files: DataFrame) -> DataFrame:
+    """(project, component, file, preferred): files that a component's hints name, which are preferred, and files whose
+    stem is one of its names in any case. A component without rows here may be anywhere if it has a name at all."""
+    there = files.select("project", "file").distinct()
+    hinted = components.select("project", "component", F.explode("hints").alias("file")).join(there, ["project", "file"])
+    stem = F.lower(F.regexp_extract("file", r"([^/]*?)(\.[^./]*)?$", 1))
+    named = components.select("project", "component", F.explode(F.transform(_names(), lambda x: F.lower(x))).alias("stem")).join(there.withColumn("stem", stem), ["project", "stem"])
+    both = hinted.select("project", "component", "file", F.lit(True).alias("preferred")).unionByName(named.select("project", "component", "file", F.lit(False).alias("preferred")))
+    return both.groupBy("project", "component", "file").agg(F.max("preferred").alias("preferred"))
+
+
+def _allowed(hits: DataFrame, components: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Hits in a component's candidate files; in any file if it has none but a name. With preferred and has_preferred."""
+    some = candidates.groupBy("project", "component").agg(F.max("preferred").alias("has_preferred"))
+    known = components.select("project", "component", (F.size(_names()) > 0).alias("named")).join(some, ["project", "component"], "left")
+    joined = hits.join(known, ["project", "component"]).join(candidates, ["project", "component", "file"], "left")
+    anywhere = F.col("has_preferred").isNull() & F.col("named")
+    kept = joined.where(F.col("preferred").isNotNull() | anywhere)
+    return kept.withColumn("preferred", F.coalesce("preferred", F.lit(False))).withColumn("has_preferred", F.coalesce("has_preferred", F.lit(False)))
+
+
+def occurrence_hits(components: DataFrame, files: DataFrame, candidates: DataFrame) -> DataFrame:
+    """HITS of the components' tags. Evidence counts the tag, the preferred file, the name and each text near it."""
+    spots = tag_occurrences(files, ["project", "file"])
+    asked = components.select("project", "component", "source_name", "texts", F.explode(F.array_distinct("tags")).alias("tag"))
+    held = _allowed(spots.join(asked, ["project", "tag"]), components, candidates)
+    near = F.lower("snippet")
+    named = F.coalesce((F.col("source_name") != "") & near.contains(F.lower("source_name")), F.lit(False)).cast("int")
+    texts = F.size(F.filter(F.coalesce("texts", F.array().cast("array<string>")), lambda t: near.contains(F.lower(t))))
+    own = F.col("preferred").cast("int")
+    score, evidence = TAG + PREFERRED * own + NAMED * named + HINTED * texts, 1 + own + named + texts
+    return held.select("project", "component", F.lit("tag").alias("kind"), "file", F.col("tag").alias("symbol"), "position", "line", score.cast("long").alias("score"), evidence.cast("long").alias("evidence"), "preferred", "has_preferred")
+
+
+def fallback_hits(components: DataFrame, files: DataFrame, candidates: DataFrame) -> DataFrame:
+    """HITS of declarations of the components' names, and of their texts in any case: the first of each in each file.
+
+    Declarations are an index of (file, symbol), texts one search for all of them; both join on what they found."""
+    keys = ["project", "file"]
+    names = components.select("project", "component", F.explode(_names()).alias("symbol"))
+    declared = declarations(files, keys).join(names, ["project", "symbol"]).select("project", "component", F.lit("symbol").alias("kind"), "file", "symbol", "position", "line")
+    texts = components.select("project", "component", F.explode(F.array_distinct("texts")).alias("symbol")).withColumn("phrase", F.lower("symbol"))
+    folded = files.select(*keys, F.lower("content").alias("text"))
+    found = first_matches(folded, texts.select("phrase"), keys, lines=True)
+    written = found.join(texts, ["project", "phrase"]).select("project", "component", F.lit("text").alias("kind"), "file", "symbol", (F.col("position") - 1).alias("position"), "line")
+    held = _allowed(declared.unionByName(written), components, candidates)
+    score = F.when(F.col("kind") == "symbol", DECLARATION).otherwise(TEXT) + PREFERRED * F.col("preferred").cast("int")
+    return held.select("project", "component", "kind", "file", "symbol", "position", "line", score.cast("long").alias("score"), F.lit(1).cast("long").alias("evidence"), "preferred", "has_preferred")
+
+
+def hits(components: DataFrame, files: DataFrame) -> DataFrame:
+    """All HITS before any claim: occurrences, and what counts only where no occurrence is free."""
+    candidates = candidate_files(components, files)
+    return occurrence_hits(components, files, candidates).unionByName(fallback_hits(components, files, candidates)).select(*HITS)
+
+
 def with_ties(scored: DataFrame) -> DataFrame:
     """scored (item, file, score, preferred) with `tied`: before any claim, an item's best score is that of several
     files, and the item has no preferred file."""
@@ -24,7 +160,7 @@ def with_ties(scored: DataFrame) -> DataFrame:
 
 def claim(items: list[tuple], candidates: dict) -> list[tuple]:
     """Of items in order, with candidates[item] = [(score, file, place, occurrence, evidence, preferred, fallback)], one
-    row each as in MATCH.
+    row each as in MATCH. preferred says that the item has a preferred file, whichever the candidate's is.
 
     An item takes, of the occurrences that nobody has claimed, the best one, then the first by file and place. It is
     ambiguous, and claims nothing, if that score is held by occurrences of several files and the item has no preferred
@@ -49,15 +185,18 @@ def claim(items: list[tuple], candidates: dict) -> list[tuple]:
     return out
 
 
-def greedy(items: DataFrame, scored: DataFrame, project: str) -> DataFrame:
+def greedy(items: DataFrame, scored: DataFrame, project: str, keyed: bool = False) -> DataFrame:
     """items (project, item), scored (project, item, occurrence, file, score, evidence, preferred, fallback) -> MATCH, a row
-    for each item. Later claims depend on earlier ones, so a project is one task's group."""
+    for each item, with its project if keyed. Later claims depend on earlier ones, so a project is one task's group."""
+    kind = items.schema[project].dataType.simpleString()
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         held: dict = {}
         for r in right.itertuples():
             held.setdefault(r.item, []).append((int(r.score), r.file, int(r.occurrence), int(r.occurrence), int(r.evidence), bool(r.preferred), bool(r.fallback)))
         frame = pd.DataFrame(claim(sorted(set(left["item"].tolist())), held), columns=["item", "occurrence", "score", "status", "confidence"])
+        if keyed:
+            frame.insert(0, project, key[0])
         return frame.astype({"occurrence": "Int64", "score": "Int64"})
 
-    return items.groupBy(project).cogroup(scored.groupBy(project)).applyInPandas(run, MATCH)
+    return items.groupBy(project).cogroup(scored.groupBy(project)).applyInPandas(run, f"{project} {kind}, {MATCH}" if keyed else MATCH)

@@ -70,8 +70,8 @@ def _schema(rows: DataFrame, keys: list[str], more: str) -> str:
     return ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys) + ", " + more
 
 
-def _search(rows: DataFrame, keys: list[str], automaton: tuple, choose) -> DataFrame:
-    """(keys, position, phrase): what choose keeps of each row's matches; positions from 1."""
+def _search(rows: DataFrame, keys: list[str], automaton: tuple, choose, lines: bool = False) -> DataFrame:
+    """(keys, position, phrase): what choose keeps of each row's matches; positions from 1. With lines their numbers too."""
     key, phrases = automaton
 
     def run(batches):
@@ -79,27 +79,34 @@ def _search(rows: DataFrame, keys: list[str], automaton: tuple, choose) -> DataF
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                row, position, phrase = [], [], []
+                row, position, phrase, line = [], [], [], []
                 for i, text in enumerate(part.column("text").to_pylist()):
+                    at_line, last = 1, 0
                     for start, found in choose(occurrences(built, text or "")):
+                        if lines:
+                            at_line += text.count("\n", last, start)
+                            last = start
+                            line.append(at_line)
                         row.append(i)
                         position.append(start + 1)
                         phrase.append(found)
                 held = [part.column(k).take(pa.array(row, pa.int32())) for k in keys]
-                yield pa.RecordBatch.from_arrays([*held, pa.array(position, pa.int64()), pa.array(phrase, pa.string())], [*keys, "position", "phrase"])
+                more = [pa.array(line, pa.int64())] if lines else []
+                yield pa.RecordBatch.from_arrays([*held, pa.array(position, pa.int64()), pa.array(phrase, pa.string()), *more], [*keys, "position", "phrase", *["line"] * lines])
 
-    return rows.select(*(F.col(f"`{k}`") for k in keys), F.col("text").cast("string").alias("text")).mapInArrow(run, _schema(rows, keys, "position long, phrase string"))
+    return rows.select(*(F.col(f"`{k}`") for k in keys), F.col("text").cast("string").alias("text")).mapInArrow(run, _schema(rows, keys, "position long, phrase string" + ", line long" * lines))
 
 
-def first_matches(rows: DataFrame, phrases: DataFrame, keys: list[str], limit: int = PHRASE_BYTES) -> DataFrame:
-    """rows (keys, text), phrases (phrase) -> (keys, position, phrase): for each row every phrase that it holds, and where first.
+def first_matches(rows: DataFrame, phrases: DataFrame, keys: list[str], limit: int = PHRASE_BYTES, lines: bool = False) -> DataFrame:
+    """rows (keys, text), phrases (phrase) -> (keys, position, phrase): for each row every phrase that it holds, and where
+    first; with lines also (line), from 1.
 
     Matches may overlap. Null texts hold none. Repeated rows give their matches once each."""
     out = None
     for automaton in _automata(phrases, limit):
-        found = _search(rows, keys, automaton, _firsts)
+        found = _search(rows, keys, automaton, _firsts, lines)
         out = found if out is None else out.unionByName(found)
-    return out if out is not None else rows.sparkSession.createDataFrame([], _schema(rows, keys, "position long, phrase string"))
+    return out if out is not None else rows.sparkSession.createDataFrame([], _schema(rows, keys, "position long, phrase string" + ", line long" * lines))
 
 
 def longest_matches(rows: DataFrame, phrases: DataFrame, keys: list[str], limit: int = PHRASE_BYTES) -> DataFrame:

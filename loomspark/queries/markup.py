@@ -184,12 +184,6 @@ SELECT n_nationkey, unnest(list_distinct(['Logo' || n_nationkey || '.png', 'logo
 """
 
 
-def tag_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Opening tags with their places in the written pages."""
-    files = _documents(spark, sf_dir).select(F.col("source_id").alias("file"), F.col("xml").alias("content"))
-    return M.tag_occurrences(files).select("file", "tag", "start", "line", F.length("snippet").cast("long").alias("snippet_chars"))
-
-
 QUERIES = {
     "xaml_classes": Query(xaml_classes, CLASSES),
     "xaml_references": Query(xaml_references, REFERENCES),
@@ -201,5 +195,4 @@ QUERIES = {
     "generated_violations": Query(generated_violations, VIOLATIONS),
     "json_schema_errors": Query(json_schema_errors, ERRORS),
     "name_variants": Query(name_variants, VARIANTS),
-    "tag_occurrences": Query(tag_occurrences),
 }

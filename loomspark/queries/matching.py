@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspark.operators import matching as M
@@ -49,4 +49,94 @@ def greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.greedy(items.select(project, "item"), rows, "project")
 
 
-QUERIES = {"scored_occurrences": Query(scored_occurrences, TIES), "greedy_match": Query(greedy_match)}
+def _code(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Code files, one a supplier with what it sells, in the project of its nation; and components, one a nation and name
+    of the parts that its customers order, whose hint is the file of the first supplier of those."""
+    symbol = F.replace(F.initcap("p_name"), F.lit(" "), F.lit(""))
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", symbol.alias("symbol"), "p_brand", "p_type")
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
+    sold = items.select("l_suppkey", "l_partkey").distinct().join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    line = F.format_string('const %s = make("%s", "%s");\n<%s id="%s">%s</%s>\n', "symbol", "p_brand", "p_type", "symbol", F.col("p_partkey").cast("string"), "p_name", "symbol")
+    bodies = sold.groupBy("l_suppkey").agg(F.min("symbol").alias("stem"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", line.alias("line")))), lambda x: x["line"]), "").alias("body"))
+    held = bodies.join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    path = lambda key, stem: F.format_string("src/%s/%s.tsx", F.col(key).cast("string"), stem)
+    files = held.select(F.col("s_nationkey").cast("long").alias("project"), path("s_suppkey", "stem").alias("file"), F.concat(F.lit("// "), "s_name", F.lit("\n"), "body").alias("content"))
+    bought = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+    bought = bought.join(items, F.col("o_orderkey") == F.col("l_orderkey")).join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    asked = bought.groupBy("c_nationkey", "p_name", "symbol").agg(F.min("p_brand").alias("brand"), F.min("p_type").alias("kind"), F.min("l_suppkey").alias("supplier"))
+    hinted = asked.join(bodies.select(F.col("l_suppkey").alias("supplier"), "stem"), "supplier")
+    components = hinted.select(F.col("c_nationkey").cast("long").alias("project"), F.col("p_name").alias("component"), F.col("brand").alias("source_name"), F.array("symbol").alias("symbols"), F.array("symbol").alias("tags"), F.array(F.lower("kind")).alias("texts"), F.array(path("supplier", "stem")).alias("hints"))
+    return components, files
+
+
+CODE = """
+sold AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem),
+named AS (SELECT p_partkey, p_name, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), '') AS symbol, p_brand, p_type FROM part),
+lines AS (
+  SELECT l_suppkey, p_partkey, symbol, length('const ' || symbol || ' = make("' || p_brand || '", "' || p_type || '");') + 1 AS head,
+         'const ' || symbol || ' = make("' || p_brand || '", "' || p_type || '");' || chr(10) || '<' || symbol || ' id="' || p_partkey || '">' || p_name || '</' || symbol || '>' || chr(10) AS line
+  FROM sold JOIN named ON l_partkey = p_partkey),
+files AS (
+  SELECT s_suppkey, CAST(s_nationkey AS BIGINT) AS project, 'src/' || s_suppkey || '/' || min(symbol) || '.tsx' AS file, min(symbol) AS stem, length(s_name) + 4 AS top, '// ' || s_name || chr(10) || string_agg(line, '' ORDER BY p_partkey) AS content
+  FROM lines JOIN supplier ON l_suppkey = s_suppkey GROUP BY s_suppkey, s_nationkey, s_name),
+spots AS (
+  SELECT project, file, content, symbol AS tag, CAST(top + head + coalesce(sum(length(line)) OVER (PARTITION BY l_suppkey ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start,
+         1 + 2 * row_number() OVER (PARTITION BY l_suppkey ORDER BY p_partkey) AS line FROM lines JOIN files ON l_suppkey = s_suppkey),
+around AS (SELECT project, file, tag, start, line, substring(content, CAST(greatest(0, start - 300) AS BIGINT) + 1, CAST(start + 500 - greatest(0, start - 300) AS BIGINT)) AS snippet FROM spots)"""
+
+
+def component_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was found for each component before any claim: its tags, its declarations and its texts, with scores."""
+    components, files = _code(spark, sf_dir)
+    return M.hits(components, files)
+
+
+CANDIDATES = f"""
+WITH {CODE},
+asked AS (
+  SELECT CAST(c_nationkey AS BIGINT) AS project, p_name AS component, symbol, min(p_brand) AS brand, lower(min(p_type)) AS kind, min(l_suppkey) AS supplier
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON o_orderkey = l_orderkey JOIN named ON l_partkey = p_partkey GROUP BY 1, 2, 3),
+allowed AS (
+  SELECT a.project, component, file, content, a.symbol, brand, kind, s_suppkey = supplier AS preferred,
+         bool_or(s_suppkey = supplier) OVER w AS has_preferred, bool_or(s_suppkey = supplier OR lower(stem) IN (lower(a.symbol), lower(brand))) OVER w AS has_any, lower(stem) IN (lower(a.symbol), lower(brand)) AS by_name
+  FROM asked a JOIN files f ON a.project = f.project WINDOW w AS (PARTITION BY a.project, component)),
+c AS (SELECT *, 5 * CAST(preferred AS INT) AS own FROM allowed WHERE NOT has_any OR preferred OR by_name),
+found AS (
+  SELECT c.project, component, 'tag' AS kind, c.file, tag AS symbol, start AS position, line, CAST(contains(lower(snippet), lower(brand)) AS INT) AS named, CAST(contains(lower(snippet), kind) AS INT) AS hinted, own, preferred, has_preferred
+  FROM c JOIN around s ON c.project = s.project AND c.file = s.file AND c.symbol = tag),
+first AS (
+  SELECT project, component, 'symbol' AS kind, file, symbol, content, instr(content, 'const ' || symbol || ' ') - 1 AS position, 12 + own AS score, preferred, has_preferred FROM c
+  UNION ALL SELECT project, component, 'text', file, kind, content, instr(lower(content), kind) - 1, 5 + own, preferred, has_preferred FROM c)
+SELECT project, component, kind, file, symbol, position, line, CAST(10 + own + 8 * named + 3 * hinted AS BIGINT) AS score, CAST(1 + own // 5 + named + hinted AS BIGINT) AS evidence, preferred, has_preferred FROM found
+UNION ALL SELECT project, component, kind, file, symbol, position, 1 + length(content[:position]) - length(replace(content[:position], chr(10), '')), score, 1, preferred, has_preferred FROM first WHERE position >= 0
+"""
+
+
+def component_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every component's one place in its project's code, claimed in the order of their names."""
+    components, files = _code(spark, sf_dir)
+    order = Window.partitionBy("project").orderBy("component")
+    items = components.select("project", "component", F.row_number().over(order).cast("long").alias("item"))
+    # A place is a file's number and a position in it; both are what one may claim once.
+    number = F.regexp_extract("file", r"^src/(\d+)/", 1).cast("long")
+    rows = M.hits(components, files).join(items, ["project", "component"])
+    rows = rows.select("project", "item", (number * (1 << 32) + F.col("position")).alias("occurrence"), "file", "score", "evidence", F.col("has_preferred").alias("preferred"), (F.col("kind") != "tag").alias("fallback"))
+    done = M.greedy(items.select("project", "item"), rows, "project", keyed=True)
+    return items.join(done, ["project", "item"]).drop("item")
+
+
+def tag_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Opening tags with their places in the suppliers' code."""
+    _, files = _code(spark, sf_dir)
+    return M.tag_occurrences(files, ["file"]).select("file", "tag", F.col("position").alias("start"), "line", F.length("snippet").cast("long").alias("snippet_chars"), F.sha2("snippet", 256).alias("snippet_sha256"))
+
+
+OCCURRENCES = f"WITH {CODE} SELECT file, tag, start, line, length(snippet) AS snippet_chars, sha256(snippet) AS snippet_sha256 FROM around"
+
+QUERIES = {
+    "scored_occurrences": Query(scored_occurrences, TIES),
+    "greedy_match": Query(greedy_match),
+    "component_candidates": Query(component_candidates, CANDIDATES),
+    "component_matches": Query(component_matches),
+    "tag_occurrences": Query(tag_occurrences, OCCURRENCES),
+}

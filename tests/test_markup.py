@@ -54,8 +54,8 @@ def test_translation(spark):
 def test_occurrences_are_those_of_a_pattern(spark):
     rng = random.Random(3)
     texts = ["".join(rng.choice(["<", "A", "b", "\n", "Card.X", " ", "</", ">", "é"]) for _ in range(rng.randint(0, 90))) for _ in range(60)] + ["", "<<A", "<A"]
-    rows = markup.tag_occurrences(spark.createDataFrame(list(enumerate(texts)), "file long, content string"), 5, 9).collect()
-    want = {(i, m[1], m.start(), t.count("\n", 0, m.start()) + 1, t[max(0, m.start() - 5) : m.start() + 9]) for i, t in enumerate(texts) for m in re.finditer(r"<([A-Z][A-Za-z0-9_.]*)", t)}
+    rows = matching.tag_occurrences(spark.createDataFrame(list(enumerate(texts)), "file long, content string"), ["file"], 5, 9).collect()
+    want = {(i, m[1], m.start(), t.count("\n", 0, m.start()) + 1, t[max(0, m.start() - 5) : m.start() + 9]) for i, t in enumerate(texts) for m in re.finditer(r"<([A-Z][A-Za-z0-9_.]*)\b", t)}
     assert {tuple(r) for r in rows} == want and len(rows) == len(want)
 
 
