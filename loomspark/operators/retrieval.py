@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomspark.operators.graph import cut
+
 #: BM25's fixed parameters, and how often a query's term counts at most.
 K1, B, QUERY_TF = 1.2, 0.75, 2
 
@@ -16,6 +18,8 @@ GENERIC = ("component", "control", "custom", "extended", "ex", "view", "widget")
 _CJK = r"[\x{4e00}-\x{9fff}]"
 #: Terms that are asked for by all queries, at most, for them to be broadcast; more are joined by a shuffle.
 BROADCAST_TERMS = 200_000
+#: Not a token: what a document itself is counted under.
+NO_TERM = ""
 
 
 def _split_camel(text: Column) -> Column:
@@ -40,17 +44,20 @@ def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """docs and queries (id, text) -> (query, id, bm25) of documents that share a term, scores divided by each
     query's best.
 
-    N and the mean length are over all documents, those without a token included. Only terms that some query has
-    leave their document's row: they are broadcast up to BROADCAST_TERMS of them, else joined by a shuffle."""
-    counted = docs.select("id", F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")).alias("tokens"))
-    stats = counted.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("mean")).first()
+    N and the mean length are over all documents, those without a token included. Texts are read once: what leaves a
+    document's row is its terms that some query has, and a row under NO_TERM that counts it and its tokens; that table
+    is written, and everything else is taken from it. The terms asked for are broadcast up to BROADCAST_TERMS of them,
+    else joined by a shuffle."""
     asked = postings(queries).select(F.col("id").alias("query"), "term", F.least("tf", F.lit(QUERY_TF)).alias("qtf"))
-    terms = asked.select("term").distinct()
+    terms = asked.select("term").unionByName(queries.sparkSession.createDataFrame([(NO_TERM,)], "term string")).distinct()
     few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    words = counted.select("id", F.size("tokens").alias("length"), F.explode("tokens").alias("term")).join(F.broadcast(terms) if few else terms, "term", "left_semi")
-    hits = words.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+    counted = docs.select("id", F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")).alias("tokens"))
+    words = counted.select("id", F.size("tokens").alias("length"), F.explode(F.concat(F.array(F.lit(NO_TERM)), F.col("tokens"))).alias("term")).join(F.broadcast(terms) if few else terms, "term", "left_semi")
+    every = cut(words.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"), F.sum("length").alias("total")))
+    stats = every.where(F.col("term") == NO_TERM).agg(F.sum("tf").alias("n"), (F.sum("total") / F.sum("tf")).alias("mean")).first()
+    hits = every.where(F.col("term") != NO_TERM).drop("total")
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    n, mean = F.lit(stats["n"]), F.lit(stats["mean"] or 1.0)
+    n, mean = F.lit(stats["n"] or 0), F.lit(stats["mean"] or 1.0)
     weighted = asked.join(df, "term").withColumn("idf", F.ln(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     gain = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean))
     raw = hits.join(weighted, "term").groupBy("query", "id").agg(F.sum(gain).alias("raw"))

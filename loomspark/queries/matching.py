@@ -9,12 +9,12 @@ from loomspark.operators import matching as M
 from loomspark.operators.retrieval import postings
 from loomspark.queries.base import Query
 from loomspark.queries.retrieval import _tokens_sql
-from loomspark.sources.tables import table
+from loomspark.sources.tables import spread, table
 
 
 def scored_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that share a word of six letters or more with an item: 10, 5 for a preferred source, 3 a word."""
-    docs = postings(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")).where("length(term) >= 6")
+    docs = postings(spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))).where("length(term) >= 6")
     items = postings(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")).where("length(term) >= 6").select(F.col("id").alias("item"), "term")
     where = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("file"))
     shared = items.join(docs, "term").groupBy("item", "id").agg(F.count("*").alias("words")).join(where, "id")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomspark.operators.cascade import resolve
 from loomspark.operators.phrases import first_matches, longest_matches
 from loomspark.queries.base import Query, shared_sql
-from loomspark.sources.tables import table
+from loomspark.sources.tables import spread, table
 
 
 def link_resolution_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +51,7 @@ SELECT page_id, kind, target, count(*) AS n, starts_with(target, '/') OR regexp_
 
 def containment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that contain a benchmark text whole, and where first; an empty text is contained nowhere."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("phrase"))
     return first_matches(docs, items, ["doc_id"]).join(items, "phrase").select("doc_id", "item_id", "position")
 
@@ -70,7 +70,7 @@ def _phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 def phrase_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each document, what one alternation of all phrases, the longest first, finds: how often each phrase, and which
     of the document's matches its first is. A phrase within a longer one that starts no later is not found there."""
-    found = longest_matches(table(spark, sf_dir, "documents").select("doc_id", "text"), _phrases(spark, sf_dir), ["doc_id"])
+    found = longest_matches(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), _phrases(spark, sf_dir), ["doc_id"])
     counts = found.groupBy("doc_id", "phrase").agg(F.count("*").alias("n"), F.min("position").alias("position"))
     order = Window.partitionBy("doc_id").orderBy("position")
     before = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1))

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from loomspark.operators import retrieval as R
 from loomspark.queries.base import Query
-from loomspark.sources.tables import table
+from loomspark.sources.tables import spread, table
 
 ABSTAIN = 0.18
 
 
 def _bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    docs = spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
     return R.bm25(docs, table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text"))
 
 
@@ -161,7 +161,7 @@ SELECT query_label AS label, count(*) AS queries, round(avg(CASE WHEN first <= 3
 
 def document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and occurrences of each term by language: one aggregate, of sums that each task makes first."""
-    docs = table(spark, sf_dir, "documents").select("lang", R.tokens(F.col("text")).alias("tokens"))
+    docs = spread(table(spark, sf_dir, "documents").select("lang", "text")).select("lang", R.tokens(F.col("text")).alias("tokens"))
     row = lambda d, c: lambda x: F.struct(x.alias("term"), F.lit(d).alias("df"), F.lit(c).alias("cf"))
     rows = docs.select("lang", F.explode(F.concat(F.transform(F.array_distinct("tokens"), row(1, 0)), F.transform("tokens", row(0, 1)))).alias("r"))
     return rows.groupBy("lang", "r.term").agg(F.sum("r.df").alias("df"), F.sum("r.cf").alias("cf"))

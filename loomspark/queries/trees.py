@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomspark.operators import trees as T
 from loomspark.queries.base import Query
-from loomspark.sources.tables import table
+from loomspark.sources.tables import spread, table
 
 TAG = r"<([a-z][a-z0-9]*)[\s>/]"
 
@@ -21,7 +21,7 @@ COUNTS = f"SELECT tag, count(*) AS n, count(DISTINCT page_id) AS pages FROM (SEL
 
 
 def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.html_nodes(table(spark, sf_dir, "pages"))
+    return T.html_nodes(spread(table(spark, sf_dir, "pages").select("page_id", "html")))
 
 
 def html_classify(spark: SparkSession, sf_dir: str) -> DataFrame:

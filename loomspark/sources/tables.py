@@ -8,3 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table `name`; the path may be of any file system that Spark reads."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+#: Bytes of input for each core below which rows are dealt anew.
+SPLIT_BYTES = 32 << 20
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """rows over all cores, for costly work on each, where the input is so small that its files give fewer tasks: a file of
+    one row group is one task, whatever its splits. Larger inputs stay as they are read and shuffle nothing."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(cores) if size < cores * SPLIT_BYTES else rows
