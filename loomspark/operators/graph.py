@@ -12,6 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Edges of a rest that one task takes.
+SMALL_EDGES = 1 << 17
+
+
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, out_degree, in_degree, isolated) of every node."""
     out = edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("out_degree"))
@@ -47,11 +51,83 @@ def closure(edges: DataFrame, limit: int = 64) -> DataFrame:
     raise RuntimeError(f"the closure has not settled after {limit} rounds")
 
 
-def strong_components(nodes: DataFrame, reached: DataFrame) -> DataFrame:
-    """(node, scc): nodes that reach one another have the smallest of them as scc."""
-    both = reached.alias("a").join(reached.alias("b"), (F.col("a.src") == F.col("b.dst")) & (F.col("a.dst") == F.col("b.src"))).select(F.col("a.src").alias("node"), F.col("a.dst").alias("other"))
-    least = both.groupBy("node").agg(F.min("other").alias("other"))
-    return nodes.join(least, "node", "left").select("node", F.least("node", F.coalesce("other", "node")).alias("scc"))
+def _tarjan(edges: DataFrame) -> DataFrame:
+    """(node, scc) of the nodes on edges, in one task: for a graph of SMALL_EDGES at most."""
+    kind = edges.schema["src"].dataType.simpleString()
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        after = defaultdict(set)
+        for s, d in zip(rows["src"], rows["dst"], strict=True):
+            after[s].add(d)
+        group = _strong(sorted(set(after) | {d for v in after.values() for d in v}), after)
+        return pd.DataFrame([(n, g[0]) for n, g in group.items()], columns=["node", "scc"])
+
+    return edges.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(run, f"node {kind}, scc {kind}")
+
+
+def _trimmed(edges: DataFrame, size: int) -> tuple[DataFrame, int]:
+    """edges without those that no cycle can use: from a node that none leads to, or to one that none leaves. Goes on as
+    long as a round takes away a twentieth."""
+    while size:
+        left = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        left = cut(left.select("src", "dst"))
+        before, size, edges = size, left.count(), left
+        if before - size < before / 20:
+            break
+    return edges, size
+
+
+def _settled(rows: DataFrame, step, limit: int, steps: int = 3) -> DataFrame:
+    """rows after step, which gives rows and `new`, again and again until it makes no row new; a few steps between cuts."""
+    for _ in range(limit):
+        for _ in range(steps):
+            rows = step(rows.drop("new"))
+        rows = cut(rows)
+        if rows.where("new").isEmpty():
+            return rows.drop("new")
+    raise RuntimeError(f"labels have not settled after {limit * steps} rounds")
+
+
+def strong_components(nodes: DataFrame, edges: DataFrame, small: int = SMALL_EDGES, limit: int = 1000) -> DataFrame:
+    """(node, scc): nodes that reach one another have the smallest of them as scc; others themselves.
+
+    Edges that no cycle can use go first. Then every node gets the smallest node that reaches it as its label, and what
+    reaches that node back within its label is its component. Components and edges between labels go, and so on with the
+    rest. No pair of nodes is made that is not an edge. A rest of `small` edges is solved in one task. Rounds are as many
+    as a component's longest shortest path; each is cut off from its lineage."""
+    rest = cut(edges.where("src != dst").select("src", "dst").distinct())
+    size, found = rest.count(), []
+    while size > small:
+        rest, size = _trimmed(rest, size)
+        if size <= small:
+            break
+        ends = rest.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+
+        def lower(labels: DataFrame, rest: DataFrame = rest) -> DataFrame:
+            into = rest.join(labels.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("came"))
+            return labels.join(into, "node", "left").select("node", F.least("label", F.coalesce("came", "label")).alias("label"), F.coalesce(F.col("came") < F.col("label"), F.lit(False)).alias("new"))
+
+        labels = _settled(ends.withColumn("label", F.col("node")), lower, limit)
+        a, b = labels.select(F.col("node").alias("src"), "label"), labels.select(F.col("node").alias("dst"), F.col("label").alias("to_label"))
+        inside = cut(rest.join(a, "src").join(b, "dst").where("label = to_label").select("src", "dst", "label"))
+
+        def back(members: DataFrame, inside: DataFrame = inside) -> DataFrame:
+            more = inside.join(members.select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("src").alias("node"), "label", F.lit(True).alias("new"))
+            return members.withColumn("new", F.lit(False)).unionByName(more).groupBy("node", "label").agg(F.min("new").alias("new"))
+
+        members = _settled(labels.where("node = label"), back, limit)
+        found.append(members.select("node", F.col("label").alias("scc")))
+        gone = members.select("node")
+        rest = cut(inside.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
+        size = rest.count()
+    if size:
+        found.append(_tarjan(rest))
+    if not found:
+        return nodes.select("node", F.col("node").alias("scc"))
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    return nodes.join(every, "node", "left").select("node", F.coalesce("scc", "node").alias("scc"))
 
 
 def condensation(edges: DataFrame, scc: DataFrame) -> DataFrame:

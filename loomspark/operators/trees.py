@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections import Counter
 from html.parser import HTMLParser
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomspark.operators.graph import cut
+
 #: Elements without content, and those that an opening tag of their own kind closes.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 SELF_CLOSING = frozenset("p li option tr td th".split())
@@ -117,3 +120,24 @@ def fold(nodes: DataFrame) -> DataFrame:
     every = nodes.withColumn("parts", parts).select("page_id", F.explode(prefixes).alias("node_path"), "depth", F.length("text").cast("long").alias("chars"))
     sums = every.groupBy("page_id", "node_path").agg(F.count("*").alias("size"), F.max("depth").alias("deepest"), F.sum("chars").alias("chars"))
     return nodes.join(sums, ["page_id", "node_path"]).select("page_id", "ordinal", "tag", "size", (F.col("deepest") - F.col("depth")).cast("long").alias("height"), "chars")
+
+
+def fold_ordered(nodes: DataFrame, own: Column, combine: Callable[[Column, Column], Column]) -> DataFrame:
+    """nodes (page_id, ordinal, parent, depth, ...) -> (page_id, ordinal, result): own for each node, combined with the
+    results of its children as an array in their order; of a leaf with an empty one. result has the type of own.
+
+    From the deepest level up: a level's results meet at their parents in one shuffle of that level alone, and its lineage
+    is cut. Where a result holds its children's whole, a root's is as long as its tree."""
+    held = cut(nodes.select("page_id", "ordinal", "parent", "depth", own.alias("own")))
+    deepest = held.agg(F.max("depth")).first()[0]
+    empty = F.array().cast(f"array<{held.schema['own'].dataType.simpleString()}>")
+    done = held.where("false").select("page_id", "ordinal", combine(F.col("own"), empty).alias("result"))
+    level = None
+    for depth in range(deepest if deepest is not None else -1, -1, -1):
+        rows, children = held.where(F.col("depth") == depth), empty
+        if level is not None:
+            below = level.groupBy("page_id", F.col("parent").alias("ordinal")).agg(F.array_sort(F.collect_list(F.struct(F.col("ordinal").alias("at"), "result")))["result"].alias("children"))
+            rows, children = rows.join(below, ["page_id", "ordinal"], "left"), F.coalesce("children", empty)
+        level = cut(rows.select("page_id", "ordinal", "parent", combine(F.col("own"), children).alias("result")))
+        done = done.unionByName(level.drop("parent"))
+    return done

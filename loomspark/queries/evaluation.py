@@ -125,7 +125,27 @@ SELECT tld, kind, count(*) AS files, CAST(sum(size) AS BIGINT) AS size, count(do
 FROM f LEFT JOIN {documents} ON page_id = doc_id GROUP BY tld, kind
 """
 
+#: Rates of every level in one plan: micro by sums, macro by means of the level below. A window over a project holds its
+#: parsers' rows and its own; of all projects it holds the parsers' totals, whose mean is the macro rate over parsers.
+ROLLUP = """
+WITH c AS (
+  SELECT source AS project, lang AS parser, n_chars % 5 AS component, count(quality) AS handled, count(*) - 1 AS total FROM {documents} LEFT JOIN {labels} USING (doc_id) GROUP BY source, lang, n_chars % 5),
+k AS (SELECT project, parser, least(total, greatest(0, handled)) AS handled, total FROM c),
+g AS (
+  SELECT project, parser, CAST(grouping(project) AS BIGINT) AS all_projects, CAST(grouping(parser) AS BIGINT) AS all_parsers, CAST(sum(handled) AS BIGINT) AS handled, CAST(sum(total) AS BIGINT) AS total, count(*) AS components
+  FROM k GROUP BY GROUPING SETS ((project, parser), (project), (parser), ())),
+r AS (SELECT *, CASE WHEN total = 0 THEN 1.0E0 ELSE CAST(handled AS DOUBLE) / CAST(total AS DOUBLE) END AS rate FROM g),
+w AS (
+  SELECT *, avg(CASE WHEN all_parsers = 0 THEN rate END) OVER (PARTITION BY all_projects, project) AS over_parsers, min(CASE WHEN all_parsers = 0 THEN rate END) OVER (PARTITION BY all_projects, project) AS least_parser,
+         avg(CASE WHEN all_projects = 0 THEN rate END) OVER (PARTITION BY all_parsers, parser) AS over_projects, min(CASE WHEN all_projects = 0 THEN rate END) OVER (PARTITION BY all_parsers, parser) AS least_project FROM r)
+SELECT project, parser, all_projects, all_parsers, components, handled, total, round(rate, 6) AS micro, rate + 1E-12 >= 0.4E0 AS passed,
+       CASE WHEN all_parsers = 1 THEN round(over_parsers, 6) END AS macro_parsers, CASE WHEN all_parsers = 1 THEN over_parsers + 1E-12 >= 0.4E0 AND least_parser + 1E-12 >= 0.4E0 END AS parsers_passed,
+       CASE WHEN all_projects = 1 THEN round(over_projects, 6) END AS macro_projects, CASE WHEN all_projects = 1 THEN over_projects + 1E-12 >= 0.4E0 AND least_project + 1E-12 >= 0.4E0 END AS projects_passed
+FROM w
+"""
+
 QUERIES |= {
+    "rate_rollup": shared_sql(ROLLUP),
     "call_status_precedence": shared_sql(CALL_STATUS),
     "rate_micro_macro": shared_sql(RATES),
     "weighted_score_summary": shared_sql(SCORES),

@@ -44,7 +44,7 @@ FROM nation LEFT JOIN o ON n_nationkey = o.node LEFT JOIN i ON n_nationkey = i.n
 def trade_graph_closure_scc(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = _graph(spark, sf_dir)
     reached = G.closure(edges)
-    scc = G.strong_components(nodes, reached)
+    scc = G.strong_components(nodes, edges)
     return reached.join(scc.withColumnRenamed("node", "src"), "src").select("src", "dst", F.col("scc").alias("src_scc"))
 
 
@@ -57,7 +57,7 @@ SELECT r.src, r.dst, least(r.src, coalesce(least, r.src)) AS src_scc FROM reach
 
 def trade_graph_condensation(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = _graph(spark, sf_dir)
-    return G.condensation(edges, G.strong_components(nodes, G.closure(edges)))
+    return G.condensation(edges, G.strong_components(nodes, edges))
 
 
 CONDENSATION = f"""
@@ -85,7 +85,7 @@ def ordered_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 def trade_graph_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of nations that reach one another, of two or more."""
     nodes, edges = _graph(spark, sf_dir)
-    scc = G.strong_components(nodes, G.closure(edges))
+    scc = G.strong_components(nodes, edges)
     groups = scc.groupBy("scc").agg(F.count("*").alias("size"), F.array_join(F.transform(F.array_sort(F.collect_list("node")), lambda x: x.cast("string")), ",").alias("members"))
     return groups.where("size > 1")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.operators import trees as T
@@ -38,6 +38,18 @@ def tree_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.fold(_nodes(spark, sf_dir))
 
 
+def outlined(own: Column, children: Column) -> Column:
+    """tag(child,child): a node's outline holds its children's whole, in their order."""
+    return F.when(F.size(children) == 0, own).otherwise(F.concat(own, F.lit("("), F.array_join(children, ","), F.lit(")")))
+
+
+def tree_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's trees as outlines of their tags: a fold that depends on the children's order."""
+    nodes = _nodes(spark, sf_dir)
+    folded = T.fold_ordered(nodes, F.col("tag"), outlined).withColumnRenamed("result", "outline")
+    return folded.select("page_id", "ordinal", F.length("outline").cast("long").alias("chars"), F.sha2("outline", 256).alias("outline_sha256"))
+
+
 def raw_vs_ir_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Start tags that a pattern finds against those that the parser made nodes of, and the handled share."""
     raw = html_tag_counts(spark, sf_dir).select("tag", F.col("n").alias("raw"))
@@ -53,5 +65,6 @@ QUERIES = {
     "html_classify": Query(html_classify),
     "html_splice_controls": Query(html_splice_controls),
     "tree_fold": Query(tree_fold),
+    "tree_outline": Query(tree_outline),
     "raw_vs_ir_closure": Query(raw_vs_ir_closure),
 }
