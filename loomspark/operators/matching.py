@@ -199,4 +199,6 @@ def greedy(items: DataFrame, scored: DataFrame, project: str, keyed: bool = Fals
             frame.insert(0, project, key[0])
         return frame.astype({"occurrence": "Int64", "score": "Int64"})
 
-    return items.groupBy(project).cogroup(scored.groupBy(project)).applyInPandas(run, f"{project} {kind}, {MATCH}" if keyed else MATCH)
+    # Named anew, as the two may stem from one table.
+    left, right = (df.select(*(F.col(c).alias(c) for c in df.columns)) for df in (items, scored))
+    return left.groupBy(project).cogroup(right.groupBy(project)).applyInPandas(run, f"{project} {kind}, {MATCH}" if keyed else MATCH)
