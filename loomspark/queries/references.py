@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomspark.operators import cooccurrence as C
 from loomspark.operators.cascade import resolve
 from loomspark.operators.phrases import first_matches, longest_matches
 from loomspark.queries.base import Query, shared_sql
@@ -125,7 +126,37 @@ WITH m AS (SELECT doc_id, 1 + doc_id % 3 AS line_no, CASE WHEN doc_id % 5 = 0 TH
 SELECT doc_id, line_no, excerpt, CASE WHEN length(text) > 60 THEN concat(substring(text, 1, 57), '...') ELSE text END AS shown, CASE WHEN split_part(text, chr(10), CAST(line_no AS INT)) = '' THEN 'no_such_line' WHEN instr(split_part(text, chr(10), CAST(line_no AS INT)), excerpt) > 0 THEN 'stands' ELSE 'drifted' END AS status FROM m
 """
 
+#: Words that ask for care, and those that may explain them; and how many lines count as near.
+CARE, EXPLAINS, NEAR_LINES = r"\b(password|passwd|secret|token|api_key)\b", r"\b(License|with|the|de|und)\b", 2
+
+
+def cooccurrence_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each line's word that asks for care the nearest one within two lines that may explain it; and for each document
+    that has both the first of the latter."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    care, explains = (C.words_by_line(docs, "doc_id", "text", p) for p in (CARE, EXPLAINS))
+    pairs = C.within(care, explains, "doc_id", "line", NEAR_LINES)
+    near = C.nearest(pairs, ["doc_id", "line", "word"], "line", ["other_word"])
+    file = C.in_one_file(care, explains, "doc_id")
+    none = F.lit(None)
+    return near.select("doc_id", F.lit("near").alias("rule"), "line", "word", "other_line", "other_word", F.col("distance").cast("long").alias("distance")).unionByName(
+        file.select("doc_id", F.lit("file").alias("rule"), none.cast("long").alias("line"), none.cast("string").alias("word"), F.col("line").alias("other_line"), F.col("word").alias("other_word"), none.cast("long").alias("distance"))
+    )
+
+
+COOCCURRENCE = rf"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS content, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents),
+a AS (SELECT DISTINCT doc_id, line, unnest(regexp_extract_all(content, '{CARE}', 1)) AS word FROM l),
+b AS (SELECT DISTINCT doc_id, line, unnest(regexp_extract_all(content, '{EXPLAINS}', 1)) AS word FROM l),
+p AS (SELECT a.doc_id, a.line, a.word, b.line AS other_line, b.word AS other_word, abs(a.line - b.line) AS distance FROM a JOIN b ON a.doc_id = b.doc_id AND b.line BETWEEN a.line - {NEAR_LINES} AND a.line + {NEAR_LINES}),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line, word ORDER BY distance, other_line, other_word) AS place FROM p),
+f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line, word) AS place FROM b WHERE doc_id IN (SELECT doc_id FROM a))
+SELECT doc_id, 'near' AS rule, line, word, other_line, other_word, distance FROM r WHERE place = 1
+UNION ALL SELECT doc_id, 'file', NULL, NULL, line, word, NULL FROM f WHERE place = 1
+"""
+
 QUERIES = {
+    "cooccurrence_candidates": Query(cooccurrence_candidates, COOCCURRENCE),
     "link_resolution_cascade": Query(link_resolution_cascade, CASCADE),
     "reference_extraction": Query(reference_extraction, EXTRACTION),
     "containment_join": Query(containment_join, CONTAINMENT),
