@@ -80,6 +80,29 @@ SELECT name, round(max({_similarity_sql('name', 'alias')}), 6) AS similarity,
 """
 
 
+def similar_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component names made of parts' types and names, and of names with a generic word, against the names of all parts: the
+    three most similar of those that are similar at all. Names meet by a shared word, or by their letters and digits."""
+    part = table(spark, sf_dir, "part")
+    symbol = F.replace(F.initcap("p_name"), F.lit(" "), F.lit(""))
+    made = part.select(F.explode(F.array(F.concat(F.initcap("p_type"), symbol), F.concat(symbol, F.lit("View")), symbol)).alias("name")).distinct()
+    known = part.select(F.col("p_name").alias("other")).distinct()
+    plain = lambda c: F.concat(F.lit("="), F.regexp_replace(F.lower(c), "[^a-z0-9]", ""))
+    keyed = lambda rows, c: rows.select(c, F.explode(F.array_union(R.name_words(F.col(c)), F.array(plain(c)))).alias("key"))
+    pairs = keyed(made, "name").join(keyed(known, "other"), "key").select("name", "other").distinct()
+    scored = pairs.select("name", "other", F.round(R.name_similarity(F.col("name"), F.col("other")), 6).alias("similarity"))
+    return R.top_k(scored, "name", "similarity", "other", 3).withColumn("rank", F.col("rank").cast("long"))
+
+
+SIMILAR = f"""
+WITH w AS (SELECT p_type, p_name, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), '') AS symbol FROM part),
+m AS (SELECT upper(p_type[1]) || lower(p_type[2:]) || symbol AS name FROM w UNION SELECT symbol || 'View' FROM w UNION SELECT symbol FROM w),
+k AS (SELECT DISTINCT p_name AS other FROM part),
+s AS (SELECT name, other, {_similarity_sql('name', 'other')} AS exact, round(exact, 6) AS similarity FROM m, k)
+SELECT name, other, similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY similarity DESC, other) AS rank FROM s WHERE exact > 0) WHERE rank <= 3
+"""
+
+
 def _queries_and_all(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Every row whose id is divisible by 100 is a query against all rows: a stated query set, broadcast by
     Spark where it is small."""
@@ -190,6 +213,7 @@ SELECT id, array_to_string({_tokens_sql('text')}, '|') AS tokens, array_to_strin
 QUERIES = {
     "bm25_topk": Query(bm25_topk, BM25),
     "name_jaccard": Query(name_jaccard, JACCARD),
+    "similar_names": Query(similar_names, SIMILAR),
     "cosine_topk": Query(cosine_topk, COSINE),
     "fused_retrieval_abstain": Query(fused_retrieval_abstain, FUSED),
     "recall_mrr": Query(recall_mrr, RECALL),
