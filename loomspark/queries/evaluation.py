@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.functions.ratios import safe_ratio
+from loomspark.operators import evaluation as E
 from loomspark.queries.base import Query, shared_sql
 from loomspark.sources.tables import table
 
@@ -154,3 +155,38 @@ QUERIES |= {
     "usage_totals": shared_sql(USAGE),
     "inventory_summary": shared_sql(INVENTORY),
 }
+
+
+def evaluation_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All six ratios of each nation: its customers' order lines as components, their orders as pages, and the suppliers'
+    lines as calls. Some nations have errors in one layer, some calls without a test."""
+    t = lambda name: table(spark, sf_dir, name)
+    when = lambda pairs, other: F.coalesce(*(F.when(F.expr(test), status) for test, status in pairs), F.lit(other))
+    orders = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "o_orderstatus", "o_orderpriority", "c_nationkey", "c_acctbal")
+    lines = t("lineitem").select("l_orderkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount")
+    component = when([("c_nationkey % 6 = 0 and l_linenumber = 7", "EVALUATOR_ERROR"), ("l_discount < 0.01", "NOT_FOUND"), ("l_discount < 0.02", "AMBIGUOUS"), ("l_quantity < 20", "COMPILE_FAILED")], "COMPILE_PASSED")
+    page = when([("c_nationkey % 5 = 0 and c_acctbal < 0", "EVALUATOR_ERROR"), ("o_orderpriority like '5%'", "PAGE_MISSING"), ("o_orderpriority like '4%'", "PAGE_AMBIGUOUS"), ("o_orderstatus = 'F'", "PAGE_COMPILE_FAILED")], "PAGE_COMPILE_PASSED")
+    call = when([("s_nationkey % 7 = 0 and l_linenumber = 1 and l_quantity > 40", "EVALUATOR_ERROR"), ("s_nationkey % 4 = 0 and l_linenumber = 2", "TEST_NOT_CONFIGURED"), ("l_discount > 0.09", "PAGE_UNAVAILABLE"), ("l_quantity < 10", "TEST_FAILED")], "TEST_PASSED")
+    components = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("c_nationkey").cast("long").alias("project"), component.alias("status"))
+    calls = lines.join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("s_nationkey").cast("long").alias("project"), call.alias("status"))
+    return E.summary(components, orders.select(F.col("c_nationkey").cast("long").alias("project"), page.alias("status")), calls, "project")
+
+
+def _count_sql(layer: str, *statuses: str) -> str:
+    return f"count(*) FILTER (layer = '{layer}'" + (f" AND status IN ({', '.join(repr(s) for s in statuses)})" if statuses else "") + ")"
+
+
+_COUNTS_SQL = ", ".join([f"{_count_sql(layer)} AS {layer}_total" for layer in E.COUNTS] + [f"{_count_sql(layer, *of)} AS {layer}_{name}" for layer, names in E.COUNTS.items() for name, of in names.items()])
+RATIOS = f"""
+WITH o AS (SELECT * FROM orders JOIN customer ON o_custkey = c_custkey),
+r AS (
+  SELECT CAST(c_nationkey AS BIGINT) AS project, 'component' AS layer, CASE WHEN c_nationkey % 6 = 0 AND l_linenumber = 7 THEN 'EVALUATOR_ERROR' WHEN l_discount < 0.01 THEN 'NOT_FOUND' WHEN l_discount < 0.02 THEN 'AMBIGUOUS' WHEN l_quantity < 20 THEN 'COMPILE_FAILED' ELSE 'COMPILE_PASSED' END AS status FROM lineitem JOIN o ON l_orderkey = o_orderkey
+  UNION ALL SELECT c_nationkey, 'page', CASE WHEN c_nationkey % 5 = 0 AND c_acctbal < 0 THEN 'EVALUATOR_ERROR' WHEN o_orderpriority LIKE '5%' THEN 'PAGE_MISSING' WHEN o_orderpriority LIKE '4%' THEN 'PAGE_AMBIGUOUS' WHEN o_orderstatus = 'F' THEN 'PAGE_COMPILE_FAILED' ELSE 'PAGE_COMPILE_PASSED' END FROM o
+  UNION ALL SELECT s_nationkey, 'call', CASE WHEN s_nationkey % 7 = 0 AND l_linenumber = 1 AND l_quantity > 40 THEN 'EVALUATOR_ERROR' WHEN s_nationkey % 4 = 0 AND l_linenumber = 2 THEN 'TEST_NOT_CONFIGURED' WHEN l_discount > 0.09 THEN 'PAGE_UNAVAILABLE' WHEN l_quantity < 10 THEN 'TEST_FAILED' ELSE 'TEST_PASSED' END FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
+c AS (SELECT project, {_COUNTS_SQL} FROM r GROUP BY project)
+SELECT *, CASE WHEN component_errors = 0 THEN component_passed / nullif(component_total, 0) END AS c_cpr, CASE WHEN component_errors = 0 THEN component_missing / nullif(component_total, 0) END AS c_mr,
+       CASE WHEN component_errors = 0 THEN component_failed / nullif(component_total, 0) END AS c_cfr, CASE WHEN page_errors = 0 THEN page_passed / nullif(page_total, 0) END AS p_cpr,
+       (call_total - call_not_configured) / nullif(call_total, 0) AS call_test_coverage, CASE WHEN call_errors = 0 AND call_not_configured = 0 THEN call_passed / nullif(call_total, 0) END AS pectpr FROM c
+"""
+
+QUERIES |= {"evaluation_ratios": Query(evaluation_ratios, RATIOS)}
