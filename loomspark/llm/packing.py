@@ -7,15 +7,19 @@ them. Padding falls by one for each token that a sequence gains, so the best las
 cost + position over a sliding window: a monotone queue keeps it at hand. A sequence whose length is a power
 of two needs no padding; those few cuts are looked up by position.
 
-The stream is cut in blocks, so a partition of any size needs the memory of one; a block's last sequence, not
-yet full, goes on in the next block. Partitions are those of the scan: no row moves.
+The programme runs over the partition's whole stream, block by block: its costs and its queue go on from one block
+to the next. After a block, the cuts that lie on the ways to all places from which a sequence may still start are
+final; their pieces are given out and forgotten. The cutting is the cheapest of the stream whatever the size of a
+block, and held is the part that is not decided yet. Partitions are those of the scan: no row moves.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
 import re
 import zlib
+from bisect import bisect_right
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -33,6 +37,7 @@ INSIDE_PENALTY = 24
 STRIDE = 16
 #: What ends a sentence beside Unicode's sentence terminals: line and paragraph ends, ellipsis, Tibetan shads.
 MORE_ENDS = "\n\x85\u2028\u2029\u2026\u0f0d\u0f0e"
+#: Ids after which the programme goes on and decided cuts are given out; results do not depend on it.
 BLOCK = 1 << 17
 #: What follows a document's ids.
 SEPARATOR = 0
@@ -116,45 +121,88 @@ def _tokenizer(path: str, ranks: str | None, pattern: str):
     return encode, sentences
 
 
-def cuts(positions: np.ndarray, penalties: np.ndarray, length: int = LENGTH) -> list[int]:
-    """Indices into positions (ascending, 0 first, gaps at most length) where the cheapest cutting cuts.
+class Cutting:
+    """The cheapest cutting of a stream whose places (ascending, gaps at most length, from 0) come part by part.
 
     Cost: for every sequence length - tokens, or nothing where that number is a power of two, plus the
-    penalty of the cut that ends it. The last position always is a cut."""
-    pos, pen = positions.tolist(), penalties.tolist()
-    n = len(pos)
-    special: dict[int, list[int]] = {}
-    power = 1
-    while power <= length:
-        at = np.searchsorted(positions, positions - power)
-        for j in np.flatnonzero((positions >= power) & (positions[np.minimum(at, n - 1)] == positions - power)).tolist():
-            special.setdefault(j, []).append(int(at[j]))
-        power *= 2
-    cost, back = [0] * n, [0] * n
-    queue, worth, head = [0], [0], 0  # candidates by position, their cost + position ascending
-    for j in range(1, n):
-        p = pos[j]
-        while pos[queue[head]] < p - length:
-            head += 1
-        i = queue[head]
-        least = worth[head] + length - p
-        if j in special:
-            for k in special[j]:
-                if cost[k] < least:
-                    least, i = cost[k], k
-        cost[j] = least = least + pen[j]
-        back[j] = i
-        value = least + p
-        while len(queue) > head and worth[-1] >= value:
-            queue.pop()
-            worth.pop()
-        queue.append(j)
-        worth.append(value)
-    out, j = [], n - 1
-    while j > 0:
-        out.append(j)
-        j = back[j]
-    return out[::-1]
+    penalty of the cut that ends it. Place 0 of the lists is the last cut given out."""
+
+    def __init__(self, length: int = LENGTH):
+        self.length = length
+        self.pos, self.cost, self.back = [0], [0], [0]
+        self.queue, self.worth, self.head = [0], [0], 0  # candidates by position, their cost + position ascending
+
+    def extend(self, positions: np.ndarray, penalties: np.ndarray) -> None:
+        """positions come after all earlier ones."""
+        if not len(positions):
+            return
+        length, pos, cost, back, queue, worth, head = self.length, self.pos, self.cost, self.back, self.queue, self.worth, self.head
+        first, old = len(pos), bisect_right(pos, int(positions[0]) - length - 1)
+        near = np.concatenate((np.array(pos[old:], np.int64), positions))
+        special: dict[int, list[int]] = {}
+        power = 1
+        while power <= length:
+            at = np.searchsorted(near, positions - power)
+            for j in np.flatnonzero(near[at] == positions - power).tolist():
+                special.setdefault(first + j, []).append(old + int(at[j]))
+            power *= 2
+        for j, (p, penalty) in enumerate(zip(positions.tolist(), penalties.tolist(), strict=True), first):
+            while pos[queue[head]] < p - length:
+                head += 1
+            i = queue[head]
+            least = worth[head] + length - p
+            if j in special:
+                for k in special[j]:
+                    if cost[k] < least:
+                        least, i = cost[k], k
+            least += penalty
+            pos.append(p)
+            cost.append(least)
+            back.append(i)
+            value = least + p
+            while len(queue) > head and worth[-1] >= value:
+                queue.pop()
+                worth.pop()
+            queue.append(j)
+            worth.append(value)
+        self.head = head
+
+    def settled(self) -> list[int]:
+        """The cuts that every continuation has, beyond those given out before."""
+        pos, back = self.pos, self.back
+        live = bisect_right(pos, pos[-1] - self.length)  # a later place is at least one further on
+        heap = [-j for j in range(live, len(pos))]
+        heapq.heapify(heap)
+        last = -heap[0]
+        while heap:
+            last = -heapq.heappop(heap)
+            while heap and heap[0] == -last:
+                heapq.heappop(heap)
+            if heap:
+                heapq.heappush(heap, -back[last])
+        out = self._way(last)
+        if last:
+            self.pos, self.cost, self.back = pos[last:], self.cost[last:], [j - last for j in back[last:]]
+            self.queue, self.worth, self.head = [j - last for j in self.queue[self.head :]], self.worth[self.head :], 0
+        return out
+
+    def close(self) -> list[int]:
+        """The cuts up to the last place, which always is one."""
+        return self._way(len(self.pos) - 1)
+
+    def _way(self, j: int) -> list[int]:
+        out = []
+        while j > 0:
+            out.append(self.pos[j])
+            j = self.back[j]
+        return out[::-1]
+
+
+def cuts(positions: np.ndarray, penalties: np.ndarray, length: int = LENGTH) -> list[int]:
+    """Indices into positions (ascending, 0 first, gaps at most length) where the cheapest cutting cuts."""
+    cutting = Cutting(length)
+    cutting.extend(positions[1:], penalties[1:])
+    return np.searchsorted(positions, cutting.close()).tolist()
 
 
 def candidates(ids: np.ndarray, doc_ends: np.ndarray, sentences: Sentences, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -174,35 +222,48 @@ def candidates(ids: np.ndarray, doc_ends: np.ndarray, sentences: Sentences, leng
 
 @dataclass
 class Packer:
-    """The stream of one partition. add() and close() return the pieces of finished sequences."""
+    """The stream of one partition. add() and close() return the pieces of sequences that are decided."""
 
     sentences: Sentences
     first_sequence: int
     length: int = LENGTH
-    parts: list = field(default_factory=list)
-    docs: list = field(default_factory=list)  # (doc_id, ids before the stream's start, ids in all)
+    block: int = 0
+    cutting: Cutting = field(init=False)
+    held: list = field(default_factory=list)  # ids that the programme has seen and that are not given out
+    fresh: list = field(default_factory=list)  # ids, and their numbers a document, that it has not seen
+    docs: list = field(default_factory=list)  # (doc_id, ids given out, ids in all)
+    start: int = 0  # place of held in the stream
     size: int = 0
+    due: int = 0
     sequences: int = 0
 
+    def __post_init__(self):
+        self.cutting = Cutting(self.length)
+        self.block = self.due = self.block or BLOCK
+
     def add(self, doc_id, ids: np.ndarray) -> list[tuple]:
-        self.parts.append(ids)
+        self.fresh.append(ids)
         self.docs.append((doc_id, 0, len(ids)))
         self.size += len(ids)
-        return self._cut(False) if self.size >= BLOCK else []
+        return self._cut(False) if self.size >= self.due else []
 
     def close(self) -> list[tuple]:
         return self._cut(True) if self.size else []
 
     def _cut(self, everything: bool) -> list[tuple]:
-        ids = np.concatenate(self.parts)
+        if self.fresh:
+            ids = np.concatenate(self.fresh)
+            places, penalties = candidates(ids, np.cumsum([len(x) for x in self.fresh]), self.sentences, self.length)
+            self.cutting.extend(places[1:] + (self.start + self.size - len(ids)), penalties[1:])
+            self.held, self.fresh = [*self.held, ids], []
+        at = np.array(self.cutting.close() if everything else self.cutting.settled(), np.int64) - self.start
+        out = self._pieces(at) if len(at) else []
+        self.due = max(self.block, 2 * self.size)  # so that what stays undecided is not walked too often
+        return out
+
+    def _pieces(self, at: np.ndarray) -> list[tuple]:
+        ids = np.concatenate(self.held)
         ends = np.cumsum([total - before for _, before, total in self.docs])
-        places, penalties = candidates(ids, ends, self.sentences, self.length)
-        at = places[cuts(places, penalties, self.length)]
-        if not everything:
-            at = at[:-1]
-        if not len(at):
-            self.parts = [ids]
-            return []
         done = int(at[-1])
         edges = np.unique(np.concatenate(([0], at, ends[ends < done])))
         begin, end = edges[:-1], edges[1:]
@@ -220,7 +281,7 @@ class Packer:
         if rest:
             doc_id, before, total = rest[0]
             rest[0] = (doc_id, before + done - int(doc_start[open_doc]), total)
-        self.docs, self.parts, self.size = rest, [ids[done:]], len(ids) - done
+        self.docs, self.held, self.size, self.start = rest, [ids[done:].copy()], len(ids) - done, self.start + done
         return out
 
 

@@ -2,6 +2,8 @@
 
 import base64
 import hashlib
+import itertools
+import random
 import re
 import zlib
 
@@ -306,3 +308,46 @@ def test_pipeline(spark):
 
     rows = corpus_pipeline.run(spark, SF).collect()
     assert rows and all(r["length"] > 0 for r in rows)
+
+
+def test_packing_is_the_same_whatever_the_block():
+    """Over several blocks the pieces are those of one programme over the whole stream, and of brute force in cost."""
+    encode, sentences = packing._tokenizer(vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken"), pattern())
+    rng = random.Random(5)
+    words = ["alpha", "beta.", "gamma", "delta!", "x"]
+    docs = [np.array([*encode(" ".join(rng.choices(words, k=rng.choice([1, 9, 60, 700])))), packing.SEPARATOR], np.uint32) for _ in range(150)]
+    stream = np.concatenate(docs)
+
+    def pieces(block):
+        packer, out = packing.Packer(sentences, 0, 64, block), []
+        for i, ids in enumerate(docs):
+            out += packer.add(i, ids)
+        return [x[:7] for x in out + packer.close()], packer
+
+    whole, _ = pieces(1 << 40)
+    for block in (1, 200, 1000, len(stream) // 3):
+        got, packer = pieces(block)
+        assert got == whole
+        assert packer.sequences == len({x[5] for x in whole})
+    # The cost of the cutting, against a plain programme over every offered place.
+    places, penalties = packing.candidates(stream, np.cumsum([len(d) for d in docs]), sentences, 64)
+    price = dict(zip(places.tolist(), penalties.tolist(), strict=True))
+    best = {0: 0}
+    for p in places.tolist()[1:]:
+        best[p] = price[p] + min(c + (0 if (p - q).bit_count() == 1 else 64 - p + q) for q, c in best.items() if p - q <= 64)
+        best = {q: c for q, c in best.items() if p - q <= 64}
+    lengths = [sum(x[2] for x in g) for _, g in itertools.groupby(whole, key=lambda x: x[5])]
+    ends = itertools.accumulate(lengths)
+    assert sum(price[e] + (0 if n.bit_count() == 1 else 64 - n) for n, e in zip(lengths, ends, strict=True)) == best[len(stream)]
+
+
+def test_packing_decides_nothing_too_early():
+    """Texts without any sentence end keep several ways open over blocks; every id still is given out once, in order."""
+    sentences = packing.Sentences([b"a"] * 8)
+    packer, out = packing.Packer(sentences, 0, 64, 100), []
+    for i in range(40):
+        out += packer.add(i, np.full(37 + 90 * (i % 3), 3, np.uint32))
+    out += packer.close()
+    assert [(x[0], x[1], x[2]) for x in out] == sorted((x[0], x[1], x[2]) for x in out)
+    for i in range(40):
+        assert sum(x[2] for x in out if x[0] == i) == 37 + 90 * (i % 3)
