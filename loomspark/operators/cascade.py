@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomspark.functions.names import without_comments
+
 
 def resolve(candidates: DataFrame, ref: str, target: str, steps: Sequence[tuple[str, str]]) -> DataFrame:
     """candidates (ref, target, flags) -> (ref, target, step, candidates).
@@ -24,3 +26,60 @@ def resolve(candidates: DataFrame, ref: str, target: str, steps: Sequence[tuple[
     for i in range(len(steps) - 1, -1, -1):
         found = F.when(F.col(f"n_{i}") == 1, F.col(f"t_{i}")).otherwise(found)
     return held.select(ref, found.alias(target), step.alias("step"), "candidates")
+
+
+#: An instance made in code: its type's name, with or without a namespace.
+MADE = r"\bnew\s+([A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*)\s*[({]"
+IMPORTED = r"(?m)^\s*using\s+([A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*)\s*;"
+
+
+def symbol_uses(files: DataFrame, keys: list[str]) -> DataFrame:
+    """files (keys, content) -> (keys, symbol, line, qualifiers, imports): a row for each symbol that a file makes by its
+    bare name, with the first line of that, from 1; the namespaces that the file names it with elsewhere; and the file's
+    imports. Comments count for nothing; a null content has no rows."""
+    held = files.select(*keys, without_comments(F.col("content")).alias("code"))
+    held = held.select(*keys, "code", F.array_distinct(F.regexp_extract_all("code", F.lit(MADE), F.lit(1))).alias("made"), F.array_distinct(F.regexp_extract_all("code", F.lit(IMPORTED), F.lit(1))).alias("imports"))
+
+    def use(symbol):
+        at = F.regexp_instr("code", F.concat(F.lit(r"\bnew\s+"), symbol, F.lit(r"\s*[({]")))
+        before = F.substring("code", F.lit(1), at - 1)
+        line = F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
+        end = F.concat(F.lit("."), symbol)
+        named = F.filter("made", lambda x: F.endswith(x, end))
+        return F.struct(symbol.alias("symbol"), line.cast("long").alias("line"), F.transform(named, lambda x: F.left(x, F.length(x) - F.length(end))).alias("qualifiers"))
+
+    bare = F.filter("made", lambda x: ~F.contains(x, F.lit(".")))
+    return held.select(*keys, F.explode(F.transform(bare, use)).alias("use"), "imports").select(*keys, "use.*", "imports")
+
+
+def resolve_scopes(uses: DataFrame, classes: DataFrame, keys: list[str], page: str = "page") -> DataFrame:
+    """uses (keys with page, symbol, namespace, qualifiers, imports, ...), classes (page, symbol, namespace; a page declares a
+    symbol once) -> uses (keys, symbol, line) with target, step and candidates.
+
+    Candidates are the other pages that declare the symbol; a use without any gives no row. The first step that leaves
+    exactly one resolves it: the symbol itself, a namespace that it is named with, the page's own, the imported ones
+    together; else it is ambiguous, without a target. Candidates are never listed: classes are counted by symbol and by
+    symbol and namespace, with the smallest and the largest page of each, which tells the only one beside the page itself.
+    So the work grows with uses and their namespaces, however many pages declare a symbol."""
+    counts = [F.count("*").alias("n"), F.min(page).alias("low"), F.max(page).alias("high")]
+    declared = classes.select(page, "symbol", "namespace").distinct()
+    own = declared.select(page, "symbol", F.col("namespace").alias("declared_in"))
+    held = uses.join(own, [page, "symbol"], "left").join(declared.groupBy("symbol").agg(*counts), "symbol")
+
+    def others(itself):
+        return (F.col("n") - itself.cast("long")).alias("others"), F.when(itself & (F.col("low") == F.col(page)), F.col("high")).otherwise(F.col("low")).alias("other")
+
+    every, only = others(F.col("declared_in").isNotNull())
+    held = held.select(*keys, "symbol", "line", "namespace", "qualifiers", "imports", "declared_in", every.alias("candidates"), only.alias("only")).where("candidates > 0")
+    scope = lambda i, space: F.struct(F.lit(i).alias("step"), space.alias("space"))
+    scopes = F.concat(F.transform("qualifiers", lambda x: scope(1, x)), F.array(scope(2, F.col("namespace"))), F.transform("imports", lambda x: scope(3, x)))
+    open_uses = held.where("candidates > 1").select(*keys, "symbol", "declared_in", F.explode(F.array_distinct(scopes)).alias("scope")).select(*keys, "symbol", "declared_in", "scope.*")
+    met = open_uses.join(declared.withColumnRenamed("namespace", "space").groupBy("symbol", "space").agg(*counts), ["symbol", "space"])
+    met = met.select(*keys, "symbol", "step", *others(F.coalesce(F.col("declared_in") == F.col("space"), F.lit(False)))).where("others > 0")
+    found = [F.when(F.sum(F.when(F.col("step") == i, F.col("others"))) == 1, F.min(F.when(F.col("step") == i, F.col("other")))).alias(f"found_{i}") for i in (1, 2, 3)]
+    wide = held.join(met.groupBy(*keys, "symbol").agg(*found), [*keys, "symbol"], "left")
+    unique = F.when(F.col("candidates") == 1, F.col("only"))
+    step = F.when(unique.isNotNull(), "unique_symbol")
+    for i, name in enumerate(("qualified_symbol", "same_namespace", "imported_namespace"), 1):
+        step = step.when(F.col(f"found_{i}").isNotNull(), name)
+    return wide.select(*keys, "symbol", "line", F.coalesce(unique, "found_1", "found_2", "found_3").alias("target"), step.otherwise("ambiguous").alias("step"), "candidates")

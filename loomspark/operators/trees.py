@@ -110,6 +110,29 @@ def splice(nodes: DataFrame, keep: Column) -> DataFrame:
     return kept.join(nearest, ["page_id", "ordinal"], "left").select("page_id", "ordinal", "new_parent", "tag", "node_path")
 
 
+def inherit(nodes: DataFrame, keep: Column, value: Column, pruned: Column) -> DataFrame:
+    """Kept nodes outside pruned subtrees: (page_id, ordinal, new_parent, tag, node_path, value, inherited).
+
+    new_parent is the nearest kept ancestor. A node without a value (null or empty) takes that of the first of its own
+    children, in order, that is not kept and has one; what its kept children have stays theirs, and so does what lies
+    deeper. A pruned child may give its value, but nothing below it is kept. nodes (page_id, ordinal, parent, node_path, tag,
+    ...); ties cannot be, as ordinals differ. An empty table gives an empty one."""
+    flagged = nodes.withColumns({"kept": F.coalesce(keep, F.lit(False)), "given": F.nullif(value, F.lit("")), "cut_off": F.coalesce(pruned, F.lit(False))})
+    flagged = flagged.select("page_id", "ordinal", "parent", "tag", "node_path", "kept", "given", "cut_off")
+    # One row a parent before the shuffle ends: partial aggregates hold the first child so far.
+    first = flagged.where(~F.col("kept") & F.col("given").isNotNull() & F.col("parent").isNotNull()).groupBy("page_id", F.col("parent").alias("ordinal")).agg(F.min_by("given", "ordinal").alias("lent"))
+    # A node is below a pruned one if one of its path's prefixes, itself among them, is pruned.
+    parts = F.filter(F.split("node_path", "/"), lambda x: x != "")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size("parts")), lambda i: F.concat(F.lit("/"), F.array_join(F.slice("parts", F.lit(1), i), "/")))
+    tops = flagged.where("cut_off").select("page_id", F.col("node_path").alias("above"))
+    below = flagged.where("kept").withColumn("parts", parts).select("page_id", "ordinal", F.explode(prefixes).alias("above")).join(tops, ["page_id", "above"], "left_semi").select("page_id", "ordinal").distinct()
+    left = flagged.join(below, ["page_id", "ordinal"], "left_anti")
+    held = left.where("kept").join(first, ["page_id", "ordinal"], "left")
+    placed = splice(left, F.col("kept")).select("page_id", "ordinal", "new_parent")
+    valued = held.select("page_id", "ordinal", "tag", "node_path", F.coalesce("given", "lent", F.lit("")).alias("value"), (F.col("given").isNull() & F.col("lent").isNotNull()).alias("inherited"))
+    return valued.join(placed, ["page_id", "ordinal"]).select("page_id", "ordinal", "new_parent", "tag", "node_path", "value", "inherited")
+
+
 def fold(nodes: DataFrame) -> DataFrame:
     """Per node the size of its subtree, its height and its text's length with that of all below.
 

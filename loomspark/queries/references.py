@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspark.operators import cooccurrence as C
-from loomspark.operators.cascade import resolve
+from loomspark.operators.cascade import resolve, resolve_scopes, symbol_uses
 from loomspark.operators.phrases import first_matches, longest_matches
 from loomspark.queries.base import Query, shared_sql
 from loomspark.sources.tables import spread, table
@@ -155,7 +155,47 @@ SELECT doc_id, 'near' AS rule, line, word, other_line, other_word, distance FROM
 UNION ALL SELECT doc_id, 'file', NULL, NULL, line, word, NULL FROM f WHERE place = 1
 """
 
+def symbol_scope_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code, a file an order and a class a part: the parts of its lines are made there, some under their full names, some
+    in comments only, some brands are imported. The file belongs to the order's smallest part."""
+    symbol = F.concat(F.replace(F.initcap("p_name"), F.lit(" "), F.lit("")), F.lit("S"), F.col("p_size").cast("string"))
+    classes = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("page"), symbol.alias("symbol"), F.replace("p_brand", F.lit("#"), F.lit(".N")).alias("namespace"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("file"), F.col("l_partkey").cast("long").alias("page"), "l_returnflag", "l_linestatus").join(classes, "page")
+    made = F.when(F.col("l_returnflag") == "A", F.format_string("// new %s()\n", "symbol")).when(F.col("l_returnflag") == "R", F.format_string("var a = new %s.%s();\nvar b = new  %s {};\n", "namespace", "symbol", "symbol")).otherwise(F.format_string("var c = new %s();\n", "symbol"))
+    using = F.when(F.col("l_linestatus") == "O", F.format_string("using %s;\n", "namespace")).otherwise("")
+    files = lines.groupBy("file").agg(F.min("page").alias("page"), F.min_by("namespace", "page").alias("namespace"), F.array_join(F.array_sort(F.collect_list(using)), "").alias("top"), F.array_join(F.array_sort(F.collect_list(made)), "").alias("body"))
+    uses = symbol_uses(files.withColumn("content", F.concat("top", "body")), ["file", "page", "namespace"])
+    return resolve_scopes(uses, classes, ["file", "page"])
+
+
+SCOPES = r"""
+WITH classes AS (
+  SELECT CAST(p_partkey AS BIGINT) AS page, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), '') || 'S' || p_size AS symbol, replace(p_brand, '#', '.N') AS namespace FROM part),
+files AS (
+  SELECT l_orderkey AS file, min(page) AS page,
+         string_agg(CASE WHEN l_linestatus = 'O' THEN 'using ' || namespace || ';' || chr(10) ELSE '' END, '' ORDER BY CASE WHEN l_linestatus = 'O' THEN namespace ELSE '' END) AS top,
+         string_agg(CASE l_returnflag WHEN 'A' THEN '// new ' || symbol || '()' || chr(10) WHEN 'R' THEN 'var a = new ' || namespace || '.' || symbol || '();' || chr(10) || 'var b = new  ' || symbol || ' {};' || chr(10) ELSE 'var c = new ' || symbol || '();' || chr(10) END, ''
+           ORDER BY CASE l_returnflag WHEN 'A' THEN '// ' || symbol WHEN 'R' THEN 'var a = new ' || namespace || '.' || symbol || '();' ELSE 'var c = new ' || symbol || '();' END) AS body
+  FROM lineitem JOIN classes ON CAST(l_partkey AS BIGINT) = page GROUP BY l_orderkey),
+code AS (SELECT file, f.page, namespace, regexp_replace(top || body, '//[^\n]*', '', 'g') AS code FROM files f JOIN classes c ON f.page = c.page),
+lines AS (SELECT file, page, namespace, unnest(string_split(code, chr(10))) AS line, unnest(range(1, len(string_split(code, chr(10))) + 1)) AS nr FROM code),
+made AS (SELECT file, page, namespace, nr, regexp_extract(line, 'new +([A-Za-z0-9_.]+) ?[({]', 1) AS name, regexp_extract(line, '^using (.*);', 1) AS used FROM lines),
+uses AS (SELECT file, page, namespace, name AS symbol, min(nr) AS line FROM made WHERE name <> '' AND NOT contains(name, '.') GROUP BY ALL),
+flags AS (
+  SELECT u.file, u.page, u.symbol, u.line, c.page AS other,
+         EXISTS (FROM made m WHERE m.file = u.file AND m.name = c.namespace || '.' || c.symbol) AS qualified, c.namespace = u.namespace AS same, EXISTS (FROM made m WHERE m.file = u.file AND m.used = c.namespace) AS imported
+  FROM uses u JOIN classes c ON u.symbol = c.symbol AND u.page <> c.page),
+counted AS (
+  SELECT file, page, symbol, CAST(line AS BIGINT) AS line, count(*) AS candidates, min(other) AS single, count(*) FILTER (qualified) AS n1, min(other) FILTER (qualified) AS t1,
+         count(*) FILTER (same) AS n2, min(other) FILTER (same) AS t2, count(*) FILTER (imported) AS n3, min(other) FILTER (imported) AS t3 FROM flags GROUP BY 1, 2, 3, 4)
+SELECT file, page, symbol, line, candidates,
+       CASE WHEN candidates = 1 THEN single WHEN n1 = 1 THEN t1 WHEN n2 = 1 THEN t2 WHEN n3 = 1 THEN t3 END AS target,
+       CASE WHEN candidates = 1 THEN 'unique_symbol' WHEN n1 = 1 THEN 'qualified_symbol' WHEN n2 = 1 THEN 'same_namespace' WHEN n3 = 1 THEN 'imported_namespace' ELSE 'ambiguous' END AS step
+FROM counted
+"""
+
 QUERIES = {
+    "symbol_scope_cascade": Query(symbol_scope_cascade, SCOPES),
     "cooccurrence_candidates": Query(cooccurrence_candidates, COOCCURRENCE),
     "link_resolution_cascade": Query(link_resolution_cascade, CASCADE),
     "reference_extraction": Query(reference_extraction, EXTRACTION),

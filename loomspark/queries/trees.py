@@ -34,6 +34,14 @@ def html_splice_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.splice(_nodes(spark, sf_dir), keep)
 
 
+def html_inherited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kept nodes with their own text, else that of the first child that is not kept; navigation is pruned."""
+    nodes = _nodes(spark, sf_dir)
+    keep = ~T.classify(F.col("tag"), F.col("node_path")).isin("resource", "metadata", "container", "heading")
+    rows = T.inherit(nodes, keep, F.col("text"), F.col("tag") == "nav")
+    return rows.select("page_id", "ordinal", F.coalesce("new_parent", F.lit(-1)).alias("new_parent"), "tag", "inherited", F.sha2("value", 256).alias("value_sha256"))
+
+
 def tree_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.fold(_nodes(spark, sf_dir))
 
@@ -64,6 +72,7 @@ QUERIES = {
     "html_nodes": Query(_nodes),
     "html_classify": Query(html_classify),
     "html_splice_controls": Query(html_splice_controls),
+    "html_inherited": Query(html_inherited),
     "tree_fold": Query(tree_fold),
     "tree_outline": Query(tree_outline),
     "raw_vs_ir_closure": Query(raw_vs_ir_closure),
