@@ -8,7 +8,7 @@ from collections import defaultdict
 from collections.abc import Iterable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -215,3 +215,26 @@ def order_by_project(nodes: DataFrame, edges: DataFrame, isolated_first: bool =
 
     kind = nodes.schema["node"].dataType.simpleString()
     return nodes.groupBy("project").cogroup(edges.groupBy("project")).applyInPandas(run, f"project {nodes.schema['project'].dataType.simpleString()}, node {kind}, order_idx long, scc {kind}")
+
+
+def schedule(order: DataFrame, edges: DataFrame, requested: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """What is asked for, in each project's order: (project, node, status, position, order_idx, scc, targets, unmet).
+
+    order (project, node, order_idx, scc), edges (project, src, dst; src depends on dst), requested (project, node), outcomes
+    (project, node, success). Requested nodes keep the order of the whole project and are numbered anew, from 1; repeated
+    ones count once. A node that the order does not have is 'unknown', without a place. The others are 'done' or 'failed' by
+    their outcome, 'open' without one; a failure stops nothing after it. targets are a node's dependencies, ascending, and
+    unmet those that are not done at an earlier place: not requested, later, failed or open. A node's own edge to itself is
+    no dependency. Null nodes are left out."""
+    asked = requested.select("project", "node").where("node is not null").distinct().join(order.select("project", "node", "order_idx", "scc"), ["project", "node"], "left")
+    ended = outcomes.groupBy("project", "node").agg(F.min("success").alias("success"))
+    status = F.when(F.col("order_idx").isNull(), "unknown").when(F.col("success"), "done").when(~F.col("success"), "failed").otherwise("open")
+    # A project's order was made in one task, so its requested part fits in one as well.
+    place = F.when(F.col("order_idx").isNotNull(), F.row_number().over(Window.partitionBy("project").orderBy(F.col("order_idx").asc_nulls_last(), "node")))
+    placed = asked.join(ended, ["project", "node"], "left").select("project", "node", status.alias("status"), place.cast("long").alias("position"), "order_idx", "scc")
+    waits = edges.where("src != dst").select("project", F.col("src").alias("node"), "dst").distinct().join(placed.select("project", "node", F.col("position").alias("at")), ["project", "node"])
+    done = placed.where("status = 'done'").select("project", F.col("node").alias("dst"), F.col("position").alias("before"))
+    met = F.coalesce(F.col("before") < F.col("at"), F.lit(False))
+    lists = waits.join(done, ["project", "dst"], "left").groupBy("project", "node").agg(F.array_sort(F.collect_list("dst")).alias("targets"), F.array_sort(F.collect_list(F.when(~met, F.col("dst")))).alias("unmet"))
+    none = F.array().cast(f"array<{order.schema['node'].dataType.simpleString()}>")
+    return placed.join(lists, ["project", "node"], "left").select("project", "node", "status", "position", "order_idx", "scc", F.coalesce("targets", none).alias("targets"), F.coalesce("unmet", none).alias("unmet"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspark.operators import graph as G
@@ -68,18 +68,39 @@ SELECT DISTINCT CAST(a.scc AS BIGINT) AS from_scc, CAST(b.scc AS BIGINT) AS to_s
 """
 
 
+def _sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sales by brand, the customer's nation and the supplier's, with how many came back: written once."""
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_returnflag")
+    # The tables that grow least with the orders come first, and brands replace parts before lines meet orders.
+    named = items.join(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey")).join(table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+    by_order = named.select("l_orderkey", "p_brand", "s_nationkey", "l_returnflag").join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    sold = by_order.join(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+    return G.cut(sold.groupBy(F.col("p_brand").alias("project"), F.col("c_nationkey").cast("long").alias("src"), F.col("s_nationkey").cast("long").alias("dst")).agg(F.count("*").alias("n"), F.count_if(F.col("l_returnflag") == "R").alias("returned")))
+
+
+def _projects(sales: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A project a brand: its nations, and from each that buys to the two others that it buys most from."""
+    nodes = sales.select("project", F.explode(F.array("src", "dst")).alias("node")).distinct()
+    last = Window.partitionBy("project", "src").orderBy(F.desc("n"), "dst")
+    return nodes, sales.where("src != dst").withColumn("rank", F.row_number().over(last)).where("rank <= 2").select("project", "src", "dst")
+
+
 def trade_graph_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, edges = _graph(spark, sf_dir)
-    return G.order_by_project(nodes.withColumn("project", F.lit("trade")), edges.withColumn("project", F.lit("trade")))
+    """The smallest order of every brand's nations in which what a nation buys from comes before it."""
+    return G.order_by_project(*_projects(_sales(spark, sf_dir)))
 
 
 def ordered_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A chosen set of nations in the graph's order, with their targets and whether those come before."""
-    nodes, edges = _graph(spark, sf_dir)
-    order = trade_graph_order(spark, sf_dir).select("node", "order_idx", "scc")
-    chosen = table(spark, sf_dir, "nation").where("n_regionkey in (0, 2)").select(F.col("n_nationkey").cast("long").alias("node"), "n_name")
-    targets = edges.join(order.select(F.col("node").alias("dst"), F.col("order_idx").alias("dst_idx")), "dst").groupBy(F.col("src").alias("node")).agg(F.array_join(F.array_sort(F.collect_list(F.col("dst").cast("string"))), ",").alias("targets"), F.max("dst_idx").alias("last"))
-    return order.join(chosen, "node").join(targets, "node", "left").select("node", "n_name", "order_idx", "scc", "targets", (F.col("last") > F.col("order_idx")).alias("unmet"))
+    """For every brand the nations of two regions in its order, with their targets and those not met. A nation fails where
+    over a third of its purchases came back, and is open where it buys nothing."""
+    sales = _sales(spark, sf_dir)
+    nodes, edges = _projects(sales)
+    order = G.cut(G.order_by_project(nodes, edges))
+    nations = table(spark, sf_dir, "nation").where("n_regionkey in (0, 2)").select(F.col("n_nationkey").cast("long").alias("node"), "n_name")
+    asked = sales.select("project", F.explode(F.array("src", "dst")).alias("node")).distinct().join(nations, "node")
+    ended = sales.groupBy("project", F.col("src").alias("node")).agg((3 * F.sum("returned") <= F.sum("n")).alias("success"))
+    joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
+    return G.schedule(order, edges, asked, ended).join(nations, "node").select("project", "node", "n_name", "status", "position", "order_idx", "scc", joined("targets"), joined("unmet"))
 
 
 def trade_graph_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
