@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loomspark.sources.tables import table
 
-FAMILIES = ("evaluation", "contracts", "joins", "retrieval", "references", "graphs", "trees", "matching", "envelope", "markup")
+FAMILIES = ("evaluation", "contracts", "joins", "retrieval", "references", "graphs", "trees", "matching", "envelope", "markup", "order_pages")
 
 
 @dataclass(frozen=True)
