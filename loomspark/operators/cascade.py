@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.functions.names import without_comments
+from loomspark.functions.names import symbol_variants, without_comments
 
 
 def resolve(candidates: DataFrame, ref: str, target: str, steps: Sequence[tuple[str, str]]) -> DataFrame:
@@ -83,3 +83,15 @@ def resolve_scopes(uses: DataFrame, classes: DataFrame, keys: list[str], page: s
     for i, name in enumerate(("qualified_symbol", "same_namespace", "imported_namespace"), 1):
         step = step.when(F.col(f"found_{i}").isNotNull(), name)
     return wide.select(*keys, "symbol", "line", F.coalesce(unique, "found_1", "found_2", "found_3").alias("target"), step.otherwise("ambiguous").alias("step"), "candidates")
+
+
+def symbol_pages(symbols: DataFrame, pages: DataFrame) -> DataFrame:
+    """symbols (symbol), pages (page, class_name, stem) -> (symbol, pages): the pages whose class or file stem is a variant of
+    the symbol, each once, ascending; none for a symbol without any. Repeated symbols and nulls count once and not at all.
+
+    Each page stands under its two names once, so a page is met at most as often as a symbol has variants."""
+    asked = symbols.select("symbol").where("symbol is not null").distinct()
+    named = pages.select("page", F.explode(F.array_distinct(F.array("class_name", "stem"))).alias("name")).where("name is not null and name != ''").distinct()
+    met = asked.select("symbol", F.explode(symbol_variants(F.col("symbol"))).alias("name")).join(named, "name")
+    found = met.groupBy("symbol").agg(F.array_sort(F.collect_set("page")).alias("pages"))
+    return asked.join(found, "symbol", "left").select("symbol", F.coalesce("pages", F.array().cast(f"array<{pages.schema['page'].dataType.simpleString()}>")).alias("pages"))

@@ -1,4 +1,4 @@
-"""UI markup written from the nations table: nodes, references, resources, and rules on paths, names and JSON."""
+"""UI markup written from the nations table: nodes, references, resources, and rules on paths, names and JSON of whole tables."""
 
 from __future__ import annotations
 
@@ -123,19 +123,19 @@ NAMESPACES = f"SELECT source_id, prefix, uri FROM {_IDS}, (VALUES ('default', '{
 
 def page_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Code files to pages: the exact identity, else the only one that differs in case; several are ambiguous."""
-    key, three, six = F.col("n_nationkey"), F.col("n_nationkey") % 3 == 0, F.col("n_nationkey") % 6 == 0
-    nations = table(spark, sf_dir, "nation")
-    code = nations.select(F.concat(F.when(three, "views/n").otherwise("views/N"), key, F.lit(".xaml.cs")).alias("source_id"))
-    pages = nations.select(F.concat(F.lit("views/N"), key, F.lit(".xaml")).alias("page_id")).unionByName(nations.where(six).select(F.concat(F.lit("VIEWS/N"), key, F.lit(".xaml")).alias("page_id")))
+    key, three, six = F.col("c_custkey"), F.col("c_custkey") % 3 == 0, F.col("c_custkey") % 6 == 0
+    customers = table(spark, sf_dir, "customer")
+    code = customers.select(F.concat(F.when(three, "views/n").otherwise("views/N"), key, F.lit(".xaml.cs")).alias("source_id"))
+    pages = customers.select(F.concat(F.lit("views/N"), key, F.lit(".xaml")).alias("page_id")).unionByName(customers.where(six).select(F.concat(F.lit("VIEWS/N"), key, F.lit(".xaml")).alias("page_id")))
     pairs, wrong = A.paired_pages(code.withColumn("page_id", N.page_of(F.col("source_id"))), pages)
     both = pairs.select("source_id", "page_id", F.lit("paired").alias("status")).unionByName(wrong.select("source_id", F.array_join("candidates", "|").alias("page_id"), F.lit("ambiguous").alias("status")))
     return both.withColumn("component", F.when(F.col("status") == "paired", N.component_name(F.col("page_id"))).otherwise(""))
 
 
 PAIRS = """
-SELECT 'views/' || CASE WHEN n_nationkey % 3 = 0 THEN 'n' ELSE 'N' END || n_nationkey || '.xaml.cs' AS source_id,
-       CASE WHEN n_nationkey % 6 = 0 THEN 'VIEWS/N' || n_nationkey || '.xaml|' ELSE '' END || 'views/N' || n_nationkey || '.xaml' AS page_id,
-       CASE WHEN n_nationkey % 6 = 0 THEN 'ambiguous' ELSE 'paired' END AS status, CASE WHEN n_nationkey % 6 = 0 THEN '' ELSE 'views__N' || n_nationkey END AS component FROM nation
+SELECT 'views/' || CASE WHEN c_custkey % 3 = 0 THEN 'n' ELSE 'N' END || c_custkey || '.xaml.cs' AS source_id,
+       CASE WHEN c_custkey % 6 = 0 THEN 'VIEWS/N' || c_custkey || '.xaml|' ELSE '' END || 'views/N' || c_custkey || '.xaml' AS page_id,
+       CASE WHEN c_custkey % 6 = 0 THEN 'ambiguous' ELSE 'paired' END AS status, CASE WHEN c_custkey % 6 = 0 THEN '' ELSE 'views__N' || c_custkey END AS component FROM customer
 """
 
 
@@ -173,14 +173,15 @@ SELECT event_type, error, n FROM e, (VALUES ('$.z missing'), ('$.k is not string
 
 
 def name_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.col("n_nationkey")
-    files = table(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.lit("Logo"), key, F.lit(".png")).alias("name"), F.when(key % 2 == 0, F.concat(F.lit("/App;component/img/Logo"), key, F.lit(".png"))).otherwise(F.concat(F.lit("Logo"), key, F.lit(".png"))).alias("path"))
-    return files.select("n_nationkey", F.explode(M.name_variants(F.col("name"), F.col("path"))).alias("variant"))
+    """The spellings under which an image of each part may be named; every second lies in another assembly."""
+    name = F.concat(F.replace(F.initcap("p_name"), F.lit(" "), F.lit("")), "p_partkey", F.lit(".png"))
+    files = table(spark, sf_dir, "part").select("p_partkey", name.alias("name"), F.concat(F.when(F.col("p_partkey") % 2 == 0, "/App;component/img/").otherwise(""), name).alias("path"))
+    return files.select("p_partkey", F.explode(M.name_variants(F.col("name"), F.col("path"))).alias("variant"))
 
 
 VARIANTS = """
-SELECT n_nationkey, unnest(list_distinct(['Logo' || n_nationkey || '.png', 'logo' || n_nationkey || '.png', 'LOGO' || n_nationkey || '.PNG', 'Logo' || n_nationkey, 'logo' || n_nationkey, 'LOGO' || n_nationkey]
-  || CASE WHEN n_nationkey % 2 = 0 THEN ['img/Logo' || n_nationkey || '.png'] ELSE [] END)) AS variant FROM nation
+WITH f AS (SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), '') || p_partkey AS n FROM part)
+SELECT p_partkey, unnest(list_distinct([n || '.png', lower(n) || '.png', upper(n) || '.PNG', n, lower(n), upper(n)] || CASE WHEN p_partkey % 2 = 0 THEN ['img/' || n || '.png'] ELSE [] END)) AS variant FROM f
 """
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspark.operators import cooccurrence as C
-from loomspark.operators.cascade import resolve, resolve_scopes, symbol_uses
+from loomspark.operators.cascade import resolve, resolve_scopes, symbol_pages, symbol_uses
 from loomspark.operators.phrases import first_matches, longest_matches
 from loomspark.queries.base import Query, shared_sql
 from loomspark.sources.tables import spread, table
@@ -194,7 +194,30 @@ SELECT file, page, symbol, line, candidates,
 FROM counted
 """
 
+def symbol_page_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quoted model names of what each order's lines sell, as symbols, against pages: a part's class is its name with its
+    size, its file's stem the name with its brand. The pages found, and the smallest and largest of them."""
+    word = F.replace(F.initcap("p_name"), F.lit(" "), F.lit(""))
+    parts = table(spark, sf_dir, "part").select("p_partkey", word.alias("word"), F.col("p_size").cast("string").alias("size"), F.replace("p_brand", F.lit("#"), F.lit("")).alias("brand"))
+    pages = parts.select(F.col("p_partkey").cast("long").alias("page"), F.concat("word", "size").alias("class_name"), F.concat("word", "brand").alias("stem"))
+    sold = table(spark, sf_dir, "lineitem").select("l_partkey", "l_returnflag").distinct().join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    flag = F.col("l_returnflag")
+    symbol = F.when(flag == "R", F.concat(F.lit('"App.'), "word", "size", F.lit('Model"'))).when(flag == "A", F.concat(F.lit("'"), "word", "brand", F.lit("'"))).otherwise(F.concat("word", F.lit(".Model"), "size"))
+    found = symbol_pages(sold.select(symbol.alias("symbol")), pages)
+    return found.select("symbol", F.size("pages").cast("long").alias("n"), F.coalesce(F.array_min("pages"), F.lit(-1)).alias("first"), F.coalesce(F.array_max("pages"), F.lit(-1)).alias("last"))
+
+
+SYMBOL_PAGES = r"""
+WITH parts AS (SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), '') AS word, CAST(p_size AS VARCHAR) AS size, replace(p_brand, '#', '') AS brand FROM part),
+names AS (SELECT CAST(p_partkey AS BIGINT) AS page, word || size AS name FROM parts UNION SELECT p_partkey, word || brand FROM parts),
+symbols AS (
+  SELECT DISTINCT CASE l_returnflag WHEN 'R' THEN '"App.' || word || size || 'Model"' WHEN 'A' THEN '''' || word || brand || '''' ELSE word || '.Model' || size END AS symbol FROM lineitem JOIN parts ON l_partkey = p_partkey),
+variants AS (SELECT symbol, string_split(trim(symbol, '"'''), '.')[-1] AS name FROM symbols UNION SELECT symbol, regexp_replace(string_split(trim(symbol, '"'''), '.')[-1], 'Model$', '') FROM symbols)
+SELECT symbol, count(DISTINCT page) AS n, coalesce(min(page), -1) AS first, coalesce(max(page), -1) AS last FROM symbols LEFT JOIN variants USING (symbol) LEFT JOIN names USING (name) GROUP BY symbol
+"""
+
 QUERIES = {
+    "symbol_page_candidates": Query(symbol_page_candidates, SYMBOL_PAGES),
     "symbol_scope_cascade": Query(symbol_scope_cascade, SCOPES),
     "cooccurrence_candidates": Query(cooccurrence_candidates, COOCCURRENCE),
     "link_resolution_cascade": Query(link_resolution_cascade, CASCADE),

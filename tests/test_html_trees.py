@@ -173,3 +173,12 @@ def test_symbol_scopes(spark):
         ("p7", "Two"): (1, "p4", "same_namespace", 3),
     }
     assert cascade.resolve_scopes(cascade.symbol_uses(files.where("false"), ["page", "namespace"]), classes, ["page"]).count() == 0
+
+
+def test_symbol_pages(spark):
+    """Variants, quotes, two names of one page, a symbol without pages, repeats, nulls and an empty table."""
+    pages = spark.createDataFrame([(1, "User", "User"), (2, "UserModel", "Other"), (3, None, "User"), (4, "", "Model")], "page long, class_name string, stem string")
+    symbols = spark.createDataFrame([("'App.UserModel'",), ("User",), ("User",), ("Nobody",), (None,), ("Model",)], "symbol string")
+    got = {r["symbol"]: r["pages"] for r in cascade.symbol_pages(symbols, pages).collect()}
+    assert got == {"'App.UserModel'": [1, 2, 3], "User": [1, 3], "Nobody": [], "Model": [4]}
+    assert cascade.symbol_pages(symbols.where("false"), pages).count() == 0
