@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections import Counter
 from html.parser import HTMLParser
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,22 +55,36 @@ class _Walker(HTMLParser):
             self.rows[self.stack[-1]][5] += data.strip()
 
 
-def html_nodes(pages: DataFrame) -> DataFrame:
-    """pages (page_id, html) -> NODES, a row a start tag. Null and empty pages have none."""
+#: Nodes in a batch that the parser gives back, at least where it has as many; a page's are never split.
+BATCH_NODES = 8192
 
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for page, html in zip(pdf["page_id"], pdf["html"], strict=True):
+
+_ARROW = pa.schema([("page_id", pa.int64()), ("ordinal", pa.int64()), ("parent", pa.int64()), ("depth", pa.int32()), ("tag", pa.string()), ("node_path", pa.string()), ("text", pa.string()), ("n_attributes", pa.int32()), ("line", pa.int64())])
+
+
+def node_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The nodes of batches of (page_id, html): what is held at once is a batch of nodes and one page, however many pages
+    come together."""
+    rows: list[tuple] = []
+    batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
+    for b in batches:
+        for at in range(0, b.num_rows, 16):
+            part = b.slice(at, 16)
+            for page, html in zip(part.column("page_id").to_pylist(), part.column("html").to_pylist(), strict=True):
                 walker = _Walker()
                 walker.feed(html or "")
                 walker.close()
                 rows += [(page, *r) for r in walker.rows]
-            out = pd.DataFrame(rows, columns=["page_id", "ordinal", "parent", "depth", "tag", "node_path", "text", "n_attributes", "line"])
-            out["parent"] = out["parent"].astype("Int64")
-            yield out
+                if len(rows) >= BATCH_NODES:
+                    yield batch()
+                    rows = []
+    if rows:
+        yield batch()
 
-    return pages.select("page_id", "html").mapInPandas(run, NODES)
+
+def html_nodes(pages: DataFrame) -> DataFrame:
+    """pages (page_id, html) -> NODES, a row a start tag. Null and empty pages have none."""
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "html").mapInArrow(node_batches, NODES)
 
 
 def ancestors(path: Column) -> Column:
@@ -99,15 +113,25 @@ def classify(tag: Column, path: Column) -> Column:
 def splice(nodes: DataFrame, keep: Column) -> DataFrame:
     """Kept nodes with their nearest kept ancestor: others are taken out and their children move up.
 
-    A node meets its ancestors by path prefix, one row a level, so the join is as large as the trees are deep."""
-    flagged = nodes.withColumn("kept", keep)
-    parts = F.filter(F.split("node_path", "/"), lambda x: x != "")
-    prefixes = F.transform(F.sequence(F.lit(1), F.size("parts") - 1), lambda i: F.concat(F.lit("/"), F.array_join(F.slice("parts", F.lit(1), i), "/")))
-    kept = flagged.where("kept")
-    up = kept.withColumn("parts", parts).where(F.size("parts") > 1).select("page_id", "ordinal", F.posexplode(prefixes).alias("level", "above"))
-    holders = kept.select("page_id", F.col("node_path").alias("above"), F.col("ordinal").alias("new_parent"))
-    nearest = up.join(holders, ["page_id", "above"]).groupBy("page_id", "ordinal").agg(F.max_by("new_parent", "level").alias("new_parent"))
-    return kept.join(nearest, ["page_id", "ordinal"], "left").select("page_id", "ordinal", "new_parent", "tag", "node_path")
+    A page's kept nodes meet in document order, in one shuffle, and a task goes through them with the open ones on a stack: it
+    holds as many as a tree is deep, and nothing is joined or broadcast. Paths say what lies below what."""
+    kept = nodes.where(keep).select("page_id", "ordinal", "tag", "node_path")
+    schema = f"page_id {kept.schema['page_id'].dataType.simpleString()}, ordinal long, new_parent long, tag string, node_path string"
+
+    def run(batches):
+        page, above = None, []
+        for b in batches:
+            new = []
+            for now, ordinal, path in zip(b.column("page_id").to_pylist(), b.column("ordinal").to_pylist(), b.column("node_path").to_pylist(), strict=True):
+                if now != page:
+                    page, above = now, []
+                while above and not path.startswith(above[-1][0]):
+                    above.pop()
+                new.append(above[-1][1] if above else None)
+                above.append((f"{path}/", ordinal))
+            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("ordinal"), pa.array(new, pa.int64()), b.column("tag"), b.column("node_path")], ["page_id", "ordinal", "new_parent", "tag", "node_path"])
+
+    return kept.repartition("page_id").sortWithinPartitions("page_id", "ordinal").mapInArrow(run, schema)
 
 
 def inherit(nodes: DataFrame, keep: Column, value: Column, pruned: Column) -> DataFrame:
