@@ -5,11 +5,11 @@ Parsing runs in Arrow-fed Python, one document at a time; everything after it is
 
 from __future__ import annotations
 
-from collections import Counter
+import re
 from collections.abc import Sequence
 from xml.parsers import expat
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -49,75 +49,152 @@ NODES = (
 )
 
 
-class _Reader:
-    """Start tags in document order; text is what stands before the first child, tail what follows the end tag."""
+#: Nodes in a batch that a parser gives back, at least where it has as many; a document's are never split.
+BATCH_NODES = 8192
+
+
+def _types(columns: Sequence[str]) -> str:
+    """NODES without other columns."""
+    kinds = dict(c.split(" ", 1) for c in re.split(r", (?=\w+ )", NODES))
+    return ", ".join(f"{c} {kinds[c]}" for c in columns)
 
-    def __init__(self) -> None:
-        self.rows: list[dict] = []
-        self.open: list[dict] = []
-        self.counts: list[Counter] = [Counter()]
-        self.ended: dict | None = None
+
+class _Reader:
+    """Start tags in document order, a list a wanted column; text is what stands before the first child, tail what follows
+    the end tag. Unwanted columns cost nothing but paths and numbers."""
+
+    def __init__(self, held: dict[str, list]) -> None:
+        self.held, self.n = held, 0
+        self.open: list[tuple[int, str, str]] = []  # ordinal, tag, path
+        self.counts: list[dict[str, int]] = [{}]
+        self.children: list[int] = []
+        self.texts: list[str] = []
+        self.tails: list[str] = []
+        self.ended: int | None = None
         self.parser = expat.ParserCreate(namespace_separator=" ")
         self.parser.buffer_text = True
-        self.parser.StartElementHandler, self.parser.EndElementHandler, self.parser.CharacterDataHandler = self._start, self._end, self._data
+        self.parser.StartElementHandler, self.parser.EndElementHandler = self._start, self._end
+        if "text" in held or "tail" in held:
+            self.parser.CharacterDataHandler = self._data
 
     def _start(self, name: str, attributes: dict) -> None:
+        held, open_, counts = self.held, self.open, self.counts[-1]
         namespace, _, tag = name.rpartition(" ")
-        up = self.open[-1] if self.open else None
-        self.counts[-1][tag] += 1
-        details = []
-        for full, value in attributes.items():
-            space, _, local = full.rpartition(" ")
-            details.append({"name": local, "full_name": f"{{{space}}}{local}" if space else local, "namespace": space or None, "value": value})
-        node = {
-            "ordinal": len(self.rows), "parent": up and up["ordinal"], "depth": len(self.open), "tag": tag, "namespace": namespace or None, "full_tag": f"{{{namespace}}}{tag}" if namespace else tag,
-            "node_path": f"{up['node_path'] if up else ''}/{tag}[{self.counts[-1][tag]}]", "above": [x["tag"] for x in reversed(self.open)], "text": "", "tail": "", "line": self.parser.CurrentLineNumber,
-            "attributes": {d["name"]: d["value"] for d in details}, "details": details, "n_children": 0, "error": None,
-        }
-        if up:
-            up["n_children"] += 1
-        self.rows.append(node)
-        self.open.append(node)
-        self.counts.append(Counter())
+        k = counts[tag] = counts.get(tag, 0) + 1
+        parent = None
+        if open_:
+            parent, _, path = open_[-1]
+            self.children[parent] += 1
+            path = f"{path}/{tag}[{k}]"
+        else:
+            path = f"/{tag}[{k}]"
+        if "ordinal" in held:
+            held["ordinal"].append(self.n)
+        if "parent" in held:
+            held["parent"].append(parent)
+        if "depth" in held:
+            held["depth"].append(len(open_))
+        if "tag" in held:
+            held["tag"].append(tag)
+        if "namespace" in held:
+            held["namespace"].append(namespace or None)
+        if "full_tag" in held:
+            held["full_tag"].append(f"{{{namespace}}}{tag}" if namespace else tag)
+        if "node_path" in held:
+            held["node_path"].append(path)
+        if "above" in held:
+            held["above"].append([x[1] for x in reversed(open_)])
+        if "line" in held:
+            held["line"].append(self.parser.CurrentLineNumber)
+        if "attributes" in held:
+            held["attributes"].append({full.rpartition(" ")[2]: value for full, value in attributes.items()})
+        if "details" in held:
+            details = []
+            for full, value in attributes.items():
+                space, _, local = full.rpartition(" ")
+                details.append((local, f"{{{space}}}{local}" if space else local, space or None, value))
+            held["details"].append(details)
+        open_.append((self.n, tag, path))
+        self.counts.append({})
+        self.children.append(0)
+        self.texts.append("")
+        self.tails.append("")
+        self.n += 1
         self.ended = None
 
     def _end(self, _name: str) -> None:
-        self.ended = self.open.pop()
+        self.ended = self.open.pop()[0]
         self.counts.pop()
 
     def _data(self, text: str) -> None:
         if self.ended is not None and self.open:
-            self.ended["tail"] += text
-        elif self.open and not self.open[-1]["n_children"]:
-            self.open[-1]["text"] += text
+            self.tails[self.ended] += text
+        elif self.open and not self.children[self.open[-1][0]]:
+            self.texts[self.open[-1][0]] += text
 
-
-def xml_nodes(documents: DataFrame) -> DataFrame:
-    """documents (source_id, xml) -> NODES, a row a start tag in document order.
+    def read(self, source: str, xml: str | None) -> int:
+        """How many rows a document has, its own in every column."""
+        held, before = self.held, {c: len(x) for c, x in self.held.items()}
+        try:
+            self.parser.Parse(xml or "", True)
+        except (expat.ExpatError, ValueError) as e:
+            for c, x in held.items():
+                del x[before[c] :]
+                x.append(source if c == "source_id" else str(e) if c == "error" else None)
+            return 1
+        own = {"source_id": lambda: [source] * self.n, "error": lambda: [None] * self.n, "n_children": lambda: self.children}
+        own |= {"text": lambda: [x.strip() or None for x in self.texts], "tail": lambda: [x.strip() or None for x in self.tails]}
+        for c in own.keys() & held.keys():
+            held[c] += own[c]()
+        return self.n
+
+
+def _offsets(lists: list) -> pa.Array:
+    """Where each list begins; that of null is null."""
+    at, out = 0, []
+    for x in lists:
+        out.append(None if x is None else at)
+        at += len(x or ())
+    return pa.array([*out, at], pa.int32())
+
+
+def _arrow(column: str, rows: list) -> pa.Array:
+    flat = [x for r in rows for x in r or ()] if column in ("above", "details") else []
+    if column == "above":
+        return pa.ListArray.from_arrays(_offsets(rows), pa.array(flat, pa.string()))
+    if column == "attributes":
+        values = [v for r in rows for v in (r or {}).values()]
+        return pa.MapArray.from_arrays(_offsets(rows), pa.array([k for r in rows for k in r or ()], pa.string()), pa.array(values, pa.string()))
+    if column == "details":
+        fields = ("name", "full_name", "namespace", "value")
+        parts = [pa.array([x[i] for x in flat], pa.string()) for i in range(len(fields))]
+        return pa.ListArray.from_arrays(_offsets(rows), pa.StructArray.from_arrays(parts, fields))
+    return pa.array(rows, {"ordinal": pa.int64(), "parent": pa.int64(), "depth": pa.int32(), "line": pa.int64(), "n_children": pa.int64()}.get(column, pa.string()))
+
+
+def xml_nodes(documents: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """documents (source_id, xml) -> NODES, or those columns of it, a row a start tag in document order.
 
     node_path numbers a tag among its siblings of that tag; above: the tags above, nearest first. Declarations of
     namespaces are no attributes; of attributes with one local name the last counts in the map, details hold all. Blank text
     is null, comments are skipped. A document that is not well-formed, null or empty has one row with `error` alone."""
-
-    def read(source: str, xml: str | None) -> list[dict]:
-        reader = _Reader()
-        try:
-            reader.parser.Parse(xml or "", True)
-        except (expat.ExpatError, ValueError) as e:
-            return [{"source_id": source, "error": str(e)}]
-        for row in reader.rows:
-            row["source_id"] = source
-            row["text"], row["tail"] = row["text"].strip() or None, row["tail"].strip() or None
-        return reader.rows
+    schema = NODES if columns is None else _types(columns)
+    names = re.findall(r"(?:^|, )(\w+) ", schema)
 
     def run(batches):
-        names = [c.split()[0] for c in NODES.replace(f"array<{DETAIL}>", "x").replace("map<string,string>", "x").replace("array<string>", "x").split(", ")]
-        for pdf in batches:
-            rows = [row for source, xml in zip(pdf["source_id"], pdf["xml"], strict=True) for row in read(source, xml)]
-            out = pd.DataFrame({n: pd.Series([r.get(n) for r in rows], dtype="object") for n in names})
-            yield out.astype({"ordinal": "Int64", "parent": "Int64", "depth": "Int32", "line": "Int64", "n_children": "Int64"})
+        held, n = {c: [] for c in names}, 0
+        for b in batches:
+            for at in range(0, b.num_rows, 64):
+                part = b.slice(at, 64)
+                for source, xml in zip(part.column("source_id").to_pylist(), part.column("xml").to_pylist(), strict=True):
+                    n += _Reader(held).read(source, xml)
+                    if n >= BATCH_NODES:
+                        yield pa.RecordBatch.from_arrays([_arrow(c, x) for c, x in held.items()], names)
+                        held, n = {c: [] for c in names}, 0
+        if n:
+            yield pa.RecordBatch.from_arrays([_arrow(c, x) for c, x in held.items()], names)
 
-    return documents.select("source_id", "xml").mapInPandas(run, NODES)
+    return documents.select("source_id", "xml").mapInArrow(run, schema)
 
 
 def namespaces(documents: DataFrame) -> DataFrame:
@@ -172,17 +249,18 @@ def classify(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("classification", kind.otherwise("unsupported_node")).withColumn("reason", why.otherwise("unknown element"))
 
 
-def _fragments(value: Column, name: str) -> Column:
-    """What follows each {name in a value, that included."""
-    return F.regexp_extract_all(value, F.lit(rf"(?is)(?=(\{{{name}\b.*))"), F.lit(1))
-
-
-def _target(fragment: Column, kind: str) -> Column:
+def _markup(value: Column) -> Column:
+    """array<struct<kind,target>> of what begins with a brace and one of MARKUP_KINDS in a value, however nested."""
     blank = lambda x: F.when(x != "", x)
-    if kind.endswith("_resource"):
-        return blank(F.regexp_extract(fragment, r"(?i)^\{(?:StaticResource|DynamicResource)\s+([^,}\s]+)", 1))
-    path = F.regexp_extract(fragment, r"(?i)\bPath\s*=\s*([^,}]+)", 1)
-    return F.when(path != "", F.trim(path)).otherwise(blank(F.regexp_extract(fragment, r"(?i)^\{(?:Binding|MultiBinding|PriorityBinding)(?:\s+([^,}\s]+))?", 1)))
+    kinds = F.create_map(*(F.lit(x) for name, kind in MARKUP_KINDS.items() for x in (name.lower(), kind)))
+    # One search for all names, and none of a value without a brace.
+    found = F.regexp_extract_all(value, F.lit(rf"(?is)(?=(\{{(?:{'|'.join(MARKUP_KINDS)})\b.*))"), F.lit(1))
+    resource = lambda f: blank(F.regexp_extract(f, r"(?i)^\{(?:StaticResource|DynamicResource)\s+([^,}\s]+)", 1))
+    path = lambda f: F.trim(blank(F.regexp_extract(f, r"(?i)\bPath\s*=\s*([^,}]+)", 1)))
+    first = lambda f: blank(F.regexp_extract(f, r"(?i)^\{(?:Binding|MultiBinding|PriorityBinding)(?:\s+([^,}\s]+))?", 1))
+    named = F.transform(found, lambda f: F.struct(kinds[F.lower(F.regexp_extract(f, r"^\{(\w+)", 1))].alias("kind"), f.alias("f")))
+    each = F.transform(named, lambda x: F.struct(x["kind"].alias("kind"), F.when(x["kind"].endswith("_resource"), resource(x["f"])).otherwise(F.coalesce(path(x["f"]), first(x["f"]))).alias("target")))
+    return F.when(value.contains("{"), each).otherwise(F.array().cast("array<struct<kind:string,target:string>>"))
 
 
 def looks_like_file(value: Column) -> Column:
@@ -198,8 +276,7 @@ def references(nodes: DataFrame) -> DataFrame:
     attr, value = F.col("d.name"), F.coalesce("d.value", F.lit(""))
     row = lambda kind, target, how: F.struct(F.lit(kind).alias("kind"), target.alias("target"), how.alias("resolution"))
     how = lambda t: F.when(F.coalesce(t, F.lit("")) != "", "parsed").otherwise("partial")
-    of_kind = lambda kind: lambda f: row(kind, _target(f, kind), how(_target(f, kind)))
-    found = [F.transform(_fragments(value, name), of_kind(kind)) for name, kind in MARKUP_KINDS.items()]
+    found = [F.transform(_markup(value), lambda x: F.struct(x["kind"].alias("kind"), x["target"].alias("target"), how(x["target"]).alias("resolution")))]
     one = lambda test, r: F.when(test, F.array(r)).otherwise(F.array().cast("array<struct<kind:string,target:string,resolution:string>>"))
     found.append(one(attr == "Command", row("command", value, F.when(value.contains("{"), "candidate").otherwise("parsed"))))
     found.append(one(attr == "CommandParameter", row("command_parameter", value, F.lit("parsed"))))
@@ -233,18 +310,14 @@ def resolve(refs: DataFrame, keys: DataFrame, files: DataFrame) -> DataFrame:
     refs as of `references`; keys (key): resource keys that exist anywhere in the project; files (file_id, declared): the
     project's files. A file's path counts from its document's folder, or from the root with a leading slash."""
     some = refs.where(F.col("kind").isin("static_resource", "dynamic_resource", "file_resource")).withColumn("target", F.trim(F.coalesce("target", F.lit(""))))
-    known = keys.select(F.col("key").alias("target")).distinct().withColumn("keyed", F.lit(True))
+    is_file, keyed, there = F.col("kind") == "file_resource", F.coalesce("keyed", F.lit(False)), F.coalesce("there", F.lit(False))
     bare = F.regexp_extract(F.replace(F.regexp_replace("target", "^[\"']+|[\"']+$", ""), F.lit("\\"), F.lit("/")), "^([^?#]*)", 1)
     folder = F.regexp_extract("source_id", "^(.*)/[^/]*$", 1)
     folded = fold_path(F.split(F.when(F.col("bare").startswith("/"), F.col("bare")).otherwise(F.concat(folder, F.lit("/"), F.col("bare"))), "/"))
-    held = some.withColumn("bare", bare).withColumn("folded", folded).withColumn("file_id", F.array_join("folded.parts", "/"))
-    held = held.join(known, "target", "left").join(files.select("file_id", "declared").withColumn("there", F.lit(True)), "file_id", "left")
-    is_file, keyed, there = F.col("kind") == "file_resource", F.coalesce("keyed", F.lit(False)), F.coalesce("there", F.lit(False))
+    held = some.withColumn("bare", F.when(is_file, bare)).withColumn("folded", F.when(is_file, folded)).withColumn("file_id", F.array_join("folded.parts", "/"))
     outside = F.lower("bare").rlike("^(https?|pack):") | F.lower("bare").contains(";component/")
-    label = (
-        F.when(F.col("kind") == "dynamic_resource", "dynamic")
-        .when(~is_file & keyed, "resolved_internal_key")
-        .when(~is_file, "unsupported_symbolic_reference")
+    placed = (
+        F.when(~is_file, None)
         .when(outside, "external_or_assembly")
         .when((F.col("bare") == "") | F.col("bare").startswith("{"), "unsupported")
         .when(F.col("folded.escaped") | (F.size("folded.parts") == 0), "external_or_assembly")
@@ -252,10 +325,16 @@ def resolve(refs: DataFrame, keys: DataFrame, files: DataFrame) -> DataFrame:
         .when(F.col("declared"), "resolved_declared_file")
         .otherwise("internal_undeclared_file")
     )
-    held = held.withColumn("classification", label)
-    exists = F.when(is_file, F.col("classification").isin("resolved_declared_file", "internal_undeclared_file")).otherwise(keyed)
-    placed = F.col("classification").isin("missing_target", "resolved_declared_file", "internal_undeclared_file")
-    return held.select("source_id", "node_path", "line", "attribute", "kind", F.when(F.col("target") != "", F.col("target")).alias("target"), "raw_value", "classification", exists.alias("target_exists"), F.when(placed, F.col("file_id")).alias("target_source_id"))
+    held = held.join(files.select("file_id", "declared").withColumn("there", F.lit(True)), "file_id", "left").withColumn("placed", placed)
+    # Files meet no keys: they are dealt by their documents, as many of them name the same file. There may be many keys, so
+    # they are never broadcast.
+    known = keys.select(F.col("key").alias("met")).distinct().select("met", F.lit(False).alias("is_file"), F.lit(True).alias("keyed")).hint("merge")
+    rows = held.select("source_id", "node_path", "line", "attribute", "kind", "target", "raw_value", "file_id", "placed", is_file.alias("is_file"), F.when(is_file, F.col("source_id")).otherwise(F.col("target")).alias("met"))
+    rows = rows.join(known, ["met", "is_file"], "left")
+    label = F.when(F.col("kind") == "dynamic_resource", "dynamic").when(F.col("is_file"), F.col("placed")).when(keyed, "resolved_internal_key").otherwise("unsupported_symbolic_reference")
+    exists = F.when(F.col("is_file"), F.col("placed").isin("resolved_declared_file", "internal_undeclared_file")).otherwise(keyed)
+    inside = F.col("placed").isin("missing_target", "resolved_declared_file", "internal_undeclared_file")
+    return rows.select("source_id", "node_path", "line", "attribute", "kind", F.when(F.col("target") != "", F.col("target")).alias("target"), "raw_value", label.alias("classification"), exists.alias("target_exists"), F.when(inside, F.col("file_id")).alias("target_source_id"))
 
 
 def key_of(attributes: Column) -> Column:
@@ -298,7 +377,7 @@ def control_tree(classified: DataFrame) -> DataFrame:
     kept = splice(rows.withColumnRenamed("source_id", "page_id"), is_migratable(rows)).withColumnRenamed("page_id", "source_id")
     roots = kept.where("new_parent is null").groupBy("source_id").agg(F.count("*").alias("roots"), F.min_by("tag", "ordinal").alias("first"))
     several = roots.where("roots > 1")
-    held = kept.join(several.select("source_id", F.lit(-1).cast("long").alias("top")), "source_id", "left")
+    held = kept.join(several.select("source_id", F.lit(-1).cast("long").alias("top")).hint("merge"), "source_id", "left")
     moved = held.select("source_id", "ordinal", F.coalesce("new_parent", "top").alias("new_parent"), "tag", "node_path")
     return moved.unionByName(several.select("source_id", F.lit(-1).cast("long").alias("ordinal"), F.lit(None).cast("long").alias("new_parent"), F.col("first").alias("tag"), F.lit("").alias("node_path")))
 
@@ -341,9 +420,14 @@ def translate(nodes: DataFrame, renames: dict[str, str]) -> DataFrame:
     return grouped.select("source_id", whole.alias("text"))
 
 
+def unruled(renames: dict[str, str]) -> Column:
+    """Whether `translate` has no rule for a node."""
+    return ~F.col("tag").isin(*renames)
+
+
 def placeholders(nodes: DataFrame, renames: dict[str, str]) -> DataFrame:
     """(source_id, node_path, tag) of the nodes that `translate` has no rule for."""
-    return nodes.where(F.col("error").isNull() & ~F.col("tag").isin(*renames)).select("source_id", "node_path", "tag")
+    return nodes.where(F.col("error").isNull() & unruled(renames)).select("source_id", "node_path", "tag")
 
 
 #: Simple renames of tags.
