@@ -96,18 +96,18 @@ def candidate_files(components: DataFrame, files: DataFrame) -> DataFrame:
     """(project, component, file, preferred): files that a component's hints name, which are preferred, and files whose
     stem is one of its names in any case. A component without rows here may be anywhere if it has a name at all."""
     there = files.select("project", "file").distinct()
-    hinted = components.select("project", "component", F.explode("hints").alias("file")).join(there, ["project", "file"])
+    hinted = components.select("project", "component", F.explode("hints").alias("file")).join(there.hint("merge"), ["project", "file"])
     stem = F.lower(F.regexp_extract("file", r"([^/]*?)(\.[^./]*)?$", 1))
-    named = components.select("project", "component", F.explode(F.transform(_names(), lambda x: F.lower(x))).alias("stem")).join(there.withColumn("stem", stem), ["project", "stem"])
+    named = components.select("project", "component", F.explode(F.transform(_names(), lambda x: F.lower(x))).alias("stem")).join(there.withColumn("stem", stem).hint("merge"), ["project", "stem"])
     both = hinted.select("project", "component", "file", F.lit(True).alias("preferred")).unionByName(named.select("project", "component", "file", F.lit(False).alias("preferred")))
     return both.groupBy("project", "component", "file").agg(F.max("preferred").alias("preferred"))
 
 
 def _allowed(hits: DataFrame, components: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Hits in a component's candidate files; in any file if it has none but a name. With preferred and has_preferred."""
+    """Hits in a component's candidate files; in any file if it has none but a name. With preferred and has_preferred. Candidates grow with the code and are never broadcast."""
     some = candidates.groupBy("project", "component").agg(F.max("preferred").alias("has_preferred"))
     known = components.select("project", "component", (F.size(_names()) > 0).alias("named")).join(some, ["project", "component"], "left")
-    joined = hits.join(known, ["project", "component"]).join(candidates, ["project", "component", "file"], "left")
+    joined = hits.join(known, ["project", "component"]).join(candidates.hint("merge"), ["project", "component", "file"], "left")
     anywhere = F.col("has_preferred").isNull() & F.col("named")
     kept = joined.where(F.col("preferred").isNotNull() | anywhere)
     return kept.withColumn("preferred", F.coalesce("preferred", F.lit(False))).withColumn("has_preferred", F.coalesce("has_preferred", F.lit(False)))
