@@ -104,20 +104,15 @@ SELECT name, other, similarity, rank FROM (SELECT *, row_number() OVER (PARTITIO
 
 
 def _queries_and_all(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Every row whose id is divisible by 100 is a query against all rows: a stated query set, broadcast by
-    Spark where it is small."""
-    rows = table(spark, sf_dir, "embeddings")
-    return rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"), F.col("label").alias("query_label")), rows
-
-
-def _cosines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    queries, rows = _queries_and_all(spark, sf_dir)
-    pairs = rows.join(queries, F.col("vec_id") != F.col("query"))  # the stated set of queries against all rows
-    return pairs.select("query", "vec_id", "query_label", "label", F.round(R.cosine(F.col("q"), F.col("embedding")), 6).alias("cosine"))
+    """Every row whose id is divisible by 100 is a query against all rows: a stated query set."""
+    rows = table(spark, sf_dir, "embeddings").where("vec_id is not null").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("v"))
+    return spread(rows), rows.where("id % 100 = 0")
 
 
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.top_k(_cosines(spark, sf_dir), "query", "cosine", "vec_id", 5).select("query", "vec_id", "cosine", F.col("rank").cast("long").alias("rank"))
+    near = R.nearest(*_queries_and_all(spark, sf_dir), 5)
+    best = R.top_k(near, "query", "millionths", "id", 5)
+    return best.select("query", F.col("id").alias("vec_id"), (F.col("millionths") / 1e6).alias("cosine"), F.col("rank").cast("long").alias("rank"))
 
 
 COSINE_CTE = """
@@ -163,15 +158,9 @@ SELECT query, id, CASE WHEN query % 10 = 0 AND rank = 1 THEN 1.0e0 ELSE score EN
 
 
 def recall_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recall at 3 and mean reciprocal rank; relevant is a row of the query's label.
-
-    A query's first relevant rank is one more than the rows before its best relevant one: two aggregates with
-    partial results in each task, and no order of all pairs."""
-    pairs = _cosines(spark, sf_dir).select("query", "query_label", "label", F.struct("cosine", (-F.col("vec_id")).alias("place")).alias("at"))
-    best = pairs.groupBy("query").agg(F.max(F.when(F.col("label") == F.col("query_label"), F.col("at"))).alias("best"))
-    first = pairs.join(best, "query").groupBy("query", "query_label").agg(F.max(F.when(F.col("best").isNotNull(), 1)).alias("any"), F.count_if(F.col("at") > F.col("best")).alias("before"))
-    first = first.select("query_label", F.when(F.col("any") == 1, F.col("before") + 1).alias("first"))
-    return first.groupBy(F.col("query_label").alias("label")).agg(F.count("*").alias("queries"), F.round(F.avg(F.when(F.col("first") <= 3, 1.0).otherwise(0.0)), 6).alias("recall_at_3"), F.round(F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))), 6).alias("mrr"))
+    """Recall at 3 and mean reciprocal rank; relevant is a row of the query's label."""
+    first = R.first_relevant(*_queries_and_all(spark, sf_dir))
+    return first.groupBy("label").agg(F.count("*").alias("queries"), F.round(F.avg(F.when(F.col("first") <= 3, 1.0).otherwise(0.0)), 6).alias("recall_at_3"), F.round(F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))), 6).alias("mrr"))
 
 
 RECALL = f"""
