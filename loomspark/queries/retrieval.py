@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,14 +13,14 @@ from loomspark.sources.tables import spread, table
 ABSTAIN = 0.18
 
 
-def _bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _texts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs = spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
-    return R.bm25(docs, table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text"))
+    return docs, table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = _bm25(spark, sf_dir).withColumn("bm25", F.round("bm25", 6))
-    return R.top_k(scored, "query", "bm25", "id", 3).select("query", "id", "bm25", F.col("rank").cast("long").alias("rank"))
+    best = R.top_k(R.bm25_first(*_texts(spark, sf_dir), 3), "query", "millionths", "id", 3)
+    return best.select("query", "id", (F.col("millionths") / 1e6).alias("bm25"), F.col("rank").cast("long").alias("rank"))
 
 
 def _tokens_sql(text: str) -> str:
@@ -127,19 +128,35 @@ SELECT query, vec_id, cosine, rank FROM (SELECT *, row_number() OVER (PARTITION
 """
 
 
+#: Numbers of a query's name, and the sources up to which their names' scores are broadcast.
+NUMBERS, BROADCAST_SOURCES = 20, 10_000
+
+
+def _fused(d, q, raw):
+    """A block's three best by the weighted sum, for each query of another."""
+    names = np.array(d.column("name").to_pylist(), "float64").reshape(-1, NUMBERS)
+    name = names[:, np.mod(q.column("query").to_numpy(zero_copy_only=False), NUMBERS)].T
+    lexical, (alike, again) = R.share(q, raw), R.cosines(q.column("e"), d.column("e"))
+    bare = q.column("bare").to_numpy(zero_copy_only=False)[:, None] | d.column("bare").to_numpy(zero_copy_only=False)[None, :]
+    fuse = lambda name, lexical, alike, bare: np.where(bare, 0.55 * name + 0.45 * lexical, 0.45 * name + 0.35 * lexical + 0.20 * alike)
+    score = R.rounded(fuse(name, lexical, alike, bare), lambda i, j: fuse(name[i, j], lexical[i, j], again(i, j), bare[i, j]))
+    return R.first_in_block(d, q, raw, score, 3)
+
+
 def fused_retrieval_abstain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A known mapping first; else 0.45 name + 0.35 lexical + 0.20 vector; abstain below a threshold."""
-    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang", "source")
-    scored = _bm25(spark, sf_dir).join(docs, "id").join(vectors.select(F.col("vec_id").alias("id"), F.col("embedding").alias("e")), "id", "left").join(vectors.select(F.col("vec_id").alias("query"), F.col("embedding").alias("q")), "query", "left")
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("e"), F.lit(False).alias("bare"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source")
     # A name's score depends on the source and the query's number alone: computed once for each of both.
-    number = F.col("number").cast("string")
-    alike = R.alias_similarity(F.coalesce("source", F.lit("")), F.array(F.concat(F.lit("Source"), number), F.concat(F.lit("Src"), number, F.lit("View"))))
-    names = docs.select("source").distinct().select("source", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("number")).select("number", F.col("source").alias("of"), alike.alias("name"))
-    scored = scored.join(names, (F.pmod("query", F.lit(20)) == F.col("number")) & F.col("source").eqNullSafe(F.col("of")))
-    name = F.col("name")
-    fused = F.round(F.when(F.col("e").isNull() | F.col("q").isNull(), 0.55 * name + 0.45 * F.col("bm25")).otherwise(0.45 * name + 0.35 * F.col("bm25") + 0.20 * R.cosine(F.col("q"), F.col("e"))), 6)
-    best = R.top_k(scored.withColumn("score", fused), "query", "score", "id", 3)
+    alike = lambda n: R.alias_similarity(F.coalesce("source", F.lit("")), F.array(F.lit(f"Source{n}"), F.lit(f"Src{n}View")))
+    names = docs.select("source").distinct()
+    few = names.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+    names = names.select(F.col("source").alias("of"), F.array(*map(alike, range(NUMBERS))).alias("name"))
+    with_vector = lambda rows: rows.join(vectors, "id", "left").withColumn("bare", F.coalesce("bare", F.lit(True)))
+    named = docs.join(F.broadcast(names) if few else names, F.col("source").eqNullSafe(F.col("of"))).select("id", "name")
+    texts, asked = _texts(spark, sf_dir)
+    index = R.lexical(texts, asked, with_vector(named), with_vector(asked.select("id")))
+    best = R.top_k(R.lexical_pairs(index, _fused, "query long, id long, millionths long").withColumn("score", F.col("millionths") / 1e6), "query", "millionths", "id", 3)
     known = F.col("query") % 10 == 0
     return best.select("query", "id", F.when(known & (F.col("rank") == 1), 1.0).otherwise(F.col("score")).alias("score"), F.col("rank").cast("long").alias("rank"), F.when(known, "mapping").when(F.max("score").over(R.W.partitionBy("query")) < ABSTAIN, "abstain").otherwise("retrieval").alias("strategy"))
 
