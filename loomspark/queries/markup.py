@@ -161,9 +161,10 @@ SCHEMA = {"type": "object", "required": ["k", "z"], "properties": {"k": {"type":
 
 def json_schema_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Objects against a schema: their own, and with more fields, an array and other top levels."""
-    props = table(spark, sf_dir, "events").select("event_type", "props")
-    more = props.select("event_type", F.explode(F.array(F.col("props"), F.concat(F.lit('{"z": 1, "a": [1, "x", 2.5], "q": '), F.col("props"), F.lit("}")), F.concat(F.lit("["), F.col("props"), F.lit("]")), F.lit("{"))).alias("props"))
-    return more.select("event_type", F.explode(json_errors(F.col("props"), SCHEMA)).alias("error")).groupBy("event_type", "error").agg(F.count("*").alias("n"))
+    # Equal texts have equal errors: each is parsed once, for as many rows as have it.
+    props = table(spark, sf_dir, "events").groupBy("event_type", "props").agg(F.count("*").alias("rows"))
+    more = props.select("event_type", "rows", F.explode(F.array(F.col("props"), F.concat(F.lit('{"z": 1, "a": [1, "x", 2.5], "q": '), F.col("props"), F.lit("}")), F.concat(F.lit("["), F.col("props"), F.lit("]")), F.lit("{"))).alias("props"))
+    return more.select("event_type", "rows", F.explode(json_errors(F.col("props"), SCHEMA)).alias("error")).groupBy("event_type", "error").agg(F.sum("rows").alias("n"))
 
 
 ERRORS = """
