@@ -38,18 +38,22 @@ def symbol_uses(files: DataFrame, keys: list[str]) -> DataFrame:
     bare name, with the first line of that, from 1; the namespaces that the file names it with elsewhere; and the file's
     imports. Comments count for nothing; a null content has no rows."""
     held = files.select(*keys, without_comments(F.col("content")).alias("code"))
-    held = held.select(*keys, "code", F.array_distinct(F.regexp_extract_all("code", F.lit(MADE), F.lit(1))).alias("made"), F.array_distinct(F.regexp_extract_all("code", F.lit(IMPORTED), F.lit(1))).alias("imports"))
+    found = lambda pattern, group: F.regexp_extract_all("code", F.lit(pattern), F.lit(group))
+    held = held.select(*keys, found(MADE, 0).alias("matches"), F.split("code", MADE, -1).alias("between"), found(MADE, 1).alias("names"), F.array_distinct(found(IMPORTED, 1)).alias("imports"))
+    held = held.select("*", F.array_distinct("names").alias("made"))
 
     def use(symbol):
-        at = F.regexp_instr("code", F.concat(F.lit(r"\bnew\s+"), symbol, F.lit(r"\s*[({]")))
-        before = F.substring("code", F.lit(1), at - 1)
-        line = F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
+        # What stands before the first match of a symbol: the texts between matches up to it, and the matches before it.
+        at = F.array_position("names", symbol).cast("int")
+        before = F.concat(F.array_join(F.slice("between", F.lit(1), at), ""), F.array_join(F.slice("matches", F.lit(1), at - 1), ""))
         end = F.concat(F.lit("."), symbol)
         named = F.filter("made", lambda x: F.endswith(x, end))
+        line = F.regexp_count(before, F.lit("\n")) + 1
         return F.struct(symbol.alias("symbol"), line.cast("long").alias("line"), F.transform(named, lambda x: F.left(x, F.length(x) - F.length(end))).alias("qualifiers"))
 
     bare = F.filter("made", lambda x: ~F.contains(x, F.lit(".")))
-    return held.select(*keys, F.explode(F.transform(bare, use)).alias("use"), "imports").select(*keys, "use.*", "imports")
+    # An outer explode: of an inner one the optimiser infers a filter that repeats, below, all that makes the array.
+    return held.select(*keys, F.explode_outer(F.transform(bare, use)).alias("use"), "imports").where("use is not null").select(*keys, "use.*", "imports")
 
 
 def resolve_scopes(uses: DataFrame, classes: DataFrame, keys: list[str], page: str = "page") -> DataFrame:
@@ -73,11 +77,14 @@ def resolve_scopes(uses: DataFrame, classes: DataFrame, keys: list[str], page: s
     held = held.select(*keys, "symbol", "line", "namespace", "qualifiers", "imports", "declared_in", every.alias("candidates"), only.alias("only")).where("candidates > 0")
     scope = lambda i, space: F.struct(F.lit(i).alias("step"), space.alias("space"))
     scopes = F.concat(F.transform("qualifiers", lambda x: scope(1, x)), F.array(scope(2, F.col("namespace"))), F.transform("imports", lambda x: scope(3, x)))
-    open_uses = held.where("candidates > 1").select(*keys, "symbol", "declared_in", F.explode(F.array_distinct(scopes)).alias("scope")).select(*keys, "symbol", "declared_in", "scope.*")
-    met = open_uses.join(declared.withColumnRenamed("namespace", "space").groupBy("symbol", "space").agg(*counts), ["symbol", "space"])
-    met = met.select(*keys, "symbol", "step", *others(F.coalesce(F.col("declared_in") == F.col("space"), F.lit(False)))).where("others > 0")
-    found = [F.when(F.sum(F.when(F.col("step") == i, F.col("others"))) == 1, F.min(F.when(F.col("step") == i, F.col("other")))).alias(f"found_{i}") for i in (1, 2, 3)]
-    wide = held.join(met.groupBy(*keys, "symbol").agg(*found), [*keys, "symbol"], "left")
+    # One chain of joins: uses are made once, a use that is not open stays as one row without a scope.
+    rest = [*keys, "symbol", "line", "candidates", "only"]
+    rows = held.select(*rest, "declared_in", F.explode_outer(F.when(F.col("candidates") > 1, F.array_distinct(scopes))).alias("scope")).select(*rest, "declared_in", "scope.*")
+    met = rows.join(declared.withColumnRenamed("namespace", "space").groupBy("symbol", "space").agg(*counts), ["symbol", "space"], "left")
+    met = met.select(*rest, "step", *others(F.coalesce(F.col("declared_in") == F.col("space"), F.lit(False))))
+    mine = lambda i: (F.col("step") == i) & (F.col("others") > 0)
+    found = [F.when(F.sum(F.when(mine(i), F.col("others"))) == 1, F.min(F.when(mine(i), F.col("other")))).alias(f"found_{i}") for i in (1, 2, 3)]
+    wide = met.groupBy(*keys, "symbol").agg(*(F.first(c).alias(c) for c in ("line", "candidates", "only")), *found)
     unique = F.when(F.col("candidates") == 1, F.col("only"))
     step = F.when(unique.isNotNull(), "unique_symbol")
     for i, name in enumerate(("qualified_symbol", "same_namespace", "imported_namespace"), 1):
