@@ -67,6 +67,11 @@ def fitting(n_u: str, pos_u: str, n_v: str, pos_v: str, percent: int) -> Column:
     return F.expr(f"100 * least({n_u}, {n_v}) >= {percent} * greatest({n_u}, {n_v}) and least({n_u} - {pos_u}, {n_v} - {pos_v}) * {100 + percent} >= {percent} * ({n_u} + {n_v})")
 
 
+def fitting_alone(percent: int) -> Column:
+    """Whether a set (n, pos) may link with one of at least `least` elements: fitting, of the smallest that can."""
+    return F.expr(f"(bigint(n) - pos) * {100 + percent} >= {percent} * (n + greatest(bigint(least), ({percent} * bigint(n) + 99) div 100))")
+
+
 def bitmaps_fit(percent: int) -> Column:
     """Of two sets with bitmaps (words, and `set`, the number of their bits), whether these leave room for a link: each
     bit that only one of them has stands for an element at least that the other lacks. What only y has follows from
@@ -96,7 +101,7 @@ def settle(entries: DataFrame, verified: Callable[[DataFrame, int], DataFrame],
     span = [F.min("component").alias("lo"), F.max("component").alias("hi")]
     anchor = F.min_by(F.struct("doc_id", "n", "pos", "component"), F.struct("rank", F.hash("doc_id"), "doc_id")).alias("a")
     for i in range(3):
-        bounds = held.groupBy("key").agg(*span, *([] if i else [F.count(F.lit(1)).alias("size"), anchor])).where("lo < hi")
+        bounds = held.groupBy("key").agg(*span, *([F.min("n").alias("least")] if i else [F.count(F.lit(1)).alias("size"), anchor])).where("lo < hi")
         if not i:
             anchors = bounds.select("key", "a.*").toDF("key", "v", "n_v", "pos_v", "cv")
             pairs = held.join(anchors, "key").where((F.col("component") != F.col("cv")) & fitting("n", "pos", "n_v", "pos_v", percent))
@@ -104,11 +109,14 @@ def settle(entries: DataFrame, verified: Callable[[DataFrame, int], DataFrame],
             pairs = pairs.groupBy("u").agg(F.max_by(F.struct("v", "cu", "cv"), F.struct("shared", "v")).alias("p")).select("u", "p.*")
         else:
             # Lists of one component have nothing left to find; those of one block have all met by the second round.
-            held = held.join(bounds.select("key"), "key", "left_semi")
+            held = held.join(bounds.select("key", "least"), "key")
             held = scratch.save(held if i == 1 else held.where("blocks > 1"), f"open-{i}")
             if held.isEmpty():
                 break
-            both = held if detail is None else held.join(detail(held.select("doc_id").distinct()), "doc_id")
+            # Sets that fit none of their list's sizes meet nobody there, and so may all its others but those of one component.
+            both, held = held.where(fitting_alone(percent)).drop("least"), held.drop("least")
+            both = scratch.save(both.join(both.groupBy("key").agg(*span).where("lo < hi").select("key"), "key", "left_semi"), f"fitting-{i}")
+            both = both if detail is None else both.join(detail(both.select("doc_id").distinct()), "doc_id")
             on = ["key", "block"][: 3 - i]
             x, y = (both.select(*on, *(F.col(c).alias(f"{c}_{s}") for c in both.columns if c not in on)) for s in "xy")
             room = (F.col("component_x") < F.col("component_y")) & fitting("n_x", "pos_x", "n_y", "pos_y", percent)
@@ -128,5 +136,5 @@ def settle(entries: DataFrame, verified: Callable[[DataFrame, int], DataFrame],
                 dealt = bounds.select("key", F.ceil(F.col("size") / BLOCK).alias("blocks"))
                 held = held.join(dealt, "key").select("key", "doc_id", "n", "pos", "component", "blocks", F.pmod(F.xxhash64("doc_id", "key"), "blocks").alias("block"))
             held = scratch.save(merged(held, moved), f"held-{i}")
-    scratch.drop("open-1", "open-2", "held-0", "held-1")
+    scratch.drop("open-1", "open-2", "fitting-1", "fitting-2", "held-0", "held-1")
     return moved

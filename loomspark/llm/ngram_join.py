@@ -11,7 +11,8 @@ Two documents link when ``100 * |A ∩ B| >= percent * |A ∪ B|`` over their se
 3. *Heavy.* Larger sets, and light ones close enough to the boundary to have a heavy partner, enter the
    inverted lists of the first s - c(s) + 1 elements. Before that a bitmap of all elements in a fixed part of
    the hash range shows which of them no other set has; a set with more than s - c(s) such elements has no
-   partner and enters no list.
+   partner and enters no list. Of the sets that are left in lists the whole sets are then compared likewise: what none
+   of the others has is in no overlap, and a set of too few others has no partner.
 4. The boundary is where the modelled cost is least: subsets made against list entries scanned.
 5. *Lists.* Within a list of one key, candidates are first paired with one anchor each, verified exactly, and
    merged into components; then those of one block of the list with one another, and last those of different
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.llm import batch
-from loomspark.llm.components import bitmaps_fit, components, distinct_lists, merged, settle
+from loomspark.llm.components import bitmaps_fit, components, distinct_lists, fitting_alone, merged, settle
 from loomspark.llm.idfilter import hits, id_filter
 from loomspark.llm.repeats import may_repeat, repeated
 from loomspark.llm.store import Scratch
@@ -275,25 +276,54 @@ def _pick(reps: DataFrame, ids: DataFrame, percent: int, shared, scratch: Scratc
 WORDS = 32
 
 
-def _whole_sets(docs: DataFrame, ids: DataFrame, k: int, scratch: Scratch, as_bitmaps: bool = False) -> DataFrame:
-    """(doc_id, set) of the wanted ids, or (doc_id, words, set) with the sets' bitmaps. Others are dropped where they are
-    read, but for chance hits, which find no pair to join."""
+def _wanted(rows: DataFrame, ids: DataFrame):
+    """rows with `bit`, and a task side filter of batches to those of the ids, and chance hits, with its broadcast."""
     shared, bit = id_filter(ids)
 
-    def run(batches):
-        wanted = shared.value
+    def only(batches):
         for b in batches:
-            b = b.filter(pa.array(hits(wanted, b.column("bit").to_numpy(zero_copy_only=False))))
-            for chunk, values, n in _sets_of(b.column("text"), k):
-                columns = batch.bitmaps(values, n, WORDS) if as_bitmaps else [batch.binaries(values, n)]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(chunk.first, chunk.rows), *columns], ["doc_id", "words", "set"] if as_bitmaps else ["doc_id", "set"])
+            yield b.filter(pa.array(hits(shared.value, b.column("bit").to_numpy(zero_copy_only=False))))
 
-    sets = docs.select("doc_id", "text", bit).mapInArrow(run, "doc_id long, words array<long>, set int" if as_bitmaps else "doc_id long, set binary")
-    whole = scratch.save(sets, "bitmaps" if as_bitmaps else "whole")
-    shared.destroy()
+    return rows.select("*", bit), only, shared
+
+
+def _partnered(docs: DataFrame, ids: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
+    """(doc_id, n, shared, set) of those of the ids that may have a partner: shared is how many of a set's n elements
+    another of these sets has, at most so many more as meet by chance. A partner has at least c(n) of them, so sets
+    that share less are left out. Every other use of whole sets reads this table, not the texts."""
+    some, only, wanted = _wanted(docs, ids)
+    met = repeated(some, lambda batches: ((values, None) for b in only(batches) for _, values, _ in _sets_of(b.column("text"), k)))
+
+    def run(batches):
+        for b in only(batches):
+            for chunk, values, n in _sets_of(b.column("text"), k):
+                shared = np.bincount(np.repeat(np.arange(chunk.rows), n)[may_repeat(met.value, values)], minlength=chunk.rows)
+                keep = (shared >= least_overlap(n, percent)) & (n > 0)
+                if keep.any():
+                    rows = b.column("doc_id").slice(chunk.first, chunk.rows).filter(pa.array(keep))
+                    yield pa.RecordBatch.from_arrays([rows, pa.array(n[keep].astype(np.int32)), pa.array(shared[keep].astype(np.int32)), batch.binaries(values[np.repeat(keep, n)], n[keep])], ["doc_id", "n", "shared", "set"])
+
+    whole = scratch.save(some.mapInArrow(run, "doc_id long, n int, shared int, set binary"), "whole")
+    met.destroy()
+    wanted.destroy()
     return whole
 
 
+def _bitmaps(whole: DataFrame, ids: DataFrame, scratch: Scratch) -> DataFrame:
+    """(doc_id, words, set) of wanted ids, and chance hits: the bitmaps of whole sets."""
+    some, only, wanted = _wanted(whole.select("doc_id", "set"), ids)
+
+    def run(batches):
+        for b in only(batches):
+            sets = [np.frombuffer(x.as_buffer(), "<u8") for x in b.column("set")]
+            if sets:
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), *batch.bitmaps(np.concatenate(sets), np.array([len(x) for x in sets]), WORDS)], ["doc_id", "words", "set"])
+
+    made = scratch.save(some.mapInArrow(run, "doc_id long, words array<long>, set int"), "bitmaps")
+    wanted.destroy()
+    return made
+
+
 def jaccard_components(documents: DataFrame, k: int = 5, percent: int = 80, boundary: int | None = None) -> DataFrame:
     """documents (doc_id long, text) -> (doc_id, n_shingles long, component_id long), a row for each row.
 
@@ -338,11 +368,25 @@ def jaccard_components(documents: DataFrame, k: int = 5, percent: int = 80, boun
     shared = repeated(reps.select("n", "window", "prefix"), lambda batches: ((keys, None) for b in batches for _, _, keys, _ in _keys_of(b, percent, boundary)))
     keys = scratch.save(reps.mapInArrow(_make_keys(percent, boundary, shared), _KEYS), "keys")
     known = components(members.where("n > 0").select(F.col("doc_id").alias("u"), F.col("component").alias("v")), scratch, "classes") if not unique else None
-    entries = distinct_lists(keys.repartition("key").distinct()).select("key", "doc_id", "n", "pos", F.col("pos").alias("rank"), F.col("doc_id").alias("component"))
-    entries = scratch.save(merged(entries, known), "entries")
+    entries = distinct_lists(keys.repartition("key").distinct())
+    # Where a set stands too far back in a list for any of its sizes, it finds no partner there: it stays, but meets nobody.
+    entries = entries.join(entries.groupBy("key").agg(F.min("n").alias("least")), "key")
+    entries = entries.select("key", "doc_id", "n", "pos", F.col("pos").alias("rank"), F.col("doc_id").alias("component"), fitting_alone(percent).alias("fits"))
+    listed = scratch.save(merged(entries, known), "listed")
     scratch.drop("keys")
     shared.destroy()
     scratch.release()
+    # What a set shares with no other candidate is in no overlap, wherever a list finds it. Sets without a partner fit
+    # nobody, and are the last to be an anchor.
+    whole = _partnered(docs, listed.where("fits").select("doc_id").distinct(), k, percent, scratch)
+    shared_by = whole.groupBy("doc_id", "n").agg(F.max("shared").alias("shared"))
+    pos = F.greatest("pos", F.col("n") - F.coalesce("shared", F.lit(0))).alias("pos")
+    rank = F.when(F.col("shared").isNotNull(), F.col("rank")).otherwise(F.col("n")).alias("rank")
+    entries = listed.where("fits").join(shared_by, ["doc_id", "n"], "left").select("key", "doc_id", "n", pos, rank, "component")
+    entries = entries.union(listed.where("not fits").select("key", "doc_id", "n", F.col("n").alias("pos"), F.col("n").alias("rank"), "component"))
+    entries = scratch.save(entries, "entries")
+    scratch.drop("listed")
+    scratch.release()
 
     def verified(pairs: DataFrame, turn: int) -> DataFrame:
         if turn:  # of the pairs of a block or a list, most are told apart by what their prefixes show
@@ -351,17 +395,15 @@ def jaccard_components(documents: DataFrame, k: int = 5, percent: int = 80, boun
             u, v = (some.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("codes").alias(f"codes_{x}")) for x in "uv")
             near = pairs.join(u, "u").join(v, "v").select(*_PAIR, "n_u", "n_v", "codes_u", "codes_v").mapInArrow(_bound(percent), PAIRS)
             pairs = scratch.save(near if unique else near.distinct(), "near")
-        ids = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
-        whole = _whole_sets(docs, ids, k, scratch)
         u, v = (whole.select(F.col("doc_id").alias(x), F.col("set").alias(f"set_{x}")) for x in "uv")
         linked = pairs.join(u, "u").join(v, "v").select(*_PAIR, "set_u", "set_v").mapInArrow(verify(percent), PAIRS)
         linked = scratch.save(linked, f"linked-{turn}")
-        scratch.drop("some", "near", "whole")
+        scratch.drop("some", "near")
         scratch.release()
         return linked
 
     # With several texts an id its size and its bitmap might be those of two of them.
-    detail = (lambda ids: _whole_sets(docs, ids, k, scratch, as_bitmaps=True)) if unique else None
+    detail = (lambda ids: _bitmaps(whole, ids, scratch)) if unique else None
     moved = settle(entries, verified, percent, scratch, detail, bitmaps_fit(percent) if unique else None)
     size = F.col("n").cast("long").alias("n_shingles")
     if unique:

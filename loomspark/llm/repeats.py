@@ -1,10 +1,12 @@
-"""Which keys may occur more than once: two bitmaps, merged range by range.
-
-A key's first BITS bits are its place. Each task sorts the places of some million keys and sends them, as
-differences that compress to little more than a byte a key, to the task that owns their range of places. It
-marks places met once and met again; only the latter, 2**BITS / 8 bytes = 32 MB in all, are broadcast. Keys at
-places met once are certainly unique and need not be shuffled. With many more keys than 2**BITS most places
-are met again, and more unique keys pass; whoever uses the filter must check what passes.
+"""Which keys may occur more than once: a bitmap, found range by range.
+
+A key's first FINE bits are its fine place, the first 12 of them its range. Each task sorts the fine places of some
+million keys and sends them, as differences of some three bytes, to the task that owns their range. That one meets a
+range's places one range at a time, so it holds some 4096th of all keys, and sorts them: fine places met again are
+those of repeated keys. They are marked in a bitmap by their first BITS bits; 2**BITS / 8 bytes = 32 MB in all are
+broadcast. A key that is not repeated passes where a repeated one has the same first BITS bits, or any other the same
+fine place: what passes by chance grows with the keys that do repeat, not with all of them, until all are some
+2**FINE. Whoever uses the filter must check what passes.
 """
 
 from __future__ import annotations
@@ -16,49 +18,73 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-BITS = 28
-_RANGES = 256
-_SPAN = 1 << (BITS - 8)
+BITS, FINE = 28, 40
+_RANGES = 1 << 12
+#: Bits of the bitmap, and fine places, that a range has.
+_SPAN, _FINE_SPAN = 1 << (BITS - 12), 1 << (FINE - 12)
 _TOLD = 1 << 20
 
 
-def places(keys: np.ndarray) -> np.ndarray:
-    return (keys.view(np.uint64) >> np.uint64(64 - BITS)).astype(np.int64)
+def places(keys: np.ndarray, bits: int = FINE) -> np.ndarray:
+    return (keys.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def _tell(kept: list[np.ndarray], owners: list[np.ndarray]) -> pa.RecordBatch:
-    at, own = np.concatenate(kept).astype(np.uint64), np.concatenate([*owners, np.zeros(0, np.uint16)])
+    at, own = np.concatenate(kept), np.concatenate([*owners, np.zeros(0, np.uint16)])
     if len(own):
-        both = np.unique(at << np.uint64(16) | own)
-        at, own = both >> np.uint64(16), both.astype("<u2")
+        both = np.unique(at.astype(np.uint64) << np.uint64(16) | own)
+        at, own = (both >> np.uint64(16)).astype(np.int64), both.astype("<u2")
     else:
         at = np.sort(at)
-    at = at.astype(np.uint32)
-    bounds = np.searchsorted(at, np.arange(_RANGES + 1, dtype=np.uint64) * _SPAN)
-    rows = [(r, np.diff(at[a:b], prepend=np.uint32(r * _SPAN)).astype("<u4").tobytes(), own[a:b].tobytes()) for r, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)) if b > a]
-    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int32()), *(pa.array([x[i] for x in rows], pa.binary()) for i in (1, 2))], ["range", "steps", "owners"])
+    bounds = np.searchsorted(at, np.arange(_RANGES + 1, dtype=np.int64) * _FINE_SPAN)
+    some = np.flatnonzero(np.diff(bounds))
+    steps = np.diff(at, prepend=0)
+    steps[bounds[some]] = at[bounds[some]] - some * _FINE_SPAN
+    # Byte by byte, so that the many zeros of the high ones compress.
+    steps = np.ascontiguousarray(steps.astype("<u4")).view(np.uint8).reshape(-1, 4)
+    spans = list(zip(bounds[some].tolist(), bounds[some + 1].tolist(), strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([steps[a:b].T.tobytes() for a, b in spans], pa.binary()), pa.array([own[a:b].tobytes() for a, b in spans], pa.binary())], ["range", "steps", "owners"])
 
 
 def _merge(batches) -> Iterator[pa.RecordBatch]:
-    first: dict[int, np.ndarray] = {}  # 1 + the owner that a place was last met with; 1 for any without owners
-    again: dict[int, np.ndarray] = {}
+    """The bits of ranges that have fine places met again, or with another owner."""
+    met: dict[int, list[np.ndarray]] = {}
+    owned = False
     for b in batches:
         for r, steps, owners in zip(b.column("range").to_pylist(), b.column("steps"), b.column("owners"), strict=True):
-            at = np.cumsum(np.frombuffer(steps.as_buffer(), "<u4"), dtype=np.int64)
-            own = np.frombuffer(owners.as_buffer(), "<u2").astype(np.uint32) + np.uint32(1)
-            if r not in first:
-                first[r], again[r] = np.zeros(_SPAN, np.uint32 if len(own) else bool), np.zeros(_SPAN, bool)
-            old, next_to = first[r][at], at[1:] == at[:-1]
-            if len(own):
-                again[r][at[(old > 0) & (old != own)]] = True
-                next_to &= own[1:] != own[:-1]
-            else:
-                again[r][at[old]] = True
-            again[r][at[1:][next_to]] = True
-            first[r][at] = own if len(own) else True
-    for r, bits in again.items():
-        packed = zlib.compress(np.packbits(bits, bitorder="little").tobytes(), 1)
-        yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([packed], pa.binary())], ["range", "bits"])
+            at = np.ascontiguousarray(np.frombuffer(steps.as_buffer(), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+            at = np.cumsum(at, dtype=np.uint64) << np.uint64(16)
+            own = np.frombuffer(owners.as_buffer(), "<u2")
+            owned |= len(own) > 0
+            met.setdefault(r, []).append(at | own if len(own) else at)
+    for r, parts in met.items():
+        both = np.sort(np.concatenate(parts))
+        at = both >> np.uint64(16)
+        again = at[1:] == at[:-1]
+        if owned:
+            again &= both[1:] != both[:-1]
+        if again.any():
+            bits = np.zeros(_SPAN, bool)
+            bits[(at[1:][again] >> np.uint64(FINE - BITS)).astype(np.int64)] = True
+            packed = zlib.compress(np.packbits(bits, bitorder="little").tobytes(), 1)
+            yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([packed], pa.binary())], ["range", "bits"])
+
+
+def _merge_in_order(batches) -> Iterator[pa.RecordBatch]:
+    """Task side: _merge of rows in order of their range, holding one range at a time."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        r = b.column("range").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(r)) + 1).tolist(), len(r)]
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            if i == j:
+                continue
+            if last != r[i]:
+                yield from _merge(held)
+                held, last = [], r[i]
+            held.append(b.slice(i, j - i))
+    yield from _merge(held)
 
 
 def repeated(rows: DataFrame, keys: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[np.ndarray, np.ndarray | None]]]):
@@ -80,13 +106,13 @@ def repeated(rows: DataFrame, keys: Callable[[Iterator[pa.RecordBatch]], Iterato
         if size:
             yield _tell(kept, owners)
 
-    told = rows.mapInArrow(run, "range int, steps binary, owners binary").repartition("range").mapInArrow(_merge, "range int, bits binary")
+    told = rows.mapInArrow(run, "range int, steps binary, owners binary").repartition("range").sortWithinPartitions("range").mapInArrow(_merge_in_order, "range int, bits binary")
     out = np.zeros((_RANGES, _SPAN // 8), np.uint8)
-    for r, bits in told.collect():  # 256 ranges of 128 KB at most
+    for r, bits in told.collect():  # 4096 ranges of 8 KB at most
         out[r] = np.frombuffer(zlib.decompress(bits), np.uint8)
     return rows.sparkSession.sparkContext.broadcast(out.ravel())
 
 
 def may_repeat(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = places(keys)
+    at = places(keys, BITS)
     return bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
