@@ -52,10 +52,11 @@ def merged(table: DataFrame, moved: DataFrame | None, column: str = "component")
 def distinct_lists(entries: DataFrame) -> DataFrame:
     """entries (key, doc_id, pos) of lists of several candidates, and of lists of the same candidates only one: that
     of the least place, which all their pairs meet first. Lists are told apart by their size and 128 bits of
-    hashes."""
-    lists = entries.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("size"), F.min("pos").alias("pos"), F.bit_xor(F.xxhash64("doc_id")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(1), "doc_id")).alias("h2")).where("lo < hi")
-    keys = lists.groupBy("size", "lo", "hi", "h1", "h2").agg(F.min(F.struct("pos", "key"))["key"].alias("key")).select("key")
-    return entries.join(keys, "key", "left_semi")
+    hashes. If entries have sizes n, each is given the least one of its list."""
+    sized = "n" in entries.columns
+    lists = entries.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("size"), F.min("pos").alias("pos"), F.bit_xor(F.xxhash64("doc_id")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(1), "doc_id")).alias("h2"), *([F.min("n").alias("least")] if sized else [])).where("lo < hi")
+    keys = lists.groupBy("size", "lo", "hi", "h1", "h2").agg(F.min(F.struct("pos", "key"))["key"].alias("key"), *([F.min("least").alias("least")] if sized else []))
+    return entries.join(keys.select("key", "least"), "key") if sized else entries.join(keys.select("key"), "key", "left_semi")
 
 
 def _ends() -> list[Column]:

@@ -370,7 +370,6 @@ def jaccard_components(documents: DataFrame, k: int = 5, percent: int = 80, boun
     known = components(members.where("n > 0").select(F.col("doc_id").alias("u"), F.col("component").alias("v")), scratch, "classes") if not unique else None
     entries = distinct_lists(keys.repartition("key").distinct())
     # Where a set stands too far back in a list for any of its sizes, it finds no partner there: it stays, but meets nobody.
-    entries = entries.join(entries.groupBy("key").agg(F.min("n").alias("least")), "key")
     entries = entries.select("key", "doc_id", "n", "pos", F.col("pos").alias("rank"), F.col("doc_id").alias("component"), fitting_alone(percent).alias("fits"))
     listed = scratch.save(merged(entries, known), "listed")
     scratch.drop("keys")
