@@ -139,41 +139,46 @@ def _fresh(line: np.ndarray, seen: set[int]) -> np.ndarray:
     return out
 
 
-def _band_keys(batches):
-    """The keys of a task's lines, and whose they are. One line's keys, however often it occurs, have one owner."""
+def _spread(batches):
+    """Task side: the lines of texts with their keys. A line that a task meets again has none, so that a line of very
+    many texts is sent once a task."""
     seen: set[int] = set()
     for b in batches:
-        for _, (points, start, end, _doc, _no) in _parts(b):
+        for part, (points, start, end, doc, number) in _parts(b):
             if not len(start):
                 continue
             line = _line_hash(points, start, end)
-            new = _fresh(line, seen)
-            keys, row = _bands(*_windows(points, start[new], end[new]))
-            owner = (keys ^ line[new][row].view(_U)[:, None]) * _U(0xD6E8FEB86659FD93) >> _U(48)
-            if keys.size:
-                yield keys.ravel(), owner.ravel().astype(np.uint16)
+            mask = _fresh(line, seen)
+            keys, row = _bands(*_windows(points, start[mask], end[mask]))
+            turn = np.argsort(row, kind="stable")
+            per = np.zeros(len(line) + 1, np.int32)
+            per[1:][mask] = np.bincount(row, minlength=int(mask.sum())) * BANDS
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum(per, dtype=np.int32)), pa.array(keys[turn].ravel().view(np.int64)))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(doc)), pa.array(number), pa.array(line), lists], ["doc_id", "line_no", "line", "keys"])
+
+
+def _keys_and_lines(batches):
+    """Task side: of lines with their keys the keys, and the line of each."""
+    for b in batches:
+        lists, line = b.column("keys"), b.column("line").to_numpy()
+        keys = lists.flatten().to_numpy(zero_copy_only=False).view(_U)
+        yield keys, np.repeat(line, np.diff(lists.offsets.to_numpy()))
 
 
-def _spread(shared):
-    """Task side: the lines of texts, with those keys that more than one line may have. A line that a task meets
-    again has none, so that a line of very many texts is sent once a task."""
+def _owned_keys(batches):
+    """The keys of a task's lines, and whose they are. One line's keys, however often it occurs, have one owner."""
+    for keys, line in _keys_and_lines(batches):
+        if len(keys):
+            yield keys, ((keys ^ line.view(_U)) * _U(0xD6E8FEB86659FD93) >> _U(48)).astype(np.uint16)
+
+
+def _repeated_keys(shared):
+    """Task side: those keys that more than one line may have, as entries of lists of lines."""
 
     def run(batches):
-        seen: set[int] = set()
-        for b in batches:
-            for part, (points, start, end, doc, number) in _parts(b):
-                if not len(start):
-                    continue
-                line = _line_hash(points, start, end)
-                mask = _fresh(line, seen)
-                keys, row = _bands(*_windows(points, start[mask], end[mask]))
-                some = may_repeat(shared.value, keys.ravel())
-                turn = np.argsort(row, kind="stable")
-                sent = np.bincount(row, some.reshape(-1, BANDS).sum(1), int(mask.sum())).astype(np.int64)
-                per = np.zeros(len(line) + 1, np.int32)
-                per[1:][mask] = sent
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum(per, dtype=np.int32)), pa.array(keys[turn].ravel()[some.reshape(-1, BANDS)[turn].ravel()].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(doc)), pa.array(number), pa.array(line), lists], ["doc_id", "line_no", "line", "keys"])
+        for keys, line in _keys_and_lines(batches):
+            some = may_repeat(shared.value, keys)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[some].view(np.int64)), pa.array(line[some]), pa.array(np.zeros(int(some.sum()), np.int32))], ["key", "doc_id", "pos"])
 
     return run
 
@@ -222,11 +227,16 @@ def line_components(documents: DataFrame) -> DataFrame:
     scratch = Scratch(documents.sparkSession, "lines")
     kind = documents.schema["doc_id"].dataType.simpleString()
     docs = documents.select("doc_id", F.col("text").cast("string").alias("text"))
-    shared = repeated(docs.select("text"), _band_keys)
-    lines = scratch.save(docs.mapInArrow(_spread(shared), f"doc_id {kind}, line_no long, line long, keys array<long>"), "lines")
+    # Keys are computed once, and dropped from disk when those that repeat are known.
+    spread = scratch.save(docs.mapInArrow(_spread, f"doc_id {kind}, line_no long, line long, keys array<long>"), "spread")
+    lines = scratch.save(spread.drop("keys"), "lines")
+    own = spread.where("size(keys) > 0").select("line", "keys")
+    shared = repeated(own, _owned_keys)
+    some = scratch.save(own.mapInArrow(_repeated_keys(shared), "key long, doc_id long, pos int"), "keys")
     shared.destroy()
+    scratch.drop("spread")
     # Dealt by key once, for what follows up to the listed candidates.
-    some = lines.where("size(keys) > 0").select(F.explode("keys").alias("key"), F.col("line").alias("doc_id"), F.lit(0).alias("pos")).repartition("key").distinct()
+    some = some.repartition("key").distinct()
     listed = scratch.save(distinct_lists(some), "listed")
     wanted = listed.select("doc_id").distinct()
     line_bits, _ = id_filter(wanted)
@@ -247,7 +257,7 @@ def line_components(documents: DataFrame) -> DataFrame:
     # The line that most texts have, as a passage's own wording, is likely to be the one that its variants link to.
     entries = listed.join(whole.select("doc_id", "n", "rank"), "doc_id").select("key", "doc_id", "n", F.lit(0).alias("pos"), "rank", F.col("doc_id").alias("component"))
     entries = scratch.save(entries, "entries")
-    scratch.drop("listed")
+    scratch.drop("listed", "keys")
     scratch.release()
 
     def verified(pairs: DataFrame, turn: int) -> DataFrame:

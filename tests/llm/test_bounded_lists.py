@@ -3,7 +3,7 @@
 import numpy as np
 import pyarrow as pa
 
-from loomspark.llm import batch, components, ngram_join, repeats
+from loomspark.llm import batch, components, line_dedup, ngram_join, repeats
 from loomspark.llm.store import Scratch
 
 
@@ -53,3 +53,14 @@ def test_fitting_alone_is_what_pairs_need(spark):
     # A set that fits one of m elements is never told to leave a list of m elements or more.
     assert some.where("links and not alone").isEmpty()
     assert not some.where("not alone and 100 * least(n, least) >= 85 * greatest(n, least)").isEmpty()
+
+
+def test_keys_of_lines_are_computed_once():
+    b = pa.RecordBatch.from_pydict({"doc_id": pa.array([1, 2]), "text": ["a line of some words\nanother line of words", "a line of some words\n\nthird"]})
+    (spread,) = line_dedup._spread(iter([b]))
+    assert spread.column("line_no").to_pylist() == [0, 1, 0, 2]
+    assert [len(x) % line_dedup.BANDS for x in spread.column("keys").to_pylist()] == [0] * 4 and not spread.column("keys").to_pylist()[2]
+    for part in (spread, spread.slice(1)):
+        ((keys, line),) = line_dedup._keys_and_lines(iter([part]))
+        want = [(k, x) for ks, x in zip(part.column("keys").to_pylist(), part.column("line").to_pylist(), strict=True) for k in ks]
+        assert list(zip(keys.view(np.int64).tolist(), line.tolist(), strict=True)) == want
