@@ -7,6 +7,7 @@ removed by an exact join; with very many wanted ids everything passes, and only
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +32,17 @@ def hits(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
     return bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
 
 
+def wanted_rows(rows: DataFrame, ids: DataFrame):
+    """rows with `bit`, and a task side filter of batches to those of the ids, and chance hits, with its broadcast."""
+    shared, bit = id_filter(ids)
+
+    def only(batches):
+        for b in batches:
+            yield b.filter(pa.array(hits(shared.value, b.column("bit").to_numpy(zero_copy_only=False))))
+
+    return rows.select("*", bit), only, shared
+
+
 def xxhash_bits(ids: np.ndarray) -> np.ndarray:
     """id_bit of 64-bit integers outside Spark: xxHash64 of their eight bytes with seed 42."""
     u = np.uint64

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from loomspark.llm import batch
 from loomspark.llm.components import bitmaps_fit, components, distinct_lists, fitting_alone, merged, settle
-from loomspark.llm.idfilter import hits, id_filter
+from loomspark.llm.idfilter import hits, id_filter, wanted_rows
 from loomspark.llm.repeats import may_repeat, repeated
 from loomspark.llm.store import Scratch
 
@@ -276,22 +276,11 @@ def _pick(reps: DataFrame, ids: DataFrame, percent: int, shared, scratch: Scratc
 WORDS = 32
 
 
-def _wanted(rows: DataFrame, ids: DataFrame):
-    """rows with `bit`, and a task side filter of batches to those of the ids, and chance hits, with its broadcast."""
-    shared, bit = id_filter(ids)
-
-    def only(batches):
-        for b in batches:
-            yield b.filter(pa.array(hits(shared.value, b.column("bit").to_numpy(zero_copy_only=False))))
-
-    return rows.select("*", bit), only, shared
-
-
 def _partnered(docs: DataFrame, ids: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
     """(doc_id, n, shared, set) of those of the ids that may have a partner: shared is how many of a set's n elements
     another of these sets has, at most so many more as meet by chance. A partner has at least c(n) of them, so sets
     that share less are left out. Every other use of whole sets reads this table, not the texts."""
-    some, only, wanted = _wanted(docs, ids)
+    some, only, wanted = wanted_rows(docs, ids)
     met = repeated(some, lambda batches: ((values, None) for b in only(batches) for _, values, _ in _sets_of(b.column("text"), k)))
 
     def run(batches):
@@ -311,7 +300,7 @@ def _partnered(docs: DataFrame, ids: DataFrame, k: int, percent: int, scratch: S
 
 def _bitmaps(whole: DataFrame, ids: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, words, set) of wanted ids, and chance hits: the bitmaps of whole sets."""
-    some, only, wanted = _wanted(whole.select("doc_id", "set"), ids)
+    some, only, wanted = wanted_rows(whole.select("doc_id", "set"), ids)
 
     def run(batches):
         for b in only(batches):
@@ -362,6 +351,7 @@ def jaccard_components(documents: DataFrame, k: int = 5, percent: int = 80, boun
     reps = scratch.save(reps.select("doc_id", "n", "window", "prefix"), "reps")
     stand.destroy()
     scratch.drop("sets")
+    scratch.release()
 
     if boundary is None:
         boundary = _boundary(reps, percent)
