@@ -22,11 +22,13 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64: a bijection of 64-bit values."""
-    x = x ^ (x >> _U(30))
-    x = x * _U(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> _U(27))
-    x = x * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
+    part = x >> _U(30)
+    x = x ^ part
+    x *= _U(0xBF58476D1CE4E5B9)
+    x ^= np.right_shift(x, _U(27), out=part)
+    x *= _U(0x94D049BB133111EB)
+    x ^= np.right_shift(x, _U(31), out=part)
+    return x
 
 
 def random_values(n: int, seed: int) -> np.ndarray:

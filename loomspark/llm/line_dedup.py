@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from loomspark.llm import batch
 from loomspark.llm.components import bitmaps_fit, distinct_lists, merged, settle
-from loomspark.llm.idfilter import hits, id_filter, xxhash_bits
+from loomspark.llm.idfilter import hits, id_filter, wanted_rows, xxhash_bits
 from loomspark.llm.ngram_join import PAIRS, jaccard_at_least
 from loomspark.llm.repeats import may_repeat, repeated
 from loomspark.llm.store import Scratch
@@ -61,9 +61,12 @@ def _lines(texts: list[str | None]):
 
 def _windows(points: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all windows of each line, line by line, and how many a line has; a shorter line is one."""
-    wide = np.concatenate((points, np.zeros(WINDOW, np.uint32))).astype(_U) + _U(1)
+    wide = np.concatenate((points, np.zeros(WINDOW, np.uint32))).astype(_U)
+    wide += _U(1)
     n = len(points)
-    value = sum(wide[j : n + j] * _PLACES[j] for j in range(WINDOW))
+    value, part = wide[:n] * _PLACES[0], np.empty(n, _U)
+    for j in range(1, WINDOW):
+        value += np.multiply(wide[j : n + j], _PLACES[j], out=part)
     count = np.maximum(end - start - WINDOW + 1, 1)
     at = np.arange(count.sum()) + np.repeat(start - np.concatenate(([0], np.cumsum(count)[:-1])), count)
     out = value[at]
@@ -78,8 +81,14 @@ def _windows(points: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np
     return batch.mix(out), count
 
 
+#: Hashes of the code points below 2**16.
+_POINTS = batch.mix(np.arange(1, (1 << 16) + 1, dtype=_U))
+
+
 def _line_hash(points: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return batch.span_hash(batch.running_hash(batch.mix(points.astype(_U) + _U(1))), start, end).view(np.int64)
+    few = len(points) == 0 or int(points.max()) < len(_POINTS)
+    values = _POINTS[points] if few else batch.mix(points.astype(_U) + _U(1))
+    return batch.span_hash(batch.running_hash(values), start, end).view(np.int64)
 
 
 def _borrowed(low: np.ndarray) -> np.ndarray:
@@ -108,7 +117,10 @@ def _bands(values: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarra
         for j in range(seeds):
             hashed = mine * _SEEDS[j]
             np.minimum.at(low, at + ((hashed >> _U(40)) * _U(bins) >> _U(24)).view(np.int64), hashed)
-        low = _borrowed(low.reshape(-1, bins))
+        low = low.reshape(-1, bins)
+        lack = np.flatnonzero((low == ~_U(0)).any(1))
+        if len(lack):
+            low[lack] = _borrowed(low[lack])
         key = np.full((len(n), BANDS), _U(seeds))
         for j in range(ROWS):
             key = key * _U(0xA0761D6478BD642F) + low[:, j * BANDS : (j + 1) * BANDS]
@@ -117,7 +129,7 @@ def _bands(values: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.concatenate([*keys, np.zeros((0, BANDS), _U)]), np.concatenate([*rows, np.zeros(0, np.int64)])
 
 
-def _parts(b: pa.RecordBatch, step: int = 128):
+def _parts(b: pa.RecordBatch, step: int = 64):
     for i in range(0, b.num_rows, step):
         part = b.slice(i, step)
         yield part, _lines(part.column("text").to_pylist())
@@ -157,6 +169,22 @@ def _spread(batches):
             yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(doc)), pa.array(number), pa.array(line), lists], ["doc_id", "line_no", "line", "keys"])
 
 
+def _packed(batches):
+    """Task side: batches with each row's keys as bytes, which Spark writes and reads far faster than arrays of numbers."""
+    for b in batches:
+        at, lists = b.schema.get_field_index("keys"), b.column("keys")
+        yield b.set_column(at, "keys", batch.binaries(lists.flatten().to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy())))
+
+
+def _unpacked(batches):
+    """Task side: _packed undone."""
+    for b in batches:
+        at, packed = b.schema.get_field_index("keys"), b.column("keys")
+        ends = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1]
+        keys = np.frombuffer(packed.buffers()[2] or b"", "<i8", (ends[-1] - ends[0]) // 8, ends[0]) if len(ends) and ends[-1] > ends[0] else np.zeros(0, np.int64)
+        yield b.set_column(at, "keys", pa.ListArray.from_arrays(pa.array((ends - ends[0]) // 8), pa.array(keys)))
+
+
 def _keys_and_lines(batches):
     """Task side: of lines with their keys the keys, and the line of each."""
     for b in batches:
@@ -167,7 +195,7 @@ def _keys_and_lines(batches):
 
 def _owned_keys(batches):
     """The keys of a task's lines, and whose they are. One line's keys, however often it occurs, have one owner."""
-    for keys, line in _keys_and_lines(batches):
+    for keys, line in _keys_and_lines(_unpacked(batches)):
         if len(keys):
             yield keys, ((keys ^ line.view(_U)) * _U(0xD6E8FEB86659FD93) >> _U(48)).astype(np.uint16)
 
@@ -176,7 +204,7 @@ def _repeated_keys(shared):
     """Task side: those keys that more than one line may have, as entries of lists of lines."""
 
     def run(batches):
-        for keys, line in _keys_and_lines(batches):
+        for keys, line in _keys_and_lines(_unpacked(batches)):
             some = may_repeat(shared.value, keys)
             yield pa.RecordBatch.from_arrays([pa.array(keys[some].view(np.int64)), pa.array(line[some]), pa.array(np.zeros(int(some.sum()), np.int32))], ["key", "doc_id", "pos"])
 
@@ -228,9 +256,9 @@ def line_components(documents: DataFrame) -> DataFrame:
     kind = documents.schema["doc_id"].dataType.simpleString()
     docs = documents.select("doc_id", F.col("text").cast("string").alias("text"))
     # Keys are computed once, and dropped from disk when those that repeat are known.
-    spread = scratch.save(docs.mapInArrow(_spread, f"doc_id {kind}, line_no long, line long, keys array<long>"), "spread")
+    spread = scratch.save(docs.mapInArrow(lambda batches: _packed(_spread(batches)), f"doc_id {kind}, line_no long, line long, keys binary"), "spread")
     lines = scratch.save(spread.drop("keys"), "lines")
-    own = spread.where("size(keys) > 0").select("line", "keys")
+    own = spread.where("octet_length(keys) > 0").select("line", "keys")
     shared = repeated(own, _owned_keys)
     some = scratch.save(own.mapInArrow(_repeated_keys(shared), "key long, doc_id long, pos int"), "keys")
     shared.destroy()
@@ -261,16 +289,50 @@ def line_components(documents: DataFrame) -> DataFrame:
     scratch.release()
 
     def verified(pairs: DataFrame, turn: int) -> DataFrame:
-        u, v = (whole.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}")) for x in "uv")
-        return scratch.save(pairs.join(u, "u").join(v, "v").select("u", "v", "cu", "cv", "text_u", "text_v").mapInArrow(_verify, PAIRS), f"linked-{turn}")
+        some, only, wanted = wanted_rows(whole.select("doc_id", "text"), pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")))
+        some = some.mapInArrow(lambda batches: (b.select(["doc_id", "text"]) for b in only(batches)), "doc_id long, text string")
+        u, v = (some.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}")) for x in "uv")
+        linked = scratch.save(pairs.join(u, "u").join(v, "v").select("u", "v", "cu", "cv", "text_u", "text_v").mapInArrow(_verify, PAIRS), f"linked-{turn}")
+        wanted.destroy()
+        return linked
+
+    def bitmaps(ids: DataFrame) -> DataFrame:
+        some, only, wanted = wanted_rows(whole.select("doc_id", "text"), ids)
+        made = scratch.save(some.mapInArrow(lambda batches: _bitmaps(only(batches)), "doc_id long, words array<long>, set int"), "bitmaps")
+        wanted.destroy()
+        return made
+
+    moved = settle(entries, verified, PERCENT, scratch, bitmaps, bitmaps_fit(PERCENT))
+    out = _kept(lines, moved, scratch)
+    scratch.only("result")
+    return out
+
 
-    moved = settle(entries, verified, PERCENT, scratch, lambda ids: whole.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(_bitmaps, "doc_id long, words array<long>, set int"), bitmaps_fit(PERCENT))
-    held = merged(lines.select("doc_id", "line_no", "line", F.col("line").alias("component")), moved)
+def _kept(lines: DataFrame, moved: DataFrame | None, scratch: Scratch) -> DataFrame:
+    """lines (doc_id, line_no, line) with the component of each, and whether it is the one that stays. A line that
+    occurs once and is linked with none stays, and is told apart where it is read; only others are shuffled."""
+    columns = "doc_id", "line_no", "line", "component"
+    again = repeated(lines.select("line"), lambda batches: ((b.column("line").to_numpy().view(_U), None) for b in batches))
+    linked = None if moved is None else id_filter(moved.select(F.col("id").alias("doc_id")))[0]
+
+    def told(batches):
+        for b in batches:
+            line = b.column("line").to_numpy()
+            meets = may_repeat(again.value, line)
+            if linked is not None:
+                meets |= hits(linked.value, xxhash_bits(line))
+            yield b.append_column("meets", pa.array(meets))
+
+    schema = f"doc_id {lines.schema['doc_id'].dataType.simpleString()}, line_no long, line long, meets boolean"
+    lines = lines.mapInArrow(told, schema).withColumn("component", F.col("line"))
+    alone = lines.where("not meets").select(*columns, F.lit(True).alias("kept"))
+    held = merged(lines.where("meets").select(*columns), moved)
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no")
     first = held.groupBy("component").agg(F.min(place).alias("first"))
-    out = held.join(first, "component").select("doc_id", "line_no", "line", "component", place.eqNullSafe(F.col("first")).alias("kept"))
-    out = scratch.save(out, "result")
-    scratch.only("result")
+    out = scratch.save(alone.union(held.join(first, "component").select(*columns, place.eqNullSafe(F.col("first")).alias("kept"))), "result")
+    again.destroy()
+    if linked is not None:
+        linked.destroy()
     return out
 
 
@@ -280,11 +342,10 @@ def summarise(documents: DataFrame) -> DataFrame:
     A row for each doc_id; blank lines are not counted and are never dropped."""
     lines = line_components(documents)
     dropped = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("kept"), F.col("line_no")))), lambda x: x.cast("string")), ",")
-    found = lines.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if("kept").alias("n_kept"), dropped.alias("dropped"))
-    ids = documents.select("doc_id").distinct()
-    zero = F.lit(0).cast("long")
-    out = ids.alias("i").join(found.alias("f"), F.col("i.doc_id").eqNullSafe(F.col("f.doc_id")), "left")
-    return out.select("i.doc_id", F.coalesce("n_lines", zero).alias("n_lines"), F.coalesce("n_kept", zero).alias("n_kept"), F.coalesce("dropped", F.lit("")).alias("dropped"))
+    # A row without a line for each document, so that those without lines are there too.
+    ids = documents.select("doc_id", F.lit(None).cast("long").alias("line_no"), F.lit(None).cast("boolean").alias("kept"))
+    both = lines.select("doc_id", "line_no", "kept").union(ids)
+    return both.groupBy("doc_id").agg(F.count("line_no").alias("n_lines"), F.count_if("kept").alias("n_kept"), dropped.alias("dropped"))
 
 
 def drop_lines(documents: DataFrame) -> DataFrame:

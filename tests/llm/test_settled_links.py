@@ -1,10 +1,11 @@
-"""Components of links in few jobs, and which lists need no further work."""
+"""Components of links in few jobs, and which lists and lines need no further work."""
 
 import random
 
+import pyarrow as pa
 import pytest
 
-from loomspark.llm import components
+from loomspark.llm import components, line_dedup
 from loomspark.llm.store import Scratch
 
 
@@ -72,3 +73,19 @@ def test_a_list_of_two_that_have_met_is_done(spark):
     scratch = Counted(spark, "test-two")
     components.settle(table, lambda pairs, _: pairs.select("u", "v", "cu", "cv").where("false"), 80, scratch)
     assert "fitting-1" not in scratch.saved
+
+
+def test_packed_keys_are_read_back():
+    b = pa.RecordBatch.from_pydict({"line": [1, 2, 3, 4], "keys": pa.array([[5, -6], [], [7], []], pa.list_(pa.int64()))})
+    (packed,) = line_dedup._packed(iter([b]))
+    for part, want in ((packed, [[5, -6], [], [7], []]), (packed.slice(1), [[], [7], []]), (packed.slice(1, 1), [[]])):
+        (got,) = line_dedup._unpacked(iter([part]))
+        assert got.column("keys").to_pylist() == want
+
+
+def test_lines_that_occur_once_stay_and_others_are_told(spark):
+    lines = spark.createDataFrame([(1, 0, 10), (1, 1, 20), (2, 0, 10), (None, 3, 30), (4, 0, 40), (3, 7, 50)], "doc_id long, line_no long, line long")
+    moved = spark.createDataFrame([(40, 30), (30, 30)], "id long, component long")
+    for now, part in ((moved, 30), (None, 40)):
+        got = {tuple(r) for r in line_dedup._kept(lines, now, Scratch(spark, "test-kept")).collect()}
+        assert got == {(1, 0, 10, 10, True), (2, 0, 10, 10, False), (1, 1, 20, 20, True), (3, 7, 50, 50, True), (None, 3, 30, 30, now is None), (4, 0, 40, part, True)}
