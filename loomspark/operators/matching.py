@@ -8,6 +8,7 @@ files (project, file, content). Nothing crosses projects, and every join is on a
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable, Iterable
 
 import pandas as pd
@@ -16,7 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomspark.operators.phrases import first_matches
+from loomspark.operators.graph import cut
+from loomspark.operators.phrases import PHRASE_BYTES, _automaton, _firsts, first_matches, occurrences
 
 MATCH = "item long, occurrence long, score long, status string, confidence double"
 #: Confidence by outcome: several pieces of evidence, one, a hit of the fallback only, a tie.
@@ -92,13 +94,16 @@ def _names() -> Column:
     return F.array_distinct(F.filter(every, lambda x: x != ""))
 
 
+def _stem() -> Column:
+    return F.lower(F.regexp_extract("file", r"([^/]*?)(\.[^./]*)?$", 1))
+
+
 def candidate_files(components: DataFrame, files: DataFrame) -> DataFrame:
     """(project, component, file, preferred): files that a component's hints name, which are preferred, and files whose
     stem is one of its names in any case. A component without rows here may be anywhere if it has a name at all."""
     there = files.select("project", "file").distinct()
     hinted = components.select("project", "component", F.explode("hints").alias("file")).join(there.hint("merge"), ["project", "file"])
-    stem = F.lower(F.regexp_extract("file", r"([^/]*?)(\.[^./]*)?$", 1))
-    named = components.select("project", "component", F.explode(F.transform(_names(), lambda x: F.lower(x))).alias("stem")).join(there.withColumn("stem", stem).hint("merge"), ["project", "stem"])
+    named = components.select("project", "component", F.explode(F.transform(_names(), lambda x: F.lower(x))).alias("stem")).join(there.withColumn("stem", _stem()).hint("merge"), ["project", "stem"])
     both = hinted.select("project", "component", "file", F.lit(True).alias("preferred")).unionByName(named.select("project", "component", "file", F.lit(False).alias("preferred")))
     return both.groupBy("project", "component", "file").agg(F.max("preferred").alias("preferred"))
 
@@ -142,10 +147,130 @@ def fallback_hits(components: DataFrame, files: DataFrame, candidates: DataFrame
     return held.select("project", "component", "kind", "file", "symbol", "position", "line", score.cast("long").alias("score"), F.lit(1).cast("long").alias("evidence"), "preferred", "has_preferred")
 
 
-def hits(components: DataFrame, files: DataFrame) -> DataFrame:
-    """All HITS before any claim: occurrences, and what counts only where no occurrence is free."""
-    candidates = candidate_files(components, files)
-    return occurrence_hits(components, files, candidates).unionByName(fallback_hits(components, files, candidates)).select(*HITS)
+#: Bytes of the components that every task may hold; of more of them, hits are joined.
+COMPONENT_BYTES = PHRASE_BYTES
+#: Hits that a task gathers before they become a batch.
+BATCH_HITS = 65536
+
+
+class _Index:
+    """Components by project and by what a file may hold of theirs."""
+
+    def __init__(self, rows: list) -> None:
+        self.rows = rows
+        self.hints, self.stems, self.tags, self.names, self.texts = {}, {}, {}, {}, {}
+        for r in rows:
+            for held, wanted in ((self.hints, r["hints"]), (self.stems, r["stems"]), (self.tags, r["tags"]), (self.names, r["names"]), (self.texts, r["phrases"])):
+                for x in dict.fromkeys(wanted or ()):
+                    if x is not None:
+                        held.setdefault((r["project"], x), []).append(r)
+
+
+_INDEXED: dict[str, _Index] = {}
+
+
+def _index(key: str, rows: list) -> _Index:
+    """The index of these components, built once in a Python worker."""
+    if key not in _INDEXED:
+        _INDEXED.clear()
+        _INDEXED[key] = _Index(rows)
+    return _INDEXED[key]
+
+
+def _file_hits(index: _Index, automaton, project, file, stem, content: str) -> list[tuple]:
+    """HITS of one file: its tags, declarations and texts are each looked for once, whatever components ask for them."""
+    preferred = {id(r) for r in index.hints.get((project, file), ())}
+    here = preferred | {id(r) for r in index.stems.get((project, stem), ())}
+    # Of an ASCII text the lower case has the same places.
+    low, plain, out = content.lower(), content.isascii(), []
+    asking = lambda held, x: [r for r in held.get((project, x), ()) if id(r) in here or (r["has_preferred"] is None and r["names"])]
+    line, last, asked = 1, 0, {}
+    for m in _TAG.finditer(content):
+        tag, at = m[1], m.start()
+        if tag not in asked:
+            asked[tag] = asking(index.tags, tag)
+        if not asked[tag]:
+            continue
+        line += content.count("\n", last, at)
+        last = at
+        begin = max(0, at - BEFORE)
+        near, begin, end = (low, begin, at + AFTER) if plain else (content[begin : at + AFTER].lower(), 0, None)
+        for r in asked[tag]:
+            own = id(r) in preferred
+            named = bool(r["source"]) and near.find(r["source"], begin, end) >= 0
+            said = sum(t is not None and near.find(t, begin, end) >= 0 for t in r["lowered"] or ())
+            out.append((project, r["component"], "tag", file, tag, at, line, TAG + PREFERRED * own + NAMED * named + HINTED * said, 1 + own + named + said, own, bool(r["has_preferred"])))
+    declared = {}
+    for m in _DECLARATION.finditer(content):
+        declared.setdefault(m[1], m.start())
+    found = [(at, "symbol", x, r) for x, at in declared.items() for r in asking(index.names, x)]
+    if automaton is not None:
+        for at, phrase in _firsts(occurrences(automaton, low)):
+            found += [(at, "text", x, r) for r in asking(index.texts, phrase) for x, y in dict.fromkeys(zip(r["texts"], r["lowered"], strict=True)) if y == phrase]
+    # Lines of texts are those of the folded text, in which they were found.
+    for kind, text, base in (("symbol", content, DECLARATION), ("text", low, TEXT)):
+        line, last = 1, 0
+        for at, symbol, r in sorted(((at, x, r) for at, k, x, r in found if k == kind), key=lambda f: f[0]):
+            line += text.count("\n", last, at)
+            last = at
+            own = id(r) in preferred
+            out.append((project, r["component"], kind, file, symbol, at, line, base + PREFERRED * own, 1, own, bool(r["has_preferred"])))
+    return out
+
+
+def _search(files: DataFrame, known: list) -> DataFrame:
+    """HITS of files, each read once, with known components in every task."""
+    sc, key = files.sparkSession.sparkContext, uuid.uuid4().hex
+    held = sc.broadcast(known)
+    kinds = {c: files.schema["project" if c == "project" else "file"].dataType.simpleString() for c in ("project", "file")}
+    types = ["string", "string", "string", "string", "string", "long", "long", "long", "long", "boolean", "boolean"]
+    schema = ", ".join(f"{c} {kinds.get(c, t)}" for c, t in zip(HITS, types, strict=True))
+    arrow = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}
+
+    def run(batches):
+        index = _index(key, held.value)
+        phrases = sorted({x for _, x in index.texts if x})
+        automaton, hits, project_type, file_type = _automaton(key, phrases) if phrases else None, [], None, None
+
+        def batch(rows: list) -> pa.RecordBatch:
+            of = [project_type if c == "project" else file_type if c == "file" else arrow[t] for c, t in zip(HITS, types, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), of, strict=True)], HITS)
+
+        for b in batches:
+            project_type, file_type = b.schema.field("project").type, b.schema.field("file").type
+            for at in range(0, b.num_rows, 64):
+                part = b.slice(at, 64)
+                for row in zip(*(part.column(c).to_pylist() for c in ("project", "file", "stem", "content")), strict=True):
+                    if row[0] is not None:
+                        hits += _file_hits(index, automaton, *row[:3], row[3] or "")
+                    if len(hits) >= BATCH_HITS:
+                        yield batch(hits)
+                        hits = []
+        if hits:
+            yield batch(hits)
+
+    rows = files.select("project", "file", _stem().alias("stem"), F.col("content").cast("string").alias("content"))
+    return rows.mapInArrow(run, schema)
+
+
+def hits(components: DataFrame, files: DataFrame, there: DataFrame | None = None, limit: int = COMPONENT_BYTES) -> DataFrame:
+    """All HITS before any claim: occurrences, and what counts only where no occurrence is free. there (project, file): the
+    files without their contents, if those are made more cheaply.
+
+    Components of up to limit bytes, counted before they are collected, are held by every task, which reads each file once
+    and gives its hits; nothing is joined with what surrounds a tag. More of them are joined."""
+    components = cut(components)
+    there = cut((files if there is None else there).select("project", "file").distinct())
+    candidates = candidate_files(components, there)
+    lowered = F.transform("texts", lambda t: F.lower(t))
+    known = components.where("project is not null and component is not null").select("project", "component", F.lower("source_name").alias("source"), _names().alias("names"), "tags", "texts", "hints", lowered.alias("lowered"))
+    size = known.agg(F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*known.columns)))), F.lit(0))).first()[0]
+    if size > limit:
+        return occurrence_hits(components, files, candidates).unionByName(fallback_hits(components, files, candidates)).select(*HITS)
+    some = candidates.groupBy("project", "component").agg(F.max("preferred").alias("has_preferred"))
+    phrases = F.filter(F.array_distinct("lowered"), lambda x: x != "")
+    rows = known.join(some.hint("merge"), ["project", "component"], "left").withColumns({"stems": F.transform("names", lambda x: F.lower(x)), "phrases": phrases})
+    return _search(files, [r.asDict() for r in rows.collect()])
 
 
 def with_ties(scored: DataFrame) -> DataFrame:

@@ -22,7 +22,12 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(cores) if size < cores * SPLIT_BYTES else rows
 
 
+def tasks(rows: DataFrame, size: int) -> int:
+    """A task for each `size` bytes of input, and for each core, so that a task's work does not grow with the input."""
+    held = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-held // size))
+
+
 def by_key(rows: DataFrame, key: str, size: int) -> DataFrame:
     """rows dealt by a key to a task for each `size` bytes of input, so that a task's work does not grow with the input."""
-    held = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-held // size)), key)
+    return rows.repartition(tasks(rows, size), key)

@@ -1,5 +1,7 @@
 """Candidate files, scores, fallback and claims against a plain version that goes item by item, as the survey states it."""
 
+import contextlib
+import io
 import random
 import re
 
@@ -12,6 +14,13 @@ WORDS = ["Card", "card", "Grid", "View", "grid view", "open", "Ünit", "x.y"]
 COMPONENTS = "project string, component string, source_name string, symbols array<string>, tags array<string>, texts array<string>, hints array<string>"
 
 
+def plan(rows):
+    held = io.StringIO()
+    with contextlib.redirect_stdout(held):
+        rows.explain()
+    return held.getvalue()
+
+
 def make(seed):
     rng = random.Random(seed)
     pick = lambda n: [rng.choice(WORDS) for _ in range(rng.randint(0, n))]
@@ -107,3 +116,19 @@ def test_claims_of_hits(spark, seed):
     want = plain_claims(components, found)
     assert got == {k: (s, None if at is None else number[at[0]] * (1 << 32) + at[1], c) for k, (s, at, c) in want.items()}
     assert {s for s, _, _ in want.values()} == {"MATCHED", "AMBIGUOUS", "NOT_FOUND"}
+
+
+@pytest.mark.parametrize("seed", [1, 6])
+def test_held_components_give_the_joined_hits(spark, seed):
+    components, files = make(seed)
+    there = spark.createDataFrame(files, "project string, file string, content string")
+    held, joined = (M.hits(spark.createDataFrame(components, COMPONENTS), there, limit=limit) for limit in (1 << 20, 0))
+    assert sorted(map(tuple, held.collect()), key=repr) == sorted(map(tuple, joined.collect()), key=repr)
+    assert "Join" in plan(joined) and "Join" not in plan(held) and "Exchange" not in plan(held)
+
+
+def test_lines_around_a_tag_are_not_shuffled(spark):
+    from loomspark.queries.matching import component_candidates
+
+    # Lines are dealt by their parts and by their suppliers, parts and suppliers once each.
+    assert plan(component_candidates(spark, "/root/testdata/sf0.001")).count("Exchange") == 4
