@@ -218,8 +218,34 @@ def _file_hits(index: _Index, automaton, project, file, stem, content: str) -> l
     return out
 
 
-def _search(files: DataFrame, known: list) -> DataFrame:
-    """HITS of files, each read once, with known components in every task."""
+def _marked(found: list[tuple]) -> list[tuple]:
+    """A file's HITS, each with whether another component has one at its place."""
+    who: dict[int, set] = {}
+    for h in found:
+        who.setdefault(h[5], set()).add(h[1])
+    return [(*h, len(who[h[5]]) > 1) for h in found]
+
+
+def _contending(found: list[tuple]) -> list[tuple]:
+    """Of marked HITS those that claims may look at. A place that nobody else has found is free whatever others claim. So of a
+    component's hits of one score, in order, the best free one is none behind the first such place, the last free one
+    none before the last such place, and those two say whether free ones are in several files; and no worse score matters."""
+    of, out = {}, []
+    for h in found:
+        of.setdefault((h[0], h[1]), {}).setdefault((h[2] != "tag", -h[7]), []).append(h)
+    for levels in of.values():
+        for level in sorted(levels):
+            rows = sorted(levels[level], key=lambda h: (h[3], h[5]))
+            own = [i for i, h in enumerate(rows) if not h[11]]
+            if own:
+                out += rows[: own[0] + 1] + rows[max(own[-1], own[0] + 1) :]
+                break
+            out += rows
+    return out
+
+
+def _search(files: DataFrame, known: list, claims: bool = False) -> DataFrame:
+    """HITS of files, each read once, with known components in every task; for claims only those that they may look at."""
     sc, key = files.sparkSession.sparkContext, uuid.uuid4().hex
     held = sc.broadcast(known)
     kinds = {c: files.schema["project" if c == "project" else "file"].dataType.simpleString() for c in ("project", "file")}
@@ -234,7 +260,7 @@ def _search(files: DataFrame, known: list) -> DataFrame:
 
         def batch(rows: list) -> pa.RecordBatch:
             of = [project_type if c == "project" else file_type if c == "file" else arrow[t] for c, t in zip(HITS, types, strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), of, strict=True)], HITS)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*(r[: len(HITS)] for r in rows), strict=True), of, strict=True)], HITS)
 
         for b in batches:
             project_type, file_type = b.schema.field("project").type, b.schema.field("file").type
@@ -242,20 +268,24 @@ def _search(files: DataFrame, known: list) -> DataFrame:
                 part = b.slice(at, 64)
                 for row in zip(*(part.column(c).to_pylist() for c in ("project", "file", "stem", "content")), strict=True):
                     if row[0] is not None:
-                        hits += _file_hits(index, automaton, *row[:3], row[3] or "")
+                        found = _file_hits(index, automaton, *row[:3], row[3] or "")
+                        hits += _marked(found) if claims else found
                     if len(hits) >= BATCH_HITS:
-                        yield batch(hits)
-                        hits = []
+                        hits = _contending(hits) if claims else hits
+                        if len(hits) >= BATCH_HITS // 2:
+                            yield batch(hits)
+                            hits = []
         if hits:
-            yield batch(hits)
+            yield batch(_contending(hits) if claims else hits)
 
     rows = files.select("project", "file", _stem().alias("stem"), F.col("content").cast("string").alias("content"))
     return rows.mapInArrow(run, schema)
 
 
-def hits(components: DataFrame, files: DataFrame, there: DataFrame | None = None, limit: int = COMPONENT_BYTES) -> DataFrame:
+def hits(components: DataFrame, files: DataFrame, there: DataFrame | None = None, limit: int = COMPONENT_BYTES, claims: bool = False) -> DataFrame:
     """All HITS before any claim: occurrences, and what counts only where no occurrence is free. there (project, file): the
-    files without their contents, if those are made more cheaply.
+    files without their contents, if those are made more cheaply. For claims, where a file is one row, hits go that `greedy`
+    never needs, with file and position as what is claimed; its result is that of all hits.
 
     Components of up to limit bytes, counted before they are collected, are held by every task, which reads each file once
     and gives its hits; nothing is joined with what surrounds a tag. More of them are joined."""
@@ -270,7 +300,7 @@ def hits(components: DataFrame, files: DataFrame, there: DataFrame | None = None
     some = candidates.groupBy("project", "component").agg(F.max("preferred").alias("has_preferred"))
     phrases = F.filter(F.array_distinct("lowered"), lambda x: x != "")
     rows = known.join(some.hint("merge"), ["project", "component"], "left").withColumns({"stems": F.transform("names", lambda x: F.lower(x)), "phrases": phrases})
-    return _search(files, [r.asDict() for r in rows.collect()])
+    return _search(files, [r.asDict() for r in rows.collect()], claims)
 
 
 def with_ties(scored: DataFrame) -> DataFrame:

@@ -118,6 +118,29 @@ def test_claims_of_hits(spark, seed):
     assert {s for s, _, _ in want.values()} == {"MATCHED", "AMBIGUOUS", "NOT_FOUND"}
 
 
+def test_claims_need_few_hits():
+    rng, kinds = random.Random(7), ["tag", "tag", "text"]
+    for _ in range(300):
+        # A place has one file; components share places or not.
+        places = [(f"f{rng.randint(0, 3)}", i) for i in range(rng.randint(1, 12))]
+        found = list({(c, *rng.choice(places), rng.choice(kinds), rng.randint(1, 2)) for c in "abcd" for _ in range(rng.randint(0, 6))})
+        has = {c: rng.random() < 0.3 for c in "abcd"}
+        hits = [("p", c, kind, file, "s", at, 1, score, 1, False, has[c]) for c, file, at, kind, score in found]
+        marked = [h for f in {h[3] for h in hits} for h in M._marked([x for x in hits if x[3] == f])]
+        half = len(marked) // 2
+        few = M._contending(M._contending(marked[:half]) + marked[half:])
+        assert len(few) <= len(marked)
+        claims = []
+        for rows in (marked, few):
+            held = {}
+            for h in rows:
+                held.setdefault(h[1], []).append((h[7], h[3], h[5], (h[3], h[5]), h[8], h[10], h[2] != "tag"))
+            claims.append(M.claim(list("abcd"), held))
+        assert claims[0] == claims[1]
+    alone = [("p", "a", "tag", f"f{i:03d}", "s", i, 1, 13, 1, False, False, False) for i in range(500)]
+    assert M._contending(alone) == [alone[0], alone[-1]]
+
+
 @pytest.mark.parametrize("seed", [1, 6])
 def test_held_components_give_the_joined_hits(spark, seed):
     components, files = make(seed)
@@ -132,3 +155,18 @@ def test_lines_around_a_tag_are_not_shuffled(spark):
 
     # Lines are dealt by their parts and by their suppliers, parts and suppliers once each.
     assert plan(component_candidates(spark, "/root/testdata/sf0.001")).count("Exchange") == 4
+
+
+@pytest.mark.parametrize("seed", [4, 8])
+def test_few_hits_give_the_same_claims(spark, seed):
+    components, files = make(seed)
+    components = [(*c[:2], c[2] or "", *c[3:]) for c in components]
+    code = spark.createDataFrame([(p, f, c * 3 if c else c) for p, f, c in files], "project string, file string, content string")
+    items = spark.createDataFrame([(c[0], int(c[1][1:])) for c in components], "project string, item long")
+    got = []
+    for claims in (False, True):
+        hits = M.hits(spark.createDataFrame(components, COMPONENTS), code, claims=claims)
+        place = F.pmod(F.xxhash64("file"), F.lit(1 << 30)) * (1 << 16) + F.col("position")
+        rows = hits.select("project", F.substring("component", 2, 9).cast("long").alias("item"), place.alias("occurrence"), "file", "score", "evidence", F.col("has_preferred").alias("preferred"), (F.col("kind") != "tag").alias("fallback"))
+        got.append((hits.count(), sorted(map(tuple, M.greedy(items, rows, "project", keyed=True).collect()), key=repr)))
+    assert got[0][1] == got[1][1] and got[1][0] < got[0][0]
