@@ -59,72 +59,116 @@ def _types(columns: Sequence[str]) -> str:
     return ", ".join(f"{c} {kinds[c]}" for c in columns)
 
 
+#: Names of tags and attributes that a reader remembers in parts.
+KNOWN_NAMES = 4096
+
+
+def _split(known: dict, full: str) -> tuple[str | None, str, str]:
+    """(namespace, local, {namespace}local) of a name as the parser gives it, from known ones if it is among them."""
+    if full not in known:
+        if len(known) >= KNOWN_NAMES:
+            known.clear()
+        namespace, _, local = full.rpartition(" ")
+        known[full] = (namespace or None, local, f"{{{namespace}}}{local}" if namespace else local)
+    return known[full]
+
+
+#: How many flat lists a column of lists has.
+FLAT = {"above": 1, "attributes": 2, "details": 4}
+
+
 class _Reader:
-    """Start tags in document order, a list a wanted column; text is what stands before the first child, tail what follows
-    the end tag. Unwanted columns cost nothing but paths and numbers."""
-
-    def __init__(self, held: dict[str, list]) -> None:
-        self.held, self.n = held, 0
-        self.open: list[tuple[int, str, str]] = []  # ordinal, tag, path
-        self.counts: list[dict[str, int]] = [{}]
-        self.children: list[int] = []
-        self.texts: list[str] = []
-        self.tails: list[str] = []
+    """Documents' start tags in document order, a list a wanted column; text is what stands before the first child, tail what
+    follows the end tag. Unwanted columns cost nothing. Columns of lists have where each list begins, and flat lists."""
+
+    def __init__(self, names: Sequence[str]) -> None:
+        self.held: dict[str, list] = {c: [] for c in names}
+        self.flat = {c: tuple([] for _ in range(FLAT[c])) for c in names if c in FLAT}
+        self.rows = 0
+        self.known: dict = {}
+        # Open elements: ordinal, path, numbers of children by tag, and the tags above a child, once it has one.
+        self.open: list[list] = []
+        self.n, self.children, self.texts, self.tails = 0, [], [], []
         self.ended: int | None = None
-        self.parser = expat.ParserCreate(namespace_separator=" ")
-        self.parser.buffer_text = True
-        self.parser.StartElementHandler, self.parser.EndElementHandler = self._start, self._end
-        if "text" in held or "tail" in held:
-            self.parser.CharacterDataHandler = self._data
-
-    def _start(self, name: str, attributes: dict) -> None:
-        held, open_, counts = self.held, self.open, self.counts[-1]
-        namespace, _, tag = name.rpartition(" ")
-        k = counts[tag] = counts.get(tag, 0) + 1
-        parent = None
-        if open_:
-            parent, _, path = open_[-1]
-            self.children[parent] += 1
-            path = f"{path}/{tag}[{k}]"
-        else:
-            path = f"/{tag}[{k}]"
-        if "ordinal" in held:
-            held["ordinal"].append(self.n)
-        if "parent" in held:
-            held["parent"].append(parent)
-        if "depth" in held:
-            held["depth"].append(len(open_))
-        if "tag" in held:
-            held["tag"].append(tag)
-        if "namespace" in held:
-            held["namespace"].append(namespace or None)
-        if "full_tag" in held:
-            held["full_tag"].append(f"{{{namespace}}}{tag}" if namespace else tag)
-        if "node_path" in held:
-            held["node_path"].append(path)
-        if "above" in held:
-            held["above"].append([x[1] for x in reversed(open_)])
-        if "line" in held:
-            held["line"].append(self.parser.CurrentLineNumber)
-        if "attributes" in held:
-            held["attributes"].append({full.rpartition(" ")[2]: value for full, value in attributes.items()})
-        if "details" in held:
-            details = []
-            for full, value in attributes.items():
-                space, _, local = full.rpartition(" ")
-                details.append((local, f"{{{space}}}{local}" if space else local, space or None, value))
-            held["details"].append(details)
-        open_.append((self.n, tag, path))
-        self.counts.append({})
-        self.children.append(0)
-        self.texts.append("")
-        self.tails.append("")
-        self.n += 1
-        self.ended = None
+        self.parser = None
+        self.start = self._starter()
+
+    def _starter(self):
+        held, known, open_ = self.held, self.known, self.open
+        add = lambda c: held[c].append if c in held else None
+        ordinal, parent_, depth, tag_, namespace_, full_tag, node_path, line = map(add, ("ordinal", "parent", "depth", "tag", "namespace", "full_tag", "node_path", "line"))
+        above, attributes_, details = (held.get(c) for c in ("above", "attributes", "details"))
+        (tags,) = self.flat.get("above", (None,))
+        keys, values = self.flat.get("attributes", (None, None))
+        names, fulls, spaces, contents = self.flat.get("details", (None,) * 4)
+        texts = "text" in held or "tail" in held
+        counted = texts or "n_children" in held
+
+        def start(name: str, attributes: list) -> None:
+            namespace, tag, full = known.get(name) or _split(known, name)
+            n = self.n
+            top = open_[-1] if open_ else None
+            path = None
+            if node_path:
+                if top:
+                    counts = top[2]
+                    k = counts[tag] = counts.get(tag, 0) + 1
+                    path = f"{top[1]}/{tag}[{k}]"
+                else:
+                    path = f"/{tag}[1]"
+                node_path(path)
+            if ordinal:
+                ordinal(n)
+            if parent_:
+                parent_(top[0] if top else None)
+            if depth:
+                depth(len(open_))
+            if tag_:
+                tag_(tag)
+            if namespace_:
+                namespace_(namespace)
+            if full_tag:
+                full_tag(full)
+            if line:
+                line(self.parser.CurrentLineNumber)
+            over = None
+            if above is not None:
+                above.append(len(tags))
+                if top:
+                    tags.extend(top[3])
+                    over = [tag, *top[3]]
+                else:
+                    over = [tag]
+            if attributes_ is not None:
+                attributes_.append(len(keys))
+                if attributes:
+                    own = {(known.get(x) or _split(known, x))[1]: attributes[i + 1] for i, x in enumerate(attributes) if not i % 2}
+                    keys.extend(own)
+                    values.extend(own.values())
+            if details is not None:
+                details.append(len(names))
+                for i in range(0, len(attributes), 2):
+                    x = attributes[i]
+                    space, local, whole = known.get(x) or _split(known, x)
+                    names.append(local)
+                    fulls.append(whole)
+                    spaces.append(space)
+                    contents.append(attributes[i + 1])
+            open_.append([n, path, {}, over])
+            if counted:
+                if top:
+                    self.children[top[0]] += 1
+                self.children.append(0)
+            if texts:
+                self.texts.append("")
+                self.tails.append("")
+                self.ended = None
+            self.n = n + 1
+
+        return start
 
     def _end(self, _name: str) -> None:
         self.ended = self.open.pop()[0]
-        self.counts.pop()
 
     def _data(self, text: str) -> None:
         if self.ended is not None and self.open:
@@ -132,44 +176,52 @@ class _Reader:
         elif self.open and not self.children[self.open[-1][0]]:
             self.texts[self.open[-1][0]] += text
 
-    def read(self, source: str, xml: str | None) -> int:
-        """How many rows a document has, its own in every column."""
-        held, before = self.held, {c: len(x) for c, x in self.held.items()}
+    def read(self, source: str, xml: str | None) -> None:
+        """A document's own rows, in every column; if it is not well-formed one, with its error."""
+        held = self.held
+        before, flat = {c: len(x) for c, x in held.items()}, {c: len(x[0]) for c, x in self.flat.items()}
+        self.open.clear()
+        self.n, self.children, self.texts, self.tails, self.ended = 0, [], [], [], None
+        parser = self.parser = expat.ParserCreate(namespace_separator=" ")
+        parser.ordered_attributes = True
+        parser.StartElementHandler, parser.EndElementHandler = self.start, self._end
+        if "text" in held or "tail" in held:
+            parser.buffer_text = True
+            parser.CharacterDataHandler = self._data
         try:
-            self.parser.Parse(xml or "", True)
+            parser.Parse(xml or "", True)
         except (expat.ExpatError, ValueError) as e:
+            for c, n in flat.items():
+                for x in self.flat[c]:
+                    del x[n:]
             for c, x in held.items():
                 del x[before[c] :]
                 x.append(source if c == "source_id" else str(e) if c == "error" else None)
-            return 1
+            self.rows += 1
+            return
         own = {"source_id": lambda: [source] * self.n, "error": lambda: [None] * self.n, "n_children": lambda: self.children}
         own |= {"text": lambda: [x.strip() or None for x in self.texts], "tail": lambda: [x.strip() or None for x in self.tails]}
         for c in own.keys() & held.keys():
             held[c] += own[c]()
-        return self.n
-
-
-def _offsets(lists: list) -> pa.Array:
-    """Where each list begins; that of null is null."""
-    at, out = 0, []
-    for x in lists:
-        out.append(None if x is None else at)
-        at += len(x or ())
-    return pa.array([*out, at], pa.int32())
-
-
-def _arrow(column: str, rows: list) -> pa.Array:
-    flat = [x for r in rows for x in r or ()] if column in ("above", "details") else []
-    if column == "above":
-        return pa.ListArray.from_arrays(_offsets(rows), pa.array(flat, pa.string()))
-    if column == "attributes":
-        values = [v for r in rows for v in (r or {}).values()]
-        return pa.MapArray.from_arrays(_offsets(rows), pa.array([k for r in rows for k in r or ()], pa.string()), pa.array(values, pa.string()))
-    if column == "details":
-        fields = ("name", "full_name", "namespace", "value")
-        parts = [pa.array([x[i] for x in flat], pa.string()) for i in range(len(fields))]
-        return pa.ListArray.from_arrays(_offsets(rows), pa.StructArray.from_arrays(parts, fields))
-    return pa.array(rows, {"ordinal": pa.int64(), "parent": pa.int64(), "depth": pa.int32(), "line": pa.int64(), "n_children": pa.int64()}.get(column, pa.string()))
+        self.rows += self.n
+
+    def batch(self) -> pa.RecordBatch:
+        """All rows so far, which are forgotten."""
+        out = pa.RecordBatch.from_arrays([self._arrow(c) for c in self.held], list(self.held))
+        for x in (*self.held.values(), *(x for lists in self.flat.values() for x in lists)):
+            x.clear()
+        self.rows = 0
+        return out
+
+    def _arrow(self, column: str) -> pa.Array:
+        rows = self.held[column]
+        if column not in FLAT:
+            return pa.array(rows, {"ordinal": pa.int64(), "parent": pa.int64(), "depth": pa.int32(), "line": pa.int64(), "n_children": pa.int64()}.get(column, pa.string()))
+        flat = [pa.array(x, pa.string()) for x in self.flat[column]]
+        starts = pa.array([*rows, len(flat[0])], pa.int32())
+        if column == "attributes":
+            return pa.MapArray.from_arrays(starts, *flat)
+        return pa.ListArray.from_arrays(starts, flat[0] if column == "above" else pa.StructArray.from_arrays(flat, ("name", "full_name", "namespace", "value")))
 
 
 def xml_nodes(documents: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -177,22 +229,22 @@ def xml_nodes(documents: DataFrame, columns: Sequence[str] | None = None) -> Dat
 
     node_path numbers a tag among its siblings of that tag; above: the tags above, nearest first. Declarations of
     namespaces are no attributes; of attributes with one local name the last counts in the map, details hold all. Blank text
-    is null, comments are skipped. A document that is not well-formed, null or empty has one row with `error` alone."""
+    is null, comments are skipped. A document that is not well-formed, null or empty has one row with `error` alone. A
+    document's nodes come one after another in one task."""
     schema = NODES if columns is None else _types(columns)
     names = re.findall(r"(?:^|, )(\w+) ", schema)
 
     def run(batches):
-        held, n = {c: [] for c in names}, 0
+        reader = _Reader(names)
         for b in batches:
             for at in range(0, b.num_rows, 64):
                 part = b.slice(at, 64)
                 for source, xml in zip(part.column("source_id").to_pylist(), part.column("xml").to_pylist(), strict=True):
-                    n += _Reader(held).read(source, xml)
-                    if n >= BATCH_NODES:
-                        yield pa.RecordBatch.from_arrays([_arrow(c, x) for c, x in held.items()], names)
-                        held, n = {c: [] for c in names}, 0
-        if n:
-            yield pa.RecordBatch.from_arrays([_arrow(c, x) for c, x in held.items()], names)
+                    reader.read(source, xml)
+                    if reader.rows >= BATCH_NODES:
+                        yield reader.batch()
+        if reader.rows:
+            yield reader.batch()
 
     return documents.select("source_id", "xml").mapInArrow(run, schema)
 
@@ -359,13 +411,41 @@ def is_migratable(nodes: DataFrame) -> Column:
     return F.col("tag").isin(*BASE_CONTROLS) | ((F.col("classification") == "custom_control") & ~F.lower("tag").rlike(f"({'|'.join(INVISIBLE_SUFFIXES)})$"))
 
 
-def inventory(classified: DataFrame) -> DataFrame:
-    """Every node with where it is kept: root_info, control_tree, or separate_inventory for the rest and all below
-    a resource scope."""
-    below = F.col("tag").endswith(".Resources") | F.exists("above", lambda x: x.endswith(".Resources"))
+def in_resources() -> Column:
+    """Whether a node is a resource scope or below one."""
+    return F.col("tag").endswith(".Resources") | F.exists("above", lambda x: x.endswith(".Resources"))
+
+
+def retention() -> Column:
+    """Where a classified node is kept: root_info, control_tree, or separate_inventory for the rest and all below a
+    resource scope."""
     control = F.col("tag").isin(*BASE_CONTROLS) | (F.col("classification") == "custom_control")
-    kept = F.when(F.col("classification") == "page_or_document_root", "root_info").when(control & ~below, "control_tree").otherwise("separate_inventory")
-    return classified.select("source_id", "node_path", "line", "tag", "classification", kept.alias("retention"))
+    return F.when(F.col("classification") == "page_or_document_root", "root_info").when(control & ~in_resources(), "control_tree").otherwise("separate_inventory")
+
+
+def inventory(classified: DataFrame) -> DataFrame:
+    """Every node with where it is kept."""
+    return classified.select("source_id", "node_path", "line", "tag", "classification", retention().alias("retention"))
+
+
+def levels(nodes: DataFrame, keep: str) -> DataFrame:
+    """nodes (depth, keep, ...) with `level`: of kept nodes how many kept ones lie above them, null of others.
+
+    Nodes must come as xml_nodes gives them, a document's one after another in one task, and all of them, so nothing is
+    shuffled: a task holds a number for each depth."""
+
+    def run(batches):
+        above = [0]
+        for b in batches:
+            out = []
+            for depth, kept in zip(b.column("depth").to_pylist(), b.column(keep).to_pylist(), strict=True):
+                if depth + 1 == len(above):
+                    above.append(0)
+                above[depth + 1] = above[depth] + bool(kept)
+                out.append(above[depth] if kept else None)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], [*b.schema.names, "level"])
+
+    return nodes.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in nodes.schema] + ["level long"]))
 
 
 def control_tree(classified: DataFrame) -> DataFrame:
@@ -373,7 +453,7 @@ def control_tree(classified: DataFrame) -> DataFrame:
     kept ancestor; several roots get one of their own, with ordinal -1 and the first one's tag."""
     from loomspark.operators.trees import splice
 
-    rows = classified.where(~F.col("tag").endswith(".Resources") & ~F.exists("above", lambda x: x.endswith(".Resources")))
+    rows = classified.where(~in_resources())
     kept = splice(rows.withColumnRenamed("source_id", "page_id"), is_migratable(rows)).withColumnRenamed("page_id", "source_id")
     roots = kept.where("new_parent is null").groupBy("source_id").agg(F.count("*").alias("roots"), F.min_by("tag", "ordinal").alias("first"))
     several = roots.where("roots > 1")

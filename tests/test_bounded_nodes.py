@@ -2,6 +2,7 @@
 
 import contextlib
 import io
+import random
 
 import pyarrow as pa
 import pytest
@@ -80,3 +81,39 @@ def test_code_is_never_broadcast(spark):
 
     for rows in _code(spark, SF):
         assert "Broadcast" not in plan(rows)
+
+
+@pytest.mark.parametrize(("name", "passes"), [("order_page_inventory", 2)])
+def test_pages_are_read_once(spark, name, passes):
+    # The inventory has a second pass over the nodes as they were read, which shuffles nothing.
+    rows = plan(entry.queries()[name](spark, SF))
+    assert rows.count("MapInArrow") == passes
+    if name == "order_page_inventory":
+        assert rows.count("Exchange") == 2
+
+
+def tree(rng, depth=0):
+    tag = rng.choice(["Grid", "Label", "c:Gauge", "c:RateConverter", "Grid.Resources", "Style", "Odd"])
+    text = "".join(tree(rng, depth + 1) for _ in range(rng.randint(0, 3))) if depth < 5 else ""
+    keys = "".join(f' {k}="{rng.choice(["", "k", "{StaticResource k}", "{Binding Path=P, Converter={DynamicResource r}}"])}"' for k in ("x:Key", "Name", "Content", "Path") if rng.random() < 0.3)
+    return f"<{tag}{keys}>{text}</{tag}>"
+
+
+def pages(spark, seed, n):
+    rng = random.Random(seed)
+    head = f'<Page xmlns="{markup.PRESENTATION}" xmlns:x="{markup.XAML}" xmlns:c="clr-namespace:App">'
+    return spark.createDataFrame([(f"v/{i}", f"{head}{''.join(tree(rng) for _ in range(rng.randint(0, 3)))}</Page>") for i in range(n)], "source_id string, xml string")
+
+
+def test_levels_are_those_of_the_control_tree(spark):
+    nodes = markup.classify(markup.xml_nodes(pages(spark, 1, 60)).where("error is null"))
+    keep = markup.is_migratable(nodes) & ~markup.in_resources()
+    got = {}
+    for r in markup.levels(nodes.select("source_id", "ordinal", "depth", keep.alias("keep")), "keep").where("level is not null").collect():
+        got.setdefault(r["source_id"], {})[r["ordinal"]] = r["level"]
+    above = {}
+    for r in markup.control_tree(nodes).collect():
+        above.setdefault(r["source_id"], {})[r["ordinal"]] = r["new_parent"]
+    level = lambda page, at: 0 if page[at] in (None, -1) else 1 + level(page, page[at])
+    assert got == {s: {o: level(page, o) for o in page if o >= 0} for s, page in above.items()} and len(got) > 20
+    assert any(-1 in page for page in above.values()) and max(max(x.values()) for x in got.values()) > 2
