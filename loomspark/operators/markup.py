@@ -301,20 +301,6 @@ def classify(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("classification", kind.otherwise("unsupported_node")).withColumn("reason", why.otherwise("unknown element"))
 
 
-def _markup(value: Column) -> Column:
-    """array<struct<kind,target>> of what begins with a brace and one of MARKUP_KINDS in a value, however nested."""
-    blank = lambda x: F.when(x != "", x)
-    kinds = F.create_map(*(F.lit(x) for name, kind in MARKUP_KINDS.items() for x in (name.lower(), kind)))
-    # One search for all names, and none of a value without a brace.
-    found = F.regexp_extract_all(value, F.lit(rf"(?is)(?=(\{{(?:{'|'.join(MARKUP_KINDS)})\b.*))"), F.lit(1))
-    resource = lambda f: blank(F.regexp_extract(f, r"(?i)^\{(?:StaticResource|DynamicResource)\s+([^,}\s]+)", 1))
-    path = lambda f: F.trim(blank(F.regexp_extract(f, r"(?i)\bPath\s*=\s*([^,}]+)", 1)))
-    first = lambda f: blank(F.regexp_extract(f, r"(?i)^\{(?:Binding|MultiBinding|PriorityBinding)(?:\s+([^,}\s]+))?", 1))
-    named = F.transform(found, lambda f: F.struct(kinds[F.lower(F.regexp_extract(f, r"^\{(\w+)", 1))].alias("kind"), f.alias("f")))
-    each = F.transform(named, lambda x: F.struct(x["kind"].alias("kind"), F.when(x["kind"].endswith("_resource"), resource(x["f"])).otherwise(F.coalesce(path(x["f"]), first(x["f"]))).alias("target")))
-    return F.when(value.contains("{"), each).otherwise(F.array().cast("array<struct<kind:string,target:string>>"))
-
-
 def looks_like_file(value: Column) -> Column:
     """Whether a value names a file: by its scheme, an assembly's component or a known suffix."""
     plain = F.lower(F.replace(F.regexp_replace(F.trim(value), "^[\"']+|[\"']+$", ""), F.lit("\\"), F.lit("/")))
@@ -322,25 +308,62 @@ def looks_like_file(value: Column) -> Column:
     return plain.rlike("^(https?|pack):") | plain.contains(";component/") | F.regexp_extract(bare, r"\.([^.]*)$", 1).isin(*FILE_SUFFIXES)
 
 
-def references(nodes: DataFrame) -> DataFrame:
+def _last(*names: str) -> list[Column]:
+    """Values of the attributes of those local names, the last of each, null where there is none."""
+    return [F.try_element_at(F.filter("details", lambda d: d["name"] == name), F.lit(-1))["value"] for name in names]  # noqa: B023
+
+
+def references(nodes: DataFrame, keys: bool = False) -> DataFrame:
     """nodes -> (source_id, node_path, line, kind, attribute, target, raw_value, resolution): every reference that an
-    attribute or a binding element makes; an attribute may make several."""
-    attr, value = F.col("d.name"), F.coalesce("d.value", F.lit(""))
-    row = lambda kind, target, how: F.struct(F.lit(kind).alias("kind"), target.alias("target"), how.alias("resolution"))
-    how = lambda t: F.when(F.coalesce(t, F.lit("")) != "", "parsed").otherwise("partial")
-    found = [F.transform(_markup(value), lambda x: F.struct(x["kind"].alias("kind"), x["target"].alias("target"), how(x["target"]).alias("resolution")))]
-    one = lambda test, r: F.when(test, F.array(r)).otherwise(F.array().cast("array<struct<kind:string,target:string,resolution:string>>"))
-    found.append(one(attr == "Command", row("command", value, F.when(value.contains("{"), "candidate").otherwise("parsed"))))
-    found.append(one(attr == "CommandParameter", row("command_parameter", value, F.lit("parsed"))))
-    found.append(one((attr.isin(*EVENT_ATTRIBUTES) | attr.startswith("Preview")) & F.trim(value).rlike(r"^[A-Za-z_]\w*$"), row("event_handler", F.trim(value), F.lit("parsed"))))
-    found.append(one(attr.isin(*PATH_ATTRIBUTES) & looks_like_file(value), row("file_resource", value, F.lit("candidate"))))
-    each = nodes.select("source_id", "node_path", "line", F.explode("details").alias("d"))
-    by_attribute = each.select("source_id", "node_path", "line", attr.alias("attribute"), value.alias("raw_value"), F.explode(F.concat(*found)).alias("r"))
-    plain = by_attribute.select("source_id", "node_path", "line", "r.kind", "attribute", "r.target", "raw_value", "r.resolution")
-    named = F.coalesce(F.when(F.col("attributes")["Path"] != "", F.col("attributes")["Path"]), F.when(F.col("attributes")["ResourceKey"] != "", F.col("attributes")["ResourceKey"]))
+    attribute or a binding element makes; an attribute may make several. With keys also a row of kind `key` for each node
+    with a resource's key, which is its target.
+
+    Nodes are read once. Attributes that cannot hold a reference go first, and what begins with a brace and one of
+    MARKUP_KINDS in a value, however nested, is a row before its parts are taken."""
+    blank = lambda x: F.when(x != "", x)
     kinds = F.create_map(*(F.lit(x) for pair in MARKUP_KINDS.items() for x in pair))
-    elements = nodes.where(F.col("tag").isin(*MARKUP_KINDS)).select("source_id", "node_path", "line", kinds[F.col("tag")].alias("kind"), F.lit(None).cast("string").alias("attribute"), named.alias("target"), F.lit(None).cast("string").alias("raw_value"), how(named).alias("resolution"))
-    return plain.unionByName(elements)
+    low_kinds = F.create_map(*(F.lit(x) for name, kind in MARKUP_KINDS.items() for x in (name.lower(), kind)))
+    named = F.coalesce(*map(blank, _last("Path", "ResourceKey")))
+    event = lambda name: name.isin(*EVENT_ATTRIBUTES) | name.startswith("Preview")
+    some = F.filter("details", lambda d: d["value"].contains("{") | event(d["name"]) | d["name"].isin("Command", "CommandParameter", *PATH_ATTRIBUTES))
+    none = lambda kind: F.lit(None).cast(kind)
+    attributes = F.transform(some, lambda d: F.struct(d["name"].alias("attribute"), F.coalesce(d["value"], F.lit("")).alias("value"), none("string").alias("kind"), none("string").alias("target")))
+    own = lambda test, kind, target: F.when(test, F.array(F.struct(none("string").alias("attribute"), none("string").alias("value"), kind.alias("kind"), target.alias("target")))).otherwise(F.array().cast("array<struct<attribute:string,value:string,kind:string,target:string>>"))
+    of_nodes = [own(F.col("tag").isin(*MARKUP_KINDS), kinds[F.col("tag")], named)]
+    if keys:
+        nodes = nodes.withColumn("key", F.when(F.exists("details", lambda d: d["name"].isin(*KEY_ATTRIBUTES)), F.coalesce(*_last(*KEY_ATTRIBUTES))))
+        of_nodes.append(own(F.col("key") != "", F.lit("key"), F.col("key")))
+    each = nodes.select("source_id", "node_path", "line", F.inline(F.concat(attributes, *of_nodes)))
+
+    # Candidates: (found, kind, target, resolution), of markup what was found alone.
+    attr, value = F.col("attribute"), F.col("value")
+    candidate = "array<struct<found:string,kind:string,target:string,resolution:string>>"
+    row = lambda kind, target, how: F.struct(none("string").alias("found"), kind.alias("kind"), target.alias("target"), how.alias("resolution"))
+    one = lambda test, r: F.when(test, F.array(r)).otherwise(F.array().cast(candidate))
+    # One search for all names, and none of a value without a brace.
+    found = F.regexp_extract_all(value, F.lit(rf"(?is)(?=(\{{(?:{'|'.join(MARKUP_KINDS)})\b.*))"), F.lit(1))
+    nested = F.when(value.contains("{"), F.transform(found, lambda f: F.struct(f.alias("found"), none("string").alias("kind"), none("string").alias("target"), none("string").alias("resolution")))).otherwise(F.array().cast(candidate))
+    parsed = F.lit("parsed")
+    rows = [
+        nested,
+        one(F.col("kind").isNotNull(), row(F.col("kind"), F.col("target"), none("string"))),
+        one(attr == "Command", row(F.lit("command"), value, F.when(value.contains("{"), "candidate").otherwise("parsed"))),
+        one(attr == "CommandParameter", row(F.lit("command_parameter"), value, parsed)),
+        one(event(attr) & F.trim(value).rlike(r"^[A-Za-z_]\w*$"), row(F.lit("event_handler"), F.trim(value), parsed)),
+        one(attr.isin(*PATH_ATTRIBUTES) & looks_like_file(value), row(F.lit("file_resource"), value, F.lit("candidate"))),
+    ]
+    every = each.select("source_id", "node_path", "line", "attribute", F.col("value").alias("raw_value"), F.explode(F.concat(*rows)).alias("r"))
+
+    f = F.col("r.found")
+    kind = F.coalesce("r.kind", low_kinds[F.lower(F.regexp_extract(f, r"^\{(\w+)", 1))])
+    taken = every.withColumn("kind", kind)
+    resource = blank(F.regexp_extract(f, r"(?i)^\{(?:StaticResource|DynamicResource)\s+([^,}\s]+)", 1))
+    path = F.trim(blank(F.regexp_extract(f, r"(?i)\bPath\s*=\s*([^,}]+)", 1)))
+    first = blank(F.regexp_extract(f, r"(?i)^\{(?:Binding|MultiBinding|PriorityBinding)(?:\s+([^,}\s]+))?", 1))
+    target = F.when(f.isNull(), F.col("r.target")).when(F.col("kind").endswith("_resource"), resource).otherwise(F.coalesce(path, first))
+    taken = taken.withColumn("target", target)
+    how = F.coalesce("r.resolution", F.when(F.coalesce("target", F.lit("")) != "", "parsed").otherwise("partial"))
+    return taken.select("source_id", "node_path", "line", "kind", "attribute", "target", "raw_value", how.alias("resolution"))
 
 
 def fold_path(parts: Column) -> Column:

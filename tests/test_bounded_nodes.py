@@ -83,7 +83,7 @@ def test_code_is_never_broadcast(spark):
         assert "Broadcast" not in plan(rows)
 
 
-@pytest.mark.parametrize(("name", "passes"), [("order_page_inventory", 2)])
+@pytest.mark.parametrize(("name", "passes"), [("order_page_inventory", 2), ("order_page_references", 1)])
 def test_pages_are_read_once(spark, name, passes):
     # The inventory has a second pass over the nodes as they were read, which shuffles nothing.
     rows = plan(entry.queries()[name](spark, SF))
