@@ -379,12 +379,13 @@ def fold_path(parts: Column) -> Column:
     return F.aggregate(parts, start, step)
 
 
-def resolve(refs: DataFrame, keys: DataFrame, files: DataFrame) -> DataFrame:
+def resolve(refs: DataFrame, keys: DataFrame | None, files: DataFrame) -> DataFrame:
     """References of resources and files, each in one of eight classes, with whether the target exists.
 
-    refs as of `references`; keys (key): resource keys that exist anywhere in the project; files (file_id, declared): the
-    project's files. A file's path counts from its document's folder, or from the root with a leading slash."""
-    some = refs.where(F.col("kind").isin("static_resource", "dynamic_resource", "file_resource")).withColumn("target", F.trim(F.coalesce("target", F.lit(""))))
+    refs as of `references`; keys (key): resource keys that exist anywhere in the project, or None if refs hold them as rows of
+    kind `key`, which meet the references in one shuffle instead of a join; files (file_id, declared): the project's files. A
+    file's path counts from its document's folder, or from the root with a leading slash."""
+    some = refs.where(F.col("kind").isin("static_resource", "dynamic_resource", "file_resource", *["key"] * (keys is None))).withColumn("target", F.when(F.col("kind") == "key", F.col("target")).otherwise(F.trim(F.coalesce("target", F.lit("")))))
     is_file, keyed, there = F.col("kind") == "file_resource", F.coalesce("keyed", F.lit(False)), F.coalesce("there", F.lit(False))
     bare = F.regexp_extract(F.replace(F.regexp_replace("target", "^[\"']+|[\"']+$", ""), F.lit("\\"), F.lit("/")), "^([^?#]*)", 1)
     folder = F.regexp_extract("source_id", "^(.*)/[^/]*$", 1)
@@ -403,9 +404,15 @@ def resolve(refs: DataFrame, keys: DataFrame, files: DataFrame) -> DataFrame:
     held = held.join(files.select("file_id", "declared").withColumn("there", F.lit(True)), "file_id", "left").withColumn("placed", placed)
     # Files meet no keys: they are dealt by their documents, as many of them name the same file. There may be many keys, so
     # they are never broadcast.
-    known = keys.select(F.col("key").alias("met")).distinct().select("met", F.lit(False).alias("is_file"), F.lit(True).alias("keyed")).hint("merge")
     rows = held.select("source_id", "node_path", "line", "attribute", "kind", "target", "raw_value", "file_id", "placed", is_file.alias("is_file"), F.when(is_file, F.col("source_id")).otherwise(F.col("target")).alias("met"))
-    rows = rows.join(known, ["met", "is_file"], "left")
+    if keys is None:
+        is_key = F.col("kind") == "key"
+        # Of a key nothing else is shuffled.
+        rows = rows.select("met", "is_file", "kind", *(F.when(~is_key, F.col(c)).alias(c) for c in rows.columns if c not in ("met", "is_file", "kind")))
+        rows = rows.withColumn("keyed", F.max(is_key).over(W.partitionBy("met", "is_file"))).where(~is_key)
+    else:
+        known = keys.select(F.col("key").alias("met")).distinct().select("met", F.lit(False).alias("is_file"), F.lit(True).alias("keyed")).hint("merge")
+        rows = rows.join(known, ["met", "is_file"], "left")
     label = F.when(F.col("kind") == "dynamic_resource", "dynamic").when(F.col("is_file"), F.col("placed")).when(keyed, "resolved_internal_key").otherwise("unsupported_symbolic_reference")
     exists = F.when(F.col("is_file"), F.col("placed").isin("resolved_declared_file", "internal_undeclared_file")).otherwise(keyed)
     inside = F.col("placed").isin("missing_target", "resolved_declared_file", "internal_undeclared_file")

@@ -83,7 +83,7 @@ def test_code_is_never_broadcast(spark):
         assert "Broadcast" not in plan(rows)
 
 
-@pytest.mark.parametrize(("name", "passes"), [("order_page_inventory", 2), ("order_page_references", 1)])
+@pytest.mark.parametrize(("name", "passes"), [("order_page_inventory", 2), ("order_page_references", 1), ("order_page_closure", 1)])
 def test_pages_are_read_once(spark, name, passes):
     # The inventory has a second pass over the nodes as they were read, which shuffles nothing.
     rows = plan(entry.queries()[name](spark, SF))
@@ -117,3 +117,16 @@ def test_levels_are_those_of_the_control_tree(spark):
     level = lambda page, at: 0 if page[at] in (None, -1) else 1 + level(page, page[at])
     assert got == {s: {o: level(page, o) for o in page if o >= 0} for s, page in above.items()} and len(got) > 20
     assert any(-1 in page for page in above.values()) and max(max(x.values()) for x in got.values()) > 2
+
+
+def test_keys_among_references(spark):
+    nodes = markup.xml_nodes(pages(spark, 2, 60)).where("error is null")
+    keys = nodes.select(markup.key_of(F.col("attributes")).alias("key")).where("key != ''")
+    refs = markup.references(nodes)
+    both = markup.references(nodes, keys=True)
+    assert sorted(both.where("kind != 'key'").collect(), key=str) == sorted(refs.collect(), key=str)
+    assert sorted(r["target"] for r in both.where("kind = 'key'").collect()) == sorted(r["key"] for r in keys.collect())
+    files = spark.createDataFrame([("x.png", True)], "file_id string, declared boolean")
+    want = sorted(markup.resolve(refs, keys, files).collect(), key=str)
+    assert sorted(markup.resolve(both, None, files).collect(), key=str) == want
+    assert {r["classification"] for r in want} >= {"resolved_internal_key", "dynamic"} and {r["target_exists"] for r in want} == {True, False}
