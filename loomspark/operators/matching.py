@@ -7,6 +7,7 @@ files (project, file, content). Nothing crosses projects, and every join is on a
 
 from __future__ import annotations
 
+import gc
 import re
 import uuid
 from collections.abc import Callable, Iterable
@@ -300,7 +301,11 @@ def hits(components: DataFrame, files: DataFrame, there: DataFrame | None = None
     some = candidates.groupBy("project", "component").agg(F.max("preferred").alias("has_preferred"))
     phrases = F.filter(F.array_distinct("lowered"), lambda x: x != "")
     rows = known.join(some.hint("merge"), ["project", "component"], "left").withColumns({"stems": F.transform("names", lambda x: F.lower(x)), "phrases": phrases})
-    return _search(files, [r.asDict() for r in rows.collect()], claims)
+    found = [r.asDict() for r in rows.collect()]
+    # What made components and names was shuffled once; its files go when the driver no longer holds the plans.
+    gc.collect()
+    files.sparkSession.sparkContext._jvm.System.gc()
+    return _search(files, found, claims)
 
 
 def with_ties(scored: DataFrame) -> DataFrame:
